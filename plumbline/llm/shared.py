@@ -1,0 +1,28 @@
+"""The folder that the driver and all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Only a local session without one gets a temporary folder."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read back: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
