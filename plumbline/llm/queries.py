@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, packing, substring
+from plumbline.llm import brown, decontaminate, jaccard, packing, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +40,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op7_decontamination, op10_jaccard_join)}
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op9_brown_lm, op2_substring_dedup, op7_decontamination, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
