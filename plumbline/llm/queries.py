@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import brown, decontaminate, jaccard, packing, substring
+from plumbline.llm import brown, decontaminate, jaccard, packing, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,5 +44,11 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op9_brown_lm, op2_substring_dedup, op7_decontamination, op10_jaccard_join)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, q = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return docs.select("doc_id", *(f"{q}.{c}" for c in counts))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_quality_rules, op9_brown_lm, op2_substring_dedup, op7_decontamination, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
