@@ -4,14 +4,13 @@ A document is the set of its distinct word shingles. Texts with equal sets fall
 together at once (set id: 64 bits of two sums over the shingle hashes), so
 copies cost one row each from there on.
 
-Candidates, by the pigeonhole principle over hash buckets: if x is the larger
-set of a pair with overlap >= t * |x|, some bucket of the hash space has
-overlap >= t * |x in it|. Each bucket holds all postings of its shingles, so it
-knows their exact document frequencies; a set whose share of repeated shingles
-is below t in a bucket is out there, and the others need to meet a partner
-only in the lists of their rarest (1 - t) |x| + 1 shingles. The buckets tie
-such sets into candidate groups (a superset of the links: every pair that
-could link is in one group).
+Document frequencies come from the whole corpus: chunks of documents ask the
+buckets of the hash space for their shingles and get one byte for each (exact
+up to 127, then by powers of two). A set can link only if the required share t
+of its shingles occurs elsewhere, and two sets can link only if they share one
+of their rarest (1 - t) n + 1 shingles; the lists of those tie the remaining
+sets into candidate groups. A common passage is never among the rarest
+shingles of a longer text, so it ties nothing.
 
 Search, in each candidate group on whole sets: first some pivots are compared
 with all members, which links large groups of near copies in a few passes.
@@ -20,8 +19,9 @@ inverted lists are merged and counted, the longest are probed by binary search
 for those that can still reach the required overlap, and the exact test
 decides. Groups of over ``BLOCK`` sets are dealt out as pairs of blocks.
 
-Skipped are only pairs that are connected already. Truncated hashes in the
-buckets can add candidates, never lose one.
+Skipped are only pairs that are connected already. The buckets use shortened
+hashes; a clash there raises a frequency for all its sets alike, which can add
+candidates but never lose one.
 """
 
 from __future__ import annotations
@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
 from plumbline.llm.shared import written
-from plumbline.llm.textcore import SPACED, Words, mix64, run_hashes, slices, text_bytes, text_buffer
+from plumbline.llm.textcore import SPACED, Words, mix64, ordered_chunks, run_hashes, slices, text_buffer
 
 SHINGLE = 5
+CHUNK_BYTES = 4 << 20
 BUCKET_SHINGLES = 4 << 20
-LEAST_BUCKETS = 16
+KEY_BYTES = 5
 BLOCK = 4096
 PIVOTS = 48
 LONG_LIST = 64
@@ -82,29 +83,111 @@ def _describe(k: int):
     return run
 
 
-def _postings(k: int, bits: int):
-    shift = np.uint64(64 - bits)
+def _distinct(column, k: int) -> dict[int, np.ndarray]:
+    """Set ids and sets of a column, each once."""
+    return {set_id(s): s for _, sets in shingle_sets(column, k) for s in sets if len(s)}
+
+
+def _requests(k: int, bits: int):
+    def run(rows: pa.Table) -> pa.Table:
+        sets = list(_distinct(rows.column("text"), k).values())
+        keys, n = _short(np.concatenate(sets), bits) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        used, begin = np.unique((keys >> np.uint64(64 - bits)).astype(np.int64), return_index=True)
+        # big-endian order, so that the bytes kept are the ones after the bucket's bits
+        packed = (keys << np.uint64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+        out = [[p.tobytes() for p in np.split(x, begin[1:])] if len(used) else [] for x in (packed, np.minimum(n, 65535).astype(np.uint16))]
+        chunk = np.full(len(used), rows.column("chunk")[0].as_py())
+        return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array(chunk, pa.int32()), "keys": pa.array(out[0], pa.binary()), "n": pa.array(out[1], pa.binary())})
+
+    return run
+
+
+def _short(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes cut to the bits that travel, in order, and how often each is there."""
+    return np.unique(hashes & np.uint64(~((1 << (64 - bits - 8 * KEY_BYTES)) - 1) & (1 << 64) - 1), return_counts=True)
+
+
+def _frequency_code(n: np.ndarray) -> np.ndarray:
+    """One byte that never falls as n grows: n up to 127, then 128 and more by powers of two."""
+    return np.where(n < 128, n, 121 + np.log2(np.maximum(n, 1)).astype(np.int64)).astype(np.uint8)
+
+
+def _answers(rows: pa.Table) -> pa.Table:
+    blobs = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, KEY_BYTES) for x in rows.column("keys")]
+    sizes = np.array([len(b) for b in blobs])
+    wide = np.zeros((sizes.sum(), 8), np.uint8)
+    wide[:, :KEY_BYTES] = np.concatenate(blobs)
+    n = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in rows.column("n")])
+    _, which = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+    code = _frequency_code(np.bincount(which, weights=n).astype(np.int64))[which]
+    parts = np.split(code, np.cumsum(sizes)[:-1])
+    return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "code": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+
+def _candidates(k: int, bits: int, num: int, den: int):
+    """The sets of a chunk of which enough shingles occur elsewhere; shingles by frequency, the rarest first."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("bucket")
+        code = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_py(), np.uint8) for x in answers.column("code"))])
+        held = _distinct(rows.column("text"), k) if len(code) else {}
+        sids, sizes, alone, blobs = [], [], [], []
+        if held:
+            flat = np.concatenate(list(held.values()))
+            cut = flat & np.uint64(~((1 << (64 - bits - 8 * KEY_BYTES)) - 1) & (1 << 64) - 1)
+            of = code[np.unique(cut, return_inverse=True)[1]]
+            begin = 0
+            for sid, s in held.items():
+                mine = of[begin : begin + len(s)]
+                begin += len(s)
+                single = int((mine < 2).sum())
+                if len(s) - single < _need(np.array([len(s)]), num, den)[0]:
+                    continue
+                sids.append(sid)
+                sizes.append(len(s))
+                alone.append(single)
+                blobs.append(s[np.argsort(mine, kind="stable")].tobytes())  # s is sorted: by (frequency, hash)
+        return pa.table({"sid": pa.array(sids, pa.int64()), "n": pa.array(sizes, pa.int64()), "alone": pa.array(alone, pa.int64()), "shingles": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _rarest(num: int, den: int, buckets: int):
+    """Postings of the shingles of each set's prefix, in one packed row per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in shingle_sets(batch.column(0), k):
-                held = {set_id(s): s for s in sets if len(s)}
-                if not held:
-                    continue
-                sid, sets = np.array(list(held), np.int64), list(held.values())
-                sizes = np.array([len(s) for s in sets])
-                flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                bucket = (flat >> shift).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                flat, of, bucket = flat[order], of[order], bucket[order]
-                packed = (flat << np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, 2:]
-                used, begin = np.unique(bucket, return_index=True)
-                rows = []
-                for b, lo, hi in zip(used, begin, np.append(begin[1:], len(flat))):
-                    here, count = np.unique(of[lo:hi], return_counts=True)
-                    rows.append((int(b), sid[here].tobytes(), sizes[here].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), packed[lo:hi].tobytes()))
-                kinds = [pa.int32(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "sid", "size", "count", "keys"])
+            sid, n, alone = (batch.column(i).to_numpy() for i in range(3))
+            if not len(sid):
+                continue
+            last = n - _need(n, num, den) + 1
+            parts = [np.frombuffer(x.as_py(), np.uint64)[a:b] for x, a, b in zip(batch.column(3), alone, last)]
+            flat, of = np.concatenate(parts), np.repeat(np.arange(len(sid)), [len(p) for p in parts])
+            bucket = (flat % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            flat, of = flat[order], of[order]
+            used, begin = np.unique(bucket[order], return_index=True)
+            cut = lambda x: pa.array([p.tobytes() for p in np.split(x, begin[1:])] if len(used) else [], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), cut(flat), cut(sid[of]), cut(n[of])], names=["bucket", "keys", "sid", "n"])
+
+    return run
+
+
+def _ties(num: int, den: int):
+    """Ties, as stars, of sets that share a prefix shingle and are of linkable size."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        col = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows.column(name)])
+        key, sid, n = col("keys", np.uint64), col("sid", np.int64), col("n", np.int64)
+        order = np.lexsort((sid, n, key))
+        key, sid, n = key[order], sid[order], n[order]
+        # in a list by size, whoever lies between two of linkable size is of linkable size to both
+        near = (key[1:] == key[:-1]) & (sid[1:] != sid[:-1]) & (n[:-1] >= _need(n[1:], num, den))
+        at = np.flatnonzero(near)
+        sids, which = np.unique(sid, return_inverse=True)
+        root = _roots(len(sids), which[at], which[at + 1])
+        member = np.flatnonzero(root != np.arange(len(sids)))
+        return pa.table({"a": pa.array(sids[member]), "b": pa.array(sids[root[member]])})
 
     return run
 
@@ -125,60 +208,6 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _candidates(num: int, den: int):
-    """Ties, as stars, of the sets of a bucket that may link: pairs with num * overlap >= den * (|x| + |y|)."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6) for x in rows.column("keys")]
-        col = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows.column(name)])
-        sid, size, count = col("sid", np.int64), col("size", np.int32).astype(np.int64), col("count", np.int32).astype(np.int64)
-        wide = np.zeros((sum(map(len, blobs)), 8), np.uint8)
-        wide[:, 2:] = np.concatenate(blobs)
-        key = wide.view(np.uint64).ravel()
-        sids, first, which = np.unique(sid, return_index=True, return_inverse=True)
-        whole = np.zeros(len(sid), bool)
-        whole[first] = True
-        take = np.repeat(whole, count)
-        key, of = key[take], np.repeat(which, count)[take]
-        size, count = size[first], count[first]
-        order = np.argsort(key, kind="stable")
-        key, of = key[order], of[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        group = np.cumsum(new) - 1
-        df = np.bincount(group)[group]
-        shared = df > 1
-        need = _need(count, num, den)
-        alive = np.bincount(of[shared], minlength=len(sids)) >= need
-        key, of, group, df = (x[shared] for x in (key, of, group, df))
-        if not len(of):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        # the rarest shingles of each set, those that nobody else has counted first
-        by_set = np.lexsort((group, df, of))
-        start = np.searchsorted(of[by_set], np.arange(len(sids)))
-        rank = np.empty(len(of), np.int64)
-        rank[by_set] = np.arange(len(of)) - start[of[by_set]]
-        alone = count - np.bincount(of, minlength=len(sids))
-        prefix = alive[of] & (rank + alone[of] < count[of] - need[of] + 1)
-        # within each list by size: a set meets those of its own size down to t times it
-        order = np.lexsort((sids[of], size[of], group))
-        of, group, prefix = of[order], group[order], prefix[order]
-        span = int(size.max()) + 1
-        place = group * span + size[of]
-        e = np.flatnonzero(prefix)
-        low = np.searchsorted(place, group[e] * span + _need(size[of[e]], num, den), "left")
-        high = np.searchsorted(place, place[e], "right") - 1
-        edge = np.zeros(len(of) + 1, np.int64)
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high, -1)
-        tied = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        root = _roots(len(sids), of[tied], of[tied + 1])
-        member = np.flatnonzero(root != np.arange(len(sids)))
-        return pa.table({"a": pa.array(sids[member]), "b": pa.array(sids[root[member]])})
-
-    return run
-
-
 def _need(size: np.ndarray, num: int, den: int) -> np.ndarray:
     """Least overlap with a set of ``size`` that any partner not larger can link by: ceil(t * size)."""
     return -(-(den * size) // (num - den))
@@ -282,7 +311,7 @@ def _search_groups(num: int, den: int):
             keep = lo + np.flatnonzero(np.append(True, sid[lo + 1 : hi] != sid[lo : hi - 1]))
             if len(keep) < 2:
                 continue
-            root = Linker([np.frombuffer(blobs[int(i)].as_py(), np.uint64) for i in keep], num, den).run()
+            root = Linker([np.sort(np.frombuffer(blobs[int(i)].as_py(), np.uint64)) for i in keep], num, den).run()
             far = np.flatnonzero(root != np.arange(len(keep)))
             a.append(sid[keep[far]])
             b.append(sid[keep[root[far]]])
@@ -292,22 +321,8 @@ def _search_groups(num: int, den: int):
     return run
 
 
-def _whole_sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grp, sid = batch.column(1), batch.column(2).to_numpy()
-            for a, sets in shingle_sets(batch.column(0), k):
-                own = [i for i, s in enumerate(sets) if len(s) and set_id(s) == sid[a + i]]
-                yield pa.RecordBatch.from_arrays(
-                    [grp.take(pa.array([a + i for i in own], pa.int64())), pa.array([sid[a + i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())],
-                    names=["grp", "sid", "shingles"],
-                )
-
-    return run
-
-
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 9, den: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 9, den: int = 4, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -320,20 +335,21 @@ def jaccard_components(
     """
     data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     described = written(data.mapInArrow(_describe(shingle), "id long, n long, sid long"), "sets")
-    n_shingles = described.agg(F.sum("n")).first()[0] or 0
-    bits = max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(max(n_shingles / BUCKET_SHINGLES, 1))))
-    postings = data.select("text").mapInArrow(_postings(shingle, bits), "bucket int, sid binary, size binary, count binary, keys binary")
-    ties = postings.groupBy("bucket").applyInArrow(_candidates(num, den), "a long, b long")
-    groups = written(components(written(ties.distinct(), "ties")), "groups")
-    # one text for each set that has a possible partner
-    held = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    names = described.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("id"))
-    wanted = groups.join(held, "component").join(names, F.col("node") == F.col("sid")).select("id", "sid", F.col("component").alias("grp"), "m")
-    texts = data.join(wanted.select("id", "sid", "grp"), "id").select("text", "grp", "sid")
-    sets = texts.mapInArrow(_whole_sets(shingle), "grp long, sid long, shingles binary")
+    chunks, _ = ordered_chunks(docs, id_col, text_col, chunk_bytes)
+    total = described.agg(F.sum("n")).first()[0] or 0
+    bits = max(4, math.ceil(math.log2(max(total / BUCKET_SHINGLES, 1))))
+    requests = chunks.groupBy("chunk").applyInArrow(_requests(shingle, bits), "bucket int, chunk int, keys binary, n binary")
+    answers = requests.groupBy("bucket").applyInArrow(_answers, "chunk int, bucket int, code binary")
+    both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    sets = written(both.applyInArrow(_candidates(shingle, bits, num, den), "sid long, n long, alone long, shingles binary"), "candidates")
+    left = sets.agg(F.sum("n")).first()[0] or 0
+    rarest = sets.mapInArrow(_rarest(num, den, max(16, left // BUCKET_SHINGLES)), "bucket int, keys binary, sid binary, n binary")
+    ties = rarest.groupBy("bucket").applyInArrow(_ties(num, den), "a long, b long")
+    groups = written(components(written(ties.distinct(), "ties")), "groups").withColumnRenamed("component", "grp")
+    held = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
     sizes = held.filter(F.col("m") > BLOCK)
     bins = max(1, math.ceil((groups.count() or 1) / BLOCK))
-    dealt = sets.join(sizes, sets["grp"] == sizes["component"], "left")
+    dealt = sets.select(F.col("sid").alias("node"), F.col("shingles")).join(groups, "node").withColumnRenamed("node", "sid").join(sizes, "grp", "left")
     k = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("sid"), k).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.concat_ws("-", F.lit("b"), F.col("grp"), F.least(j, mine), F.greatest(j, mine)))
