@@ -363,3 +363,27 @@ def jaccard_components(
     out = label.join(first, "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"))
+
+
+#: Up to so many ids of dropped rows (8 bytes each) go to every executor; beyond that the rows are joined by shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that have a near duplicate with a smaller id; all their columns stay.
+
+    Of rows that repeat an id and its text, one stays. Rows without an id cannot be told apart by it: they all stay.
+    """
+    own = jaccard_components(docs, id_col, text_col).filter("doc_id is not null")
+    per = written(own.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")).filter("c <> doc_id or n > 1"), "dropped")
+    gone, again = per.filter("c <> doc_id"), per.filter("c = doc_id")
+    n_gone, n_again = gone.count(), again.count()
+    key = F.col(id_col).cast("long") == F.col("doc_id_gone")
+    small = lambda ids, n: F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    kept = docs
+    if n_gone:
+        kept = kept.join(small(gone.select(F.col("doc_id").alias("doc_id_gone")), n_gone), key, "left_anti")
+    if n_again:
+        twice = small(again.select(F.col("doc_id").alias("doc_id_gone")), n_again)
+        kept = kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import brown, decontaminate, jaccard, packing, quality, substring
+from plumbline.llm import brown, chat, decontaminate, jaccard, language, licenses, packing, quality, substring, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +50,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(f"{q}.{c}" for c in counts))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_quality_rules, op9_brown_lm, op2_substring_dedup, op7_decontamination, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_substring_dedup, op3_chat_perspectives, op4_quality_rules, op5_license_scan,
+        op6_language_id, op7_decontamination, op8_token_counts, op9_brown_lm, op10_jaccard_join,
+    )
+}
+ORACLES = {"op3_chat_perspectives": chat.ORACLE_SQL}

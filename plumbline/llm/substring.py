@@ -109,25 +109,32 @@ def _remove(window: int):
                 kept.append(np.concatenate(cut).tobytes())
         texts = pa.array(kept, pa.binary()).cast(pa.string())
         cat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"doc_id": rows.column("id"), "n_words": cat(n_words), "n_removed": cat(n_removed), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept_text": texts})
+        return pa.table({"doc_id": rows.column("id"), "n_words": cat(n_words), "n_removed": cat(n_removed), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept_text": texts, "rest": rows.column("rest")})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, removed, kept_text.
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, removed, kept_text, then the columns named in ``carry``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A word goes if a window of ``window`` consecutive words that covers it occurs
     with an earlier start: in a row with a smaller id, or earlier in the same text; windows are judged on the
     input. ``removed`` lists the maximal intervals of removed words (start, end after the last), ``kept_text`` is the
     text without them and without the white space after each. Rows that repeat an id are ordered by their text,
     so the second of two equal rows loses its windows. Null texts have no words and an empty kept_text; a
-    text shorter than a window stays whole. Null ids sort first and come back null. Other columns are not read.
+    text shorter than a window stays whole. Null ids sort first and come back null. Columns in ``carry`` must not have the name of an own
+    column; those not named are not read.
     """
-    chunks, size = ordered_chunks(docs, id_col, text_col, chunk_bytes)
+    chunks, size = ordered_chunks(docs, id_col, text_col, chunk_bytes, carry)
     bits = max(8, math.ceil(math.log2(max(size / 6 / BUCKET_WINDOWS, 1))))
     requests = chunks.groupBy("chunk").applyInArrow(_requests(bits, window), "bucket int, chunk int, keys binary")
     answers = requests.groupBy("bucket").applyInArrow(_answers, "chunk int, bucket int, n int, flags binary")
-    out = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
+    out = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string, rest string"
     kept = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window), out)
-    return kept.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 62), F.col("doc_id")))
+    own = [F.when(F.col("doc_id") != -(1 << 62), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "removed", "kept_text"]
+    if not carry:
+        return kept.select(*own)
+    types = docs.select(*carry).schema
+    return kept.withColumn("rest", F.from_json("rest", types)).select(*own, *(F.col(f"rest.`{c}`").alias(c) for c in carry))

@@ -167,16 +167,17 @@ def text_bytes(docs: DataFrame, text: str) -> tuple[int, int]:
     return int(r["n"]), int(r["b"] or 0)
 
 
-def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, least: int = 48) -> tuple[DataFrame, int]:
+def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, carry: tuple[str, ...] = (), least: int = 48) -> tuple[DataFrame, int]:
     """Texts with a chunk number that follows the order of the ids.
 
-    Returns columns (chunk, id, text) and the bytes of text. Rows of one id are in one chunk; chunks are quantile
+    Returns columns (chunk, id, text, rest) and the bytes of text; rest is JSON of the columns in ``carry``, else null. Rows of one id are in one chunk; chunks are quantile
     ranges of the ids, so a hot source or a run of copies spreads like any other rows. Null ids sort first.
     The ranges hold about ``chunk_bytes`` of text each, and are at least ``least`` while there is more than 1 MB.
     """
     from pyspark.ml.feature import Bucketizer
 
-    data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rest = F.to_json(F.struct(*(F.col(f"`{c}`") for c in carry))) if carry else F.lit(None).cast("string")
+    data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
     n, size = text_bytes(data, "text")
     want = max(-(-size // chunk_bytes), least if size > 1 << 20 else 1)
     cuts: list[float] = []
@@ -184,7 +185,7 @@ def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int
         cuts = data.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / want for i in range(1, want)], 1 / (8 * want))
     cuts = sorted(set(cuts))
     if not cuts:
-        return data.select(F.lit(0).alias("chunk"), "id", "text"), size
+        return data.select(F.lit(0).alias("chunk"), "id", "text", "rest"), size
     cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="key", outputCol="at", handleInvalid="keep")
     data = cut.transform(data.withColumn("key", F.col("id").cast("double")))
-    return data.select(F.col("at").cast("int").alias("chunk"), "id", "text"), size
+    return data.select(F.col("at").cast("int").alias("chunk"), "id", "text", "rest"), size
