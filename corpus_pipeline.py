@@ -7,15 +7,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, substring
+from plumbline.llm import decontaminate, jaccard, packing, quality, shared, substring
+
+
+def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that fail the base rules or that the weighed votes reject."""
+    return quality.keep_good(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    return jaccard.keep_first(docs)
 
 
 def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated windows of words; a document of which no word is left goes, one without repeats is untouched."""
-    kept = substring.remove_repeats(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    changed = kept.select("doc_id", F.col("kept_text").alias("text"))
-    rest = docs.select("doc_id", "lang", "source")
-    return changed.join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """Cuts repeated windows of words; a document that loses every word goes, one without repeats stays as it is."""
+    kept = substring.remove_repeats(docs, carry=("lang", "source", "n_chars"))
+    whole = F.col("n_removed") == 0
+    kept = kept.filter(whole | (F.col("n_removed") < F.col("n_words")))
+    n_chars = F.when(whole, F.col("n_chars")).otherwise(F.length("kept_text"))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.cast("long").alias("n_chars"))
 
 
 def benchmark_leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,25 +34,30 @@ def benchmark_leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("substring dedup", repeats_cut), ("benchmark decontamination", benchmark_leaks_out)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents and their places in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", good_texts),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("substring dedup", repeats_cut),
+    ("benchmark decontamination", benchmark_leaks_out),
+    ("best-fit packing", packed),
+]
 
 #: No SQL expresses the stages; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
+    """Applies the stages to documents; the result of each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared.folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
-            path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{n}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{folder}/{n}")
+            docs = spark.read.parquet(f"{folder}/{n}")
     return docs
-
-
-def shared_folder(spark: SparkSession) -> str:
-    from plumbline.llm.shared import folder
-
-    return folder(spark)
