@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.ranking import average_rank, running_sums
+from plumbline.shared import written
 
 
 def _both(y: str, p: str) -> Column:
@@ -46,8 +47,9 @@ def wins(baseline: str, model: str) -> tuple[Column, Column, Column]:
 
 
 def _counted(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """Classes at and below each distinct score. Adding 0.0 makes -0.0 and 0.0 one score."""
+    """Classes at and below each distinct score, from rows written once. Adding 0.0 makes -0.0 and 0.0 one score."""
     df = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*keys, F.col(label).cast("double").alias("_y"), (F.col(score).cast("double") + F.lit(0.0)).alias("_s"))
+    df = written(df, "scores")
     return running_sums(df, keys, "_s", {"_pos": (F.col("_y") > 0.5).cast("long"), "_neg": (F.col("_y") <= 0.5).cast("long")})
 
 
@@ -81,9 +83,9 @@ def macro_auc(df: DataFrame, keys: list[str], label: str, scores: dict[str, str]
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """(keys, n, rho): correlation of average ranks over rows where both are known.
 
-    Ranking reads its input several times, so the rows are kept (on disk if need be) while the session lives.
+    Ranking reads its input several times, so it is written to the shared folder once.
     """
-    df = df.filter(_both(a, b)).select(*keys, a, b).persist()
+    df = written(df.filter(_both(a, b)).select(*keys, a, b), "ranked")
     df = average_rank(average_rank(df, keys, a, "_ra"), keys, b, "_rb")
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0), F.corr("_ra", "_rb")).alias("rho"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geo import arc_km, chord, unit_sphere
+from plumbline.shared import written
 
 #: Grid levels: cells of edge 2**-level in the cube around the sphere. Level -2 is one neighbourhood.
 FINEST, COARSEST = 12, -2
@@ -59,7 +60,7 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lo
         pairs = pairs.withColumn("dist", d).withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k)
         return pairs.select(*keys, "test_key", *_XYZ, "level", "train_key", "value", "dist", "rn")
 
-    one = meet(first)
+    one = written(meet(first), "knn")  # read three times below
     far = one.groupBy(*keys, "test_key", *_XYZ, "level").agg(F.max("dist").alias("_d"))
     far = far.filter((F.col("_d") > F.pow(F.lit(2.0), -F.col("level"))) & (F.col("level") > COARSEST))
     again = far.select(*keys, "test_key", *_XYZ, F.greatest(F.lit(COARSEST), F.least(F.col("level") - 1, F.floor(-F.log2("_d")))).cast("int").alias("level"))
