@@ -13,17 +13,17 @@ from plumbline.functions.draws import draw
 
 
 def resamples(units: DataFrame, keys: list[str], order: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Each group's rows redrawn: columns of the rows, and b (1 to replicates). Draw i of replicate b takes row draw(b * 100003 + i) mod n."""
+    """Each group's rows redrawn: columns of the rows, and _b (1 to replicates). Draw i of replicate b takes row draw(b * 100003 + i) mod n."""
     w = Window.partitionBy(*keys).orderBy(order)
     numbered = units.withColumn("_i", F.row_number().over(w) - 1)
     n = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    draws = n.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).select("*", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("_j"))
-    draws = draws.withColumn("_i", (draw(F.col("b").cast("long") * 100003 + F.col("_j"), seed) % F.col("_n")).cast("int")).drop("_j", "_n")
+    draws = n.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b")).select("*", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("_j"))
+    draws = draws.withColumn("_i", (draw(F.col("_b").cast("long") * 100003 + F.col("_j"), seed) % F.col("_n")).cast("int")).drop("_j", "_n")
     return draws.join(numbered, [*keys, "_i"]).drop("_i")
 
 
 def interval(units: DataFrame, keys: list[str], order: str, statistic: Column, replicates: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """(keys, lo, hi): the percentile interval of a statistic. Several columns in it are redrawn together, so pairs stay pairs."""
-    per = resamples(units, keys, order, replicates, seed).groupBy(*keys, "b").agg(statistic.alias("_s"))
+    per = resamples(units, keys, order, replicates, seed).groupBy(*keys, "_b").agg(statistic.alias("_s"))
     q = F.percentile(F.col("_s"), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return per.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
