@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.llm.shared import written
+from plumbline.shared import written
 from plumbline.llm.textcore import SPACED, Words, mix64, ordered_chunks, run_hashes, slices, text_buffer
 
 SHINGLE = 5
@@ -374,7 +374,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that repeat an id and its text, one stays. Rows without an id cannot be told apart by it: they all stay.
     """
-    own = jaccard_components(docs, id_col, text_col).filter("doc_id is not null")
+    own = jaccard_components(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     per = written(own.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")).filter("c <> doc_id or n > 1"), "dropped")
     gone, again = per.filter("c <> doc_id"), per.filter("c = doc_id")
     n_gone, n_again = gone.count(), again.count()

@@ -6,7 +6,7 @@ words, so any common run of SHINGLE + WINNOW - 1 words shares a fingerprint.
 The templates' fingerprints are an inverted index of fixed size that goes to
 the executors; documents are scanned where they are, without a shuffle. Hits
 of a template that lie within its length form a candidate place, and an
-alignment within ``BAND`` words of their diagonal decides how much of the
+alignment within ``BAND`` words of their diagonal (a third of a short template) decides how much of the
 template is there.
 """
 
@@ -127,16 +127,16 @@ class Index:
         doc, template, diagonal = doc[order], template[order], diagonal[order]
         out, i = [], 0
         while i < len(doc):
-            j = i + 1
-            while j < len(doc) and doc[j] == doc[i] and template[j] == template[i] and diagonal[j] - diagonal[i] <= BAND:
+            t, j = int(template[i]), i + 1
+            band = min(BAND, max(1, len(self.words[t]) // 3))
+            while j < len(doc) and doc[j] == doc[i] and template[j] == t and diagonal[j] - diagonal[i] <= band:
                 j += 1
-            t = int(template[i])
             if j - i >= math.ceil(LEAST_SHARE * self.prints[t]):
                 w0, w1 = words.first[doc[i]], words.first[doc[i] + 1]
-                lead = int(diagonal[i:j].mean()) - BAND
-                lo, hi = max(lead, w0), min(lead + len(self.words[t]) + 2 * BAND, w1)
+                lead = int(diagonal[i:j].mean()) - band
+                lo, hi = max(lead, w0), min(lead + len(self.words[t]) + 2 * band, w1)
                 part = np.concatenate([np.zeros(lo - lead, np.uint64), words.hash[lo:hi]])
-                m, s, e = align(part, self.words[t], BAND)
+                m, s, e = align(part, self.words[t], band)
                 if m and m >= least * len(self.words[t]):
                     out.append((int(doc[i]), t, m, int(lead + s - w0), int(lead + e - w0)))
             i = j
