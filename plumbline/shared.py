@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,41 @@ def folder(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows, written to the shared folder as Parquet and read back: computed once, and safe from lost executors."""
+#: Tables written inside the scratch blocks that are open, innermost last.
+_OPEN: list[list[str]] = []
+
+
+def written(df: DataFrame, what: str, hold: bool = False) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read back: computed once, and safe from lost executors.
+
+    Inside a ``scratch`` block the table goes when the block ends; with ``hold`` it lasts as long as the block around
+    that one. Outside of any block it stays until the folder is cleared.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    owners = _OPEN[:-1] if hold else _OPEN
+    if owners:
+        owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables in the shared folder."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written in the block are deleted when it ends: what leaves it must not read them any more.
+
+    Yields the list of their paths; a caller that empties it takes them over.
+    """
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        drop(spark, _OPEN.pop())
