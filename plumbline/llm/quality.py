@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.shared import written
-from plumbline.llm.textcore import free_name
+from plumbline.llm.textcore import free_name, spread
 
 GOOD, BAD = 1, 2
-STEPS, SETTLED, SMOOTH = 60, 1e-7, 1.0
+STEPS, SETTLED, SMOOTH = 60, 1e-5, 1.0
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = (
@@ -42,7 +42,7 @@ def _features(docs: DataFrame, text_col: str, keep_text: bool) -> tuple[DataFram
     t, w, h, s, p, q = (free_name(taken, x) for x in ("_t", "_w", "_h", "_s", "_p", "quality"))
     keep = [F.col(f"`{c}`") for c in given]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    df = docs.select(*keep, text.alias(t))
+    df = spread(docs).select(*keep, text.alias(t))
     df = df.select(*keep, t, F.filter(F.split(t, _SPACE), lambda x: x != "").alias(w))
     word = lambda i: F.get(w, i)
     runs = F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*(word(i + j) for j in range(5))))
@@ -113,23 +113,30 @@ def estimate(patterns: DataFrame, n_rules: int) -> tuple[float, list[list[list[f
     """(share of good documents, rates) by expectation-maximisation from a table (pattern, n).
 
     Starts from each pattern's share of good votes; every sum is smoothed by SMOOTH documents. Stops when no rate
-    moves by SETTLED, or after STEPS steps.
+    moves by SETTLED, or after STEPS steps. A step joins its one row of weights, so that all steps run the same code.
     """
+    spark = patterns.sparkSession
     votes = [_vote(F.col("pattern"), j) for j in range(n_rules)]
     good, bad = (sum(((v == x).cast("double") for v in votes), F.lit(0.0)) for x in (GOOD, BAD))
-    belief: Column = (good + 0.5) / (good + bad + 1.0)
-    prior, rates = 0.5, [[[1 / 3, 1 / 3] for _ in range(3)] for _ in range(n_rules)]
+    start = (good + 0.5) / (good + bad + 1.0)
+    odds = sum((F.get("w", (3 * j + v).cast("int")) for j, v in enumerate(votes)), F.col("w0"))
+    on = {1: F.col("n") * F.col("r"), 0: F.col("n") * (1 - F.col("r"))}
+    sums = [F.sum(F.when(votes[j] == v, on[y]).otherwise(0.0)).alias(f"s{j}_{v}_{y}") for j in range(n_rules) for v in range(3) for y in (0, 1)]
+    totals = [F.sum(on[y]).alias(f"t{y}") for y in (0, 1)]
+    seen = patterns.withColumn("r", start)
+    was: list[float] = []
     for _ in range(STEPS):
-        on = {1: F.col("n") * F.col("r"), 0: F.col("n") * (1 - F.col("r"))}
-        sums = [F.sum(F.when(votes[j] == v, on[y]).otherwise(0.0)).alias(f"s{j}_{v}_{y}") for j in range(n_rules) for v in range(3) for y in (0, 1)]
-        r = patterns.withColumn("r", belief).agg(F.sum(on[1]).alias("good"), F.sum(on[0]).alias("bad"), *sums).first()
-        total = {1: r["good"] or 0.0, 0: r["bad"] or 0.0}
-        was = [prior, *(x for rule in rates for vote in rule for x in vote)]
+        r = seen.agg(*totals, *sums).first().asDict()
+        total = {y: r[f"t{y}"] or 0.0 for y in (0, 1)}
         prior = (total[1] + SMOOTH) / (total[1] + total[0] + 2 * SMOOTH)
         rates = [[[((r[f"s{j}_{v}_{y}"] or 0.0) + SMOOTH) / (total[y] + 3 * SMOOTH) for y in (0, 1)] for v in range(3)] for j in range(n_rules)]
-        belief = _posterior(F.col("pattern"), prior, rates)
-        if max(abs(a - b) for a, b in zip(was, [prior, *(x for rule in rates for vote in rule for x in vote)])) < SETTLED:
+        now = [prior, *(x for rule in rates for vote in rule for x in vote)]
+        if was and max(abs(a - b) for a, b in zip(was, now)) < SETTLED:
             break
+        was = now
+        row = ", ".join(f"{math.log(v[1] / v[0])!r}D" for rule in rates for v in rule)
+        weights = spark.sql(f"SELECT * FROM VALUES ({math.log(prior / (1 - prior))!r}D, array({row})) AS t(w0, w)")
+        seen = patterns.join(F.broadcast(weights)).withColumn("r", 1.0 / (1.0 + F.exp(-odds)))
     return prior, rates
 
 
