@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.textcore import ALNUM, Words, free_name, run_hashes, slices, text_buffer
+from plumbline.llm.textcore import ALNUM, Words, free_name, run_hashes, slices, spread, text_buffer
 
 WINDOW = 13
 BLOCK_WINDOWS = 100_000
@@ -136,7 +136,7 @@ def find_contamination(
     added = {n_words: T.LongType(), n_hit: T.LongType(), matches: T.ArrayType(_MATCH), bits: T.BinaryType()}
     out = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in added.items())])
     at = taken.index(text_col)
-    df = docs.withColumns({k: F.lit(None).cast(v) for k, v in added.items()})
+    df = spread(docs).withColumns({k: F.lit(None).cast(v) for k, v in added.items()})
     spark = docs.sparkSession
     for held in [*map(spark.sparkContext.broadcast, blocks(benchmark, item_col, item_text_col, window))] or [None]:
         df = df.mapInArrow(_pass(held, at, len(taken)), out)

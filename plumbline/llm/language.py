@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textcore import slices, text_buffer
+from plumbline.llm.textcore import slices, spread, text_buffer
 
 DIM, SAMPLE, SEED = 4096, 400, 11
 UNDETERMINED = "und"
@@ -172,4 +172,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     data = docs.select(F.col(id_col).cast("long"), _held_out(id_col).alias("held_out"), F.col(text_col).cast("string"), letters.alias("lettered"))
-    return data.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return spread(data).mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")

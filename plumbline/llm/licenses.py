@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textcore import ALNUM, Words, slices, text_buffer
+from plumbline.llm.textcore import ALNUM, Words, slices, spread, text_buffer
 
 SHINGLE, WINNOW, BAND = 2, 3, 8
 LEAST_SHARE, LEAST_COVERAGE = 0.3, 0.8
@@ -178,4 +178,4 @@ def scan_licenses(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
 
     data = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return data.mapInArrow(run, "doc_id long, license string, matched_words int, coverage double, start_word int, end_word int, span_text string")
+    return spread(data).mapInArrow(run, "doc_id long, license string, matched_words int, coverage double, start_word int, end_word int, span_text string")

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.textcore import spread
 from plumbline.shared import written
 
 CAPACITY = 1024
@@ -195,7 +196,7 @@ def pack(
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
     data = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    pieces = written(data.mapInArrow(_pieces(capacity, end_id, tokenizer), schema), "pieces")
+    pieces = written(spread(data).mapInArrow(_pieces(capacity, end_id, tokenizer), schema), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     counts = {int(r[0]): int(r[1]) for r in by_task.groupBy("length").agg(F.sum("n")).collect()}
     plan = Plan(counts, capacity)

@@ -189,3 +189,12 @@ def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int
     cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="key", outputCol="at", handleInvalid="keep")
     data = cut.transform(data.withColumn("key", F.col("id").cast("double")))
     return data.select(F.col("at").cast("int").alias("chunk"), "id", "text", "rest"), size
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to every core if the scan would use less than half of them (a small table in one file).
+
+    A table of many files or row groups is left as it is, so large inputs are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.textcore import spread
+
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
@@ -123,4 +125,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else a run of such characters in a word counts 1. Repeated rows and null ids are kept. Other columns are not read.
     """
     data = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return data.mapInArrow(_count(vocabulary), "doc_id long, n_tokens long")
+    return spread(data).mapInArrow(_count(vocabulary), "doc_id long, n_tokens long")
