@@ -47,8 +47,12 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lo
     levels = F.array(*(F.lit(v) for v in range(COARSEST, FINEST + 1)))
     # how many training rows each cell of each level holds
     counts = tr.select(*keys, *_XYZ, F.explode(levels).alias("level")).groupBy(*keys, "level", _cell(F.col("level")).alias("cell")).agg(F.count(F.lit(1)).alias("_c"))
-    asked = te.select(*keys, "test_key", *_XYZ, F.explode(levels).alias("level")).withColumn("cell", F.explode(_around(F.col("level"))))
-    held = asked.join(counts, [*keys, "level", "cell"]).groupBy(*keys, "test_key", *_XYZ, "level").agg(F.sum("_c").alias("_c"))
+    # the finest level whose own cell holds k is near the one wanted: only two finer ones need their neighbours counted
+    spots = te.select(*keys, "test_key", *_XYZ, F.explode(levels).alias("level")).withColumn("cell", _cell(F.col("level")))
+    own = spots.join(counts, [*keys, "level", "cell"], "left").groupBy(*keys, "test_key", *_XYZ).agg(F.coalesce(F.max(F.when(F.col("_c") >= k, F.col("level"))), F.lit(COARSEST)).alias("_l"))
+    finer = F.sequence("_l", F.least(F.col("_l") + 2, F.lit(FINEST)))
+    asked = own.select(*keys, "test_key", *_XYZ, F.explode(finer).alias("level")).withColumn("cell", F.explode(_around(F.col("level"))))
+    held = asked.join(counts, [*keys, "level", "cell"], "left").groupBy(*keys, "test_key", *_XYZ, "level").agg(F.sum("_c").alias("_c"))
     first = held.groupBy(*keys, "test_key", *_XYZ).agg(F.coalesce(F.max(F.when(F.col("_c") >= k, F.col("level"))), F.lit(COARSEST)).alias("level"))
 
     def meet(at: DataFrame) -> DataFrame:
