@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+MOST_RANGES = 4096
 
 #: Words of ``[^\x20\x09-\x0D]+``.
 SPACED = np.ones(256, bool)
@@ -171,7 +172,8 @@ def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int
     """Texts with a chunk number that follows the order of the ids.
 
     Returns columns (chunk, id, text, rest) and the bytes of text; rest is JSON of the columns in ``carry``, else null. Rows of one id are in one chunk; chunks are quantile
-    ranges of the ids, so a hot source or a run of copies spreads like any other rows. Null ids sort first.
+    ranges of the ids, so a hot source or a run of copies spreads like any other rows. Null ids sort first. Beyond
+    ``MOST_RANGES`` chunks (all quantiles that are asked for), each range is cut evenly by the id.
     The ranges hold about ``chunk_bytes`` of text each, and are at least ``least`` while there is more than 1 MB.
     """
     from pyspark.ml.feature import Bucketizer
@@ -181,14 +183,32 @@ def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int
     n, size = text_bytes(data, "text")
     want = max(-(-size // chunk_bytes), least if size > 1 << 20 else 1)
     cuts: list[float] = []
+    ranges = min(want, MOST_RANGES)
     if want > 1 and n > 1:
-        cuts = data.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / want for i in range(1, want)], 1 / (8 * want))
+        cuts = data.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))
     cuts = sorted(set(cuts))
     if not cuts:
         return data.select(F.lit(0).alias("chunk"), "id", "text", "rest"), size
     cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="key", outputCol="at", handleInvalid="keep")
-    data = cut.transform(data.withColumn("key", F.col("id").cast("double")))
-    return data.select(F.col("at").cast("int").alias("chunk"), "id", "text", "rest"), size
+    data = cut.transform(data.withColumn("key", F.col("id").cast("double"))).withColumn("at", F.col("at").cast("int"))
+    if want <= MOST_RANGES:
+        return data.select(F.col("at").alias("chunk"), "id", "text", "rest"), size
+    parts = -(-want // MOST_RANGES)
+    ends = [(i, lo, hi) for i, (lo, hi) in enumerate(zip([cuts[0], *cuts], [*cuts, cuts[-1]]))]
+    ends = _range_ends(data, ends)
+    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1.0))
+    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((F.col("key") - F.col("lo")) / width * parts))).cast("int")
+    data = data.join(F.broadcast(ends), "at")  # MOST_RANGES rows
+    return data.select((F.col("at") * parts + part).alias("chunk"), "id", "text", "rest"), size
+
+
+def _range_ends(like: DataFrame, ends: list[tuple[int, float, float]]) -> DataFrame:
+    """The quantile ranges' ends; the outermost ranges, open on one side, are as wide as the data that lie there."""
+    spark = like.sparkSession
+    real = F.when(F.col("key") > -float(1 << 61), F.col("key"))  # ids that were null lie far below all others
+    least, most = like.agg(F.coalesce(F.min(real), F.lit(0.0)), F.max("key")).first()
+    ends[0], ends[-1] = (0, least, ends[0][2]), (ends[-1][0], ends[-1][1], most)
+    return spark.createDataFrame(ends, "at int, lo double, hi double")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -29,6 +29,15 @@ def test_equals_brute_force_over_many_chunks(table):
     assert run(table(rows), 4, chunk_bytes=500) == brute(rows, 4)
 
 
+def test_more_chunks_than_quantiles(table, monkeypatch):
+    from plumbline.llm import textcore
+
+    monkeypatch.setattr(textcore, "MOST_RANGES", 3)
+    rng = random.Random(6)
+    rows = [(i * i - 50, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40)))) for i in range(90)] + [(None, "a b c d a b c d")]
+    assert run(table(rows), 4, chunk_bytes=150) == brute(rows, 4)
+
+
 def test_edges(table):
     long = " ".join(f"a{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n "), (4, "too short"), (5, long), (6, long), (6, long), (None, "x y z x y z"), (7, "a b c a b c a b c")]
