@@ -10,6 +10,8 @@ from plumbline.shared import written
 
 #: Grid levels: cells of edge 2**-level in the cube around the sphere. Level -2 is one neighbourhood.
 FINEST, COARSEST = 12, -2
+#: Up to so many training rows and pairs, all pairs are compared; beyond either, the grid is used.
+SMALL_TRAIN, SMALL_PAIRS = 50_000, 5_000_000
 _XYZ = ("_x", "_y", "_z")
 
 
@@ -37,13 +39,21 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lo
     neighbourhood that holds at least k of them. If its k-th distance is within a cell's edge the result is final;
     otherwise a second round uses the finest grid whose cells are as wide as that distance, which is enough. Of training rows at one
     place only the first k by key can matter, so places that hold many rows do not multiply. Fewer than k
-    training rows give fewer neighbours.
+    training rows give fewer neighbours. Small inputs, by a count of both sides, are compared in full.
     """
     keys = list(keys)
     tr = _placed(train, lon, lat).select(*keys, F.col(key).alias("train_key"), F.col(value).cast("double").alias("value"), *_XYZ)
     spot = Window.partitionBy(*keys, *_XYZ).orderBy("train_key")
     tr = tr.withColumn("_r", F.row_number().over(spot)).filter(F.col("_r") <= k).drop("_r")
     te = _placed(test, lon, lat).select(*keys, F.col(key).alias("test_key"), *_XYZ)
+    cols = [*keys, "test_key", "train_key", "value", "dist", "rn"]
+    d = chord(tuple(F.col(c) for c in _XYZ), tuple(F.col(f"t{c}") for c in _XYZ))
+    near = Window.partitionBy(*keys, "test_key").orderBy("dist", "train_key")
+    n_train = tr.count()
+    if n_train <= SMALL_TRAIN and n_train * te.count() <= SMALL_PAIRS:
+        there = F.broadcast(tr.withColumnsRenamed({c: f"t{c}" for c in _XYZ}))  # at most SMALL_TRAIN rows
+        pairs = te.join(there, keys) if keys else te.join(there)
+        return pairs.withColumn("dist", d).withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k).select(*cols)
     levels = F.array(*(F.lit(v) for v in range(COARSEST, FINEST + 1)))
     # how many training rows each cell of each level holds
     counts = tr.select(*keys, *_XYZ, F.explode(levels).alias("level")).groupBy(*keys, "level", _cell(F.col("level")).alias("cell")).agg(F.count(F.lit(1)).alias("_c"))
@@ -59,8 +69,6 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lo
         used = at.select("level").distinct()
         cells = tr.join(used).withColumn("cell", _cell(F.col("level"))).withColumnsRenamed({c: f"t{c}" for c in _XYZ})  # a row per used level, 15 at most
         pairs = at.withColumn("cell", F.explode(_around(F.col("level")))).join(cells, [*keys, "level", "cell"])
-        d = chord(tuple(F.col(c) for c in _XYZ), tuple(F.col(f"t{c}") for c in _XYZ))
-        near = Window.partitionBy(*keys, "test_key").orderBy("dist", "train_key")
         pairs = pairs.withColumn("dist", d).withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k)
         return pairs.select(*keys, "test_key", *_XYZ, "level", "train_key", "value", "dist", "rn")
 
@@ -68,7 +76,6 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lo
     far = one.groupBy(*keys, "test_key", *_XYZ, "level").agg(F.max("dist").alias("_d"))
     far = far.filter((F.col("_d") > F.pow(F.lit(2.0), -F.col("level"))) & (F.col("level") > COARSEST))
     again = far.select(*keys, "test_key", *_XYZ, F.greatest(F.lit(COARSEST), F.least(F.col("level") - 1, F.floor(-F.log2("_d")))).cast("int").alias("level"))
-    cols = [*keys, "test_key", "train_key", "value", "dist", "rn"]
     final = one.join(again.select(*keys, "test_key"), [*keys, "test_key"], "left_anti").select(*cols)
     return final.unionByName(meet(again).select(*cols))
 

@@ -72,6 +72,19 @@ def test_neighbours_and_weights(spark):
     assert bins.agg(F.sum("count")).first()[0] == 10 and bins.filter("bin > 5 or bin < 1").count() == 0
 
 
+def test_grid_neighbours_equal_comparing_all(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, i % 3, *rng.choice([(rng.uniform(-180, 180), rng.uniform(-90, 90)), (91.0 + rng.gauss(0, 0.2), 26.0), (10.0, 20.0)]), float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, fold int, lon double, lat double, y double")
+    te, tr = df.filter("id % 5 = 0"), df.filter("id % 5 <> 0")
+    key = lambda d: sorted((r.fold, r.test_key, r.rn, r.train_key, round(r.dist, 12)) for r in d.collect())
+    full = key(spatial.knn_join(te, tr, 4, "id", "y", keys=("fold",)))
+    monkeypatch.setattr(spatial, "SMALL_PAIRS", 0)
+    assert key(spatial.knn_join(te, tr, 4, "id", "y", keys=("fold",))) == full and len(full) == 320
+
+
 def test_complement_means_equal_direct_ones(spark):
     df = spark.createDataFrame([(i, i % 3, "ab"[i % 2], float(i * i % 17)) for i in range(30)] + [(99, 2, "only here", 5.0)], "id int, fold int, g string, y double")
     got = {r.id: (r.pred, r.seen) for r in baselines.fold_group_mean(df, "fold", ["g"], "y").collect()}
