@@ -46,6 +46,12 @@ def same_keys(a: DataFrame, b: DataFrame, name: str, keys: list[str]) -> DataFra
     return _verdict(c, name, (F.col("a") == 0) & (F.col("b") == 0), F.concat_ws(" ", F.lit("only left"), F.col("a"), F.lit("only right"), F.col("b")))
 
 
+def same_count(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    """Two stores of one result hold as many rows."""
+    n = a.agg(F.count(F.lit(1)).alias("a")).join(b.agg(F.count(F.lit(1)).alias("b")))  # one row each
+    return _verdict(n, name, F.col("a") == F.col("b"), F.concat_ws(" ", F.lit("rows"), F.col("a"), F.lit("and"), F.col("b")))
+
+
 def drift(now: DataFrame, stored: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """(keys, now, stored, diff, status): ok, drifted, missing or new."""
     a, b = now.select(*keys, F.col(value).cast("double").alias("now")), stored.select(*keys, F.col(value).cast("double").alias("stored"))

@@ -165,3 +165,13 @@ def overlap_greedy_units(panel: DataFrame, cell: str, unit: str, period: str, le
 
     types = dict(panel.dtypes)
     return panel.select(cell, unit, period).distinct().groupBy(cell).applyInPandas(pick, f"{cell} {types[cell]}, {unit} {types[unit]}, n_common long")
+
+
+def matched_k(spatial_folds: DataFrame, least: int = 5) -> int:
+    """Number of random folds to set beside usable spatial folds: as many, but at least ``least``."""
+    return max(spatial_folds.count(), least)
+
+
+def smoke_subset(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows by hash order, for trying a pipeline out (a sampling operator)."""
+    return df.orderBy(draw(F.col(key), seed), key).limit(n)

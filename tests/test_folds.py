@@ -41,6 +41,7 @@ def test_splits(spark):
     df = nine(spark)
     assert folds.permutation_split(df, "id", 0.8, 1).filter("is_test").count() == 2
     tr, te = df.filter("id < 5"), df.filter("id >= 5")
+    assert folds.smoke_subset(df, "id", 4).count() == 4 and folds.matched_k(df) == 10 and folds.matched_k(df.limit(2)) == 5
     assert folds.overlap_count(tr, te, ["id"]).first()[0] == 0
     flags = spark.createDataFrame([("TRUE",), ("no",), (None,), (" Test ",)], "f string")
     assert [r[0] for r in flags.select(folds.author_holdout(F.col("f"))).collect()] == [True, False, False, True]

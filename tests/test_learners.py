@@ -103,6 +103,7 @@ def test_contracts(spark):
     assert status(contracts.unique(df, "u", ["k"])) == "failed" and status(contracts.every(df, "v", F.col("v") > 0)) == "failed"
     assert status(contracts.forbidden_columns(df, "f", ["V"])) == "failed" and status(contracts.same_keys(df, df.limit(2), "s", ["k"])) == "failed"
     assert status(contracts.same_keys(df, df, "s", ["k"])) == "ok" and status(contracts.parts_sum(df, "p", "v", 3.5)) == "ok"
+    assert status(contracts.same_count(df, df, "c")) == "ok" and status(contracts.same_count(df, df.limit(1), "c")) == "failed"
     drift = {r.k: r.status for r in contracts.drift(spark.createDataFrame([(1, 0.51), (2, 1.0), (3, 1.0)], "k int, v double"), spark.createDataFrame([(1, 0.5), (2, 2.0), (4, 1.0)], "k int, v double"), ["k"], "v", 0.02).collect()}
     assert drift == {1: "ok", 2: "drifted", 3: "new", 4: "missing"}
     assert contracts.missing_cells(df, {"k": [1, 2, 3]}).collect() == [(3,)]
