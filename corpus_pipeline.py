@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +41,32 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+#: Tables that the stage before left in the shared folder.
+_LEFT: list[str] = []
+
+
+def _in_turn(stage):
+    """A stage is called when the result of the one before is stored, so what that one left behind goes first."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.drop(spark, _LEFT)
+        _LEFT.clear()
+        with shared.scratch(spark) as own:
+            out = stage(spark, docs, sf_dir)
+            _LEFT.extend(own)
+            own.clear()
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", good_texts),
-    ("n-gram Jaccard join", one_of_each_group),
-    ("substring dedup", repeats_cut),
-    ("benchmark decontamination", benchmark_leaks_out),
-    ("best-fit packing", packed),
+    ("quality rules", _in_turn(good_texts)),
+    ("n-gram Jaccard join", _in_turn(one_of_each_group)),
+    ("substring dedup", _in_turn(repeats_cut)),
+    ("benchmark decontamination", _in_turn(benchmark_leaks_out)),
+    ("best-fit packing", _in_turn(packed)),
 ]
 
 #: No SQL expresses the stages; tests/llm compares run() with a brute-force version.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.shared import written
+from plumbline.shared import drop, scratch, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,14 +29,19 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     to another node are not returned; an empty table gives an empty one. The number of rounds grows with the
     logarithm of the longest path.
     """
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before = None
-    for _ in range(most):
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "star")
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if mark == before or mark["n"] == 0:
-            break
-        before = mark
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
+    spark = edges.sparkSession
+    with scratch(spark) as rounds:
+        now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        before = None
+        for _ in range(most):
+            now = written(_small_star(_large_star(now).distinct()).distinct(), "star")
+            mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+            drop(spark, rounds[:-1])
+            del rounds[:-1]
+            if mark == before or mark["n"] == 0:
+                break
+            before = mark
+        else:
+            raise RuntimeError(f"components did not settle in {most} rounds")
+        now = written(now, "components", hold=True)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.shared import written
-from plumbline.llm.textcore import SPACED, Words, mix64, ordered_chunks, run_hashes, slices, text_buffer
+from plumbline.shared import scratch, written
+from plumbline.llm.textcore import SPACED, Words, mix64, ordered_chunks, run_hashes, slices, spread, text_buffer
 
 SHINGLE = 5
 CHUNK_BYTES = 4 << 20
@@ -333,32 +333,33 @@ def jaccard_components(
     Repeated rows are documents with equal sets. Null ids come back null and count as the smallest id. Other
     columns are not read.
     """
-    data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    described = written(data.mapInArrow(_describe(shingle), "id long, n long, sid long"), "sets")
-    chunks, _ = ordered_chunks(docs, id_col, text_col, chunk_bytes)
-    total = described.agg(F.sum("n")).first()[0] or 0
-    bits = max(4, math.ceil(math.log2(max(total / BUCKET_SHINGLES, 1))))
-    requests = chunks.groupBy("chunk").applyInArrow(_requests(shingle, bits), "bucket int, chunk int, keys binary, n binary")
-    answers = requests.groupBy("bucket").applyInArrow(_answers, "chunk int, bucket int, code binary")
-    both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    sets = written(both.applyInArrow(_candidates(shingle, bits, num, den), "sid long, n long, alone long, shingles binary"), "candidates")
-    left = sets.agg(F.sum("n")).first()[0] or 0
-    rarest = sets.mapInArrow(_rarest(num, den, max(16, left // BUCKET_SHINGLES)), "bucket int, keys binary, sid binary, n binary")
-    ties = rarest.groupBy("bucket").applyInArrow(_ties(num, den), "a long, b long")
-    groups = written(components(written(ties.distinct(), "ties")), "groups").withColumnRenamed("component", "grp")
-    held = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
-    sizes = held.filter(F.col("m") > BLOCK)
-    bins = max(1, math.ceil((groups.count() or 1) / BLOCK))
-    dealt = sets.select(F.col("sid").alias("node"), F.col("shingles")).join(groups, "node").withColumnRenamed("node", "sid").join(sizes, "grp", "left")
-    k = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("sid"), k).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.concat_ws("-", F.lit("b"), F.col("grp"), F.least(j, mine), F.greatest(j, mine)))
-    small = F.array(F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(bins))))
-    dealt = dealt.select(F.explode(F.when(F.col("m").isNull(), small).otherwise(pairs)).alias("task"), "grp", "sid", "shingles")
-    links = dealt.groupBy("task").applyInArrow(_search_groups(num, den), "a long, b long")
-    classes = components(written(links.distinct(), "links"))
-    label = described.join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("component", "sid"))
-    label = written(label.select("id", "n", "class"), "classes")
+    with scratch(docs.sparkSession):
+        data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+        described = written(spread(data).mapInArrow(_describe(shingle), "id long, n long, sid long"), "sets")
+        chunks, _ = ordered_chunks(docs, id_col, text_col, chunk_bytes)
+        total = described.agg(F.sum("n")).first()[0] or 0
+        bits = max(4, math.ceil(math.log2(max(total / BUCKET_SHINGLES, 1))))
+        requests = chunks.groupBy("chunk").applyInArrow(_requests(shingle, bits), "bucket int, chunk int, keys binary, n binary")
+        answers = requests.groupBy("bucket").applyInArrow(_answers, "chunk int, bucket int, code binary")
+        both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        sets = written(both.applyInArrow(_candidates(shingle, bits, num, den), "sid long, n long, alone long, shingles binary"), "candidates")
+        left = sets.agg(F.sum("n")).first()[0] or 0
+        rarest = sets.mapInArrow(_rarest(num, den, max(16, left // BUCKET_SHINGLES)), "bucket int, keys binary, sid binary, n binary")
+        ties = rarest.groupBy("bucket").applyInArrow(_ties(num, den), "a long, b long")
+        groups = written(components(written(ties.distinct(), "ties")), "groups").withColumnRenamed("component", "grp")
+        held = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
+        sizes = held.filter(F.col("m") > BLOCK)
+        bins = max(1, math.ceil((groups.count() or 1) / BLOCK))
+        dealt = sets.select(F.col("sid").alias("node"), F.col("shingles")).join(groups, "node").withColumnRenamed("node", "sid").join(sizes, "grp", "left")
+        k = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+        mine = F.pmod(F.xxhash64("sid"), k).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.concat_ws("-", F.lit("b"), F.col("grp"), F.least(j, mine), F.greatest(j, mine)))
+        small = F.array(F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(bins))))
+        dealt = dealt.select(F.explode(F.when(F.col("m").isNull(), small).otherwise(pairs)).alias("task"), "grp", "sid", "shingles")
+        links = dealt.groupBy("task").applyInArrow(_search_groups(num, den), "a long, b long")
+        classes = components(written(links.distinct(), "links"))
+        label = described.join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("component", "sid"))
+        label = written(label.select("id", "n", "class"), "classes", hold=True)
     first = label.filter("class is not null").groupBy("class").agg(F.min("id").alias("component_id"))
     out = label.join(first, "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
