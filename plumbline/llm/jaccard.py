@@ -17,7 +17,10 @@ with all members, which links large groups of near copies in a few passes.
 Then every member outside the largest linked class is a query: its short
 inverted lists are merged and counted, the longest are probed by binary search
 for those that can still reach the required overlap, and the exact test
-decides. Groups of over ``BLOCK`` sets are dealt out as pairs of blocks.
+decides. A group of over ``BLOCK`` sets first meets a few pivots in Spark; members that link to the best of
+them are connected through it and need no search among themselves, so only the other members are queries,
+dealt out as query blocks against member blocks. The work grows with the group, not with its square, unless
+its members are really unlike each other.
 
 Skipped are only pairs that are connected already. The buckets use shortened
 hashes; a clash there raises a frequency for all its sets alike, which can add
@@ -35,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.shared import scratch, written
 from plumbline.llm.textcore import SPACED, Words, mix64, ordered_chunks, run_hashes, slices, spread, text_buffer
+from plumbline.shared import scratch, written
 
 SHINGLE = 5
 CHUNK_BYTES = 4 << 20
@@ -44,6 +47,7 @@ BUCKET_SHINGLES = 4 << 20
 KEY_BYTES = 5
 BLOCK = 4096
 PIVOTS = 48
+SPARK_PIVOTS = 4
 LONG_LIST = 64
 _NULL_ID = -(1 << 62)
 
@@ -241,9 +245,11 @@ class Linker:
     def linked(self, i: int, overlap: np.ndarray, others: np.ndarray) -> np.ndarray:
         return self.num * overlap >= self.den * (self.size[i] + self.size[others])
 
-    def run(self) -> np.ndarray:
+    def run(self, among: np.ndarray | None = None) -> np.ndarray:
+        """Smallest member of each set's class. With ``among``, pairs of which neither set is in it need not be found."""
         m = len(self.size)
-        everyone, waiting, tried = np.arange(m), np.ones(m, bool), np.zeros(m, bool)
+        everyone, tried = np.arange(m), np.zeros(m, bool)
+        waiting = np.ones(m, bool) if among is None else np.isin(everyone, among)
         mark = np.zeros(self.n_tokens, bool)
         for _ in range(PIVOTS):
             if not waiting.any():
@@ -260,7 +266,8 @@ class Linker:
             tried[p] = True
         label = np.array([self.find(i) for i in range(m)])
         names, count = np.unique(label, return_counts=True)
-        queries = np.flatnonzero((label != names[count.argmax()]) & ~tried)
+        # without marked queries, whoever is outside the largest class looks for it, not the other way round
+        queries = np.flatnonzero((label != names[count.argmax()]) & ~tried) if among is None else among[~tried[among]]
         if len(queries):
             self._search(queries)
         return np.array([self.find(i) for i in range(m)])
@@ -301,9 +308,11 @@ class Linker:
 
 
 def _search_groups(num: int, den: int):
+    """Links of each group in a task. With queries marked, a set is looked up only if it is one; else all are."""
+
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("grp", "ascending"), ("sid", "ascending")])
-        grp, sid = rows.column("grp").to_numpy(), rows.column("sid").to_numpy()
+        rows = rows.sort_by([("grp", "ascending"), ("sid", "ascending"), ("query", "descending")])
+        grp, sid, query = (rows.column(c).to_numpy() for c in ("grp", "sid", "query"))
         blobs = rows.column("shingles")
         edge = np.append(np.flatnonzero(np.append(True, grp[1:] != grp[:-1])), len(grp))
         a, b = [], []
@@ -311,7 +320,8 @@ def _search_groups(num: int, den: int):
             keep = lo + np.flatnonzero(np.append(True, sid[lo + 1 : hi] != sid[lo : hi - 1]))
             if len(keep) < 2:
                 continue
-            root = Linker([np.sort(np.frombuffer(blobs[int(i)].as_py(), np.uint64)) for i in keep], num, den).run()
+            sets = [np.sort(np.frombuffer(blobs[int(i)].as_py(), np.uint64)) for i in keep]
+            root = Linker(sets, num, den).run(None if query[keep].all() else np.flatnonzero(query[keep]))
             far = np.flatnonzero(root != np.arange(len(keep)))
             a.append(sid[keep[far]])
             b.append(sid[keep[root[far]]])
@@ -321,6 +331,56 @@ def _search_groups(num: int, den: int):
     return run
 
 
+def _meet_pivots(num: int, den: int):
+    """Which members of a part of a large group link to each of its pivots."""
+
+    def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        a, b, group = [], [], []
+        sid, blobs = members.column("sid").to_numpy(), members.column("shingles")
+        if len(sid) and pivots.num_rows:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in blobs]
+            size = np.array([len(x) for x in sets], np.int64)
+            flat, begin = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])[:-1]
+            for p, blob in zip(pivots.column("sid").to_pylist(), pivots.column("shingles")):
+                own = np.frombuffer(blob.as_py(), np.uint64)
+                overlap = np.add.reduceat(np.isin(flat, own), begin).astype(np.int64)
+                hit = np.flatnonzero(num * overlap >= den * (size + len(own)))
+                a.append(sid[hit])
+                b.append(np.full(len(hit), p))
+        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        grp = members.column("grp")[0].as_py() if len(sid) else 0
+        a, b = cat(a), cat(b)
+        return pa.table({"grp": pa.array(np.full(len(a), grp), pa.int64()), "a": a, "b": b})
+
+    return run
+
+
+def _search_large(large: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect the large groups, from their members (grp, m, sid, shingles)."""
+    parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    part = F.pmod(F.xxhash64("sid"), parts).cast("int")
+    large = large.withColumns({"parts": parts, "part": part})
+    # the pivots: in each group the sets with the smallest names, which are as good as drawn
+    names = large.groupBy("grp").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("sid", F.lit(1)), F.greatest(F.lit(1), F.col("m") / (8 * SPARK_PIVOTS)).cast("long")) == 0, F.col("sid")))), 1, SPARK_PIVOTS).alias("p"))
+    pivots = large.join(names, "grp").filter(F.array_contains("p", F.col("sid"))).dropDuplicates(["grp", "sid"])
+    pivots = written(pivots.select("grp", "parts", "sid", "shingles"), "pivot-sets")
+    pivots = pivots.select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sid", "shingles")
+    met = large.groupBy("grp", "part").cogroup(pivots.groupBy("grp", "part")).applyInArrow(_meet_pivots(num, den), "grp long, a long, b long")
+    met = written(met.distinct(), "pivots")
+    best = met.groupBy("grp", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    easy = met.join(best, ["grp", "b"]).select("grp", F.col("a").alias("sid"), F.lit(True).alias("easy"))
+    marked = large.join(easy, ["grp", "sid"], "left").withColumn("query", F.col("easy").isNull())
+    left = marked.filter("query").select("grp", "sid").distinct().groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("q"))
+    marked = marked.join(left, "grp")  # a group without queries is connected already
+    mine = F.pmod(F.xxhash64("sid"), F.col("q")).cast("int")
+    name = lambda i, j: F.concat_ws("-", F.lit("b"), F.col("grp"), i, j)
+    base = ["grp", "sid", "shingles"]
+    member = marked.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda i: name(i, F.col("part")))).alias("task"), *base, F.lit(0).alias("query"))
+    query = marked.filter("query").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: name(mine, j))).alias("task"), *base, F.lit(1).alias("query"))
+    links = member.unionAll(query).groupBy("task").applyInArrow(_search_groups(num, den), "a long, b long")
+    return links.unionAll(met.select("a", "b"))
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 9, den: int = 4, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
@@ -348,15 +408,14 @@ def jaccard_components(
         ties = rarest.groupBy("bucket").applyInArrow(_ties(num, den), "a long, b long")
         groups = written(components(written(ties.distinct(), "ties")), "groups").withColumnRenamed("component", "grp")
         held = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
-        sizes = held.filter(F.col("m") > BLOCK)
         bins = max(1, math.ceil((groups.count() or 1) / BLOCK))
-        dealt = sets.select(F.col("sid").alias("node"), F.col("shingles")).join(groups, "node").withColumnRenamed("node", "sid").join(sizes, "grp", "left")
-        k = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-        mine = F.pmod(F.xxhash64("sid"), k).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.concat_ws("-", F.lit("b"), F.col("grp"), F.least(j, mine), F.greatest(j, mine)))
-        small = F.array(F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(bins))))
-        dealt = dealt.select(F.explode(F.when(F.col("m").isNull(), small).otherwise(pairs)).alias("task"), "grp", "sid", "shingles")
-        links = dealt.groupBy("task").applyInArrow(_search_groups(num, den), "a long, b long")
+        sizes = groups.join(held, "grp").select(F.col("node").alias("sid"), "grp", "m")
+        grouped = sets.select("sid", "shingles").join(sizes, "sid")
+        task = F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(bins)))
+        small = grouped.filter(F.col("m") <= BLOCK).select(task.alias("task"), "grp", "sid", "shingles", F.lit(1).alias("query"))
+        links = small.groupBy("task").applyInArrow(_search_groups(num, den), "a long, b long")
+        if held.filter(F.col("m") > BLOCK).limit(1).count():
+            links = links.unionAll(_search_large(grouped.filter(F.col("m") > BLOCK), num, den))
         classes = components(written(links.distinct(), "links"))
         label = described.join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("component", "sid"))
         label = written(label.select("id", "n", "class"), "classes", hold=True)

@@ -71,6 +71,18 @@ def test_blocks_of_large_groups(table, monkeypatch):
     assert run(table(rows)) == brute(rows)
 
 
+def test_large_group_of_near_copies(table, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(w if k != spot else f"x{i}" for k, w in enumerate(base))) for i in range(70) for spot in [rng.randrange(120)]]
+    far = list(base)
+    for k in range(0, 120, 30):
+        far[k] = "far"
+    rows += [(100, " ".join(base[:100])), (101, " ".join(far)), (102, " ".join(far[:90])), (103, " ".join(base[30:] + ["tail"] * 3))]
+    assert run(table(rows)) == brute(rows)
+
+
 def test_edges_and_exact_threshold(table):
     base = [f"a{i}" for i in range(13)]  # 9 shingles
     near = base[:-1]  # 8 of 9 shingles: 0.89
