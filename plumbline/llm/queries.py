@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import brown, chat, decontaminate, jaccard, language, licenses, packing, quality, substring, token_counts
+from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +74,3 @@ QUERIES = {
         op6_language_id, op7_decontamination, op8_token_counts, op9_brown_lm, op10_jaccard_join,
     )
 }
-ORACLES = {"op3_chat_perspectives": chat.ORACLE_SQL}
