@@ -149,8 +149,8 @@ def d3_wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.to_long(wide, ["region"], ["building", "machinery"], "variable", "value")
 
 
-@registered(f"WITH {CUSTOMERS}, f AS (SELECT nation, median(y) AS m FROM customers GROUP BY 1), g AS (SELECT region, median(y) AS gm FROM customers GROUP BY 1) SELECT DISTINCT nation, c.region, round(m / 1000, 4) + 0 AS m, round(gm / 1000, 4) + 0 AS gm FROM customers c JOIN f USING (nation) LEFT JOIN g ON c.region = g.region")
+@registered(f"WITH {CUSTOMERS}, f AS (SELECT nation, median(y) AS m FROM customers GROUP BY 1), g AS (SELECT region, median(y) AS gm FROM customers GROUP BY 1) SELECT DISTINCT nation, c.region, round(m / 1000, 6) + 0 AS m, round(gm / 1000, 6) + 0 AS gm FROM customers c JOIN f USING (nation) LEFT JOIN g ON c.region = g.region")
 def j3_attach_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir)
     per = c.groupBy("nation", "region").agg((F.median("y") / 1000).alias("m"))
-    return rounded(relational.left_attach(per, [c.groupBy("region").agg((F.median("y") / 1000).alias("gm"))], ["region"]), 4)
+    return rounded(relational.left_attach(per, [c.groupBy("region").agg((F.median("y") / 1000).alias("gm"))], ["region"]))

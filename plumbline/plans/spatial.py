@@ -112,10 +112,10 @@ def f4_largest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.eligible_folds(folds.with_block(points(spark, sf_dir), "lon", "lat", 20), [], cap=6).select("fold", "n_test")
 
 
-_SWEEP = f"WITH {POINTS}, s AS (SELECT points.*, block_deg FROM points, (SELECT unnest([5.0, 10.0, 20.0, 45.0])::DOUBLE AS block_deg)), b AS (SELECT block_deg, {_BLOCK('block_deg')} AS fold, y FROM s), c AS (SELECT block_deg, fold, count(*) AS n, avg(y) AS m FROM b GROUP BY 1, 2)"
+_SWEEP = f"WITH {POINTS}, s AS (SELECT points.*, block_deg FROM points, (SELECT unnest([1.0, 5.0, 10.0, 20.0, 45.0])::DOUBLE AS block_deg)), b AS (SELECT block_deg, {_BLOCK('block_deg')} AS fold, y FROM s), c AS (SELECT block_deg, fold, count(*) AS n, avg(y) AS m FROM b GROUP BY 1, 2)"
 
 
-@registered(f"{_SWEEP} SELECT block_deg, count(*) AS n_folds, CAST(sum(n) AS BIGINT) AS pooled_n, round(median(m), 6) + 0 AS median, round(sum(m * n) / sum(n), 6) + 0 AS weighted_mean FROM c WHERE n >= 5 GROUP BY 1")
+@registered(f"{_SWEEP} SELECT block_deg, count(*) AS n_folds, CAST(sum(n) AS BIGINT) AS pooled_n, round(median(m), 6) + 0 AS median, round(sum(m * n) / sum(n), 6) + 0 AS weighted_mean FROM c WHERE n >= 5 AND block_deg > 1 GROUP BY 1")
 def f17_block_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = folds.block_sweep(points(spark, sf_dir), "lon", "lat", [5.0, 10.0, 20.0, 45.0])
     per = b.groupBy("block_deg", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m")).filter("n >= 5")
