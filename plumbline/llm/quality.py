@@ -19,7 +19,7 @@ from plumbline.llm.textcore import free_name, spread
 from plumbline.shared import written
 
 GOOD, BAD = 1, 2
-STEPS, SETTLED, SMOOTH = 60, 1e-5, 1.0
+STEPS, SETTLED, SMOOTH = 60, 1e-4, 1.0
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = (
@@ -116,27 +116,26 @@ def estimate(patterns: DataFrame, n_rules: int) -> tuple[float, list[list[list[f
     moves by SETTLED, or after STEPS steps. A step joins its one row of weights, so that all steps run the same code.
     """
     spark = patterns.sparkSession
-    votes = [_vote(F.col("pattern"), j) for j in range(n_rules)]
-    good, bad = (sum(((v == x).cast("double") for v in votes), F.lit(0.0)) for x in (GOOD, BAD))
-    start = (good + 0.5) / (good + bad + 1.0)
-    odds = sum((F.get("w", (3 * j + v).cast("int")) for j, v in enumerate(votes)), F.col("w0"))
-    on = {1: F.col("n") * F.col("r"), 0: F.col("n") * (1 - F.col("r"))}
-    sums = [F.sum(F.when(votes[j] == v, on[y]).otherwise(0.0)).alias(f"s{j}_{v}_{y}") for j in range(n_rules) for v in range(3) for y in (0, 1)]
-    totals = [F.sum(on[y]).alias(f"t{y}") for y in (0, 1)]
-    seen = patterns.withColumn("r", start)
+    votes = F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), lambda j: (F.floor(F.col("pattern") / F.pow(F.lit(3.0), j)) % 3).cast("int"))
+    ballots = patterns.select("n", votes.alias("v"))
+    share = lambda x: F.size(F.filter("v", lambda v: v == x))
+    start = (share(GOOD) + 0.5) / (share(GOOD) + share(BAD) + 1.0)
+    odds = F.aggregate(F.transform("v", lambda v, j: F.get("w", 3 * j + v)), F.col("w0"), lambda a, x: a + x)
+    seen = ballots.select("n", "v", start.alias("r"))
     was: list[float] = []
     for _ in range(STEPS):
-        r = seen.agg(*totals, *sums).first().asDict()
-        total = {y: r[f"t{y}"] or 0.0 for y in (0, 1)}
+        parts = seen.select("n", "r", F.posexplode("v").alias("rule", "vote")).groupBy("rule", "vote")
+        sums = {(x["rule"], x["vote"]): (x["bad"], x["good"]) for x in parts.agg(F.sum(F.col("n") * (1 - F.col("r"))).alias("bad"), F.sum(F.col("n") * F.col("r")).alias("good")).collect()}
+        total = [sum(sums.get((0, v), (0.0, 0.0))[y] for v in range(3)) for y in (0, 1)]
         prior = (total[1] + SMOOTH) / (total[1] + total[0] + 2 * SMOOTH)
-        rates = [[[((r[f"s{j}_{v}_{y}"] or 0.0) + SMOOTH) / (total[y] + 3 * SMOOTH) for y in (0, 1)] for v in range(3)] for j in range(n_rules)]
+        rates = [[[(sums.get((j, v), (0.0, 0.0))[y] + SMOOTH) / (total[y] + 3 * SMOOTH) for y in (0, 1)] for v in range(3)] for j in range(n_rules)]
         now = [prior, *(x for rule in rates for vote in rule for x in vote)]
         if was and max(abs(a - b) for a, b in zip(was, now)) < SETTLED:
             break
         was = now
         row = ", ".join(f"{math.log(v[1] / v[0])!r}D" for rule in rates for v in rule)
         weights = spark.sql(f"SELECT * FROM VALUES ({math.log(prior / (1 - prior))!r}D, array({row})) AS t(w0, w)")
-        seen = patterns.join(F.broadcast(weights)).withColumn("r", 1.0 / (1.0 + F.exp(-odds)))
+        seen = ballots.join(F.broadcast(weights)).select("n", "v", (1.0 / (1.0 + F.exp(-odds))).alias("r"))  # one row
     return prior, rates
 
 
