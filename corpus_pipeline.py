@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline import shared
 from plumbline.llm import decontaminate, jaccard, packing, quality, substring
+from plumbline.session import ship
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +51,7 @@ def _in_turn(stage):
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
         shared.drop(spark, _LEFT)
         _LEFT.clear()
         with shared.scratch(spark) as own:
