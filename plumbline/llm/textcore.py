@@ -80,12 +80,19 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self.data)
-            up, down = _powers(_BYTE_BASE, n + 1)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-            size = (self.end - self.start).astype(np.uint64)
-            self._hash = mix64((sums[self.end] - sums[self.start]) * down[self.start] + size * np.uint64(0xA24BAED4963EE407))
+            m, i = len(self.start), 0
+            self._hash = np.empty(m, np.uint64)
+            while i < m:  # a part of bounded size at a time, so that one very long text needs no long tables
+                base = self.start[i]
+                j = max(i + 1, int(np.searchsorted(self.start, base + SLICE_BYTES)))
+                part = self.data[base : self.end[j - 1]]
+                up, down = _powers(_BYTE_BASE, len(part) + 1)
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+                start, end = self.start[i:j] - base, self.end[i:j] - base
+                size = (end - start).astype(np.uint64)
+                self._hash[i:j] = mix64((sums[end] - sums[start]) * down[start] + size * np.uint64(0xA24BAED4963EE407))
+                i = j
         return self._hash
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
