@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,12 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _at_once(calls: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """The results in order. Fits of different folds wait for the driver most of the time, so eight run beside each other."""
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(lambda call: call(), calls))
+
+
 @registered(f"""WITH {FOLDED}, u AS (SELECT 'random' AS regime, CAST(fold AS VARCHAR) AS fold, y, x1 FROM f UNION ALL SELECT 'spatial', {_BLOCK}, y, x1 FROM f),
 c AS (SELECT regime, fold, count(*) AS n, sum(x1) AS sx, sum(y) AS sy, sum(x1 * x1) AS sxx, sum(x1 * y) AS sxy FROM u GROUP BY 1, 2),
 t AS (SELECT regime, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM c GROUP BY 1),
@@ -47,14 +55,16 @@ def q2_spatial_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q5_exceedance_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of a logistic learner and of neighbour frequency on the same held-out blocks, with recovery."""
     p = folds.with_block(points(spark, sf_dir), "lon", "lat", 45)
-    ok = [r.fold for r in folds.eligible_folds(p, [], least=20, label="hit", least_pos=5, least_neg=5, cap=4).orderBy("fold").collect()]
-    out = []
-    for f in ok:
+    ok = [r.fold for r in folds.eligible_folds(p, [], least=20, label="hit", least_pos=5, least_neg=5).orderBy("fold").collect()]
+
+    def score(f: str) -> DataFrame:
         tr, te = p.filter(F.col("fold") != f), p.filter(F.col("fold") == f)
         idw = spatial.idw(spatial.knn_join(te, tr, 8, "vec_id", "hit")).select(F.col("test_key").alias("vec_id"), F.col("pred").alias("base"))
         both = learners.fit_predict(learners.logistic(0.01), tr, te, ["lon", "lat", "x1", "x2"], "hit", "model").join(idw, "vec_id")
         m, b = (metrics.auc(both, [], "hit", c).select(F.col("auc").alias(c)) for c in ("model", "base"))
-        out.append(m.join(b).withColumn("fold", F.lit(f)))
+        return m.join(b).withColumn("fold", F.lit(f))
+
+    out = _at_once([lambda f=f: score(f) for f in ok])
     if not out:
         return spark.createDataFrame([], "n long, model_skill double, baseline_skill double, increment double, recovery_pct double")
     return rounded(summary.recovery_table(_stack(out), [], "model", "base", 0.5, floor=True), 4)
@@ -79,15 +89,15 @@ def q9_learner_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of learners under both regimes; a failed fit is a row with its reason."""
     out = []
     for regime, p in _regimes(points(spark, sf_dir), 90.0, 2).items():
-        ok = [r.fold for r in folds.eligible_folds(p, [], least=20, cap=2).orderBy("fold").collect()]
-        for name, make in (("forest", lambda: learners.forest(8, 3)), ("boosting", lambda: learners.boosting(4, 3))):
+        ok = [r.fold for r in folds.eligible_folds(p, [], least=20).orderBy("fold").collect()]
+        for name, make in (("forest", learners.forest), ("boosting", learners.boosting)):
             for f in ok:
                 def score(p=p, f=f, make=make):
                     pred = learners.fit_predict(make(), p.filter(F.col("fold") != f), p.filter(F.col("fold") == f), ["lon", "lat", "x1", "x2"], "y")
                     return pred.agg(metrics.r2("y", "pred", 3).alias("r2"))
 
-                out.append(learners.fit_or_status(score, spark, "r2 double", regime=regime, model=name, fold=f))
-    return rounded(_stack(out).groupBy("model").agg(F.median(F.when(F.col("regime") == "random", F.col("r2"))).alias("random_median"), F.median(F.when(F.col("regime") == "spatial", F.col("r2"))).alias("spatial_median"), F.count_if(F.col("status") == "failed").alias("n_failed")), 4)
+                out.append(lambda score=score, regime=regime, name=name, f=f: learners.fit_or_status(score, spark, "r2 double", regime=regime, model=name, fold=f))
+    return rounded(_stack(_at_once(out)).groupBy("model").agg(F.median(F.when(F.col("regime") == "random", F.col("r2"))).alias("random_median"), F.median(F.when(F.col("regime") == "spatial", F.col("r2"))).alias("spatial_median"), F.count_if(F.col("status") == "failed").alias("n_failed")), 4)
 
 
 @registered()
@@ -158,7 +168,10 @@ def q3_group_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = encode.one_hot(c.withColumns({"hit": (F.col("y") > 250_000).cast("int"), "x": F.col("unit") % 97}), "o_orderstatus", ["F", "O", "P"])
     f, out = ["x", "o_orderstatus_F", "o_orderstatus_O"], []
     for regime, p in (("random", c.withColumn("fold", fold_of(F.col("o_orderkey"), 2, 4).cast("string"))), ("spatial", c.withColumn("fold", F.col("region")))):
-        for k in [r.fold for r in folds.eligible_folds(p, [], label="hit", least_pos=5, least_neg=5, cap=2).orderBy("fold").collect()]:
-            pred = learners.fit_predict(learners.logistic(0.0), p.filter(F.col("fold") != k), p.filter(F.col("fold") == k), f, "hit")
-            out.append(metrics.auc(pred, [], "hit", "pred").select(F.lit(regime).alias("regime"), "auc"))
-    return rounded(summary.regime_gap(_stack(out), [], "regime", "auc"), 4)
+        for k in [r.fold for r in folds.eligible_folds(p, [], label="hit", least_pos=5, least_neg=5).orderBy("fold").collect()]:
+            def score(p=p, k=k, regime=regime):
+                pred = learners.fit_predict(learners.logistic(0.0), p.filter(F.col("fold") != k), p.filter(F.col("fold") == k), f, "hit")
+                return metrics.auc(pred, [], "hit", "pred").select(F.lit(regime).alias("regime"), "auc")
+
+            out.append(score)
+    return rounded(summary.regime_gap(_stack(_at_once(out)), [], "regime", "auc"), 4)

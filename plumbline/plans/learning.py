@@ -61,7 +61,7 @@ def _scored(pred: DataFrame, model: str, y: str) -> DataFrame:
 def l6_tree_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr, te = _split(spark, sf_dir)
     out = []
-    for name, make in (("forest", lambda: learners.forest(20, 4)), ("boosting", lambda: learners.boosting(10, 3))):
+    for name, make in (("forest", learners.forest), ("boosting", learners.boosting)):
         out.append(_scored(learners.fit_predict(make(), tr, te, ["lon", "lat", "x1", "x2"], "y"), name, "y"))
     return rounded(out[0].unionByName(out[1]), 4)
 
@@ -70,7 +70,7 @@ def l6_tree_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l4_classifier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr, te = _split(spark, sf_dir)
     tr, f, out = learners.balance_weights(tr, "hit"), ["lon", "lat", "x1", "x2"], []
-    panel = {"logistic": learners.logistic(0.01, "weight"), "forest": learners.forest_classifier(20, 4), "boosting": learners.boosting_classifier(8, 3), "perceptron": learners.perceptron([4, 8, 2])}
+    panel = {"logistic": learners.logistic(0.01, "weight"), "forest": learners.forest_classifier(), "boosting": learners.boosting_classifier(), "perceptron": learners.perceptron([4, 8, 2])}
     for name, m in panel.items():
         out.append(metrics.auc(learners.fit_predict(m, tr, te, f, "hit"), [], "hit", "pred").withColumn("model", F.lit(name)))
     total = out[0]
