@@ -11,6 +11,7 @@ probability of being good decides, not a conjunction of thresholds.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from plumbline.llm.textcore import free_name, spread
 from plumbline.shared import written
 
 GOOD, BAD = 1, 2
-STEPS, SETTLED, SMOOTH = 60, 1e-4, 1.0
+STEPS, SETTLED, SMOOTH = 1000, 1e-7, 1.0
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = (
@@ -113,11 +114,12 @@ def estimate(patterns: DataFrame, n_rules: int) -> tuple[float, list[list[list[f
     """(share of good documents, rates) by expectation-maximisation from a table (pattern, n).
 
     Starts from each pattern's share of good votes; every sum is smoothed by SMOOTH documents. Stops when no rate
-    moves by SETTLED, or after STEPS steps. A step joins its one row of weights, so that all steps run the same code.
+    moves by SETTLED; STEPS steps without that are reported as a warning. A step joins its one row of weights, so that all
+    steps run the same code, and reads the at most 3**n_rules patterns in one task, without a shuffle.
     """
     spark = patterns.sparkSession
     votes = F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), lambda j: (F.floor(F.col("pattern") / F.pow(F.lit(3.0), j)) % 3).cast("int"))
-    ballots = patterns.select("n", votes.alias("v"))
+    ballots = patterns.coalesce(1).select("n", votes.alias("v"))
     share = lambda x: F.size(F.filter("v", lambda v: v == x))
     start = (share(GOOD) + 0.5) / (share(GOOD) + share(BAD) + 1.0)
     odds = F.aggregate(F.transform("v", lambda v, j: F.get("w", 3 * j + v)), F.col("w0"), lambda a, x: a + x)
@@ -136,6 +138,8 @@ def estimate(patterns: DataFrame, n_rules: int) -> tuple[float, list[list[list[f
         row = ", ".join(f"{math.log(v[1] / v[0])!r}D" for rule in rates for v in rule)
         weights = spark.sql(f"SELECT * FROM VALUES ({math.log(prior / (1 - prior))!r}D, array({row})) AS t(w0, w)")
         seen = ballots.join(F.broadcast(weights)).select("n", "v", (1.0 / (1.0 + F.exp(-odds))).alias("r"))  # one row
+    else:
+        warnings.warn(f"quality rules: rates still move by {SETTLED} or more after {STEPS} steps", RuntimeWarning, stacklevel=2)
     return prior, rates
 
 

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import quality
@@ -68,3 +70,38 @@ def test_no_python_in_the_plan(table):
     df, _ = quality.judge(table([(1, GOOD)]).select("doc_id", "text"), keep_text=False)
     plan = df._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and F is not None
+
+
+#: Counts of the 27 vote patterns of three weak rules. One pattern is at 0.503 after steps that stop at 1e-4 and at 0.4987 in the end.
+NEAR_CUT = [5, 8, 4, 14, 16, 6, 6, 5, 9, 7, 19, 7, 36, 70, 10, 14, 26, 14, 9, 6, 16, 11, 9, 23, 8, 12, 31]
+
+
+def settled(n, rules, tolerance):
+    """The posteriors by the same steps in numpy."""
+    votes = np.stack([np.arange(3**rules) // 3**j % 3 for j in range(rules)], 1)
+    good, bad = (votes == 1).sum(1), (votes == 2).sum(1)
+    r, was = (good + 0.5) / (good + bad + 1), np.inf
+    while True:
+        on = np.stack([n * (1 - r), n * r])
+        total = on.sum(1)
+        prior = (total[1] + 1) / (total.sum() + 2)
+        rates = np.array([[[(x * (votes[:, j] == v)).sum() + 1 for x in on] for v in range(3)] for j in range(rules)]) / (total + 3)
+        now = np.append(rates.ravel(), prior)
+        if np.abs(now - was).max() < tolerance:
+            return r
+        was = now
+        r = 1 / (1 + np.exp(-np.log(prior / (1 - prior)) - np.log(rates[:, :, 1] / rates[:, :, 0])[np.arange(rules), votes].sum(1)))
+
+
+def test_kept_does_not_change_at_a_tighter_tolerance(spark):
+    patterns = spark.createDataFrame([(k, float(n)) for k, n in enumerate(NEAR_CUT)], "pattern int, n double").coalesce(1).cache()
+    prior, rates = quality.estimate(patterns, 3)
+    kept = {r.pattern for r in patterns.filter(quality._posterior(F.col("pattern"), prior, rates) >= 0.5).collect()}
+    assert kept == set(np.flatnonzero(settled(np.array(NEAR_CUT, float), 3, 1e-10) >= 0.5).tolist())
+
+
+def test_steps_that_do_not_settle_are_reported(spark, monkeypatch):
+    patterns = spark.createDataFrame([(k, float(n)) for k, n in enumerate(NEAR_CUT)], "pattern int, n double")
+    monkeypatch.setattr(quality, "STEPS", 3)
+    with pytest.warns(RuntimeWarning, match="after 3 steps"):
+        quality.estimate(patterns, 3)
