@@ -5,10 +5,10 @@ travel. Lengths are whole numbers up to the capacity, so the instance is a
 histogram of at most ``capacity`` sizes however many documents there are. The
 plan is made on that histogram, in whole runs of equal bins:
 
-1. reduction: the largest piece is fixed with a set that provably dominates
-   every other way to fill its bin - alone if nothing fits beside it, with a
-   piece that fills the bin exactly, or with the largest that fits if no two
-   fit. Fixed pieces leave the instance, and the test is repeated;
+1. reduction: a piece is fixed with a set of at most three pieces, itself
+   included, that provably dominates every other way to fill its bin. Every
+   size is tried in turn; fixed pieces leave the instance, and the sizes are
+   tried again until none can be fixed;
 2. best fit decreasing packs the remainder, each size into the bins of the
    least room that holds it.
 
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,17 +41,27 @@ TOKENIZER = "byte_bpe_50k"
 
 @lru_cache(maxsize=2)
 def encoder(name: str):
-    """The byte-level BPE vocabulary ``name``: ids equal those of the tokenizers library on its JSON file.
+    """The byte-level BPE vocabulary ``name``: ids equal those of the tokenizers library on its JSON file as it is.
 
-    Strings of special tokens in a text are ordinary text. The merge table is read as ranks, which encode about four
-    times as fast; tests hold the ids of both against each other.
+    The special tokens that the file lists split a text and become their own ids, as they do there. The merge table is
+    read as ranks, which encode about four times as fast; tests hold the ids of both against each other.
     """
+    import json
+
     import public_tokenizers
     import tiktoken
 
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def token_ids(name: str, text: str) -> list[int]:
+    """Ids of a text, special tokens in it included; nothing is added."""
+    return encoder(name).encode(text, allowed_special="all")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -61,11 +73,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _pieces(capacity: int, end_id: int, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        encode = encoder(tokenizer).encode_ordinary
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
+                ids = np.array([*token_ids(tokenizer, text.as_py() or ""), end_id], "<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     out.append((doc, piece, start, length, zlib.crc32(ids[start : start + length].tobytes()), task, int(seen[length])))
                     seen[length] += 1
@@ -104,38 +115,52 @@ class Plan:
         self.bins += n
 
     def _reduce(self) -> int:
-        """Fixes dominating sets of one or two pieces while there are any; returns the number of bins fixed.
+        """Fixes dominating sets while there are any; returns the number of bins fixed.
 
-        A pair that fills its bin dominates every other set with either piece. For the largest piece, the set of it alone
-        dominates if nothing fits beside it, and the pair with the largest that fits if no two fit.
+        A set stays dominating while pieces leave the instance, so as many equal bins are fixed at once as its pieces
+        allow.
         """
-        while self.left:
+        fixed = True
+        while fixed:
+            fixed = False
             for size in sorted(self.left, reverse=True):
-                other = self.capacity - size
-                if size in self.left and size >= other and other in self.left:
-                    n = self.left[size] // 2 if size == other else min(self.left[size], self.left[other])
-                    if n:
-                        self._fix(n, size, other)
-            if not self.left:
-                break
-            big = max(self.left)
-            room, n = self.capacity - big, self.left[big]
-            rest = {s: k - (s == big) for s, k in self.left.items() if k > (s == big)}
-            least = min(rest, default=room + 1)
-            if least > room:
-                self._fix(n if big > room else 1, big)
+                while size in self.left and (others := self._dominating(size)) is not None:
+                    need = Counter([size, *others])
+                    self._fix(min(self.left[s] // k for s, k in need.items()), size, *others)
+                    fixed = True
+        return self.bins
+
+    def _dominating(self, size: int) -> tuple[int, ...] | None:
+        """What goes beside a piece of ``size`` in a set of at most three that dominates all others with it; None if none does.
+
+        A set dominates another if the other's pieces can be dealt to its pieces so that none gets more than its size.
+        """
+        room = self.capacity - size
+        rest = {s: n for s in self.left if s <= room and (n := self.left[s] - (s == size))}
+        if not rest:
+            return ()
+        order = sorted(rest)
+        big, least = order[-1], order[0]
+        two = 2 * least if rest[least] > 1 else least + (order[1] if len(order) > 1 else room)
+        if big == room or two > room:  # nothing else is left over, or no two fit: the largest stands for any one
+            return (big,)
+        few = [s for s in order[:3] for _ in range(min(rest[s], 3))][:3]
+        if len(few) == 3 and sum(few) <= room:
+            return None
+        fullest = []  # of the pairs with the same smaller piece b, the one of the largest sum
+        for i, b in enumerate(order):
+            j = bisect_right(order, room - b) - 1
+            if j == i and rest[b] < 2:
                 continue
-            two = 2 * least if rest[least] > 1 else least + min((s for s in rest if s != least), default=room)
-            if two <= room:
+            if j < i:
                 break
-            other = max(s for s in rest if s <= room)
-            if other == big:
-                self._fix(n // 2, big, big)
-            elif other == least:  # the next smallest may allow two, so one at a time is safe only for the last
-                self._fix(1 if self.left[least] <= 1 else min(n, self.left[least] - 1), big, other)
-            else:
-                self._fix(min(n, self.left[other]), big, other)
-        return self.bins
+            fullest.append((order[j], b))
+        if all(a + b <= big for a, b in fullest):  # the largest stands for any two
+            return (big,)
+        beside = max((s for s in order if s <= room - big and (s != big or rest[s] > 1)), default=None)
+        if beside is not None and all(a + b <= big or b <= beside for a, b in fullest):
+            return (big, beside)
+        return None
 
     def _best_fit(self) -> None:
         open_bins: dict[int, list[tuple[int, int]]] = {}  # room: runs (first bin, bins)

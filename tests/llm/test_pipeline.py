@@ -85,8 +85,7 @@ def test_clean_documents_pass_decontamination(spark, stages):
 
 def test_last_stage_holds_every_token(stages):
     before, after = stages[4]
-    encode = packing.encoder("byte_bpe_50k").encode_ordinary
-    want = {r.doc_id: len(encode(r.text)) + 1 for r in before.collect()}
+    want = {r.doc_id: len(packing.token_ids("byte_bpe_50k", r.text)) + 1 for r in before.collect()}
     got = {}
     for r in after.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
