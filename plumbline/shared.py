@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +26,19 @@ def folder(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
-#: Tables written inside the scratch blocks that are open, innermost last.
-_OPEN: list[list[str]] = []
+#: Lists of the tables written inside the scratch blocks that are open here, innermost last; every thread has its own.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch blocks", default=())
+
+
+def stored(df: DataFrame, what: str, hold: bool = False) -> tuple[DataFrame, str]:
+    """As ``written``, with the path of the table."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    owners = _OPEN.get()[:-1] if hold else _OPEN.get()
+    if owners:
+        owners[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def written(df: DataFrame, what: str, hold: bool = False) -> DataFrame:
@@ -35,13 +47,7 @@ def written(df: DataFrame, what: str, hold: bool = False) -> DataFrame:
     Inside a ``scratch`` block the table goes when the block ends; with ``hold`` it lasts as long as the block around
     that one. Outside of any block it stays until the folder is cleared.
     """
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    owners = _OPEN[:-1] if hold else _OPEN
-    if owners:
-        owners[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, what, hold)[0]
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
@@ -58,8 +64,10 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
 
     Yields the list of their paths; a caller that empties it takes them over.
     """
-    _OPEN.append([])
+    own: list[str] = []
+    before = _OPEN.set((*_OPEN.get(), own))
     try:
-        yield _OPEN[-1]
+        yield own
     finally:
-        drop(spark, _OPEN.pop())
+        _OPEN.reset(before)
+        drop(spark, own)
