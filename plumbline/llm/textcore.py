@@ -11,6 +11,8 @@ Null texts count as empty everywhere in this module.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -175,6 +177,15 @@ def text_bytes(docs: DataFrame, text: str) -> tuple[int, int]:
     return int(r["n"]), int(r["b"] or 0)
 
 
+def stretch(size: int) -> float:
+    """How much larger than their usual size chunks and buckets are made for ``size`` bytes of text, 1 to 16.
+
+    With n chunks that exchange messages with m buckets, there are n * m messages. Both grow with the square root of the
+    input beyond 32 GB, so that a message stays as long as it is there, up to 8 TB.
+    """
+    return min(max(math.sqrt(size / (32 << 30)), 1.0), 16.0)
+
+
 def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, carry: tuple[str, ...] = (), least: int = 48) -> tuple[DataFrame, int]:
     """Texts with a chunk number that follows the order of the ids.
 
