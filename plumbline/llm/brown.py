@@ -43,6 +43,8 @@ from plumbline.llm.textcore import SPACED, Words, slices, spread, stretch, text_
 from plumbline.shared import drop, scratch, stored, written
 
 HEAD, CLASSES, SWEEPS, ROUNDS = 512, 64, 12, 3
+#: Words seen less often get a class by their neighbours in every round, but are no evidence for their neighbours' classes.
+STEADY = 100
 CHUNK_BYTES = 8 << 20
 BUCKET_TOKENS = 2 << 20
 #: So many chunks at most are added up in one group; more are added up in two steps.
@@ -335,8 +337,8 @@ def _next_near(bits: int):
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         c = next(chunks_of(chunk.to_batches()))
-        _, cls = _served(c, answers)
-        cls = np.where(cls == _UNSEEN, OPEN, cls)  # no training text has such words
+        n, cls = _served(c, answers)
+        cls = np.where(n < STEADY, OPEN, cls)
         rows = _near_rows(c, cls, bits)
         rows.append((-1, c.chunk, b"", b"", b"", b"", _blob(c.bigrams(cls[c.of], EDGE, _WIDTH))))
         return pa.Table.from_batches([_batch(rows, _NEAR)])
@@ -416,7 +418,7 @@ def _moved(table: np.ndarray):
         to = best_classes(x, table)
         of = np.repeat(np.arange(len(x.keys)), np.diff(x.begin))
         n = np.bincount(of[x.ctx < _WIDTH], weights=x.n[x.ctx < _WIDTH], minlength=len(x.keys)).astype(np.int64)
-        row = (rows.column("bucket")[0].as_py(), _blob(_short(x.keys)), _blob(n), _blob(to.astype(np.uint8)), int((to != x.cls).sum()))
+        row = (rows.column("bucket")[0].as_py(), _blob(_short(x.keys)), _blob(n), _blob(to.astype(np.uint8)), int(((to != x.cls) & (x.cls != OPEN)).sum()))
         return pa.Table.from_batches([_batch([row], _WORDS)])
 
     return run
@@ -512,7 +514,7 @@ def learn_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         drop(spark, [p for p in (near_at, words_at) if p])
         words_at, n = at, n + 1
         moved.append(words.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0])
-        if n >= rounds or not moved[-1]:
+        if n >= rounds or n > 1 and not moved[-1]:
             return Classes(tokens, words, bits, n_words, n_tokens, moved, [tokens_at, words_at])
         held, near_at = stored(_by_chunk(tokens, words, bits).applyInArrow(_next_near(bits), _NEAR_SQL), "near")
         table = _class_bigrams(held.filter("bucket = -1").select("n"))
