@@ -30,11 +30,27 @@ def folder(spark: SparkSession) -> str:
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch blocks", default=())
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Queries run in the block delete their shuffle files at once: what they computed is stored and not computed again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, what: str, hold: bool = False) -> tuple[DataFrame, str]:
     """As ``written``, with the path of the table."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.parquet(path)
     owners = _OPEN.get()[:-1] if hold else _OPEN.get()
     if owners:
         owners[-1].append(path)
