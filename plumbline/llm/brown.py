@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textcore import SPACED, Words, slices, spread, stretch, text_buffer, text_bytes
+from plumbline.llm.textcore import NULL_ID, SPACED, Words, slices, spread, stretch, text_buffer, text_bytes
 from plumbline.shared import drop, scratch, stored, written
 
 HEAD, CLASSES, SWEEPS, ROUNDS = 512, 64, 12, 3
@@ -52,12 +52,11 @@ FAN_IN = 1024
 EDGE, OPEN = 0, CLASSES  # the class of a text's ends, and of words that have none yet
 _WIDTH = CLASSES + 1
 _UNSEEN = 255
-_NULL_ID = -(1 << 62)
 
 
 def _held_out(ids: np.ndarray) -> np.ndarray:
     """crc32 of the id as text, modulo 10, is 0; a null id is never held out."""
-    return np.array([i != _NULL_ID and zlib.crc32(str(i).encode()) % 10 == 0 for i in ids.tolist()], bool)
+    return np.array([i != NULL_ID and zlib.crc32(str(i).encode()) % 10 == 0 for i in ids.tolist()], bool)
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -488,7 +487,7 @@ class Classes(NamedTuple):
 
 def learn_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, rounds: int = ROUNDS) -> Classes:
     """Chunks of tokens, and the class of every training word after ``rounds`` rounds (the first one lets the words join)."""
-    data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     _, size = text_bytes(data, "text")
     wider = stretch(size)
     bits = max(8, math.ceil(math.log2(max(size / 6 / BUCKET_TOKENS / wider, 1))))
@@ -595,4 +594,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = Model(_class_bigrams(sequences.select("bigrams")), masses, learnt.n_words, learnt.n_tokens)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = sequences.drop("bigrams").mapInArrow(lambda batches: model(batches), out)
-    return scored.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
+    return scored.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))

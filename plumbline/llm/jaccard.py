@@ -12,12 +12,13 @@ of their rarest (1 - t) n + 1 shingles; the lists of those tie the remaining
 sets into candidate groups. A common passage is never among the rarest
 shingles of a longer text, so it ties nothing.
 
-Search, in each candidate group on whole sets: first some pivots are compared
-with all members, which links large groups of near copies in a few passes.
-Then every member outside the largest linked class is a query: its short
-inverted lists are merged and counted, the longest are probed by binary search
-for those that can still reach the required overlap, and the exact test
-decides. A group of over ``BLOCK`` sets first meets a few pivots in Spark; members that link to the best of
+Search, in each candidate group on whole sets: every member is a query. Its short
+inverted lists are merged (sorted runs, merged by a run-merging sort in place of
+a heap) and counted, the longest are probed by binary search for those that can
+still reach the required overlap, and the exact test decides. In groups of
+over ``PIVOTS_FROM`` sets some pivots are compared with all members first, which
+links large groups of near copies in a few passes; only members outside the
+largest linked class are queries there. A group of over ``BLOCK`` sets first meets a few pivots in Spark; members that link to the best of
 them are connected through it and need no search among themselves, so only the other members are queries,
 dealt out as query blocks against member blocks. The work grows with the group, not with its square, unless
 its members are really unlike each other.
@@ -37,19 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.graph import components
-from plumbline.llm.textcore import SPACED, Words, mix64, ordered_chunks, run_hashes, slices, spread, text_buffer
+from plumbline.llm.graph import attach, components
+from plumbline.llm.textcore import NULL_ID, SPACED, Words, hashed_chunks, mix64, run_hashes, slices, spread, stretch, text_buffer
 from plumbline.shared import scratch, written
 
 SHINGLE = 5
 CHUNK_BYTES = 4 << 20
-BUCKET_SHINGLES = 4 << 20
+BUCKET_SHINGLES = 1 << 20
 KEY_BYTES = 5
-BLOCK = 4096
-PIVOTS = 48
+#: A group of more sets than this, or a task of more shingles than that, is cut.
+BLOCK, BLOCK_SHINGLES = 4096, 8 << 20
+PIVOTS_FROM, PIVOTS = 256, 48
 SPARK_PIVOTS = 4
 LONG_LIST = 64
-_NULL_ID = -(1 << 62)
 
 
 def shingle_sets(column, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -251,7 +252,7 @@ class Linker:
         everyone, tried = np.arange(m), np.zeros(m, bool)
         waiting = np.ones(m, bool) if among is None else np.isin(everyone, among)
         mark = np.zeros(self.n_tokens, bool)
-        for _ in range(PIVOTS):
+        for _ in range(PIVOTS if m > PIVOTS_FROM else 0):
             if not waiting.any():
                 break
             left = np.flatnonzero(waiting)
@@ -264,13 +265,13 @@ class Linker:
                 self.tie(p, j)
             waiting[found] = waiting[p] = False
             tried[p] = True
-        label = np.array([self.find(i) for i in range(m)])
+        label = self._finds(everyone)
         names, count = np.unique(label, return_counts=True)
         # without marked queries, whoever is outside the largest class looks for it, not the other way round
         queries = np.flatnonzero((label != names[count.argmax()]) & ~tried) if among is None else among[~tried[among]]
         if len(queries):
             self._search(queries)
-        return np.array([self.find(i) for i in range(m)])
+        return self._finds(everyone)
 
     def _search(self, queries: np.ndarray) -> None:
         """T-occurrence search of each query among all sets: DivideSkip."""
@@ -285,8 +286,9 @@ class Linker:
             by_length = mine[np.argsort(length[mine], kind="stable")]
             n_long = min(need - 1, int((length[mine] > LONG_LIST).sum()))
             short, long = by_length[: len(mine) - n_long], by_length[len(mine) - n_long :]
-            merged = np.concatenate([postings[start[t] : start[t + 1]] for t in short])
-            ids, seen = np.unique(merged, return_counts=True)
+            merged = np.sort(np.concatenate([postings[start[t] : start[t + 1]] for t in short]), kind="stable")
+            edge = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+            ids, seen = merged[edge], np.diff(np.append(edge, len(merged)))
             # a partner larger than the query needs more, one smaller at least its own share
             least = -(-self.den * (self.size[q] + self.size[ids]) // self.num)
             ids_ok = (seen >= least - n_long) & (ids != q)
@@ -301,9 +303,15 @@ class Linker:
             for j in ids[self.linked(q, seen, ids)]:
                 self.tie(q, j)
 
+    def _finds(self, ids: np.ndarray) -> np.ndarray:
+        """Class of each id."""
+        at = self.root[ids]
+        while (up := self.root[at]).tolist() != at.tolist():
+            at = up
+        return at
+
     def _apart(self, q: int, ids: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mine = self.find(q)
-        apart = np.array([self.find(j) != mine for j in ids], bool)
+        apart = self._finds(ids) != self.find(q)
         return ids[apart], seen[apart]
 
 
@@ -356,8 +364,8 @@ def _meet_pivots(num: int, den: int):
 
 
 def _search_large(large: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect the large groups, from their members (grp, m, sid, shingles)."""
-    parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    """Links (a, b) that connect the large groups, from their members (grp, m, held, sid, shingles); held counts a group's shingles."""
+    parts = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK)), F.ceil(F.col("held") / F.lit(BLOCK_SHINGLES))).cast("int")
     part = F.pmod(F.xxhash64("sid"), parts).cast("int")
     large = large.withColumns({"parts": parts, "part": part})
     # the pivots: in each group the sets with the smallest names, which are as good as drawn
@@ -370,7 +378,8 @@ def _search_large(large: DataFrame, num: int, den: int) -> DataFrame:
     best = met.groupBy("grp", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     easy = met.join(best, ["grp", "b"]).select("grp", F.col("a").alias("sid"), F.lit(True).alias("easy"))
     marked = large.join(easy, ["grp", "sid"], "left").withColumn("query", F.col("easy").isNull())
-    left = marked.filter("query").select("grp", "sid").distinct().groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("q"))
+    # as many query blocks as there are blocks of members of the same size
+    left = marked.filter("query").groupBy("grp").agg(F.least(F.max("parts"), F.ceil(F.max("parts") * F.count(F.lit(1)) / F.max("m"))).cast("int").alias("q"))
     marked = marked.join(left, "grp")  # a group without queries is connected already
     mine = F.pmod(F.xxhash64("sid"), F.col("q")).cast("int")
     name = lambda i, j: F.concat_ws("-", F.lit("b"), F.col("grp"), i, j)
@@ -394,56 +403,66 @@ def jaccard_components(
     columns are not read.
     """
     with scratch(docs.sparkSession):
-        data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+        data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
         described = written(spread(data).mapInArrow(_describe(shingle), "id long, n long, sid long"), "sets")
-        chunks, _ = ordered_chunks(docs, id_col, text_col, chunk_bytes)
-        total = described.agg(F.sum("n")).first()[0] or 0
-        bits = max(4, math.ceil(math.log2(max(total / BUCKET_SHINGLES, 1))))
+        chunks, size = hashed_chunks(docs, id_col, text_col, chunk_bytes)
+        rows, total = described.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        wider = stretch(size)
+        bits = max(4, math.ceil(math.log2(max(total / BUCKET_SHINGLES / wider, 1))))
         requests = chunks.groupBy("chunk").applyInArrow(_requests(shingle, bits), "bucket int, chunk int, keys binary, n binary")
         answers = requests.groupBy("bucket").applyInArrow(_answers, "chunk int, bucket int, code binary")
         both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
         sets = written(both.applyInArrow(_candidates(shingle, bits, num, den), "sid long, n long, alone long, shingles binary"), "candidates")
         left = sets.agg(F.sum("n")).first()[0] or 0
-        rarest = sets.mapInArrow(_rarest(num, den, max(16, left // BUCKET_SHINGLES)), "bucket int, keys binary, sid binary, n binary")
+        rarest = sets.mapInArrow(_rarest(num, den, max(16, int(left / BUCKET_SHINGLES / wider))), "bucket int, keys binary, sid binary, n binary")
         ties = rarest.groupBy("bucket").applyInArrow(_ties(num, den), "a long, b long")
         groups = written(components(written(ties.distinct(), "ties")), "groups").withColumnRenamed("component", "grp")
-        held = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
-        bins = max(1, math.ceil((groups.count() or 1) / BLOCK))
-        sizes = groups.join(held, "grp").select(F.col("node").alias("sid"), "grp", "m")
-        grouped = sets.select("sid", "shingles").join(sizes, "sid")
+        # one row per set, however many chunks hold a copy of it
+        once = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+        members = written(once.join(groups.withColumnRenamed("node", "sid"), "sid"), "members")
+        held = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("held"))
+        n_members, n_held = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        bins = max(1, math.ceil(n_members / BLOCK), math.ceil(n_held / BLOCK_SHINGLES))
+        is_large = (F.col("m") > BLOCK) | (F.col("held") > BLOCK_SHINGLES)
+        large_groups = held.filter(is_large & (F.col("m") > 1))
+        n_large = large_groups.count()  # at most n_members / 2, and each of them is large
         task = F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(bins)))
-        small = grouped.filter(F.col("m") <= BLOCK).select(task.alias("task"), "grp", "sid", "shingles", F.lit(1).alias("query"))
-        links = small.groupBy("task").applyInArrow(_search_groups(num, den), "a long, b long")
-        if held.filter(F.col("m") > BLOCK).limit(1).count():
-            links = links.unionAll(_search_large(grouped.filter(F.col("m") > BLOCK), num, den))
+        small = members if not n_large else members.join(large_groups.select("grp"), "grp", "left_anti")
+        links = small.select(task.alias("task"), "grp", "sid", "shingles", F.lit(1).alias("query")).groupBy("task").applyInArrow(_search_groups(num, den), "a long, b long")
+        if n_large:
+            large = attach(members, large_groups, "grp", n_members).filter("m is not null").select("grp", "m", "held", "sid", "shingles")
+            links = links.unionAll(_search_large(written(large, "large"), num, den))
         classes = components(written(links.distinct(), "links"))
-        label = described.join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("component", "sid"))
+        label = attach(described, classes.withColumnRenamed("node", "sid"), "sid", rows).withColumn("class", F.coalesce("component", "sid"))
         label = written(label.select("id", "n", "class"), "classes", hold=True)
     first = label.filter("class is not null").groupBy("class").agg(F.min("id").alias("component_id"))
-    out = label.join(first, "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
+    out = attach(label, first, "class", rows).select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"))
 
 
-#: Up to so many ids of dropped rows (8 bytes each) go to every executor; beyond that the rows are joined by shuffle.
-BROADCAST_IDS = 4_000_000
+#: Up to so many ids of dropped rows go to every executor (some 20 MB); beyond that the rows are joined by shuffle.
+BROADCAST_IDS = 250_000
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that have a near duplicate with a smaller id; all their columns stay.
 
-    Of rows that repeat an id and its text, one stays. Rows without an id cannot be told apart by it: they all stay.
+    Of rows that repeat an id and its text, one stays: the first by its columns as JSON. Rows without an id cannot be told apart by it: they
+    all stay.
     """
     own = jaccard_components(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     per = written(own.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")).filter("c <> doc_id or n > 1"), "dropped")
     gone, again = per.filter("c <> doc_id"), per.filter("c = doc_id")
     n_gone, n_again = gone.count(), again.count()
-    key = F.col(id_col).cast("long") == F.col("doc_id_gone")
+    key = F.col(f"`{id_col}`").cast("long") == F.col("doc_id_gone")
     small = lambda ids, n: F.broadcast(ids) if n <= BROADCAST_IDS else ids
     kept = docs
     if n_gone:
         kept = kept.join(small(gone.select(F.col("doc_id").alias("doc_id_gone")), n_gone), key, "left_anti")
     if n_again:
         twice = small(again.select(F.col("doc_id").alias("doc_id_gone")), n_again)
-        kept = kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates([id_col, text_col]))
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = kept.join(twice, key, "left_semi").groupBy(id_col, text_col).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        kept = kept.join(twice, key, "left_anti").unionByName(one)
     return kept

@@ -12,9 +12,12 @@ two occurrences in different chunks is the order of the chunks:
 3. chunks meet their answers (the texts come from the exchange that step 1
    made) and merge the repeated windows into maximal intervals.
 
-A bucket holds about ``BUCKET_WINDOWS`` hashes at any size of the input, since
-the number of buckets follows the bytes of text. Two different windows share a
-64-bit hash with probability near n**2 / 2**65 for n windows.
+A bucket holds about ``BUCKET_WINDOWS`` hashes, and chunks and buckets grow
+together beyond 32 GB (textcore.stretch), since the number of buckets follows
+the bytes of text. Two different windows share a 64-bit hash with probability
+near n**2 / 2**65 for n windows: under 0.001 for 10**8 windows, one pair for
+6 * 10**9 (some 35 GB of text). Beyond that, windows that are unlike each other
+may count as repeated, about n / 2**64 of the windows each.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.textcore import SPACED, Words, covered, intervals, ordered_chunks, slices, text_buffer
+from plumbline.llm.textcore import NULL_ID, SPACED, Words, covered, intervals, ordered_chunks, slices, stretch, text_buffer
 
 WINDOW = 20
 CHUNK_BYTES = 4 << 20
@@ -34,8 +38,8 @@ BUCKET_WINDOWS = 1 << 20
 
 
 def _in_order(rows: pa.Table) -> pa.Table:
-    """Rows of a chunk by id; rows that repeat an id by text."""
-    return rows.sort_by([("id", "ascending"), ("text", "ascending")]) if rows.num_rows > 1 else rows
+    """Rows of a chunk by id; rows that repeat an id by the hash of their text."""
+    return rows.sort_by([("id", "ascending"), ("h", "ascending"), ("text", "ascending")]) if rows.num_rows > 1 else rows
 
 
 def _window_hashes(column, window: int):
@@ -109,7 +113,7 @@ def _remove(window: int):
                 kept.append(np.concatenate(cut).tobytes())
         texts = pa.array(kept, pa.binary()).cast(pa.string())
         cat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"doc_id": rows.column("id"), "n_words": cat(n_words), "n_removed": cat(n_removed), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept_text": texts, "rest": rows.column("rest")})
+        return pa.table({"doc_id": rows.column("id"), "n_words": cat(n_words), "n_removed": cat(n_removed), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept_text": texts, "carried": rows.column("rest")})
 
     return run
 
@@ -117,24 +121,21 @@ def _remove(window: int):
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, removed, kept_text, then the columns named in ``carry``.
+    """One row per document: doc_id, n_words, n_removed, removed, kept_text; with ``carry``, a struct ``carried`` of those columns.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A word goes if a window of ``window`` consecutive words that covers it occurs
     with an earlier start: in a row with a smaller id, or earlier in the same text; windows are judged on the
     input. ``removed`` lists the maximal intervals of removed words (start, end after the last), ``kept_text`` is the
-    text without them and without the white space after each. Rows that repeat an id are ordered by their text,
+    text without them and without the white space after each. Rows that repeat an id are ordered by a hash of their text,
     so the second of two equal rows loses its windows. Null texts have no words and an empty kept_text; a
-    text shorter than a window stays whole. Null ids sort first and come back null. Columns in ``carry`` must not have the name of an own
-    column; those not named are not read.
+    text shorter than a window stays whole. Null ids sort first and come back null. Columns that are not in ``carry`` are not read.
     """
     chunks, size = ordered_chunks(docs, id_col, text_col, chunk_bytes, carry)
-    bits = max(8, math.ceil(math.log2(max(size / 6 / BUCKET_WINDOWS, 1))))
+    bits = max(8, math.ceil(math.log2(max(size / 6 / BUCKET_WINDOWS / stretch(size), 1))))
     requests = chunks.groupBy("chunk").applyInArrow(_requests(bits, window), "bucket int, chunk int, keys binary")
     answers = requests.groupBy("bucket").applyInArrow(_answers, "chunk int, bucket int, n int, flags binary")
-    out = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string, rest string"
+    out = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string")
+    out = out.add("carried", chunks.schema["rest"].dataType)
     kept = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window), out)
-    own = [F.when(F.col("doc_id") != -(1 << 62), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "removed", "kept_text"]
-    if not carry:
-        return kept.select(*own)
-    types = docs.select(*carry).schema
-    return kept.withColumn("rest", F.from_json("rest", types)).select(*own, *(F.col(f"rest.`{c}`").alias(c) for c in carry))
+    own = [F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "removed", "kept_text"]
+    return kept.select(*own, *(["carried"] if carry else []))

@@ -12,6 +12,7 @@ Null texts count as empty everywhere in this module.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
-MOST_RANGES = 4096
+#: Stands for a null id, below all real ones.
+NULL_ID = -(1 << 62)
+MOST_RANGES = 16384
 
 #: Words of ``[^\x20\x09-\x0D]+``.
 SPACED = np.ones(256, bool)
@@ -186,47 +189,79 @@ def stretch(size: int) -> float:
     return min(max(math.sqrt(size / (32 << 30)), 1.0), 16.0)
 
 
-def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, carry: tuple[str, ...] = (), least: int = 48) -> tuple[DataFrame, int]:
-    """Texts with a chunk number that follows the order of the ids.
+def _texts_of(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(id, h, text, rest): a null id lies below all others, h is a hash of the text, rest a struct of the columns in ``carry``."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("string")
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    data = docs.select(ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), rest.alias("rest"))
+    return data.select("id", F.xxhash64("text").alias("h"), "text", "rest")
+
+
+def hashed_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, least: int = 48) -> tuple[DataFrame, int]:
+    """Texts dealt into chunks of about ``chunk_bytes`` (more by ``stretch``) by a hash of id and text.
 
-    Returns columns (chunk, id, text, rest) and the bytes of text; rest is JSON of the columns in ``carry``, else null. Rows of one id are in one chunk; chunks are quantile
-    ranges of the ids, so a hot source or a run of copies spreads like any other rows. Null ids sort first. Beyond
-    ``MOST_RANGES`` chunks (all quantiles that are asked for), each range is cut evenly by the id.
-    The ranges hold about ``chunk_bytes`` of text each, and are at least ``least`` while there is more than 1 MB.
+    Returns columns (chunk, id, h, text) and the bytes of text. There are at least ``least`` chunks while there is more than 1 MB.
+    """
+    data = _texts_of(docs, id_col, text_col, ()).drop("rest")
+    _, size = text_bytes(data, "text")
+    want = max(-(-size // int(chunk_bytes * stretch(size))), least if size > 1 << 20 else 1)
+    return data.select(F.pmod(F.xxhash64("id", "h"), F.lit(want)).cast("int").alias("chunk"), "id", "h", "text"), size
+
+
+def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, carry: tuple[str, ...] = (), least: int = 48) -> tuple[DataFrame, int]:
+    """Texts with a chunk number that follows the order of (id, h).
+
+    Returns columns (chunk, id, h, text, rest) and the bytes of text; h is a hash of the text, by which rows of one id are ordered,
+    rest a struct of the columns in ``carry``, else null. Null ids sort first. Chunks hold about ``chunk_bytes`` of text (more by
+    ``stretch``), and are at least ``least`` while there is more than 1 MB: they are cut at quantiles of ids that are drawn
+    in proportion to their bytes (some 64 draws a chunk, by a hash; the draw decides on balance alone). An id
+    that holds several quantiles - null ids, say - is cut by h into as many chunks. Beyond ``MOST_RANGES``
+    chunks each range is cut evenly by the id.
     """
     from pyspark.ml.feature import Bucketizer
 
-    rest = F.to_json(F.struct(*(F.col(f"`{c}`") for c in carry))) if carry else F.lit(None).cast("string")
-    data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    data = _texts_of(docs, id_col, text_col, carry)
     n, size = text_bytes(data, "text")
-    want = max(-(-size // chunk_bytes), least if size > 1 << 20 else 1)
-    cuts: list[float] = []
+    want = max(-(-size // int(chunk_bytes * stretch(size))), least if size > 1 << 20 else 1)
     ranges = min(want, MOST_RANGES)
-    if want > 1 and n > 1:
-        cuts = data.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))
-    cuts = sorted(set(cuts))
+    quantiles: list[float] = []
+    if ranges > 1 and n > 1:
+        share = F.octet_length("text") / F.lit(max(size / (64 * ranges), 1.0))
+        draws = F.floor(share + F.pmod(F.xxhash64("id", "h", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))).cast("int")
+        drawn = data.select(F.col("id").cast("double").alias("id"), draws.alias("k")).filter("k > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("k"))))
+        quantiles = sorted(drawn.approxQuantile("id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)))
+    cuts = sorted(set(quantiles))
     if not cuts:
-        return data.select(F.lit(0).alias("chunk"), "id", "text", "rest"), size
+        return data.select(F.lit(0).alias("chunk"), "id", "h", "text", "rest"), size
     cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="key", outputCol="at", handleInvalid="keep")
     data = cut.transform(data.withColumn("key", F.col("id").cast("double"))).withColumn("at", F.col("at").cast("int"))
-    if want <= MOST_RANGES:
-        return data.select(F.col("at").alias("chunk"), "id", "text", "rest"), size
+    if len(cuts) == len(quantiles) and want <= MOST_RANGES:
+        return data.select(F.col("at").alias("chunk"), "id", "h", "text", "rest"), size
+    # per range: its number, and for an id that repeats at its start how many chunks that one has
+    times, number, rows = Counter(quantiles), 1, [(0, 0, 1)]
+    for i, c in enumerate(cuts):
+        rows.append((i + 1, number, times[c]))
+        number += 1 if times[c] == 1 else times[c] + 1
     parts = -(-want // MOST_RANGES)
-    ends = [(i, lo, hi) for i, (lo, hi) in enumerate(zip([cuts[0], *cuts], [*cuts, cuts[-1]]))]
-    ends = _range_ends(data, ends)
-    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1.0))
-    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((F.col("key") - F.col("lo")) / width * parts))).cast("int")
+    ends = [(i, base, k, lo, hi) for (i, base, k), lo, hi in zip(rows, [cuts[0], *cuts], [*cuts, cuts[-1]])]
+    ends = _range_ends(data, ends) if parts > 1 else data.sparkSession.createDataFrame(ends, _ENDS)
     data = data.join(F.broadcast(ends), "at")  # MOST_RANGES rows
-    return data.select((F.col("at") * parts + part).alias("chunk"), "id", "text", "rest"), size
+    own = (F.col("k") > 1) & (F.col("key") == F.col("lo")) & (F.col("at") > 0)
+    inner = F.when(own, F.least(F.col("k") - 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("k")))).when(F.col("k") > 1, F.col("k")).otherwise(0)
+    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1.0))
+    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((F.col("key") - F.col("lo")) / width * parts)))
+    return data.select(((F.col("base") + inner) * parts + part).cast("int").alias("chunk"), "id", "h", "text", "rest"), size
+
+
+_ENDS = "at int, base int, k int, lo double, hi double"
 
 
-def _range_ends(like: DataFrame, ends: list[tuple[int, float, float]]) -> DataFrame:
-    """The quantile ranges' ends; the outermost ranges, open on one side, are as wide as the data that lie there."""
-    spark = like.sparkSession
+def _range_ends(like: DataFrame, ends: list[tuple[int, int, int, float, float]]) -> DataFrame:
+    """The ranges' ends; the outermost ranges, open on one side, are as wide as the data that lie there."""
     real = F.when(F.col("key") > -float(1 << 61), F.col("key"))  # ids that were null lie far below all others
     least, most = like.agg(F.coalesce(F.min(real), F.lit(0.0)), F.max("key")).first()
-    ends[0], ends[-1] = (0, least, ends[0][2]), (ends[-1][0], ends[-1][1], most)
-    return spark.createDataFrame(ends, "at int, lo double, hi double")
+    ends[0], ends[-1] = (*ends[0][:3], least, ends[0][4]), (*ends[-1][:4], most)
+    return like.sparkSession.createDataFrame(ends, _ENDS)
 
 
 def spread(df: DataFrame) -> DataFrame:

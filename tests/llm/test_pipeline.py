@@ -97,6 +97,51 @@ def test_run_gives_the_rows_of_the_stages(spark, stages):
     assert key(corpus_pipeline.run(spark, SF).collect()) == key(stages[-1][1].collect())
 
 
+def test_two_runs_can_be_read_at_once(spark):
+    one, two = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
+    assert one.count() == two.count() > 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, carried map<string,int>, n_words string, at timestamp, chunk array<binary>"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows with nulls, repeats and clashing names in columns that the stages use inside."""
+    import datetime
+
+    prose = "The house on the hill was old and the people of the town did not like it . It is said that it has been there for many years ."
+    more = {"carried": {"a": 1}, "n_words": "x", "at": datetime.datetime(2024, 1, 2, 3, 4, 5, 678901), "chunk": [bytearray(b"\x00\xff")]}
+    texts = [prose, prose, prose.upper(), None, "", "short", prose + " " + prose, " ".join(f"word{i} and the" for i in range(3000))]
+    rows = [{"doc_id": i, "text": t, "lang": "en", "source": None, "n_chars": len(t or ""), **more} for i, t in enumerate(texts)]
+    rows += [{**rows[0], "doc_id": None}, {**rows[0], "doc_id": None, "text": None}, rows[1], {**rows[1], "n_words": "y"}, {"doc_id": 50}]
+    return spark.createDataFrame([{k: r.get(k) for k in ("doc_id", "text", "lang", "source", "n_chars", *more)} for r in rows], ODD)
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_stages_take_odd_rows_and_empty_tables(spark, odd, n):
+    name, stage = corpus_pipeline.STAGES[n]
+    got = stage(spark, odd, SF)
+    rows = got.collect()
+    none = stage(spark, odd.filter("false"), SF)
+    assert none.count() == 0 and none.columns == got.columns
+    if n == 4:
+        assert sorted({(r.doc_id is None, r.doc_id) for r in rows}) == sorted({(r.doc_id is None, r.doc_id) for r in odd.collect()})
+        return
+    assert got.dtypes == odd.dtypes
+    ids = [r.doc_id for r in rows]
+    kept = {r.doc_id: r for r in rows}
+    if name == "quality rules":
+        assert 0 in ids and not {3, 4, 5, 50} & set(ids)
+    if name == "n-gram Jaccard join":
+        assert sorted(i for i in ids if i is not None) == [0, 3, 4, 5, 7, 50] and ids.count(None) == 2
+    if name == "substring dedup":
+        assert kept[3].text is None and kept[4].text == "" and kept[50].lang is None and kept[5] == odd.filter("doc_id = 5").first()
+        assert 2 in ids and kept[7] == odd.filter("doc_id = 7").first()
+    if name == "benchmark decontamination":
+        assert len(rows) == odd.count()
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("op")))
 def test_registered_queries_return_a_row_per_document(spark, name):
     got = entry.queries()[name](spark, SF)
