@@ -3,8 +3,9 @@
 Texts are counts of lower-cased letter trigrams (bytes), hashed to ``DIM``
 columns. A linear classifier over families decides the family; inside it,
 one-versus-one linear support vector machines vote between the languages. The
-machines learn on at most ``SAMPLE`` labelled documents of each language (drawn by a hash of the
-id); predicting reads whole texts where they are and shuffles nothing.
+machines learn on at most ``SAMPLE`` labelled documents of each language, and ``SAMPLE_IN_ALL``
+of all (drawn by a hash of id and text), each machine in a task of its own; predicting reads
+whole texts where they are and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.textcore import slices, spread, text_buffer
+from plumbline.shared import scratch, written
 
-DIM, SAMPLE, SEED = 4096, 400, 11
+DIM, SAMPLE, SAMPLE_IN_ALL, SEED = 4096, 400, 20_000, 11
+#: Texts whose dense rows are in memory at once.
+TEXTS_AT_ONCE = 256
 UNDETERMINED = "und"
 #: Families of languages by code; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -43,7 +47,7 @@ _FOLD[65:91] = np.arange(97, 123)
 def trigrams(column) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first text, texts after the last, matrix of unit rows) of every slice of a string column."""
     data, offsets = text_buffer(column)
-    for a, b, part, off in slices(data, offsets):
+    for a, b, part, off in slices(data, offsets, most=TEXTS_AT_ONCE):
         folded = _FOLD[part].astype(np.int64)
         out = np.zeros((b - a, DIM), np.float32)
         if len(folded) >= 3:
@@ -51,13 +55,37 @@ def trigrams(column) -> Iterator[tuple[int, int, np.ndarray]]:
             doc = np.repeat(np.arange(b - a), np.diff(off))[:-2]
             inside = (np.arange(len(code)) + 3 <= np.repeat(off[1:], np.diff(off))[:-2]) & (code != 0x202020)
             column_of = (code * 2654435761 & 0xFFFFFFFF) >> 20
-            # a few texts at a time, so that the counts stay small
             out = np.bincount((doc * DIM + column_of)[inside], minlength=(b - a) * DIM).reshape(b - a, DIM).astype(np.float32)
         np.sqrt(out, out=out)
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
         yield a, b, out
 
 
+def family_of(lang: str) -> str:
+    return _FAMILY_OF.get(lang, f"only {lang}")
+
+
+def machines(langs: list[str]) -> list[tuple[str, str, str, int]]:
+    """(machine, its other side, language, sign): the languages that each machine learns from; a family's other side is ''."""
+    families: dict[str, list[str]] = {}
+    for lang in sorted(langs):
+        families.setdefault(family_of(lang), []).append(lang)
+    out = []
+    for family, members in families.items():
+        if len(families) > 1:
+            out += [(family, "", lang, 1 if lang in members else -1) for lang in sorted(langs)]
+        for a, b in combinations(members, 2):
+            out += [(a, b, a, 1), (a, b, b, -1)]
+    return out
+
+
+def _fitted(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("lang", "ascending"), ("x", "ascending")])
+    x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in rows.column("x")]).astype(np.float32)
+    w = fit_svm(x, rows.column("sign").to_numpy())
+    return pa.table({"a": rows.column("a")[:1], "b": rows.column("b")[:1], "w": pa.array([w.tobytes()], pa.binary())})
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, sweeps: int = 25) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by dual coordinate descent; y is 1 or -1."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float64)
@@ -75,23 +103,17 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, sweeps: int = 25) -
 
 
 class Model:
-    """Families, then languages. Without any labelled text it knows nothing and says so."""
+    """Families, then languages, from the weights of the machines. Without any labelled text it knows nothing and says so."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        self.langs = sorted(set(langs))
+    def __init__(self, langs: list[str], weights: dict[tuple[str, str], np.ndarray]):
+        self.langs = sorted(langs)
         families: dict[str, list[str]] = {}
         for lang in self.langs:
-            families.setdefault(_FAMILY_OF.get(lang, f"only {lang}"), []).append(lang)
+            families.setdefault(family_of(lang), []).append(lang)
         self.families = sorted(families)
         self.members = [families[f] for f in self.families]
-        y = np.array(langs)
-        of = np.array([_FAMILY_OF.get(v, f"only {v}") for v in langs])
-        self.family_w = np.stack([fit_svm(x, np.where(of == f, 1, -1)) for f in self.families], 1) if len(self.families) > 1 else None
-        self.pair_w = {}
-        for members in self.members:
-            for a, b in combinations(members, 2):
-                own = (y == a) | (y == b)
-                self.pair_w[a, b] = fit_svm(x[own], np.where(y[own] == a, 1, -1))
+        self.family_w = np.stack([weights[f, ""] for f in self.families], 1) if len(self.families) > 1 else None
+        self.pair_w = {pair: weights[pair] for members in self.members for pair in combinations(members, 2)}
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each row: the family's share times the mean share won from the family's others."""
@@ -128,33 +150,36 @@ def _held_out(id_col: str):
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> Model:
     known = docs.filter(~_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1 << 30)).alias("draw"), F.col(text_col).alias("text"))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(SEED)), F.lit(1 << 30))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"), F.col(text_col).cast("string").alias("text"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model(np.zeros((0, DIM), np.float32), [])
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1 << 30, int((1 << 30) * 1.2 * sample / n))).otherwise(share)
+        return Model([], {})
+    spark, each = docs.sparkSession, max(2, min(sample, SAMPLE_IN_ALL // len(sizes)))
+    share = spark.createDataFrame([(lang, min(1 << 30, int((1 << 30) * 1.2 * each / n))) for lang, n in sizes.items()], "lang string, share long")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [row.tobytes() for _, _, m in trigrams(batch.column(2)) for row in m.astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["lang", "draw", "x"])
 
-    drawn = known.filter(F.col("draw") < share).mapInArrow(features, "lang string, draw long, x binary")
-    rows, seen, taken = sorted(map(tuple, drawn.collect())), dict.fromkeys(sizes, 0), []
-    for lang, _, x in rows:
-        if seen[lang] < sample:
-            seen[lang] += 1
-            taken.append((lang, x))
-    return Model(np.stack([np.frombuffer(x, np.float16) for _, x in taken]).astype(np.float32), [lang for lang, _ in taken])
+    # equal rows have one draw and count once here
+    drawn = known.join(F.broadcast(share), "lang").filter(F.col("draw") < F.col("share")).dropDuplicates(["lang", "draw"]).select("lang", "draw", "text")
+    drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("r") <= each).drop("r")
+    with scratch(spark):
+        rows = written(drawn.mapInArrow(features, "lang string, draw long, x binary"), "labelled")
+        langs = [r["lang"] for r in rows.select("lang").distinct().collect()]
+        plan = spark.createDataFrame(machines(langs), "a string, b string, lang string, sign int")
+        fits = rows.join(F.broadcast(plan), "lang").select("a", "b", "lang", "sign", "x").groupBy("a", "b").applyInArrow(_fitted, "a string, b string, w binary")
+        weights = {(r["a"], r["b"]): np.frombuffer(r["w"], np.float32) for r in fits.collect()}
+    return Model(langs, weights)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learns from the text and the non-null language of documents whose id, as text, has a crc32 with remainder other than
-    2 by 4; at most ``sample`` of each language. Predictions depend on the text alone. A text that is null or has no
+    2 by 4; at most ``sample`` of each language and SAMPLE_IN_ALL of all, equal rows once. Predictions depend on the text alone. A text that is null or has no
     letter is ``und`` with score 0, and so is every text if nothing can be learned. A null id is not held out.
     Repeated rows are predicted alike. Other columns are not read.
     """

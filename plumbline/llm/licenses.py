@@ -5,9 +5,15 @@ keeps the least hash of every ``WINNOW`` consecutive shingles of ``SHINGLE``
 words, so any common run of SHINGLE + WINNOW - 1 words shares a fingerprint.
 The templates' fingerprints are an inverted index of fixed size that goes to
 the executors; documents are scanned where they are, without a shuffle. Hits
-of a template that lie within its length form a candidate place, and an
-alignment within ``BAND`` words of their diagonal (a third of a short template) decides how much of the
-template is there.
+of a template whose diagonals lie within ``BAND`` words (a third of a short
+template) form a candidate place, the place with the most hits first, and an
+alignment within that band decides how much of the template is there.
+
+``license_texts.TEMPLATES`` is the default set: whole texts of 0BSD, BSD-2,
+BSD-3, BSL-1.0, ISC, MIT, Unlicense and Zlib, the notices of AGPL-3.0,
+Apache-2.0, CC0, the CC-BY family, EPL-2.0, GPL-2.0 and 3.0, LGPL-2.1 and 3.0 and
+MPL-2.0, and one-line forms. The whole texts of the long licenses are not
+in it; give them, or any others, as a table (name, text).
 """
 
 from __future__ import annotations
@@ -20,42 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.license_texts import TEMPLATES
 from plumbline.llm.textcore import ALNUM, Words, slices, spread, text_buffer
 
-SHINGLE, WINNOW, BAND = 2, 3, 8
+SHINGLE, WINNOW, BAND = 2, 3, 24
+#: Templates may have so many bytes in all; their index goes to every executor.
+MOST_TEMPLATE_BYTES = 4 << 20
 LEAST_SHARE, LEAST_COVERAGE = 0.3, 0.8
 
-#: Public license notices by name.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0 header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
-        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
-        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
-        "See the License for the specific language governing permissions and limitations under the License."
-    ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
-        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "MIT": "Released under the MIT License",
-    "MIT text": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
-    ),
-}
-
-
 def winnow(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of the fingerprints of some texts; a text of fewer windows keeps its least shingle."""
     at, h = words.windows(SHINGLE)
@@ -78,22 +56,22 @@ def winnow(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def align(doc: np.ndarray, template: np.ndarray, band: int) -> tuple[int, int, int]:
     """(matched words, first and last matched word + 1 in doc) of the longest common subsequence within a band.
 
-    ``doc`` starts ``band`` words before the template's expected place. Of equal alignments the shortest span wins.
+    ``doc`` starts ``band`` words before the template's expected place. Of equal alignments the shortest span wins: first the
+    latest start, then the earliest end.
     """
-    n, width = len(doc), 2 * band + 1
-    best = [(0, 0, 0)] * (width + 1)  # per offset: (matches, -start, -end), larger is better
+    n, width, far = len(doc), 2 * band + 1, 1 << 20
+    padded = np.concatenate([doc, np.zeros(max(0, len(template) + width - n), doc.dtype)])
+    inside = np.arange(len(padded)) < n
+    best = np.full(width + 1, far, np.int64)  # per offset: matches, start and far - end in one number
     for i, word in enumerate(template):
-        row = [(0, 0, 0)] * (width + 1)
-        for o in range(width):
-            j = i + o
-            top = max(best[o + 1], row[o - 1] if o else (0, 0, 0))
-            if j < n and doc[j] == word:
-                m, s, _ = best[o]
-                top = max(top, (m + 1, s if m else -j, -(j + 1)))
-            row[o] = top
-        best = row
-    m, s, e = max(best)
-    return m, -s, -e
+        j = np.arange(i, i + width)
+        hit = (padded[i : i + width] == word) & inside[i : i + width]
+        m, s = best[:width] >> 42, (best[:width] >> 21) & (2 * far - 1)
+        grown = ((m + 1) << 42) | (np.where(m > 0, s, j) << 21) | (far - (j + 1))
+        row = np.maximum(best[1:], np.where(hit, grown, far))
+        best[:width] = np.maximum.accumulate(row)
+    top = int(best.max())
+    return (top >> 42, (top >> 21) & (2 * far - 1), far - (top & (2 * far - 1))) if top >> 42 else (0, 0, 0)
 
 
 class Index:
@@ -125,21 +103,26 @@ class Index:
         doc, template, diagonal = words.doc_of(hit), self.template[which], hit - self.place[which]
         order = np.lexsort((diagonal, template, doc))
         doc, template, diagonal = doc[order], template[order], diagonal[order]
-        out, i = [], 0
-        while i < len(doc):
-            t, j = int(template[i]), i + 1
-            band = min(BAND, max(1, len(self.words[t]) // 3))
-            while j < len(doc) and doc[j] == doc[i] and template[j] == t and diagonal[j] - diagonal[i] <= band:
-                j += 1
-            if j - i >= math.ceil(LEAST_SHARE * self.prints[t]):
-                w0, w1 = words.first[doc[i]], words.first[doc[i] + 1]
-                lead = int(diagonal[i:j].mean()) - band
-                lo, hi = max(lead, w0), min(lead + len(self.words[t]) + 2 * band, w1)
+        out = []
+        edges = np.append(np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(template, prepend=-1)), len(doc))
+        for i, j in zip(edges[:-1], edges[1:]):
+            t, w0, w1 = int(template[i]), words.first[doc[i]], words.first[doc[i] + 1]
+            size, band, need = len(self.words[t]), min(BAND, max(1, len(self.words[t]) // 3)), math.ceil(LEAST_SHARE * self.prints[t])
+            left = diagonal[i:j]
+            while len(left) >= need:
+                stop = np.searchsorted(left, left + band, side="right")
+                at = int((stop - np.arange(len(left))).argmax())
+                if stop[at] - at < need:
+                    break
+                lead = int(np.median(left[at : stop[at]])) - band
+                left = np.concatenate([left[:at], left[stop[at] :]])
+                lo, hi = max(lead, w0), min(lead + size + 2 * band, w1)
+                if hi <= lo:
+                    continue
                 part = np.concatenate([np.zeros(lo - lead, np.uint64), words.hash[lo:hi]])
                 m, s, e = align(part, self.words[t], band)
-                if m and m >= least * len(self.words[t]):
+                if m and m >= least * size:
                     out.append((int(doc[i]), t, m, int(lead + s - w0), int(lead + e - w0)))
-            i = j
         share = lambda r: r[2] / len(self.words[r[1]])
         by_doc: dict[int, list] = {}
         for r in set(out):
@@ -149,8 +132,20 @@ class Index:
         return sorted(out, key=lambda r: (r[0], self.names[r[1]], r[3], r[4]))
 
 
+def _given(templates: dict[str, str] | DataFrame | None) -> dict[str, str]:
+    if templates is None:
+        return TEMPLATES
+    if isinstance(templates, dict):
+        return templates
+    rows = templates.select(F.col("name").cast("string"), F.col("text").cast("string")).dropna()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes; at most {MOST_TEMPLATE_BYTES} go to every executor")
+    return {r["name"]: r["text"] for r in rows.collect()}
+
+
 def scan_licenses(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least_coverage: float = LEAST_COVERAGE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | DataFrame | None = None, least_coverage: float = LEAST_COVERAGE
 ) -> DataFrame:
     """One row per place: doc_id, license, matched_words, coverage, start_word, end_word, span_text.
 
@@ -159,8 +154,10 @@ def scan_licenses(
     is reported, also of templates that contain each other, but for one that overlaps a place of higher coverage
     and no fewer matched words. Null and empty texts have none. Repeated rows
     are scanned each; null ids come back null. Templates without words match nothing. Other columns are not read.
+
+    ``templates`` are names and texts, as a dict or a table (name, text) of at most MOST_TEMPLATE_BYTES in all.
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    index = docs.sparkSession.sparkContext.broadcast(Index(_given(templates)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value

@@ -138,11 +138,11 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data, offsets - offsets[0]
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES):
-    """(first text, texts after the last, bytes, offsets) of parts of at most ``limit`` bytes or one text."""
+def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES, most: int = 1 << 30):
+    """(first text, texts after the last, bytes, offsets) of parts of at most ``limit`` bytes (or one text) and ``most`` texts."""
     n, a = len(offsets) - 1, 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+        b = min(a + most, max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1))
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 

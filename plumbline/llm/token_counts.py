@@ -7,8 +7,8 @@ place the one with the earliest start stays unless a later one scores more, and
 a character without a piece of its own competes at the lowest score less 10.
 
 No piece has a word mark after another character, so the best path of a text
-is that of its words, each with its mark; every distinct word is solved once
-per task and batch of words.
+is that of its words, each with its mark; a word is solved once per task while
+it is remembered, and a word of any length in memory of a fixed size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from plumbline.llm.textcore import spread
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 400_000
+#: So many words, of at most so many characters, are remembered by a task; a longer word keeps so many cells while it is solved.
+MEMO_WORDS, MEMO_LETTERS, KEEP_CELLS = 400_000, 100, 4096
 
 
 def read_vocabulary(name: str) -> tuple[list[tuple[str, float]], set[int]]:
@@ -57,6 +58,7 @@ class Counter(dict):
             if piece.count(MARK) <= 1:  # words are split at every mark
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in pieces) + 1
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.held_bytes = held_bytes
 
@@ -66,31 +68,40 @@ class Counter(dict):
         return len(raw) if self.held_bytes.issuperset(raw) else 0
 
     def __missing__(self, word: str) -> int:
-        n = len(word)
-        best: list[float | None] = [None] * (n + 1)
-        count, lone = [0] * (n + 1), [False] * (n + 1)
-        best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ends[end].append(match)
-        for end in range(n):
+        # best score, pieces and whether the last one is unknown, of the prefixes that a piece can still continue
+        best: list[float] = [0.0]
+        count, lone = [0], [False]
+        before, matches = 0, self.automaton.iter(word)
+        match = next(matches, None)
+        for end, char in enumerate(word):
+            own = []
+            while match is not None and match[0] == end:
+                own.append(match[1])
+                match = next(matches, None)
             top, pieces, is_lone, single = None, 0, False, False
-            for size, score in sorted(ends[end], reverse=True):  # the earliest start first
+            for size, score in sorted(own, reverse=True):  # the earliest start first
                 single |= size == 1
-                start = end + 1 - size
+                start = end + 1 - size - before
                 s = best[start] + score
                 if top is None or s > top:
                     top, pieces, is_lone = s, count[start] + 1, False
-            if not single and (top is None or best[end] + self.unknown > top):
-                more = self.fallback(word[end])
+            if not single and (top is None or best[-1] + self.unknown > top):
+                more = self.fallback(char)
                 is_lone = not more
                 # unknown characters in a row are one piece
-                top, pieces = best[end] + self.unknown, count[end] + (more or int(not lone[end]))
-            best[end + 1], count[end + 1], lone[end + 1] = top, pieces, is_lone
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = count[n]
-        return count[n]
+                top, pieces = best[-1] + self.unknown, count[-1] + (more or int(not lone[-1]))
+            best.append(top)
+            count.append(pieces)
+            lone.append(is_lone)
+            if len(best) > KEEP_CELLS:
+                gone = len(best) - self.longest
+                before += gone
+                del best[:gone], count[:gone], lone[:gone]
+        if len(word) <= MEMO_LETTERS:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = count[-1]
+        return count[-1]
 
     def of_text(self, text: str) -> int:
         """Pieces of a whole text; spaces mark words, and the first word gets a mark if it has none."""
