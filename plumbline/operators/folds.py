@@ -65,24 +65,34 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0,
     return ranked.join(F.broadcast(smallest)).withColumn(name, ((F.col("_r") - 1) % F.col("_k")).cast("int")).drop("_d", "_r", "_k")  # one row
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5, least_groups: int = 3, most_groups: int = 100_000) -> DataFrame:
-    """(group, fold): whole groups, the largest first into the lightest fold; ties by group, then fold.
+#: Groups with more than this share of the rows are placed one by one; there are fewer than 1 / LARGE_GROUP of them.
+LARGE_GROUP = 1 / 1024
 
-    The group sizes are balanced on the driver; over ``most_groups`` groups the hash of the group decides instead, which
-    balances them by number.
+
+def group_folds(df: DataFrame, group: str, k: int = 5, least_groups: int = 3) -> DataFrame:
+    """(group, fold): whole groups, the large ones first, the largest into the lightest fold; ties by group, then fold.
+
+    The groups that hold more than LARGE_GROUP of the rows each (fewer than 1,024) are placed on the driver. All others are dealt by the
+    hash of the group, to each fold in proportion to what it still lacks of an even share.
     """
-    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).count()
-    n = sizes.count()
+    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    n, total = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    none = df.select(group, F.lit(0).alias("fold")).schema
     if n < least_groups:
-        return sizes.limit(0).select(group, F.lit(0).alias("fold"))
-    if n > most_groups:
-        return sizes.select(group, F.pmod(F.xxhash64(group), F.lit(min(k, n))).cast("int").alias("fold"))
-    load, out = [0] * min(k, n), []
-    for r in sorted(sizes.collect(), key=lambda r: (-r["count"], r[group])):
+        return df.sparkSession.createDataFrame([], none)
+    load, out, edge = [0] * min(k, n), [], total * LARGE_GROUP
+    for r in sorted(sizes.filter(F.col("_n") > edge).collect(), key=lambda r: (-r["_n"], r[group])):
         f = min(range(len(load)), key=lambda i: (load[i], i))
-        load[f] += r["count"]
+        load[f] += r["_n"]
         out.append((r[group], f))
-    return df.sparkSession.createDataFrame(out, df.select(group, F.lit(0).alias("fold")).schema)
+    placed = df.sparkSession.createDataFrame(out, none)
+    if len(out) == n:
+        return placed
+    lack = [max(total / len(load) - x, 0.0) for x in load]
+    up_to = [sum(lack[: i + 1]) / sum(lack) for i in range(len(lack))]
+    u = F.pmod(F.xxhash64(group), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    fold = F.size(F.filter(F.array(*map(F.lit, up_to[:-1])), lambda edge: edge <= u)).cast("int")
+    return placed.unionAll(sizes.filter(F.col("_n") <= edge).select(group, fold.alias("fold")))
 
 
 def permutation_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 0, name: str = "is_test") -> DataFrame:
@@ -145,22 +155,28 @@ def overlap_greedy_units(panel: DataFrame, cell: str, unit: str, period: str, le
     """(cell, unit, n_common) of the units left when units are dropped until ``least`` periods are common to all.
 
     Each step drops the unit whose loss gains most common periods; ties go to the unit with fewer periods, then the larger
-    name. Sets of periods stay inside one task per cell, so a cell must fit in one; cells with fewer than two units left
-    are not returned.
+    name. A step depends on the one before, so a cell is worked on in one task, on its table of units and periods; a step counts
+    units by period once. Cells with fewer than two units left are not returned.
     """
+    import numpy as np
     import pandas as pd
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf[cell].iloc[0]
-        held = {u: set(g) for u, g in pdf.groupby(unit)[period]}
-        while len(held) > 1:
-            common = set.intersection(*held.values())
-            if len(common) >= least:
-                return pd.DataFrame({cell: name, unit: sorted(held), "n_common": len(common)})
-            gain = {u: len(set.intersection(*(s for v, s in held.items() if v != u))) for u in held}
-            top = max(gain.values())
-            drop = max((u for u in held if gain[u] == top), key=lambda u: (-len(held[u]), u))
-            del held[drop]
+        units, u = np.unique(pdf[unit].to_numpy(), return_inverse=True)
+        periods, p = np.unique(pdf[period].to_numpy(), return_inverse=True)
+        has = np.zeros((len(units), len(periods)), bool)
+        has[u, p] = True
+        left, held = np.arange(len(units)), has.sum(1)
+        count = has.sum(0)
+        while len(left) > 1:
+            common = int((count == len(left)).sum())
+            if common >= least:
+                return pd.DataFrame({cell: name, unit: units[left], "n_common": common})
+            gain = (~has[np.ix_(left, np.flatnonzero(count == len(left) - 1))]).sum(1)  # periods that only this unit lacks
+            out = max(range(len(left)), key=lambda i: (gain[i], -held[left[i]], left[i]))
+            count = count - has[left[out]]
+            left = np.delete(left, out)
         return pd.DataFrame({cell: [], unit: [], "n_common": []})
 
     types = dict(panel.dtypes)

@@ -178,13 +178,46 @@ def perceptron(layers: list[int], seed: int = 42):
     return MultilayerPerceptronClassifier(layers=layers, maxIter=60, seed=seed)
 
 
-#: Learners by name; ridge, lasso and elastic net are solved from sums, the rest are Spark ML estimators.
+def linear(alpha: float = 0.0, l1_ratio: float | None = None) -> Callable:
+    """A linear learner for ``predicted``: its solution from one pass of sums."""
+
+    def run(train: DataFrame, test: DataFrame, features: list[str], y: str, key: str, name: str) -> DataFrame:
+        beta, a = fit_linear(train, features, y, alpha, l1_ratio)
+        return test.withColumn(name, linear_column(features, beta, a))
+
+    return run
+
+
+def discriminant() -> Callable:
+    def run(train: DataFrame, test: DataFrame, features: list[str], y: str, key: str, name: str) -> DataFrame:
+        scored = lda_scores(test, features, fit_lda(train, features, y))
+        return scored.select(*test.columns, F.col("pred").alias(name))
+
+    return run
+
+
+def neighbours(k: int = 8) -> Callable:
+    def run(train: DataFrame, test: DataFrame, features: list[str], y: str, key: str, name: str) -> DataFrame:
+        near = knn_features(test, train, features, y, key, k).select(F.col("test_key").alias("_tk"), F.col("pred").alias(name))
+        return test.join(near, test[key] == F.col("_tk"), "left").drop("_tk")
+
+    return run
+
+
+#: Learners by name, for ``predicted``: functions of (train, test, features, y, key, name), or Spark ML estimators.
 REGISTRY: dict[str, Callable] = {
-    "forest": forest, "forest_classifier": forest_classifier, "boosting": boosting, "boosting_classifier": boosting_classifier,
-    "logistic": logistic, "perceptron": perceptron,
+    "ols": linear, "ridge": lambda: linear(1.0), "lasso": lambda: linear(0.001, 1.0), "elastic_net": lambda: linear(0.001, 0.5), "discriminant": discriminant, "knn": neighbours,
+    "forest": forest, "forest_classifier": forest_classifier, "boosting": boosting, "boosting_classifier": boosting_classifier, "logistic": logistic,
+    "perceptron": lambda: perceptron([4, 8, 2]),
 }
 
 
+def predicted(model: str, train: DataFrame, test: DataFrame, features: list[str], y: str, key: str, name: str = "pred") -> DataFrame:
+    """Test rows with the prediction of the learner of that name, fitted on the training rows."""
+    made = REGISTRY[model]()
+    return made(train, test, features, y, key, name) if callable(made) and not hasattr(made, "fit") else fit_predict(made, train, test, features, y, name)
+
+
 def fit_predict(estimator, train: DataFrame, test: DataFrame, features: list[str], y: str, name: str = "pred") -> DataFrame:
     """Test rows with the estimator's prediction (the positive class's probability if it has one). No NULL features."""
     from pyspark.ml.feature import VectorAssembler
@@ -207,39 +240,44 @@ def fit_or_status(make: Callable[[], DataFrame], spark, schema: str, **labels: s
         return empty.withColumns({"status": F.lit("failed"), "reason": F.lit(type(e).__name__), **{k: F.lit(v) for k, v in labels.items()}})
 
 
-def knn_features(test: DataFrame, train: DataFrame, features: list[str], y: str, key: str, k: int = 8) -> DataFrame:
+def knn_features(test: DataFrame, train: DataFrame, features: list[str], y: str, key: str, k: int = 8, block: int = 20_000) -> DataFrame:
     """(test_key, pred): the mean of y over the k training rows nearest in feature space; ties by key.
 
-    The training side goes out in blocks by key hash; each task keeps its k best for every test row of its
-    block pair, and those meet again in one ranking. Test rows are the stated queries.
+    Test rows are the stated queries. Both sides are dealt into blocks of about ``block`` rows by key hash; each pair of blocks is a task
+    that keeps the k best of every test row, and those meet again in one ranking.
     """
     from pyspark.sql import Window
 
-    n = train.count()
-    blocks = max(1, -(-n // 20_000))
-    tr = train.dropna(subset=[*features, y]).select(F.col(key).alias("_k"), F.col(y).cast("double").alias("_y"), F.array(*(F.col(f).cast("double") for f in features)).alias("_v")).withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(blocks)).cast("int"))
+    tr = train.dropna(subset=[*features, y]).select(F.col(key).alias("_k"), F.col(y).cast("double").alias("_y"), F.array(*(F.col(f).cast("double") for f in features)).alias("_v"))
     te = test.dropna(subset=features).select(F.col(key).alias("_q"), F.array(*(F.col(f).cast("double") for f in features)).alias("_w"))
-    te = te.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    parts, asked = max(1, -(-tr.count() // block)), max(1, -(-te.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tr = tr.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(parts)).cast("int")).withColumn("_a", every(asked))
+    te = te.withColumn("_a", F.pmod(F.xxhash64("_q"), F.lit(asked)).cast("int")).withColumn("_b", every(parts))
 
     def nearest(queries: "pa.Table", rows: "pa.Table") -> "pa.Table":  # noqa: F821
         import pyarrow as pa
 
-        q, d, best = queries.column("_q"), [], []
-        v = np.array(rows.column("_v").to_pylist(), float).reshape(-1, len(features))
-        kk = rows.column("_k").to_numpy()
-        order = np.argsort(kk, kind="stable")
-        v, kk, yy = v[order], kk[order], rows.column("_y").to_numpy()[order]
-        w = np.array(queries.column("_w").to_pylist(), float).reshape(-1, len(features))
-        for i in range(len(w) if len(v) else 0):
-            dist = ((v - w[i]) ** 2).sum(1)
-            top = np.argsort(dist, kind="stable")[:k]
-            d.append(np.full(len(top), i))
-            best.append((dist[top], kk[top], yy[top]))
-        cat = lambda j: np.concatenate([b[j] for b in best]) if best else np.zeros(0)
-        at = np.concatenate(d) if d else np.zeros(0, int)
-        return pa.table({"_q": q.combine_chunks().take(pa.array(at, pa.int64())) if len(q) else pa.array([], pa.int64()), "_d": cat(0), "_k": pa.array(cat(1), pa.int64()), "_y": cat(2)})
-
-    near = te.groupBy("_b").cogroup(tr.groupBy("_b")).applyInArrow(nearest, "_q long, _d double, _k long, _y double")
+        flat = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
+        at, best = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
+        if queries.num_rows and rows.num_rows:
+            rows = rows.sort_by("_k")
+            v, w = flat(rows.column("_v")), flat(queries.column("_w"))
+            kk, yy = rows.column("_k").to_numpy(), rows.column("_y").to_numpy()
+            step = max(1, 2_000_000 // len(v))
+            for i in range(0, len(w), step):  # a bounded table of distances at a time
+                dist = np.zeros((min(step, len(w) - i), len(v)))
+                for f in range(v.shape[1]):
+                    dist += (w[i : i + step, f, None] - v[None, :, f]) ** 2
+                edge = np.partition(dist, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+                q, r = np.nonzero(dist <= edge[:, None])
+                at.append(q + i)
+                best.append(np.stack([dist[q, r], kk[r], yy[r]], 1))
+        at, best = np.concatenate(at), np.concatenate(best)
+        q = queries.column("_q").combine_chunks().take(pa.array(at)) if len(at) else pa.array([], pa.int64())
+        return pa.table({"_q": q, "_d": best[:, 0], "_k": pa.array(best[:, 1].astype(np.int64)), "_y": best[:, 2]})
+
+    near = te.groupBy("_a", "_b").cogroup(tr.groupBy("_a", "_b")).applyInArrow(nearest, "_q long, _d double, _k long, _y double")
     rank = Window.partitionBy("_q").orderBy("_d", "_k")
     return near.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= k).groupBy(F.col("_q").alias("test_key")).agg(F.avg("_y").alias("pred"))
 

@@ -2,8 +2,8 @@
 
 A window over a group sorts that group in one task. Here each group is first
 cut into ranges of its order column at approximate quantiles; windows run
-inside the ranges, and the ranges' totals (at most ``RANGES`` rows a group)
-give the offsets.
+inside the ranges, and the ranges' totals (at most COARSE * MOST_FINE rows a
+group) give the offsets.
 """
 
 from __future__ import annotations
@@ -11,18 +11,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: A group is cut into COARSE * FINE ranges at least; so many rows a range are aimed at beyond that.
+COARSE, MOST_FINE, RANGE_ROWS = 16, 256, 4_000_000
 
 
 def _ranged(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds ``_range``: how many of the group's quantiles lie below the order column."""
-    cuts = F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 20 * RANGES)
+    """Adds ``_range``: how many of the group's quantiles lie below the order column. The number of ranges follows the rows."""
+    fine = min(MOST_FINE, max(4, -(-df.count() // (COARSE * RANGE_ROWS))))
+    n = COARSE * fine
+    cuts = F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n)
     bounds = df.groupBy(*keys).agg(cuts.alias("_cuts"))
+    bounds = bounds.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.get("_cuts", i * fine - 1)))
     cond = [df[k].eqNullSafe(bounds[k]) for k in keys]
     joined = df.join(bounds, cond, "left") if keys else df.join(bounds)
     for k in keys:
         joined = joined.drop(bounds[k])
-    return joined.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    below = lambda c: c < F.col(order)
+    joined = joined.withColumn("_first", F.size(F.filter("_coarse", below)) * fine)  # all cuts before this one are below
+    inner = F.size(F.filter(F.slice("_cuts", F.col("_first") + 1, F.lit(fine)), below))
+    return joined.withColumn("_range", F.col("_first") + inner).drop("_cuts", "_coarse", "_first")
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]) -> DataFrame:

@@ -32,20 +32,26 @@ def _around(level: Column) -> Column:
     return F.flatten(F.transform(step, lambda a: F.flatten(F.transform(step, lambda b: F.transform(step, lambda c: _cell(level, a, b, c))))))
 
 
-def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lon: str = "lon", lat: str = "lat", keys: tuple[str, ...] = ()) -> DataFrame:
+def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lon: str = "lon", lat: str = "lat", keys: tuple[str, ...] = (), apart: str | None = None) -> DataFrame:
     """(keys, test_key, train_key, value, dist, rn): the k nearest training rows of each test row by chord; ties by key.
 
-    ``keys`` (such as fold) must agree on both sides. Each test row first meets the training rows in the finest grid
+    ``keys`` must agree on both sides; of ``apart`` (such as fold) both must have different values that are not NULL, so that rows of all
+    folds find their neighbours outside their own in one search. Each test row first meets the training rows in the finest grid
     neighbourhood that holds at least k of them. If its k-th distance is within a cell's edge the result is final;
     otherwise a second round uses the finest grid whose cells are as wide as that distance, which is enough. Of training rows at one
     place only the first k by key can matter, so places that hold many rows do not multiply. Fewer than k
     training rows give fewer neighbours. Small inputs, by a count of both sides, are compared in full.
     """
     keys = list(keys)
-    tr = _placed(train, lon, lat).select(*keys, F.col(key).alias("train_key"), F.col(value).cast("double").alias("value"), *_XYZ)
-    spot = Window.partitionBy(*keys, *_XYZ).orderBy("train_key")
+    if apart:
+        test, train = test.filter(F.col(apart).isNotNull()), train.filter(F.col(apart).isNotNull())
+    own_part, part = (["_own"], ["_part"]) if apart else ([], [])
+    mine = lambda names: [F.col(apart).alias(c) for c in names]
+    tr = _placed(train, lon, lat).select(*keys, *mine(part), F.col(key).alias("train_key"), F.col(value).cast("double").alias("value"), *_XYZ)
+    spot = Window.partitionBy(*keys, *part, *_XYZ).orderBy("train_key")
     tr = tr.withColumn("_r", F.row_number().over(spot)).filter(F.col("_r") <= k).drop("_r")
-    te = _placed(test, lon, lat).select(*keys, F.col(key).alias("test_key"), *_XYZ)
+    te = _placed(test, lon, lat).select(*keys, *mine(own_part), F.col(key).alias("test_key"), *_XYZ)
+    other = F.col("_own") != F.col("_part") if apart else F.lit(True)
     cols = [*keys, "test_key", "train_key", "value", "dist", "rn"]
     d = chord(tuple(F.col(c) for c in _XYZ), tuple(F.col(f"t{c}") for c in _XYZ))
     near = Window.partitionBy(*keys, "test_key").orderBy("dist", "train_key")
@@ -53,29 +59,39 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lo
     if n_train <= SMALL_TRAIN and n_train * te.count() <= SMALL_PAIRS:
         there = F.broadcast(tr.withColumnsRenamed({c: f"t{c}" for c in _XYZ}))  # at most SMALL_TRAIN rows
         pairs = te.join(there, keys) if keys else te.join(there)
-        return pairs.withColumn("dist", d).withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k).select(*cols)
+        return pairs.filter(other).withColumn("dist", d).withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k).select(*cols)
     levels = F.array(*(F.lit(v) for v in range(COARSEST, FINEST + 1)))
     # how many training rows each cell of each level holds
-    counts = tr.select(*keys, *_XYZ, F.explode(levels).alias("level")).groupBy(*keys, "level", _cell(F.col("level")).alias("cell")).agg(F.count(F.lit(1)).alias("_c"))
+    cell_keys = [*keys, "level", "cell"]
+    counts = tr.select(*keys, *part, *_XYZ, F.explode(levels).alias("level")).groupBy(*keys, *part, "level", _cell(F.col("level")).alias("cell")).agg(F.count(F.lit(1)).alias("_c"))
+    per_part = counts.withColumnsRenamed({"_part": "_own", "_c": "_o"})
+    counts = counts.groupBy(*cell_keys).agg(F.sum("_c").alias("_c")) if apart else counts
+
+    def counted(at: DataFrame) -> DataFrame:
+        """Training rows of each cell, less those that must not be met."""
+        out = at.join(counts, cell_keys, "left")
+        return out.join(per_part, [*cell_keys, "_own"], "left").withColumn("_c", F.col("_c") - F.coalesce("_o", F.lit(0))).drop("_o") if apart else out
+
     # the finest level whose own cell holds k is near the one wanted: only two finer ones need their neighbours counted
-    spots = te.select(*keys, "test_key", *_XYZ, F.explode(levels).alias("level")).withColumn("cell", _cell(F.col("level")))
-    own = spots.join(counts, [*keys, "level", "cell"], "left").groupBy(*keys, "test_key", *_XYZ).agg(F.coalesce(F.max(F.when(F.col("_c") >= k, F.col("level"))), F.lit(COARSEST)).alias("_l"))
+    who = [*keys, *own_part, "test_key", *_XYZ]
+    spots = te.select(*who, F.explode(levels).alias("level")).withColumn("cell", _cell(F.col("level")))
+    own = counted(spots).groupBy(*who).agg(F.coalesce(F.max(F.when(F.col("_c") >= k, F.col("level"))), F.lit(COARSEST)).alias("_l"))
     finer = F.sequence("_l", F.least(F.col("_l") + 2, F.lit(FINEST)))
-    asked = own.select(*keys, "test_key", *_XYZ, F.explode(finer).alias("level")).withColumn("cell", F.explode(_around(F.col("level"))))
-    held = asked.join(counts, [*keys, "level", "cell"], "left").groupBy(*keys, "test_key", *_XYZ, "level").agg(F.sum("_c").alias("_c"))
-    first = held.groupBy(*keys, "test_key", *_XYZ).agg(F.coalesce(F.max(F.when(F.col("_c") >= k, F.col("level"))), F.lit(COARSEST)).alias("level"))
+    asked = own.select(*who, F.explode(finer).alias("level")).withColumn("cell", F.explode(_around(F.col("level"))))
+    held = counted(asked).groupBy(*who, "level").agg(F.sum("_c").alias("_c"))
+    first = held.groupBy(*who).agg(F.coalesce(F.max(F.when(F.col("_c") >= k, F.col("level"))), F.lit(COARSEST)).alias("level"))
 
     def meet(at: DataFrame) -> DataFrame:
         used = at.select("level").distinct()
         cells = tr.join(used).withColumn("cell", _cell(F.col("level"))).withColumnsRenamed({c: f"t{c}" for c in _XYZ})  # a row per used level, 15 at most
         pairs = at.withColumn("cell", F.explode(_around(F.col("level")))).join(cells, [*keys, "level", "cell"])
-        pairs = pairs.withColumn("dist", d).withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k)
-        return pairs.select(*keys, "test_key", *_XYZ, "level", "train_key", "value", "dist", "rn")
+        pairs = pairs.filter(other).withColumn("dist", d).withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k)
+        return pairs.select(*who, "level", "train_key", "value", "dist", "rn")
 
     one = written(meet(first), "knn")  # read three times below
-    far = one.groupBy(*keys, "test_key", *_XYZ, "level").agg(F.max("dist").alias("_d"))
+    far = one.groupBy(*who, "level").agg(F.max("dist").alias("_d"))
     far = far.filter((F.col("_d") > F.pow(F.lit(2.0), -F.col("level"))) & (F.col("level") > COARSEST))
-    again = far.select(*keys, "test_key", *_XYZ, F.greatest(F.lit(COARSEST), F.least(F.col("level") - 1, F.floor(-F.log2("_d")))).cast("int").alias("level"))
+    again = far.select(*who, F.greatest(F.lit(COARSEST), F.least(F.col("level") - 1, F.floor(-F.log2("_d")))).cast("int").alias("level"))
     final = one.join(again.select(*keys, "test_key"), [*keys, "test_key"], "left_anti").select(*cols)
     return final.unionByName(meet(again).select(*cols))
 

@@ -105,10 +105,8 @@ def q11_depth_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest value, weighted neighbours and a ridge learner under random and spatial folds: RMSE per regime."""
     out = []
     for regime, p in _regimes(points(spark, sf_dir)).items():
-        names = p.select("fold").distinct()
-        train = p.withColumnRenamed("fold", "own").join(names, F.col("own") != F.col("fold"))  # a row per other fold
-        near = spatial.knn_join(p, train, 8, "vec_id", "y", keys=("fold",))
-        wide = spatial.idw(near, ("fold",), (1, 8)).groupBy(F.col("test_key").alias("vec_id")).pivot("k", [1, 8]).agg(F.first("pred"))
+        near = spatial.knn_join(p, p, 8, "vec_id", "y", apart="fold")
+        wide = spatial.idw(near, (), (1, 8)).groupBy(F.col("test_key").alias("vec_id")).pivot("k", [1, 8]).agg(F.first("pred"))
         ridge = learners.cross_fit_linear(p, "fold", ["x1", "x2"], "y", 1.0, name="ridge")
         s = ridge.join(wide, "vec_id")
         out.append(s.agg(F.lit(regime).alias("regime"), metrics.rmse("y", "1").alias("nearest"), metrics.rmse("y", "8").alias("idw8"), metrics.rmse("y", "ridge").alias("ridge")))

@@ -131,7 +131,7 @@ def f21_sample_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def f19_overlap_greedy_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = daily(spark, sf_dir).withColumn("cell", (F.col("unit") % 20).cast("int"))
+    p = daily(spark, sf_dir).withColumn("cell", F.floor(F.col("unit") / 8).cast("int"))  # cells grow in number, not in size
     return folds.overlap_greedy_units(p, "cell", "unit", "day", 12)
 
 

@@ -8,12 +8,23 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
-    """CSV or TSV with a header (a byte-order mark is skipped); NaN becomes NULL. Columns match by position."""
-    df = spark.read.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", True).csv(path)
+    """CSV or TSV with a header (a byte-order mark is skipped), columns by name; NaN becomes NULL.
+
+    The header of the first file says which columns there are and where; a file whose header differs is an error. Columns of the
+    schema that no header names are NULL, columns that the schema does not name are not read.
+    """
+    want = StructType.fromDDL(schema)
+    raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
+    types = {f.name: f.dataType for f in want}
+    there = StructType([StructField(c, types.get(c, StringType())) for c in raw.columns])
+    df = spark.read.schema(there).option("header", True).option("sep", sep).option("enforceSchema", False).csv(path)
+    df = df.select(*(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want))
     df = df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
     return df.select(*columns) if columns else df
 
@@ -44,10 +55,8 @@ def read_panel(spark: SparkSession, folder: str, columns: list[str]) -> DataFram
 
 
 def read_zipped_csv(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
-    """The CSV members whose name ends with ``member`` in ZIP archives, as text parsed to the schema. One task per archive."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    want: StructType = _parse_datatype_string(schema)
+    """The CSV members whose name ends with ``member`` in ZIP archives, as text parsed to the schema. One task per archive of at most 2 GB."""
+    want = StructType.fromDDL(schema)
     names = want.fieldNames()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,16 +74,18 @@ def read_zipped_csv(spark: SparkSession, path: str, member: str, schema: str) ->
 
 
 def read_csv_with_preamble(spark: SparkSession, path: str, first_cell: str, schema: str) -> DataFrame:
-    """CSV whose header is the first line that starts with ``first_cell``; the lines above it are dropped.
+    """CSV whose header is the first record that starts with ``first_cell``; the records above it are dropped.
 
-    The header's offset is found by file, so several files with different preambles can be read at once; a
-    file without a header gives no rows.
+    Columns match by position. Records may have line breaks in quotes, so a file is read by one task, record by record. Every file has
+    its own header, so several files with different preambles can be read at once; a file without a header gives no rows.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    at = F.regexp_instr("value", F.lit(rf"(?m)^\"?{first_cell}"))
-    body = lines.filter(at > 0).select(F.explode(F.split(F.substr("value", at), r"\r?\n")).alias("line"))
-    body = body.filter((F.trim("line") != "") & ~F.col("line").rlike(rf"^\"?{first_cell}"))
-    return body.select(F.from_csv("line", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    want = StructType.fromDDL(schema)
+    text = StructType([StructField(f"_{i}", StringType()) for i in range(len(want))])
+    rows = spark.read.schema(text).option("multiLine", True).csv(path).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    first = F.regexp_replace("_0", "^\ufeff", "")
+    header = F.min(F.when(first == first_cell, F.col("_at"))).over(Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    body = rows.withColumn("_h", header).filter(F.col("_h").isNotNull() & F.coalesce(*text.fieldNames()).isNotNull())
+    return body.select(*(F.nullif(F.col(f"_{i}"), F.lit("")).try_cast(f.dataType).alias(f.name) for i, f in enumerate(want)))
 
 
 def read_horizons(spark: SparkSession, path: str, frequencies: list[str], horizons: list[str]) -> DataFrame:
@@ -97,9 +108,15 @@ def read_mirror(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """(path, status): ok, changed or missing for each (path, sha256) of a manifest. Files are hashed where they are read."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """(path, status): ok, changed, missing or too large for each (path, sha256) of a manifest.
+
+    Files are hashed where they are read, each in one task; the content of one of 2 GB or more is not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://")
-    have = there.select(F.regexp_replace("path", "^file:/*", "/").alias("_p"), F.sha2("content", 256).alias("_h")).withColumn("path", F.substr("_p", F.lit(len(base) + 2)))
+    name = F.substr(F.regexp_replace("path", "^file:/*", "/"), F.lit(len(base) + 2))
+    small = F.col("length") < (1 << 31) - 1
+    have = files.filter(small).select(name.alias("path"), F.sha2("content", 256).alias("_h")).unionAll(files.filter(~small).select(name, F.lit("")))
     out = manifest.join(have, "path", "left")
-    return out.select("path", F.when(F.col("_h").isNull(), "missing").when(F.lower("sha256") == F.col("_h"), "ok").otherwise("changed").alias("status"))
+    status = F.when(F.col("_h").isNull(), "missing").when(F.col("_h") == "", "too large").when(F.lower("sha256") == F.col("_h"), "ok").otherwise("changed")
+    return out.select("path", status.alias("status"))

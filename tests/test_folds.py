@@ -33,8 +33,9 @@ def test_group_folds_keep_groups_whole_and_balance(spark):
     got = {r.g: r.fold for r in folds.group_folds(df, "g", 2).collect()}
     assert got == {"a": 0, "b": 1, "c": 1, "d": 0}
     assert folds.group_folds(df.filter("g in ('a', 'b')"), "g", 2).count() == 0
-    many = {r.g: r.fold for r in folds.group_folds(df, "g", 2, most_groups=2).collect()}
-    assert set(many) == set("abcd")
+    many = spark.range(60_000).select(F.when(F.col("id") < 20_000, -1).otherwise(F.col("id") % 5000).alias("g"))
+    loads = {r["fold"]: r["count"] for r in many.join(folds.group_folds(many, "g", 4), "g").groupBy("fold").count().collect()}
+    assert loads.pop(0) == 20_000 and sorted(loads) == [1, 2, 3] and max(loads.values()) < 1.1 * min(loads.values())
 
 
 def test_splits(spark):
@@ -58,6 +59,43 @@ def test_overlap_greedy(spark):
     assert [(r.unit, r.n_common) for r in got] == [("a", 8), ("b", 8)]
 
 
+def test_overlap_greedy_equals_set_intersections(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = sorted({(c, u, rng.randint(0, 25)) for c in range(6) for u in range(rng.randint(1, 9)) for _ in range(rng.randint(5, 40))})
+    got = sorted(tuple(r) for r in folds.overlap_greedy_units(spark.createDataFrame(rows, "cell int, unit int, p int"), "cell", "unit", "p", 9).collect())
+    want = []
+    for c in range(6):
+        held = {}
+        for k, u, p in rows:
+            if k == c:
+                held.setdefault(u, set()).add(p)
+        while len(held) > 1:
+            common = set.intersection(*held.values())
+            if len(common) >= 9:
+                want += [(c, u, len(common)) for u in held]
+                break
+            gain = {u: len(set.intersection(*(s for v, s in held.items() if v != u))) for u in held}
+            del held[max(held, key=lambda u: (gain[u], -len(held[u]), u))]
+    assert got == sorted(want) and want
+
+
+def test_neighbours_outside_the_own_fold(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0, 0, 1, 2, None]), *rng.choice([(rng.uniform(-180, 180), rng.uniform(-90, 90)), (10.0, 20.0)]), float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, fold int, lon double, lat double, y double")
+    key = lambda d: sorted((r.test_key, r.rn, r.train_key, round(r.dist, 12)) for r in d.collect())
+    names = df.select("fold").distinct().filter("fold is not null")
+    copies = df.withColumnRenamed("fold", "own").join(names, F.col("own") != F.col("fold"))
+    want = key(spatial.knn_join(df.filter("fold is not null"), copies, 4, "id", "y", keys=("fold",)))
+    assert key(spatial.knn_join(df, df, 4, "id", "y", apart="fold")) == want and want
+    monkeypatch.setattr(spatial, "SMALL_PAIRS", 0)
+    assert key(spatial.knn_join(df, df, 4, "id", "y", apart="fold")) == want
+
+
 def test_neighbours_and_weights(spark):
     df = nine(spark)
     te, tr = df.filter("id = 0"), df.filter("id > 0")

@@ -1,3 +1,4 @@
+import numpy as np
 import math
 import random
 
@@ -66,6 +67,13 @@ def test_proportion_intervals(spark):
     # exact limits of 6 of 68 and 2 of 91
     assert [round(100 * got[0].c.lo, 1), round(100 * got[0].c.hi, 1)] == [3.3, 18.2]
     assert [round(100 * got[1].c.lo, 2), round(100 * got[1].c.hi, 2)] == [0.27, 7.71]
+    k, n = np.array([1, 3, 7, 250_000]), np.array([4, 9, 11, 1_000_000])
+    from math import comb
+
+    for p in (0.01, 0.3, 0.9):
+        want = [sum(comb(int(b), x) * p**x * (1 - p) ** (int(b) - x) for x in range(int(a), int(b) + 1)) for a, b in zip(k[:3], n[:3])]
+        assert np.allclose(metrics._binomial_tail(k[:3], n[:3], np.full(3, p)), want, rtol=1e-10)
+    assert abs(metrics._binomial_tail(k, n, np.full(4, 0.25))[3] - 0.5) < 0.001
     assert got[2].c.lo == 0 and got[3].c.hi == 1 and all(0 <= r.lo <= r.k / 91 or r.k for r in got)
 
 

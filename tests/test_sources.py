@@ -15,14 +15,18 @@ def test_text_readers(spark, tmp_path):
     got = readers.read_csv(spark, str(tmp_path / "a_one.csv"), "fold string, v double")
     assert [tuple(r) for r in got.collect()] == [("1", 2.5), ("x_y", None)]
     assert readers.read_csv(spark, str(tmp_path / "t.tsv"), "fold string, v double", ["v"], "\t").collect() == [(2.0,)]
+    (tmp_path / "turned.csv").write_text("extra,v,fold\nz,2.5,a\n")
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "turned.csv"), "fold string, v double, w int").collect()] == [("a", 2.5, None)]
     glob = readers.read_csv_glob(spark, str(tmp_path), "a_*.csv", ["skip"], "fold string, v double")
     assert {r.source_file for r in glob.collect()} == {"a_one.csv"}
     assert readers.read_csv_text(spark, str(tmp_path / "a_one.csv")).dtypes == [("fold", "string"), ("v", "string")]
 
 
 def test_preamble_zip_and_units(spark, tmp_path):
-    (tmp_path / "p.csv").write_text("made by x\n\nSite,v\nA,1\nB,\n")
-    assert [tuple(r) for r in readers.read_csv_with_preamble(spark, str(tmp_path / "p.csv"), "Site", "Site string, v double").collect()] == [("A", 1.0), ("B", None)]
+    (tmp_path / "p.csv").write_text('made by x\n\nSite,v\nA,1\nB,\n"two\nlines",3\nSite,4\n')
+    (tmp_path / "q.csv").write_text("no header\nA,1\n")
+    assert [tuple(r) for r in readers.read_csv_with_preamble(spark, str(tmp_path / "p.csv"), "Site", "Site string, v double").collect()] == [("A", 1.0), ("B", None), ("two\nlines", 3.0), ("Site", 4.0)]
+    assert readers.read_csv_with_preamble(spark, str(tmp_path / "[pq].csv"), "Site", "Site string, v double").count() == 4
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("in/one.csv", "k,v\n1,2\n2,bad\n")
         z.writestr("in/readme.txt", "no")
