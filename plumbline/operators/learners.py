@@ -282,6 +282,30 @@ def knn_features(test: DataFrame, train: DataFrame, features: list[str], y: str,
     return near.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= k).groupBy(F.col("_q").alias("test_key")).agg(F.avg("_y").alias("pred"))
 
 
+def cross_fit_single(df: DataFrame, fold: str, features: list[str], y: str, name: str = "pred") -> DataFrame:
+    """Adds the prediction of the one-variable line that fits the rows outside a row's fold best; ties go to the later feature.
+
+    As in ``cross_fit_linear`` one row of sums a fold reaches the driver.
+    """
+    rows = gram(df, [fold], features, y).collect()
+    parts = {r[fold]: _moments(r, len(features)) for r in rows}
+    total = [sum(p[i] for p in parts.values()) for i in range(3)] if parts else None
+    lines = []
+    for f, part in parts.items():
+        n, s, q = (total[i] - part[i] for i in range(3))
+        if n <= 0:
+            continue
+        cov = q / n - np.outer(s / n, s / n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fit = np.nan_to_num(cov[:-1, -1] ** 2 / (np.diag(cov)[:-1] * cov[-1, -1]), nan=-1.0)
+        best = max(range(len(features)), key=lambda i: (fit[i], i))
+        slope = cov[best, -1] / cov[best, best] if cov[best, best] > 0 else 0.0
+        lines.append((f, best, float(slope), float(s[-1] / n - slope * s[best] / n)))
+    coef = df.sparkSession.createDataFrame(lines, f"{fold} {dict(df.dtypes)[fold]}, _f int, _b double, _a double")
+    x = F.get(F.array(*(F.col(f).cast("double") for f in features)), F.col("_f"))
+    return df.join(coef, fold, "left").withColumn(name, F.col("_a") + F.col("_b") * x).drop("_f", "_b", "_a")
+
+
 def single_proxy(df: DataFrame, features: list[str], y: str, is_train: Column) -> DataFrame:
     """(feature, slope, intercept, train_r2), the feature whose one-variable line fits the training rows best; ties by name."""
     own = df.filter(is_train & F.col(y).isNotNull())

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.draws import draw_sql, fold_of
 from plumbline.operators import baselines, bootstrap, encode, folds, learners, metrics, panel, spatial, summary
-from plumbline.plans.learning import lines
 from plumbline.plans.spatial import FOLDED
 from plumbline.plans.tables import CUTOFF, DAILY, customers, daily, points, registered, rounded, table
 
@@ -100,19 +99,6 @@ def q9_learner_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_stack(_at_once(out)).groupBy("model").agg(F.median(F.when(F.col("regime") == "random", F.col("r2"))).alias("random_median"), F.median(F.when(F.col("regime") == "spatial", F.col("r2"))).alias("spatial_median"), F.count_if(F.col("status") == "failed").alias("n_failed")), 4)
 
 
-@registered()
-def q11_depth_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest value, weighted neighbours and a ridge learner under random and spatial folds: RMSE per regime."""
-    out = []
-    for regime, p in _regimes(points(spark, sf_dir)).items():
-        near = spatial.knn_join(p, p, 8, "vec_id", "y", apart="fold")
-        wide = spatial.idw(near, (), (1, 8)).groupBy(F.col("test_key").alias("vec_id")).pivot("k", [1, 8]).agg(F.first("pred"))
-        ridge = learners.cross_fit_linear(p, "fold", ["x1", "x2"], "y", 1.0, name="ridge")
-        s = ridge.join(wide, "vec_id")
-        out.append(s.agg(F.lit(regime).alias("regime"), metrics.rmse("y", "1").alias("nearest"), metrics.rmse("y", "8").alias("idw8"), metrics.rmse("y", "ridge").alias("ridge")))
-    return rounded(_stack(out))
-
-
 def _driven(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily panel with drivers known at the cutoff row, one step ahead."""
     cut = F.lit(CUTOFF).cast("date")
@@ -138,21 +124,6 @@ def q15_driver_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_stack(out))
 
 
-@registered()
-def q16_proxy_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random against whole-order folds: a ridge learner, the best single proxy and the order's own mean."""
-    base = lines(spark, sf_dir).withColumn("order", F.floor(F.col("id") / 10))
-    out = []
-    for regime, df in (("random", base.withColumn("fold", fold_of(F.col("id"), 5, 3))), ("group", base)):
-        tr, te = df.filter("fold <> 0"), df.filter("fold = 0")
-        proxy = learners.single_proxy(df, ["q", "d", "t"], "y", F.col("fold") != 0).first()
-        beta, a = learners.fit_linear(tr, ["q", "d", "t"], "y", 1.0)
-        p = te.withColumns({"ridge": learners.linear_column(["q", "d", "t"], beta, a), "single": F.lit(proxy.intercept) + F.lit(proxy.slope) * F.col(proxy.feature)})
-        p = baselines.group_mean(tr, p, ["order"], "y")
-        out.append(p.agg(F.lit(regime).alias("regime"), F.lit(proxy.feature).alias("proxy"), metrics.r2("y", "ridge").alias("ridge"), metrics.r2("y", "single").alias("single_proxy"), metrics.r2("y", "pred").alias("same_unit_mean"), F.avg(F.col("seen").cast("double")).alias("seen_share")))
-    return rounded(_stack(out))
-
-
 @registered(f"""WITH {DAILY}, f AS (SELECT unit, day, value, CAST({draw_sql('unit', 1)} % 3 AS INTEGER) AS cell FROM daily) SELECT cell, count(DISTINCT unit) AS n_units, count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day FROM f GROUP BY 1""")
 def q13_panel_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir).withColumn("cell", fold_of(F.col("unit"), 3, 1))
