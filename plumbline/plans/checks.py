@@ -13,14 +13,16 @@ from plumbline.plans.tables import CUSTOMERS, customers, registered, rounded, ta
 @registered("""SELECT 'nations' AS "check", CASE WHEN count(*) = 25 THEN 'ok' ELSE 'failed' END AS status, concat('rows ', count(*), ' expected 25') AS detail FROM nation
 UNION ALL SELECT 'order key', CASE WHEN count(*) = count(DISTINCT o_orderkey) THEN 'ok' ELSE 'failed' END, concat('repeated keys ', (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1))) FROM orders
 UNION ALL SELECT 'price', CASE WHEN count(*) FILTER (NOT coalesce(o_totalprice > 0, false)) = 0 THEN 'ok' ELSE 'failed' END, concat('violations ', count(*) FILTER (NOT coalesce(o_totalprice > 0, false))) FROM orders
-UNION ALL SELECT 'no comments', 'ok', 'none'
-UNION ALL SELECT 'status parts', 'ok', concat('sum ', CAST(CAST(count(*) AS DOUBLE) AS VARCHAR)) FROM region""")
+UNION ALL SELECT 'no comments', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'failed' END, CASE WHEN count(*) = 0 THEN 'none' ELSE concat('found ', string_agg(lower(column_name), ',' ORDER BY lower(column_name))) END FROM (DESCRIBE orders) WHERE lower(column_name) IN ('o_comment', 'o_clerk')
+UNION ALL SELECT 'no prices', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'failed' END, CASE WHEN count(*) = 0 THEN 'none' ELSE concat('found ', string_agg(lower(column_name), ',' ORDER BY lower(column_name))) END FROM (DESCRIBE orders) WHERE lower(column_name) IN ('o_totalprice', 'o_clerk')
+UNION ALL SELECT 'status parts', CASE WHEN sum(n) = (SELECT count(*) FROM orders) THEN 'ok' ELSE 'failed' END, concat('sum ', CAST(CAST(sum(n) AS DOUBLE) AS VARCHAR)) FROM (SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1)""")
 def c1_contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, n, r = table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    ones = r.select(F.lit(1.0).alias("one"))
+    o, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation")
+    parts = o.filter("o_orderstatus is not null").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("part"))
     return contracts.report([
         contracts.row_count(n, "nations", 25), contracts.unique(o, "order key", ["o_orderkey"]), contracts.every(o, "price", F.col("o_totalprice") > 0),
-        contracts.forbidden_columns(o, "no comments", ["o_comment"]), contracts.parts_sum(ones, "status parts", "one", 5.0),
+        contracts.forbidden_columns(o, "no comments", ["o_comment", "o_clerk"]), contracts.forbidden_columns(o, "no prices", ["o_totalprice", "o_clerk"]),
+        contracts.parts_sum(parts, "status parts", "part", float(o.count())),
     ])
 
 
