@@ -58,6 +58,7 @@ def _features(docs: DataFrame, text_col: str, keep_text: bool) -> tuple[DataFram
         "n_ends": (F.size(F.split(t, r"[.!?](?=[\x20\x09-\x0D]|$)")) - 1).cast("long"),
         "n_kinds": F.size(F.array_distinct(w)).cast("long"),
         "n_letters": (F.length(t) - F.length(F.regexp_replace(t, r"[\p{L}\p{N}]+", ""))).cast("long"),
+        "n_foreign": _count(F.col(t), r"[\p{L}&&[^A-Za-z\u00C0-\u024F]]+"),
         "n_function": F.size(F.filter(w, lambda x: x.isin(FUNCTION_WORDS))).cast("long"),
     }
     df = df.select(*keep, F.when(F.size(w) > 5, runs).alias(h), lines.alias(s), F.struct(*(v.alias(k) for k, v in counts.items())).alias(q))
@@ -74,12 +75,16 @@ def _features(docs: DataFrame, text_col: str, keep_text: bool) -> tuple[DataFram
 
 
 def rules(q: str) -> list[tuple[str, Column, Column]]:
-    """(name, votes good, votes bad) of each rule over the counts in struct ``q``."""
+    """(name, votes good, votes bad) of each rule over the counts in struct ``q``.
+
+    Where most letters are not Latin, the rules that assume spaces between words and Western full stops abstain.
+    """
     c = lambda name: F.col(f"{q}.{name}").cast("double")
     n = F.greatest(c("n_words"), F.lit(1.0))
     per = lambda name: c(name) / n
     per_char = lambda name: c(name) / F.greatest(c("word_chars"), F.lit(1.0))
     length, upper, ends, kinds = per("word_chars"), per_char("n_upper"), per("n_ends"), per("n_kinds")
+    spaced = c("n_foreign") * 2 <= c("word_chars")  # most letters are Latin: the rules about words and sentences apply
     dup = c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1.0))
     return [
         ("symbols", per("n_symbols") <= 0.05, per("n_symbols") > 0.2),
@@ -87,11 +92,11 @@ def rules(q: str) -> list[tuple[str, Column, Column]]:
         ("shouting", per("n_shouts") < 0.1, per("n_shouts") > 0.3),
         ("cells", per("n_pipes") < 0.02, per("n_pipes") > 0.2),
         ("repeats", per("n_repeat_words") < 0.05, per("n_repeat_words") > 0.2),
-        ("sentences", (ends >= 0.01) & (ends <= 0.3), (ends > 0.5) | ((ends == 0) & (n >= 30))),
-        ("word length", (length >= 3) & (length <= 9), (length > 14) | (length < 2)),
+        ("sentences", spaced & (ends >= 0.01) & (ends <= 0.3), spaced & ((ends > 0.5) | ((ends == 0) & (n >= 30)))),
+        ("word length", spaced & (length >= 3) & (length <= 9), spaced & ((length > 14) | (length < 2))),
         ("lines", dup == 0, dup > 0.3),
         ("letters", per_char("n_letters") > 0.9, per_char("n_letters") < 0.82),
-        ("function words", per("n_function") > 0.08, (n >= 30) & (per("n_function") < 0.03)),
+        ("function words", per("n_function") > 0.08, spaced & (n >= 30) & (per("n_function") < 0.03)),
         ("variety", (n >= 50) & (n <= 5000) & (kinds > 0.3), (n >= 50) & (n <= 5000) & (kinds < 0.1)),
     ]
 

@@ -100,6 +100,48 @@ def test_kept_does_not_change_at_a_tighter_tolerance(spark):
     assert kept == set(np.flatnonzero(settled(np.array(NEAR_CUT, float), 3, 1e-10) >= 0.5).tolist())
 
 
+def test_posterior_and_kept_equal_numpy(table):
+    rows = [(i, GOOD.format(f" {i}x")) for i in range(40)] + [(100 + i, JUNK[i % 2].format(f"w{i}")) for i in range(9)] + [(200, "few words"), (201, "no " * 200), (202, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    df, q = quality.judge(table(rows))
+    got = [r[q] for r in df.collect()]
+    n = np.bincount([r.pattern for r in got if r.n_words >= 10], minlength=3**11).astype(float)
+    used = np.flatnonzero(n)
+    want = settled_on(used, n[used], 11, 1e-10)
+    for r in got:
+        if r.n_words >= 10:
+            assert abs(r.posterior - want[r.pattern]) < 1e-4
+            assert r.kept == (not r.base_failed and want[r.pattern] >= 0.5)
+
+
+def settled_on(patterns, n, rules, tolerance):
+    """As ``settled``, for the patterns that occur."""
+    votes = np.stack([patterns // 3**j % 3 for j in range(rules)], 1)
+    good, bad = (votes == 1).sum(1), (votes == 2).sum(1)
+    r, was = (good + 0.5) / (good + bad + 1), np.inf
+    while True:
+        on = np.stack([n * (1 - r), n * r])
+        total = on.sum(1)
+        prior = (total[1] + 1) / (total.sum() + 2)
+        rates = np.array([[[(x * (votes[:, j] == v)).sum() + 1 for x in on] for v in range(3)] for j in range(rules)]) / (total + 3)
+        now = np.append(rates.ravel(), prior)
+        if np.abs(now - was).max() < tolerance:
+            return dict(zip(patterns.tolist(), r))
+        was = now
+        r = 1 / (1 + np.exp(-np.log(prior / (1 - prior)) - np.log(rates[:, :, 1] / rates[:, :, 0])[np.arange(rules), votes].sum(1)))
+
+
+def test_other_scripts_get_no_votes_about_words(table):
+    cjk = "\u4f60\u597d\u4e16\u754c\u3002" * 30
+    df, q = quality.judge(table([(1, " ".join([cjk] * 40)), (2, GOOD), (3, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 20)]))
+    names = [n for n, _, _ in quality.rules(q)]
+    for r in df.collect():
+        votes = {n: r[q].pattern // 3**j % 3 for j, n in enumerate(names)}
+        if r.doc_id != 2:
+            assert votes["sentences"] == votes["word length"] == votes["function words"] == 0
+        else:
+            assert votes["function words"] == 1
+
+
 def test_steps_that_do_not_settle_are_reported(spark, monkeypatch):
     patterns = spark.createDataFrame([(k, float(n)) for k, n in enumerate(NEAR_CUT)], "pattern int, n double")
     monkeypatch.setattr(quality, "STEPS", 3)
