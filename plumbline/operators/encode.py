@@ -99,12 +99,13 @@ def complete_rows(df: DataFrame, required: list[str]) -> DataFrame:
     return df.dropna(subset=required)
 
 
-def label_index(df: DataFrame, label: str, name: str) -> DataFrame:
-    """Adds the place of each class in alphabetical order, from 0."""
-    from pyspark.sql import Window
-
+def label_index(df: DataFrame, label: str, name: str, most: int = 100_000) -> DataFrame:
+    """Adds the place of each class in alphabetical order, from 0. There may be at most ``most`` classes."""
     classes = df.filter(F.col(label).isNotNull()).select(label).distinct()
-    numbered = classes.withColumn(name, F.row_number().over(Window.orderBy(label)) - 1)  # classes are few
+    found = [r[0] for r in classes.limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{label} has more than {most} classes")
+    numbered = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(sorted(found))], classes.withColumn(name, F.lit(0)).schema)
     return df.join(numbered, label, "left")
 
 

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranking import quantiles
+
 
 def gram(df: DataFrame, keys: list[str], features: list[str], y: str, weight: Column | None = None) -> DataFrame:
     """(keys, n, and the sums of products of 1, the features and y); rows with a missing value are left out."""
@@ -114,7 +116,10 @@ def lda_scores(df: DataFrame, features: list[str], model: tuple[list, np.ndarray
 
 def median_impute(df: DataFrame, fold: str, features: list[str], train: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """NULL features become the training median (exact; 0 if a feature is missing throughout). Fitted on ``train(df)``."""
-    med = (train(df) if train else df).agg(*(F.coalesce(F.median(f), F.lit(0.0)).alias(f"_m_{f}") for f in features))
+    own, med = (train(df) if train else df), df.sparkSession.range(1).select()
+    for f in features:
+        one = quantiles(own, [], f, [0.5]).agg(F.coalesce(F.max(F.get("q", F.lit(0))), F.lit(0.0)).alias(f"_m_{f}"))
+        med = med.join(one)  # one row each
     return df.join(F.broadcast(med)).withColumns({f: F.coalesce(F.col(f), F.col(f"_m_{f}")) for f in features}).drop(*(f"_m_{f}" for f in features))  # one row
 
 

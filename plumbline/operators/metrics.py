@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.ranking import average_rank, running_sums
+from plumbline.operators.ranking import average_rank, quantiles, running_sums
 from plumbline.shared import written
 
 
@@ -165,9 +165,10 @@ def clopper_pearson(k: pd.Series, n: pd.Series) -> pd.DataFrame:
 
 
 def describe(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """n, mean, sample sd, min, 5 %, median, 95 %, max. Exact percentiles."""
-    q = F.percentile(F.col(x), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"))
+    """n, mean, sample sd, min, 5 %, median, 95 %, max. Exact percentiles; groups whose x is NULL throughout have none."""
+    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(df, keys, x, [0.05, 0.5, 0.95]).drop("n").withColumnsRenamed({"q": "_q", **{k: f"_k{i}" for i, k in enumerate(keys)}})
+    out = out.join(q, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left") if keys else out.join(q, how="left")
     return out.select(*keys, "n", "mean", "sd", "min", F.col("_q")[0].alias("p05"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p95"), "max")
 
 

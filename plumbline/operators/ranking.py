@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.shared import written
+
 #: A group is cut into COARSE * FINE ranges at least; so many rows a range are aimed at beyond that.
 COARSE, MOST_FINE, RANGE_ROWS = 16, 256, 4_000_000
 
@@ -52,6 +54,26 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Col
     return at.join(ranges, cond).select(*(f"a.{k}" for k in keys), f"a.{order}", *sums, *below)
 
 
+def quantiles(df: DataFrame, keys: list[str], x: str, qs: list[float]) -> DataFrame:
+    """(keys, n, q): exact quantiles of x in the order asked for, between neighbours in proportion; NULLs do not count.
+
+    They are read off the running counts of the distinct values, so no task holds a group. The rows are written once.
+    """
+    df = written(df.select(*keys, F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull()), "quantiles")
+    at = running_sums(df, keys, "_x", {"_n": F.lit(1)})
+    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    t = total.withColumnsRenamed({k: f"_t_{i}" for i, k in enumerate(keys)})
+    cond = [F.col(k).eqNullSafe(F.col(f"_t_{i}")) for i, k in enumerate(keys)]
+    both = at.join(t, cond) if keys else at.join(t)
+    at_rank = lambda r: F.max(F.when((F.col("_n_below") <= r) & (r < F.col("_n_below") + F.col("_n")), F.col("_x")))
+    aggs = []
+    for i, q in enumerate(qs):
+        h = (F.col("n") - 1) * F.lit(float(q))
+        aggs += [at_rank(F.floor(h)).alias(f"_lo{i}"), at_rank(F.ceil(h)).alias(f"_hi{i}"), F.max(h - F.floor(h)).alias(f"_w{i}")]
+    out = both.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    return out.select(*keys, "n", F.array(*(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(qs)))).alias("q"))
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Adds the 1-based rank of ``value`` in its group; equal values share their mean rank, NULLs get NULL."""
     at = running_sums(df, keys, value, {"_n": F.lit(1)}).alias("r")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geo import arc_km, chord, unit_sphere
+from plumbline.operators.ranking import quantiles
 from plumbline.shared import written
 
 #: Grid levels: cells of edge 2**-level in the cube around the sphere. Level -2 is one neighbourhood.
@@ -32,7 +33,7 @@ def _around(level: Column) -> Column:
     return F.flatten(F.transform(step, lambda a: F.flatten(F.transform(step, lambda b: F.transform(step, lambda c: _cell(level, a, b, c))))))
 
 
-def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lon: str = "lon", lat: str = "lat", keys: tuple[str, ...] = (), apart: str | None = None) -> DataFrame:
+def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lon: str = "lon", lat: str = "lat", keys: tuple[str, ...] = (), apart: str | None = None, small: bool = True) -> DataFrame:
     """(keys, test_key, train_key, value, dist, rn): the k nearest training rows of each test row by chord; ties by key.
 
     ``keys`` must agree on both sides; of ``apart`` (such as fold) both must have different values that are not NULL, so that rows of all
@@ -40,7 +41,7 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lo
     neighbourhood that holds at least k of them. If its k-th distance is within a cell's edge the result is final;
     otherwise a second round uses the finest grid whose cells are as wide as that distance, which is enough. Of training rows at one
     place only the first k by key can matter, so places that hold many rows do not multiply. Fewer than k
-    training rows give fewer neighbours. Small inputs, by a count of both sides, are compared in full.
+    training rows give fewer neighbours. Small inputs, by a count of both sides, are compared in full unless ``small`` is false.
     """
     keys = list(keys)
     if apart:
@@ -56,7 +57,7 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lo
     d = chord(tuple(F.col(c) for c in _XYZ), tuple(F.col(f"t{c}") for c in _XYZ))
     near = Window.partitionBy(*keys, "test_key").orderBy("dist", "train_key")
     n_train = tr.count()
-    if n_train <= SMALL_TRAIN and n_train * te.count() <= SMALL_PAIRS:
+    if small and n_train <= SMALL_TRAIN and n_train * te.count() <= SMALL_PAIRS:
         there = F.broadcast(tr.withColumnsRenamed({c: f"t{c}" for c in _XYZ}))  # at most SMALL_TRAIN rows
         pairs = te.join(there, keys) if keys else te.join(there)
         return pairs.filter(other).withColumn("dist", d).withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k).select(*cols)
@@ -123,6 +124,6 @@ def nearest_and_density(test: DataFrame, train: DataFrame, radius_km: float, key
 
 def quantile_bins(df: DataFrame, x: str, steps: int = 5) -> DataFrame:
     """Adds bin: the equal-frequency bin of x between its distinct quantiles; the last bin is closed. NULL x has none."""
-    edges = df.agg(F.array_distinct(F.percentile(F.col(x), F.array(*(F.lit(i / steps) for i in range(steps + 1))))).alias("_e"))
+    edges = quantiles(df, [], x, [i / steps for i in range(steps + 1)]).select(F.array_distinct("q").alias("_e"))
     at = F.size(F.filter("_e", lambda e: e <= F.col(x)))
-    return df.join(F.broadcast(edges)).withColumn("bin", F.when(F.col(x).isNotNull(), F.least(at, F.greatest(F.size("_e") - 1, F.lit(1))))).drop("_e")  # one row
+    return df.join(F.broadcast(edges), how="left").withColumn("bin", F.when(F.col(x).isNotNull(), F.least(at, F.greatest(F.size("_e") - 1, F.lit(1))))).drop("_e")  # one row

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.skill import recovery_pct
+from plumbline.operators.ranking import quantiles
 
 
 def weighted_mean(x: str, w: str) -> Column:
@@ -63,10 +64,16 @@ def range_flags(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(x).alias("least"), F.max(x).alias("most"), F.bool_and(F.col(x) > 0).alias("all_positive"), F.count(x).alias("n"))
 
 
-def cross_table(df: DataFrame, row: str, column: str) -> DataFrame:
-    """(row, column, n, row_pct) over the whole grid, zero cells included; rows with a NULL are left out."""
+def cross_table(df: DataFrame, row: str, column: str, most: int = 1_000_000) -> DataFrame:
+    """(row, column, n, row_pct) over the whole grid, zero cells included; rows with a NULL are left out.
+
+    A grid of more than ``most`` cells is no table to print and an error.
+    """
     own = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
     cells = own.groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
+    n_rows, n_columns = cells.agg(F.count_distinct(row), F.count_distinct(column)).first()
+    if n_rows * n_columns > most:
+        raise ValueError(f"{row} x {column} has {n_rows * n_columns} cells, more than {most}")
     # the grid has one row for each pair of levels: rows x columns of the table that is printed
     grid = cells.select(row).distinct().crossJoin(cells.select(column).distinct())
     total = cells.groupBy(row).agg(F.sum("n").alias("_t"))
@@ -82,9 +89,8 @@ def conditional_share(df: DataFrame, keys: list[str], given: Column, event: Colu
 
 def quantile_strata(df: DataFrame, keys: list[str], x: str, n: int = 4) -> DataFrame:
     """Adds stratum 1..n in each group by its quantile edges, intervals closed above, the first also below."""
-    inner = F.percentile(F.col(x), F.array(*(F.lit(i / n) for i in range(1, n))))
-    edges = df.groupBy(*keys).agg(inner.alias("_e"))
-    out = df.join(edges, keys) if keys else df.join(edges)
+    edges = quantiles(df, keys, x, [i / n for i in range(1, n)]).drop("n").withColumnRenamed("q", "_e")
+    out = df.join(edges, keys, "left") if keys else df.join(edges, how="left")
     return out.withColumn("stratum", F.when(F.col(x).isNotNull(), F.size(F.filter("_e", lambda e: e < F.col(x))) + 1)).drop("_e")
 
 
