@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.draws import draw_sql, fold_of
 from plumbline.operators import baselines, bootstrap, encode, folds, learners, metrics, panel, spatial, summary
 from plumbline.plans.spatial import FOLDED
+from plumbline.plans.sql import ridge_sql
 from plumbline.plans.tables import CUTOFF, DAILY, customers, daily, points, registered, rounded, table
 
 _BLOCK = "concat(CAST(CAST(floor(lon / CAST(45 AS DOUBLE)) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(lat / CAST(45 AS DOUBLE)) AS BIGINT) AS VARCHAR))"
@@ -110,7 +111,23 @@ def _driven(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sup.join(lagged.select("unit", "day", *ext), ["unit", "day"], "left").dropna(subset=ext)
 
 
-@registered()
+_CUT = f"DATE '{CUTOFF}'"
+_DRIVEN = f"""{DAILY}, st AS (SELECT unit, avg(value) FILTER (day <= {_CUT}) AS m, stddev_pop(value) FILTER (day <= {_CUT}) AS s, count(value) FILTER (day <= {_CUT}) AS c FROM daily GROUP BY 1),
+e AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') / CAST(100 AS DOUBLE) AS errors, count(*) FILTER (event_type = 'click') / CAST(100 AS DOUBLE) AS clicks FROM events GROUP BY 1),
+l AS (SELECT unit, day, (value - m) / s AS lag_0, lag((value - m) / s) OVER o AS lag_1, lead((value - m) / s) OVER o AS target, lead(day) OVER o > {_CUT} AS is_test, errors AS e0, lag(errors) OVER o AS e1, clicks AS c0, lag(clicks) OVER o AS c1
+  FROM daily JOIN st USING (unit) LEFT JOIN e USING (day) WHERE c >= 5 AND s > 0 WINDOW o AS (PARTITION BY unit ORDER BY day)),
+v AS (SELECT * FROM l WHERE lag_1 IS NOT NULL AND target IS NOT NULL AND e0 IS NOT NULL AND e1 IS NOT NULL AND c0 IS NOT NULL AND c1 IS NOT NULL), tr AS (SELECT 1 AS k, * FROM v WHERE NOT is_test)"""
+
+
+def _ablation_sql(which: str, features: list[str]) -> str:
+    pred = "my + " + " + ".join(f"w{i} * ({f} - m{i})" for i, f in enumerate(features))
+    r2 = lambda p: f"CASE WHEN var_pop(target) > 0 THEN 1 - sum((target - {p}) * (target - {p})) / (var_pop(target) * count(*)) END"
+    return f"""SELECT * FROM (WITH {_DRIVEN}, {ridge_sql('w', 'tr', 'k', features, 'target')}, p AS (SELECT unit, target, lag_0, {pred} AS pred FROM v, w WHERE is_test),
+u AS (SELECT unit, {r2('pred')} AS model, {r2('lag_0')} AS base FROM p GROUP BY 1 HAVING count(*) >= 3)
+SELECT '{which}' AS features, count(*) AS n_units, round(median(model), 6) + 0 AS model, round(median(base), 6) + 0 AS persistence, CAST(sum(CAST(base >= model AS INTEGER)) AS BIGINT) AS persistence_wins FROM u)"""
+
+
+@registered(" UNION ALL ".join(_ablation_sql(n, f) for n, f in (("own", ["lag_0", "lag_1"]), ("drivers", ["e0", "e1", "c0", "c1"]), ("both", ["lag_0", "lag_1", "e0", "e1", "c0", "c1"]))))
 def q15_driver_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own lags, drivers, or both: a ridge learner beside persistence on targets after the cutoff, per-unit medians."""
     s, drivers = _driven(spark, sf_dir), ["errors", "clicks"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.draws import draw_sql, fold_of
 from plumbline.operators import baselines, folds, learners, metrics
+from plumbline.plans.sql import ridge_sql
 from plumbline.plans.tables import CUSTOMERS, POINTS, customers, points, registered, rounded, table
 
 _LINES = f"""lines AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST({draw_sql('l_orderkey', 1)} % 5 AS INTEGER) AS fold, CAST(l_quantity AS DOUBLE) / 10 AS q, CAST(l_discount AS DOUBLE) * 10 AS d, CAST(l_tax AS DOUBLE) * 10 AS t, CAST(l_extendedprice AS DOUBLE) / 10000 AS y FROM lineitem)"""
@@ -124,7 +125,10 @@ def f5_leave_region_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), metrics.r2("v", "pred").alias("r2")))
 
 
-@registered()
+@registered(f"""WITH RECURSIVE {CUSTOMERS}, s AS (SELECT nation, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, nation) AS i FROM customers GROUP BY 1),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, 0 AS fold UNION ALL
+  SELECT s.i, list_transform(load, (x, j) -> CASE WHEN j = list_position(load, list_min(load)) THEN x + n ELSE x END), CAST(list_position(load, list_min(load)) - 1 AS INTEGER) FROM g JOIN s ON s.i = g.i + 1)
+SELECT fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_groups FROM g JOIN s USING (i) GROUP BY 1""")
 def f12_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir)
     f = folds.group_folds(c, "nation", 5)
@@ -138,7 +142,18 @@ def b11_single_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learners.single_proxy(lines(spark, sf_dir), ["q", "d", "t"], "y", F.col("fold") != 0))
 
 
-@registered()
+_INDEX = f"""ix AS (SELECT CAST({draw_sql('l_orderkey', 1)} % 5 AS INTEGER) AS fold, ln(CAST(l_quantity AS DOUBLE)) AS lq, ln(CAST(l_extendedprice AS DOUBLE)) AS lp, ln(1 - CAST(l_discount AS DOUBLE)) AS ld FROM lineitem),
+v AS (SELECT *, lq + lp + ld AS y FROM ix), x AS (SELECT k.fold, lq, lp, ld, y FROM v JOIN (SELECT DISTINCT fold FROM v) k ON v.fold <> k.fold)"""
+
+
+def _left_out_sql(gone: str | None) -> str:
+    f = [c for c in ("lq", "lp", "ld") if c != gone]
+    pred = "my + " + " + ".join(f"w{i} * ({c} - m{i})" for i, c in enumerate(f))
+    return f"""SELECT * FROM (WITH {_INDEX}, {ridge_sql('w', 'x', 'fold', f, 'y', 0.0, False)}, p AS (SELECT y, {pred} AS pred FROM v JOIN w USING (fold))
+SELECT '{gone or 'none'}' AS left_out, round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) + 0 AS r2 FROM p)"""
+
+
+@registered(" UNION ALL ".join(map(_left_out_sql, (None, "lq", "lp", "ld"))))
 def q18_leave_one_component_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of a formula index each component carries: OLS on log terms, whole and without each one."""
     raw = table(spark, sf_dir, "lineitem")
