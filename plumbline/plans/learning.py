@@ -127,7 +127,7 @@ def f5_leave_region_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"""WITH RECURSIVE {CUSTOMERS}, s AS (SELECT nation, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, nation) AS i FROM customers GROUP BY 1),
 g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, 0 AS fold UNION ALL
-  SELECT s.i, list_transform(load, (x, j) -> CASE WHEN j = list_position(load, list_min(load)) THEN x + n ELSE x END), CAST(list_position(load, list_min(load)) - 1 AS INTEGER) FROM g JOIN s ON s.i = g.i + 1)
+  SELECT s.i, list_transform(load, lambda x, j: CASE WHEN j = list_position(load, list_min(load)) THEN x + n ELSE x END), CAST(list_position(load, list_min(load)) - 1 AS INTEGER) FROM g JOIN s ON s.i = g.i + 1)
 SELECT fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_groups FROM g JOIN s USING (i) GROUP BY 1""")
 def f12_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir)
