@@ -38,11 +38,13 @@ ANCHOR = 4
 
 
 def _keys(symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Sortable byte keys of k symbols from each position, 32 bits of each."""
+    """Sortable byte keys of k symbols from each position: 64 bits of each if there are few, 32 bits of each from 8 on."""
+    width = 8 if k < 8 else 4
     if not len(at):
-        return np.zeros(0, f"S{4 * k}")
-    short = (symbols >> np.uint64(32)).astype(">u4") | 1  # no zero bytes at the end, which would not count
-    return np.ascontiguousarray(short[at[:, None] + np.arange(k)]).view(f"S{4 * k}").ravel()
+        return np.zeros(0, f"S{width * k}")
+    parts = symbols.astype(">u8") if k < 8 else (symbols >> np.uint64(32)).astype(">u4")
+    parts |= 1  # no zero bytes at the end, which would not count
+    return np.ascontiguousarray(parts[at[:, None] + np.arange(k)]).view(f"S{width * k}").ravel()
 
 
 class Windows:
