@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -30,19 +31,32 @@ def folder(spark: SparkSession) -> str:
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch blocks", default=())
 
 
+_LOCK = threading.Lock()
+#: Blocks of ``_shuffles_deleted`` that are open in each session, with what the setting was before the first.
+_DELETING: dict[int, tuple[int, str | None]] = {}
+
+
 @contextmanager
 def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """Queries run in the block delete their shuffle files at once: what they computed is stored and not computed again."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    with _LOCK:
+        n, before = _DELETING.get(id(spark), (0, None))
+        if not n:
+            before = spark.conf.get(key, None)
+            spark.conf.set(key, "true")
+        _DELETING[id(spark)] = n + 1, before
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        with _LOCK:
+            n, before = _DELETING.pop(id(spark))
+            if n > 1:
+                _DELETING[id(spark)] = n - 1, before
+            elif before is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, before)
 
 
 def stored(df: DataFrame, what: str, hold: bool = False) -> tuple[DataFrame, str]:
