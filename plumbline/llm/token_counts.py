@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,32 +72,33 @@ class Counter(dict):
         # best score, pieces and whether the last one is unknown, of the prefixes that a piece can still continue
         best: list[float] = [0.0]
         count, lone = [0], [False]
-        before, matches = 0, self.automaton.iter(word)
-        match = next(matches, None)
-        for end, char in enumerate(word):
-            own = []
-            while match is not None and match[0] == end:
-                own.append(match[1])
-                match = next(matches, None)
-            top, pieces, is_lone, single = None, 0, False, False
-            for size, score in sorted(own, reverse=True):  # the earliest start first
-                single |= size == 1
+        before, at, unknown, ends = 0, 0, self.unknown, ((len(word), None),)
+        top, pieces, single = None, 0, False
+        for end, match in chain(self.automaton.iter(word), ends):  # matches by their end, the earliest start first
+            while at < end:  # no more matches end here
+                if not single and (top is None or best[-1] + unknown > top):
+                    more = self.fallback(word[at])
+                    # unknown characters in a row are one piece
+                    pieces = count[-1] + (more or int(not lone[-1]))
+                    lone.append(not more)
+                    top = best[-1] + unknown
+                else:
+                    lone.append(False)
+                best.append(top)
+                count.append(pieces)
+                if len(best) > KEEP_CELLS:
+                    gone = len(best) - self.longest
+                    before += gone
+                    del best[:gone], count[:gone], lone[:gone]
+                at, top, single = at + 1, None, False
+            if match is not None:
+                size, score = match
                 start = end + 1 - size - before
                 s = best[start] + score
                 if top is None or s > top:
-                    top, pieces, is_lone = s, count[start] + 1, False
-            if not single and (top is None or best[-1] + self.unknown > top):
-                more = self.fallback(char)
-                is_lone = not more
-                # unknown characters in a row are one piece
-                top, pieces = best[-1] + self.unknown, count[-1] + (more or int(not lone[-1]))
-            best.append(top)
-            count.append(pieces)
-            lone.append(is_lone)
-            if len(best) > KEEP_CELLS:
-                gone = len(best) - self.longest
-                before += gone
-                del best[:gone], count[:gone], lone[:gone]
+                    top, pieces = s, count[start] + 1
+                if size == 1:
+                    single = True
         if len(word) <= MEMO_LETTERS:
             if len(self) >= MEMO_WORDS:
                 self.clear()
