@@ -19,16 +19,20 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 JUDGED = "judged AS (SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id))"
 
 
-@registered(f"""WITH {JUDGED}, r AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rk FROM judged)
+@registered(f"""WITH {JUDGED}, r AS (SELECT lang, quality, rank() OVER (PARTITION BY lang
+  ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rk FROM judged)
 SELECT lang, count(*) FILTER (quality = 1) AS n_pos, count(*) FILTER (quality = 0) AS n_neg,
-round((sum(rk) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0) / nullif(count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0), 0), 6) + 0 AS auc FROM r GROUP BY 1""")
+round((sum(rk) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0) / nullif(count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0),
+  0), 6) + 0 AS auc FROM r GROUP BY 1""")
 def m4_auc_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.auc(judged(spark, sf_dir), ["lang"], "quality", "n_chars"))
 
 
 @registered(f"""WITH {JUDGED}, s AS (SELECT n_chars, CAST(sum(toxic) AS BIGINT) AS pos, count(*) AS c FROM judged GROUP BY 1),
-k AS (SELECT pos, sum(pos) OVER w AS tp, sum(c) OVER w AS k FROM s WINDOW w AS (ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING)), t AS (SELECT sum(pos) AS p, sum(c) AS n FROM s)
-SELECT CAST(any_value(n) AS BIGINT) AS n, CAST(any_value(p) AS BIGINT) AS n_pos, round(any_value(p) / any_value(n), 6) + 0 AS prevalence, round(sum(pos / p * tp / k), 6) + 0 AS ap, round(sum(pos / p * tp / k) / (any_value(p) / any_value(n)), 6) + 0 AS ap_lift FROM k, t""")
+k AS (SELECT pos, sum(pos) OVER w AS tp, sum(c) OVER w AS k FROM s WINDOW w AS (ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING)),
+  t AS (SELECT sum(pos) AS p, sum(c) AS n FROM s)
+SELECT CAST(any_value(n) AS BIGINT) AS n, CAST(any_value(p) AS BIGINT) AS n_pos, round(any_value(p) / any_value(n), 6) + 0 AS prevalence,
+  round(sum(pos / p * tp / k), 6) + 0 AS ap, round(sum(pos / p * tp / k) / (any_value(p) / any_value(n)), 6) + 0 AS ap_lift FROM k, t""")
 def m5_ap_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.average_precision(judged(spark, sf_dir), [], "toxic", "n_chars"))
 
@@ -38,7 +42,8 @@ _ARGMAX = "WITH p AS (SELECT vec_id, label, CAST(embedding[1:10] AS DOUBLE[]) AS
 
 @registered(f"""{_ARGMAX}, l AS (SELECT cls, CAST(label = cls AS INTEGER) AS y, s[cls + 1] AS s FROM p, (SELECT unnest(range(10)) AS cls)),
 r AS (SELECT cls, y, rank() OVER (PARTITION BY cls ORDER BY s) + (count(*) OVER (PARTITION BY cls, s) - 1) / 2.0 AS rk FROM l),
-a AS (SELECT cls, (sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0) AS auc FROM r GROUP BY 1)
+a AS (SELECT cls, (sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0),
+  0) AS auc FROM r GROUP BY 1)
 SELECT round(avg(auc), 6) + 0 AS macro_auc, count(auc) AS n_classes FROM a""")
 def m6_macro_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("label", *(F.col("embedding")[i].cast("double").alias(f"s{i}") for i in range(10)))
@@ -52,8 +57,10 @@ def m7_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), metrics.accuracy("label", "pred").alias("accuracy")))
 
 
-@registered(f"""WITH {JUDGED}, r AS (SELECT lang, quality AS a, 1 - toxic AS b FROM judged), t AS (SELECT lang, count(*) AS n, avg(CAST(a = b AS INTEGER)) AS po, avg(a) AS pa, avg(b) AS pb FROM r GROUP BY 1)
-SELECT lang, n, round(100 * po, 6) + 0 AS agreement_pct, round((po - (pa * pb + (1 - pa) * (1 - pb))) / nullif(1 - (pa * pb + (1 - pa) * (1 - pb)), 0), 6) + 0 AS kappa FROM t""")
+@registered(f"""WITH {JUDGED}, r AS (SELECT lang, quality AS a, 1 - toxic AS b FROM judged), t AS (SELECT lang, count(*) AS n, avg(CAST(a = b AS INTEGER)) AS po,
+  avg(a) AS pa, avg(b) AS pb FROM r GROUP BY 1)
+SELECT lang, n, round(100 * po, 6) + 0 AS agreement_pct, round((po - (pa * pb + (1 - pa) * (1 - pb))) / nullif(1 - (pa * pb + (1 - pa) * (1 - pb)), 0),
+  6) + 0 AS kappa FROM t""")
 def m16_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.kappa(judged(spark, sf_dir).withColumn("clean", 1 - F.col("toxic")), ["lang"], "quality", "clean"))
 
@@ -68,7 +75,9 @@ _Z = 1.959963984540054
 
 
 @registered(f"""WITH {JUDGED}, t AS (SELECT source, CAST(sum(toxic) AS BIGINT) AS k, count(*) AS n FROM judged GROUP BY 1), p AS (SELECT *, k / n AS p FROM t)
-SELECT source, k, n, round(100 * greatest((p + {_Z * _Z} / (2 * n) - {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n))) / (1 + {_Z * _Z} / n), 0), 6) + 0 AS lo, round(100 * least((p + {_Z * _Z} / (2 * n) + {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n))) / (1 + {_Z * _Z} / n), 1), 6) + 0 AS hi FROM p""")
+SELECT source, k, n, round(100 * greatest((p + {_Z * _Z} / (2 * n) - {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n))) / (1 + {_Z * _Z} / n), 0),
+  6) + 0 AS lo, round(100 * least((p + {_Z * _Z} / (2 * n) + {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n))) / (1 + {_Z * _Z} / n), 1),
+  6) + 0 AS hi FROM p""")
 def m18_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = judged(spark, sf_dir).groupBy("source").agg(F.sum("toxic").cast("long").alias("k"), F.count(F.lit(1)).alias("n"))
     lo, hi = metrics.wilson(F.col("k"), F.col("n"))
@@ -83,7 +92,8 @@ def m18_clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boot_sql(stat: str, base: str, extra: str, seed: int) -> str:
     return f"""WITH {base}, nb AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS i FROM units), c AS (SELECT count(*) AS n FROM units),
-dr AS (SELECT b, {draw_sql('b * 100003 + j', seed)} % n AS i FROM c, (SELECT unnest(range(1, 401)) AS b), (SELECT unnest(range(0, 100000)) AS j) WHERE j < n),
+dr AS (SELECT b, {draw_sql('b * 100003 + j', seed)} % n AS i FROM c, (SELECT unnest(range(1, 401)) AS b), (SELECT unnest(range(0, 100000)) AS j)
+  WHERE j < n),
 s AS (SELECT b, {stat} AS s FROM dr JOIN nb USING (i) GROUP BY b)
 SELECT round(quantile_cont(s, 0.025), {extra}) + 0 AS lo, round(quantile_cont(s, 0.975), {extra}) + 0 AS hi FROM s"""
 
@@ -115,8 +125,10 @@ def m22_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.describe(points(spark, sf_dir), ["label"], "y"))
 
 
-@registered(f"""WITH {JUDGED}, c AS (SELECT lang, quality, count(*) AS n FROM judged GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT lang FROM c), (SELECT DISTINCT quality FROM c)), t AS (SELECT lang, sum(n) AS t FROM c GROUP BY 1)
-SELECT lang, quality, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / t, 6) + 0 AS row_pct FROM g LEFT JOIN c USING (lang, quality) JOIN t USING (lang)""")
+@registered(f"""WITH {JUDGED}, c AS (SELECT lang, quality, count(*) AS n FROM judged GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT lang
+  FROM c), (SELECT DISTINCT quality FROM c)), t AS (SELECT lang, sum(n) AS t FROM c GROUP BY 1)
+SELECT lang, quality, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / t, 6) + 0 AS row_pct FROM g LEFT JOIN c USING (lang, quality)
+  JOIN t USING (lang)""")
 def a13_crosstab_rowpct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.cross_table(judged(spark, sf_dir), "lang", "quality"))
 
@@ -127,7 +139,8 @@ def a14_conditional_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""WITH {JUDGED}, e AS (SELECT lang, quantile_cont(n_chars, [0.25, 0.5, 0.75]) AS e FROM judged GROUP BY 1)
-SELECT lang, CAST(len(list_filter(e, lambda v: v < n_chars)) + 1 AS INTEGER) AS stratum, count(*) AS n, round(avg(quality), 6) + 0 AS share FROM judged JOIN e USING (lang) GROUP BY 1, 2""")
+SELECT lang, CAST(len(list_filter(e, lambda v: v < n_chars)) + 1 AS INTEGER) AS stratum, count(*) AS n, round(avg(quality), 6) + 0 AS share FROM judged
+  JOIN e USING (lang) GROUP BY 1, 2""")
 def a15_quantile_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = summary.quantile_strata(judged(spark, sf_dir), ["lang"], "n_chars")
     return rounded(s.groupBy("lang", "stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("share")))

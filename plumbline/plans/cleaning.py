@@ -10,8 +10,11 @@ from plumbline.operators import encode, learners, relational
 from plumbline.plans.tables import CUSTOMERS, POINTS, customers, points, registered, rounded, table
 
 
-@registered("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN concat('<', CAST(l_quantity AS INTEGER)) WHEN 1 THEN concat('> ', CAST(l_quantity AS INTEGER)) WHEN 2 THEN concat('1,', lpad(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), 3, '0')) WHEN 3 THEN 'NC' ELSE '-' END AS raw, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS q FROM lineitem)
-SELECT raw, round(max(CASE l_linenumber % 5 WHEN 0 THEN q / 2 WHEN 1 THEN q WHEN 2 THEN 1000 + q END), 6) + 0 AS parsed, count(*) AS n FROM t GROUP BY 1""")
+@registered("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN concat('<', CAST(l_quantity AS INTEGER)) WHEN 1 THEN concat('> ',
+  CAST(l_quantity AS INTEGER)) WHEN 2 THEN concat('1,', lpad(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), 3,
+  '0')) WHEN 3 THEN 'NC' ELSE '-' END AS raw, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS q FROM lineitem)
+SELECT raw, round(max(CASE l_linenumber % 5 WHEN 0 THEN q / 2 WHEN 1 THEN q WHEN 2 THEN 1000 + q END), 6) + 0 AS parsed, count(*) AS n FROM t
+  GROUP BY 1""")
 def p5_censored_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, m = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 5
     raw = F.when(m == 0, F.concat(F.lit("<"), q)).when(m == 1, F.concat(F.lit("> "), q)).when(m == 2, F.concat(F.lit("1,"), F.lpad(q, 3, "0"))).when(m == 3, "NC").otherwise("-")
@@ -62,23 +65,30 @@ def p15_leakage_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""WITH t AS (SELECT CASE WHEN l_linenumber = 1 THEN l_tax END AS sparse, CAST(1 AS INTEGER) AS constant, l_quantity AS dense FROM lineitem)
-SELECT 'sparse' AS feature, round(avg(CAST(sparse IS NULL AS INTEGER)), 6) + 0 AS missing_share, count(DISTINCT sparse) AS n_distinct, avg(CAST(sparse IS NULL AS INTEGER)) <= 0.8 AND count(DISTINCT sparse) >= 2 AS kept FROM t
-UNION ALL SELECT 'constant', round(avg(CAST(constant IS NULL AS INTEGER)), 6) + 0, count(DISTINCT constant), avg(CAST(constant IS NULL AS INTEGER)) <= 0.8 AND count(DISTINCT constant) >= 2 FROM t
-UNION ALL SELECT 'dense', round(avg(CAST(dense IS NULL AS INTEGER)), 6) + 0, count(DISTINCT dense), avg(CAST(dense IS NULL AS INTEGER)) <= 0.8 AND count(DISTINCT dense) >= 2 FROM t""")
+SELECT 'sparse' AS feature, round(avg(CAST(sparse IS NULL AS INTEGER)), 6) + 0 AS missing_share, count(DISTINCT sparse) AS n_distinct,
+  avg(CAST(sparse IS NULL AS INTEGER)) <= 0.8 AND count(DISTINCT sparse) >= 2 AS kept FROM t
+UNION ALL SELECT 'constant', round(avg(CAST(constant IS NULL AS INTEGER)), 6) + 0, count(DISTINCT constant),
+  avg(CAST(constant IS NULL AS INTEGER)) <= 0.8 AND count(DISTINCT constant) >= 2 FROM t
+UNION ALL SELECT 'dense', round(avg(CAST(dense IS NULL AS INTEGER)), 6) + 0, count(DISTINCT dense),
+  avg(CAST(dense IS NULL AS INTEGER)) <= 0.8 AND count(DISTINCT dense) >= 2 FROM t""")
 def p17_feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") == 1, F.col("l_tax")).alias("sparse"), F.lit(1).alias("constant"), F.col("l_quantity").alias("dense"))
     return rounded(encode.feature_screen(t, ["sparse", "constant", "dense"]))
 
 
-@registered(f"""WITH {POINTS}, t AS (SELECT label, count(*) AS n, CAST(sum(CAST(y >= 0.1 AS INTEGER)) AS BIGINT) AS n_pos FROM points GROUP BY 1), w AS (SELECT *, n - n_pos AS n_neg, CASE WHEN n < 45 THEN 'too few rows' WHEN n_pos < 9 THEN 'too few positives' WHEN n - n_pos < 5 THEN 'too few negatives' END AS reason FROM t)
+@registered(f"""WITH {POINTS}, t AS (SELECT label, count(*) AS n, CAST(sum(CAST(y >= 0.1 AS INTEGER)) AS BIGINT) AS n_pos FROM points
+  GROUP BY 1), w AS (SELECT *, n - n_pos AS n_neg,
+  CASE WHEN n < 45 THEN 'too few rows' WHEN n_pos < 9 THEN 'too few positives' WHEN n - n_pos < 5 THEN 'too few negatives' END AS reason FROM t)
 SELECT label, n, n_pos, n_neg, CASE WHEN reason IS NULL THEN 'ok' ELSE 'skipped' END AS status, reason FROM w""")
 def p19_screen_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).withColumn("over", clean.exceeds(F.col("y"), 0.1))
     return encode.screen_status(p, ["label"], "over", 45, 9, 5)
 
 
-@registered(f"""WITH {POINTS}, h AS (SELECT vec_id, CASE WHEN label = 3 THEN NULL ELSE x1 END AS x1, x2 FROM points), m AS (SELECT coalesce(median(x1), 0) AS m1, coalesce(median(x2), 0) AS m2 FROM h),
-f AS (SELECT vec_id, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2 FROM h, m), s AS (SELECT avg(x1) AS a1, stddev_pop(x1) AS s1, avg(x2) AS a2, stddev_pop(x2) AS s2 FROM f)
+@registered(f"""WITH {POINTS}, h AS (SELECT vec_id, CASE WHEN label = 3 THEN NULL ELSE x1 END AS x1, x2
+  FROM points), m AS (SELECT coalesce(median(x1), 0) AS m1, coalesce(median(x2), 0) AS m2 FROM h),
+f AS (SELECT vec_id, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2 FROM h, m), s AS (SELECT avg(x1) AS a1, stddev_pop(x1) AS s1, avg(x2) AS a2,
+  stddev_pop(x2) AS s2 FROM f)
 SELECT vec_id, round((x1 - a1) / (s1 + 1e-8), 6) + 0 AS x1, round((x2 - a2) / (s2 + 1e-8), 6) + 0 AS x2 FROM f, s""")
 def p23_impute_and_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = points(spark, sf_dir).select("vec_id", F.when(F.col("label") != 3, F.col("x1")).alias("x1"), "x2")
@@ -96,8 +106,11 @@ def p26_label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.label_index(n, "o_orderpriority", "idx")
 
 
-@registered("""WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey < 15 GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey > 5 GROUP BY 1), c AS (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey > 2)
-SELECT coalesce(a.k, b.k, c.k) AS k, customers, suppliers, n_name FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k FULL JOIN c ON coalesce(a.k, b.k) IS NOT DISTINCT FROM c.k""")
+@registered("""WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey < 15
+  GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey > 5
+  GROUP BY 1), c AS (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey > 2)
+SELECT coalesce(a.k, b.k, c.k) AS k, customers, suppliers, n_name FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k FULL
+  JOIN c ON coalesce(a.k, b.k) IS NOT DISTINCT FROM c.k""")
 def j2_outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").filter("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
     b = table(spark, sf_dir, "supplier").filter("s_nationkey > 5").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))

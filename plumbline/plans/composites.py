@@ -36,11 +36,16 @@ def _at_once(calls: list[Callable[[], DataFrame]]) -> list[DataFrame]:
 @registered(f"""WITH {FOLDED}, u AS (SELECT 'random' AS regime, CAST(fold AS VARCHAR) AS fold, y, x1 FROM f UNION ALL SELECT 'spatial', {_BLOCK}, y, x1 FROM f),
 c AS (SELECT regime, fold, count(*) AS n, sum(x1) AS sx, sum(y) AS sy, sum(x1 * x1) AS sxx, sum(x1 * y) AS sxy FROM u GROUP BY 1, 2),
 t AS (SELECT regime, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM c GROUP BY 1),
-d AS (SELECT c.regime, c.fold, t.n - c.n AS n, t.sx - c.sx AS sx, t.sy - c.sy AS sy, t.sxx - c.sxx AS sxx, t.sxy - c.sxy AS sxy FROM c JOIN t USING (regime)),
-w AS (SELECT regime, fold, sx / n AS mx, sy / n AS my, sqrt(sxx / n - (sx / n) * (sx / n)) + 1e-8 AS s, sxx / n - (sx / n) * (sx / n) AS vx, sxy / n - (sx / n) * (sy / n) AS cxy, n FROM d),
+d AS (SELECT c.regime, c.fold, t.n - c.n AS n, t.sx - c.sx AS sx, t.sy - c.sy AS sy, t.sxx - c.sxx AS sxx, t.sxy - c.sxy AS sxy FROM c
+  JOIN t USING (regime)),
+w AS (SELECT regime, fold, sx / n AS mx, sy / n AS my, sqrt(sxx / n - (sx / n) * (sx / n)) + 1e-8 AS s, sxx / n - (sx / n) * (sx / n) AS vx,
+  sxy / n - (sx / n) * (sy / n) AS cxy, n FROM d),
 b AS (SELECT regime, fold, mx, my, (cxy / s * n) / (vx / (s * s) * n + 1) / s AS beta FROM w),
-k AS (SELECT regime, fold, count(*) AS n, 1 - sum((y - (my + beta * (x1 - mx))) * (y - (my + beta * (x1 - mx)))) / nullif(var_pop(y) * count(*), 0) AS ridge, 1 - sum((y - my) * (y - my)) / nullif(var_pop(y) * count(*), 0) AS mean FROM u JOIN b USING (regime, fold) GROUP BY 1, 2 HAVING count(*) >= 10)
-SELECT regime, count(*) AS n_folds, round(median(ridge), 6) + 0 AS ridge, round(median(mean), 6) + 0 AS mean, round(median(ridge - mean), 6) + 0 AS paired_increment, round(median(ridge) - median(mean), 6) + 0 AS increment FROM k GROUP BY 1""")
+k AS (SELECT regime, fold, count(*) AS n, 1 - sum((y - (my + beta * (x1 - mx))) * (y - (my + beta * (x1 - mx)))) / nullif(var_pop(y) * count(*),
+  0) AS ridge, 1 - sum((y - my) * (y - my)) / nullif(var_pop(y) * count(*), 0) AS mean FROM u JOIN b USING (regime, fold) GROUP BY 1, 2
+  HAVING count(*) >= 10)
+SELECT regime, count(*) AS n_folds, round(median(ridge), 6) + 0 AS ridge, round(median(mean), 6) + 0 AS mean, round(median(ridge - mean),
+  6) + 0 AS paired_increment, round(median(ridge) - median(mean), 6) + 0 AS increment FROM k GROUP BY 1""")
 def q2_spatial_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ridge learner and the training mean under random and spatial folds."""
     out = []
@@ -71,11 +76,17 @@ def q5_exceedance_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""WITH {FOLDED}, s AS (SELECT f.*, block_deg FROM f, (SELECT unnest([20.0, 45.0, 90.0])::DOUBLE AS block_deg)),
-b AS (SELECT block_deg, concat(CAST(CAST(floor(lon / block_deg) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(lat / block_deg) AS BIGINT) AS VARCHAR)) AS fold, y FROM s),
-c AS (SELECT block_deg, fold, count(*) AS n, avg(y) AS m FROM b GROUP BY 1, 2 HAVING count(*) >= 5), nb AS (SELECT *, row_number() OVER (PARTITION BY block_deg ORDER BY fold) - 1 AS i, count(*) OVER (PARTITION BY block_deg) AS k FROM c),
-dr AS (SELECT block_deg, r, {draw_sql('r * 100003 + j', 2)} % k AS i FROM (SELECT DISTINCT block_deg, k FROM nb), (SELECT unnest(range(1, 201)) AS r), (SELECT unnest(range(0, 500)) AS j) WHERE j < k),
-st AS (SELECT block_deg, r, median(m) AS s FROM dr JOIN nb USING (block_deg, i) GROUP BY 1, 2), ci AS (SELECT block_deg, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM st GROUP BY 1)
-SELECT block_deg, n_folds, round(median, 6) + 0 AS median, round(lo, 6) + 0 AS lo, round(hi, 6) + 0 AS hi FROM (SELECT block_deg, count(*) AS n_folds, median(m) AS median FROM c GROUP BY 1) JOIN ci USING (block_deg)""")
+b AS (SELECT block_deg, concat(CAST(CAST(floor(lon / block_deg) AS BIGINT) AS VARCHAR), '_',
+  CAST(CAST(floor(lat / block_deg) AS BIGINT) AS VARCHAR)) AS fold, y FROM s),
+c AS (SELECT block_deg, fold, count(*) AS n, avg(y) AS m FROM b GROUP BY 1, 2
+  HAVING count(*) >= 5), nb AS (SELECT *, row_number() OVER (PARTITION BY block_deg
+  ORDER BY fold) - 1 AS i, count(*) OVER (PARTITION BY block_deg) AS k FROM c),
+dr AS (SELECT block_deg, r, {draw_sql('r * 100003 + j', 2)} % k AS i FROM (SELECT DISTINCT block_deg, k
+  FROM nb), (SELECT unnest(range(1, 201)) AS r), (SELECT unnest(range(0, 500)) AS j) WHERE j < k),
+st AS (SELECT block_deg, r, median(m) AS s FROM dr JOIN nb USING (block_deg, i)
+  GROUP BY 1, 2), ci AS (SELECT block_deg, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM st GROUP BY 1)
+SELECT block_deg, n_folds, round(median, 6) + 0 AS median, round(lo, 6) + 0 AS lo, round(hi, 6) + 0 AS hi
+  FROM (SELECT block_deg, count(*) AS n_folds, median(m) AS median FROM c GROUP BY 1) JOIN ci USING (block_deg)""")
 def q7_scale_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block means by block size, with bootstrap intervals of the median."""
     b = folds.block_sweep(points(spark, sf_dir), "lon", "lat", [20.0, 45.0, 90.0])
@@ -112,19 +123,25 @@ def _driven(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CUT = f"DATE '{CUTOFF}'"
-_DRIVEN = f"""{DAILY}, st AS (SELECT unit, avg(value) FILTER (day <= {_CUT}) AS m, stddev_pop(value) FILTER (day <= {_CUT}) AS s, count(value) FILTER (day <= {_CUT}) AS c FROM daily GROUP BY 1),
-e AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') / CAST(100 AS DOUBLE) AS errors, count(*) FILTER (event_type = 'click') / CAST(100 AS DOUBLE) AS clicks FROM events GROUP BY 1),
-l AS (SELECT unit, day, (value - m) / s AS lag_0, lag((value - m) / s) OVER o AS lag_1, lead((value - m) / s) OVER o AS target, lead(day) OVER o > {_CUT} AS is_test, errors AS e0, lag(errors) OVER o AS e1, clicks AS c0, lag(clicks) OVER o AS c1
+_DRIVEN = f"""{DAILY}, st AS (SELECT unit, avg(value) FILTER (day <= {_CUT}) AS m, stddev_pop(value) FILTER (day <= {_CUT}) AS s,
+  count(value) FILTER (day <= {_CUT}) AS c FROM daily GROUP BY 1),
+e AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') / CAST(100 AS DOUBLE) AS errors,
+  count(*) FILTER (event_type = 'click') / CAST(100 AS DOUBLE) AS clicks FROM events GROUP BY 1),
+l AS (SELECT unit, day, (value - m) / s AS lag_0, lag((value - m) / s) OVER o AS lag_1, lead((value - m) / s) OVER o AS target,
+  lead(day) OVER o > {_CUT} AS is_test, errors AS e0, lag(errors) OVER o AS e1, clicks AS c0, lag(clicks) OVER o AS c1
   FROM daily JOIN st USING (unit) LEFT JOIN e USING (day) WHERE c >= 5 AND s > 0 WINDOW o AS (PARTITION BY unit ORDER BY day)),
-v AS (SELECT * FROM l WHERE lag_1 IS NOT NULL AND target IS NOT NULL AND e0 IS NOT NULL AND e1 IS NOT NULL AND c0 IS NOT NULL AND c1 IS NOT NULL), tr AS (SELECT 1 AS k, * FROM v WHERE NOT is_test)"""
+v AS (SELECT * FROM l WHERE lag_1 IS NOT NULL AND target IS NOT NULL AND e0 IS NOT NULL AND e1 IS NOT NULL AND c0 IS NOT NULL AND c1 IS NOT NULL),
+  tr AS (SELECT 1 AS k, * FROM v WHERE NOT is_test)"""
 
 
 def _ablation_sql(which: str, features: list[str]) -> str:
     pred = "my + " + " + ".join(f"w{i} * ({f} - m{i})" for i, f in enumerate(features))
     r2 = lambda p: f"CASE WHEN var_pop(target) > 0 THEN 1 - sum((target - {p}) * (target - {p})) / (var_pop(target) * count(*)) END"
-    return f"""SELECT * FROM (WITH {_DRIVEN}, {ridge_sql('w', 'tr', 'k', features, 'target')}, p AS (SELECT unit, target, lag_0, {pred} AS pred FROM v, w WHERE is_test),
+    return f"""SELECT * FROM (WITH {_DRIVEN}, {ridge_sql('w', 'tr', 'k', features, 'target')}, p AS (SELECT unit, target, lag_0, {pred} AS pred FROM v, w
+  WHERE is_test),
 u AS (SELECT unit, {r2('pred')} AS model, {r2('lag_0')} AS base FROM p GROUP BY 1 HAVING count(*) >= 3)
-SELECT '{which}' AS features, count(*) AS n_units, round(median(model), 6) + 0 AS model, round(median(base), 6) + 0 AS persistence, CAST(sum(CAST(base >= model AS INTEGER)) AS BIGINT) AS persistence_wins FROM u)"""
+SELECT '{which}' AS features, count(*) AS n_units, round(median(model), 6) + 0 AS model, round(median(base), 6) + 0 AS persistence,
+  CAST(sum(CAST(base >= model AS INTEGER)) AS BIGINT) AS persistence_wins FROM u)"""
 
 
 @registered(" UNION ALL ".join(_ablation_sql(n, f) for n, f in (("own", ["lag_0", "lag_1"]), ("drivers", ["e0", "e1", "c0", "c1"]), ("both", ["lag_0", "lag_1", "e0", "e1", "c0", "c1"]))))
@@ -141,7 +158,8 @@ def q15_driver_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_stack(out))
 
 
-@registered(f"""WITH {DAILY}, f AS (SELECT unit, day, value, CAST({draw_sql('unit', 1)} % 3 AS INTEGER) AS cell FROM daily) SELECT cell, count(DISTINCT unit) AS n_units, count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day FROM f GROUP BY 1""")
+@registered(f"""WITH {DAILY}, f AS (SELECT unit, day, value, CAST({draw_sql('unit', 1)} % 3 AS INTEGER) AS cell
+  FROM daily) SELECT cell, count(DISTINCT unit) AS n_units, count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day FROM f GROUP BY 1""")
 def q13_panel_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir).withColumn("cell", fold_of(F.col("unit"), 3, 1))
     return d.groupBy("cell").agg(F.count_distinct("unit").alias("n_units"), F.count(F.lit(1)).alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))

@@ -10,7 +10,8 @@ from plumbline.operators import baselines, folds, learners, metrics
 from plumbline.plans.sql import ridge_sql
 from plumbline.plans.tables import CUSTOMERS, POINTS, customers, points, registered, rounded, table
 
-_LINES = f"""lines AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST({draw_sql('l_orderkey', 1)} % 5 AS INTEGER) AS fold, CAST(l_quantity AS DOUBLE) / 10 AS q, CAST(l_discount AS DOUBLE) * 10 AS d, CAST(l_tax AS DOUBLE) * 10 AS t, CAST(l_extendedprice AS DOUBLE) / 10000 AS y FROM lineitem)"""
+_LINES = f"""lines AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST({draw_sql('l_orderkey', 1)} % 5 AS INTEGER) AS fold, CAST(l_quantity AS DOUBLE) / 10 AS q,
+  CAST(l_discount AS DOUBLE) * 10 AS d, CAST(l_tax AS DOUBLE) * 10 AS t, CAST(l_extendedprice AS DOUBLE) / 10000 AS y FROM lineitem)"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +27,14 @@ def l2_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RIDGE = f"""WITH {_LINES}, s AS (
-  SELECT k.fold, count(*) AS n, avg(q) AS mq, avg(d) AS md, avg(y) AS my, avg(q * q) AS qq, avg(d * d) AS dd, avg(q * d) AS qd, avg(q * y) AS qy, avg(d * y) AS dy
+  SELECT k.fold, count(*) AS n, avg(q) AS mq, avg(d) AS md, avg(y) AS my, avg(q * q) AS qq, avg(d * d) AS dd, avg(q * d) AS qd, avg(q * y) AS qy,
+  avg(d * y) AS dy
   FROM lines l JOIN (SELECT DISTINCT fold FROM lines) k ON l.fold <> k.fold GROUP BY 1),
 c AS (SELECT *, sqrt(qq - mq * mq) + 1e-8 AS sq, sqrt(dd - md * md) + 1e-8 AS sd FROM s),
-m AS (SELECT *, (qq - mq * mq) / (sq * sq) * n + 1 AS a11, (dd - md * md) / (sd * sd) * n + 1 AS a22, (qd - mq * md) / (sq * sd) * n AS a12, (qy - mq * my) / sq * n AS b1, (dy - md * my) / sd * n AS b2 FROM c),
-w AS (SELECT fold, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) / sq AS wq, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) / sd AS wd, my, mq, md FROM m),
+m AS (SELECT *, (qq - mq * mq) / (sq * sq) * n + 1 AS a11, (dd - md * md) / (sd * sd) * n + 1 AS a22, (qd - mq * md) / (sq * sd) * n AS a12,
+  (qy - mq * my) / sq * n AS b1, (dy - md * my) / sd * n AS b2 FROM c),
+w AS (SELECT fold, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) / sq AS wq, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) / sd AS wd, my, mq, md
+  FROM m),
 p AS (SELECT l.fold, y, my + wq * (q - mq) + wd * (d - md) AS pred FROM lines l JOIN w USING (fold))"""
 
 
@@ -87,7 +91,9 @@ def l5_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored.agg(F.count(F.lit(1)).alias("n"), metrics.accuracy("label", "pred").alias("accuracy")), 4)
 
 
-@registered(f"""WITH {POINTS}, f AS (SELECT *, {draw_sql('vec_id', 7)} % 5 AS fold FROM points), d AS (SELECT a.vec_id AS test_key, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2), b.vec_id) AS r FROM f a JOIN f b ON a.fold = 0 AND b.fold <> 0)
+@registered(f"""WITH {POINTS}, f AS (SELECT *, {draw_sql('vec_id', 7)} % 5 AS fold FROM points), d AS (SELECT a.vec_id AS test_key, b.y,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2), b.vec_id) AS r FROM f a
+  JOIN f b ON a.fold = 0 AND b.fold <> 0)
 SELECT test_key, round(avg(y), 6) + 0 AS pred FROM d WHERE r <= 8 GROUP BY 1""")
 def l10_knn_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr, te = _split(spark, sf_dir)
@@ -96,7 +102,8 @@ def l10_knn_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"""WITH {CUSTOMERS}, f AS (SELECT *, CAST({draw_sql('o_orderkey', 8)} % 5 AS INTEGER) = 0 AS is_test, y / 100000 AS v FROM customers),
 m AS (SELECT unit, avg(v) AS m FROM f WHERE NOT is_test GROUP BY 1), o AS (SELECT avg(v) AS o FROM f WHERE NOT is_test)
-SELECT region, count(*) AS n, round(avg(CAST(m IS NOT NULL AS INTEGER)), 6) + 0 AS seen_share, round(sqrt(avg((v - coalesce(m, o)) * (v - coalesce(m, o)))), 6) + 0 AS rmse FROM f LEFT JOIN m USING (unit), o WHERE is_test GROUP BY 1""")
+SELECT region, count(*) AS n, round(avg(CAST(m IS NOT NULL AS INTEGER)), 6) + 0 AS seen_share, round(sqrt(avg((v - coalesce(m, o)) * (v - coalesce(m,
+  o)))), 6) + 0 AS rmse FROM f LEFT JOIN m USING (unit), o WHERE is_test GROUP BY 1""")
 def b8_same_unit_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir).withColumns({"is_test": fold_of(F.col("o_orderkey"), 5, 8) == 0, "v": F.col("y") / 100000})
     p = baselines.group_mean(c.filter("not is_test"), c.filter("is_test"), ["unit"], "v")
@@ -105,7 +112,8 @@ def b8_same_unit_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REGION = lambda g: f"""SELECT '{g}' AS groups, round(sqrt(avg((v - pred) * (v - pred))), 6) + 0 AS rmse FROM f JOIN (  -- noqa
   SELECT c.fold, c.{g}, coalesce((g.s - c.s) / nullif(g.n - c.n, 0), (t.s - p.s) / nullif(t.n - p.n, 0)) AS pred
-  FROM (SELECT fold, {g}, sum(v) AS s, count(v) AS n FROM f GROUP BY 1, 2) c JOIN (SELECT {g}, sum(v) AS s, count(v) AS n FROM f GROUP BY 1) g USING ({g})
+  FROM (SELECT fold, {g}, sum(v) AS s, count(v) AS n FROM f GROUP BY 1, 2) c JOIN (SELECT {g}, sum(v) AS s, count(v) AS n FROM f
+  GROUP BY 1) g USING ({g})
   JOIN (SELECT fold, sum(v) AS s, count(v) AS n FROM f GROUP BY 1) p USING (fold), (SELECT sum(v) AS s, count(v) AS n FROM f) t) USING (fold, {g})"""
 
 
@@ -116,7 +124,8 @@ def b7_group_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(one[0].unionByName(one[1]))
 
 
-@registered(f"""WITH {CUSTOMERS}, f AS (SELECT region AS fold, o_orderstatus AS g, y / 100000 AS v FROM customers), c AS (SELECT fold, g, sum(v) AS s, count(*) AS n FROM f GROUP BY 1, 2), t AS (SELECT g, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1),
+@registered(f"""WITH {CUSTOMERS}, f AS (SELECT region AS fold, o_orderstatus AS g, y / 100000 AS v FROM customers), c AS (SELECT fold, g, sum(v) AS s, count(*) AS n
+  FROM f GROUP BY 1, 2), t AS (SELECT g, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1),
 m AS (SELECT c.fold, c.g, (t.s - c.s) / (t.n - c.n) AS pred FROM c JOIN t USING (g))
 SELECT fold, count(*) AS n, round(1 - sum((v - pred) * (v - pred)) / (var_pop(v) * count(*)), 6) + 0 AS r2 FROM f JOIN m USING (fold, g) GROUP BY 1""")
 def f5_leave_region_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +136,8 @@ def f5_leave_region_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"""WITH RECURSIVE {CUSTOMERS}, s AS (SELECT nation, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, nation) AS i FROM customers GROUP BY 1),
 g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, 0 AS fold UNION ALL
-  SELECT s.i, list_transform(load, lambda x, j: CASE WHEN j = list_position(load, list_min(load)) THEN x + n ELSE x END), CAST(list_position(load, list_min(load)) - 1 AS INTEGER) FROM g JOIN s ON s.i = g.i + 1)
+  SELECT s.i, list_transform(load, lambda x, j: CASE WHEN j = list_position(load, list_min(load)) THEN x + n ELSE x END), CAST(list_position(load,
+  list_min(load)) - 1 AS INTEGER) FROM g JOIN s ON s.i = g.i + 1)
 SELECT fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_groups FROM g JOIN s USING (i) GROUP BY 1""")
 def f12_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir)
@@ -136,13 +146,16 @@ def f12_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""WITH {_LINES}, tr AS (SELECT * FROM lines WHERE fold <> 0), a AS (
-  SELECT 'q' AS feature, regr_slope(y, q) AS slope, regr_intercept(y, q) AS intercept, corr(y, q) ** 2 AS r FROM tr UNION ALL SELECT 'd', regr_slope(y, d), regr_intercept(y, d), corr(y, d) ** 2 FROM tr UNION ALL SELECT 't', regr_slope(y, t), regr_intercept(y, t), corr(y, t) ** 2 FROM tr)
+  SELECT 'q' AS feature, regr_slope(y, q) AS slope, regr_intercept(y, q) AS intercept, corr(y, q) ** 2 AS r FROM tr
+  UNION ALL SELECT 'd', regr_slope(y, d), regr_intercept(y, d), corr(y, d) ** 2 FROM tr
+  UNION ALL SELECT 't', regr_slope(y, t), regr_intercept(y, t), corr(y, t) ** 2 FROM tr)
 SELECT feature, round(slope, 6) + 0 AS slope, round(intercept, 6) + 0 AS intercept, round(r, 6) + 0 AS train_r2 FROM a ORDER BY r DESC, feature LIMIT 1""")
 def b11_single_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learners.single_proxy(lines(spark, sf_dir), ["q", "d", "t"], "y", F.col("fold") != 0))
 
 
-_INDEX = f"""ix AS (SELECT CAST({draw_sql('l_orderkey', 1)} % 5 AS INTEGER) AS fold, ln(CAST(l_quantity AS DOUBLE)) AS lq, ln(CAST(l_extendedprice AS DOUBLE)) AS lp, ln(1 - CAST(l_discount AS DOUBLE)) AS ld FROM lineitem),
+_INDEX = f"""ix AS (SELECT CAST({draw_sql('l_orderkey', 1)} % 5 AS INTEGER) AS fold, ln(CAST(l_quantity AS DOUBLE)) AS lq,
+  ln(CAST(l_extendedprice AS DOUBLE)) AS lp, ln(1 - CAST(l_discount AS DOUBLE)) AS ld FROM lineitem),
 v AS (SELECT *, lq + lp + ld AS y FROM ix), x AS (SELECT k.fold, lq, lp, ld, y FROM v JOIN (SELECT DISTINCT fold FROM v) k ON v.fold <> k.fold)"""
 
 

@@ -86,14 +86,21 @@ def f16_matched_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.random_folds(p, "vec_id", k, 3).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered(f"""WITH {CUSTOMERS}, r AS (SELECT region, count(*) AS n, avg(y) AS m, stddev_samp(y) / sqrt(count(*)) AS se FROM customers GROUP BY 1), s AS (SELECT region, m - 2 * se AS lo, m, m + 2 * se AS hi FROM r),
-k AS (SELECT count(*) AS a FROM (SELECT DISTINCT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation)), l AS (SELECT count(*) AS b FROM (SELECT n_nationkey FROM nation EXCEPT SELECT DISTINCT c_nationkey FROM customer)),
+@registered(f"""WITH {CUSTOMERS}, r AS (SELECT region, count(*) AS n, avg(y) AS m, stddev_samp(y) / sqrt(count(*)) AS se FROM customers
+  GROUP BY 1), s AS (SELECT region, m - 2 * se AS lo, m, m + 2 * se AS hi FROM r),
+k AS (SELECT count(*) AS a FROM (SELECT DISTINCT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation)), l AS (SELECT count(*) AS b
+  FROM (SELECT n_nationkey FROM nation EXCEPT SELECT DISTINCT c_nationkey FROM customer)),
 j AS (SELECT (SELECT count(*) FROM orders) AS a, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS b)
-SELECT 'nation keys' AS "check", CASE WHEN a = 0 AND b = 0 THEN 'ok' ELSE 'failed' END AS status, concat_ws(' ', 'only left', a, 'only right', b) AS detail FROM k, l
-UNION ALL SELECT 'discount', CASE WHEN count(*) FILTER (NOT coalesce(l_discount BETWEEN 0 AND 1, false)) = 0 THEN 'ok' ELSE 'failed' END, concat('violations ', count(*) FILTER (NOT coalesce(l_discount BETWEEN 0 AND 1, false))) FROM lineitem
-UNION ALL SELECT 'mean inside', CASE WHEN count(*) FILTER (NOT (lo <= m AND m <= hi)) = 0 THEN 'ok' ELSE 'failed' END, concat('violations ', count(*) FILTER (NOT (lo <= m AND m <= hi))) FROM s
+SELECT 'nation keys' AS "check", CASE WHEN a = 0 AND b = 0 THEN 'ok' ELSE 'failed' END AS status, concat_ws(' ', 'only left', a, 'only right',
+  b) AS detail FROM k, l
+UNION ALL SELECT 'discount', CASE WHEN count(*) FILTER (NOT coalesce(l_discount BETWEEN 0 AND 1, false)) = 0 THEN 'ok' ELSE 'failed' END,
+  concat('violations ', count(*) FILTER (NOT coalesce(l_discount BETWEEN 0 AND 1, false))) FROM lineitem
+UNION ALL SELECT 'mean inside', CASE WHEN count(*) FILTER (NOT (lo <= m AND m <= hi)) = 0 THEN 'ok' ELSE 'failed' END, concat('violations ',
+  count(*) FILTER (NOT (lo <= m AND m <= hi))) FROM s
 UNION ALL SELECT 'joined rows', CASE WHEN a = b THEN 'ok' ELSE 'failed' END, concat_ws(' ', 'rows', a, 'and', b) FROM j
-UNION ALL SELECT 'quantity parts', CASE WHEN sum(CAST(l_quantity AS DOUBLE)) = (SELECT sum(CAST(l_quantity AS DOUBLE)) FROM lineitem) THEN 'ok' ELSE 'failed' END, concat('sum ', CAST(sum(CAST(l_quantity AS DOUBLE)) AS BIGINT), '.0') FROM lineitem WHERE l_returnflag IS NOT NULL""")
+UNION ALL SELECT 'quantity parts', CASE WHEN sum(CAST(l_quantity AS DOUBLE)) = (SELECT sum(CAST(l_quantity AS DOUBLE))
+  FROM lineitem) THEN 'ok' ELSE 'failed' END, concat('sum ', CAST(sum(CAST(l_quantity AS DOUBLE)) AS BIGINT), '.0') FROM lineitem
+  WHERE l_returnflag IS NOT NULL""")
 def c6_more_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key sets, a predicate on every value, points inside intervals, row parity of a join, parts that add up to the whole."""
     t = lambda n: table(spark, sf_dir, n)
@@ -116,11 +123,13 @@ def c11_missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.missing_keys(table(spark, sf_dir, "customer").select("c_custkey"), have, "c_custkey")
 
 
-_SKILL = f"""{CUSTOMERS}, f AS (SELECT region, CAST({draw_sql('o_orderkey', 8)} % 5 AS INTEGER) = 0 AS is_test, y / 100000 AS v FROM customers), m AS (SELECT region, avg(v) AS m FROM f WHERE NOT is_test GROUP BY 1), o AS (SELECT avg(v) AS o FROM f WHERE NOT is_test),
+_SKILL = f"""{CUSTOMERS}, f AS (SELECT region, CAST({draw_sql('o_orderkey', 8)} % 5 AS INTEGER) = 0 AS is_test, y / 100000 AS v
+  FROM customers), m AS (SELECT region, avg(v) AS m FROM f WHERE NOT is_test GROUP BY 1), o AS (SELECT avg(v) AS o FROM f WHERE NOT is_test),
 e AS (SELECT region, v, m, o FROM f JOIN m USING (region), o WHERE is_test)"""
 
 
-@registered(f"""WITH {_SKILL} SELECT region, round(greatest(0.0, 1 - sum((v - m) * (v - m)) / (var_pop(v) * count(*))), 6) + 0 AS floored_skill, round(1 - sum((v - m) * (v - m)) / (var_pop(v) * count(*)), 6) + 0 AS r2,
+@registered(f"""WITH {_SKILL} SELECT region, round(greatest(0.0, 1 - sum((v - m) * (v - m)) / (var_pop(v) * count(*))), 6) + 0 AS floored_skill,
+  round(1 - sum((v - m) * (v - m)) / (var_pop(v) * count(*)), 6) + 0 AS r2,
 round(1 - sqrt(avg((v - m) * (v - m))) / sqrt(avg((v - o) * (v - o))), 6) + 0 AS rmse_skill FROM e GROUP BY 1""")
 def m8_skill_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 of the regions' means, floored and not, and their RMSE skill against the overall mean."""
@@ -146,7 +155,8 @@ def o1_ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_rank(n, [], "_k", ["n_name"], "place").select("n_regionkey", "n_name", F.col("place").cast("long").alias("place")).orderBy("place")
 
 
-@registered(f"""WITH {CUSTOMERS}, s AS (SELECT region, o_orderstatus, avg(y) / 100000 AS v FROM customers GROUP BY 1, 2), w AS (SELECT region, max(v) FILTER (o_orderstatus = 'F') AS f, max(v) FILTER (o_orderstatus = 'O') AS o FROM s GROUP BY 1)
+@registered(f"""WITH {CUSTOMERS}, s AS (SELECT region, o_orderstatus, avg(y) / 100000 AS v FROM customers
+  GROUP BY 1, 2), w AS (SELECT region, max(v) FILTER (o_orderstatus = 'F') AS f, max(v) FILTER (o_orderstatus = 'O') AS o FROM s GROUP BY 1)
 SELECT region, round(o - f, 6) + 0 AS delta FROM w ORDER BY o - f, region LIMIT 1""")
 def o2_worst_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group whose score falls most from one setting to the other."""

@@ -63,7 +63,8 @@ def b4_idw_km(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""WITH {NEAR}, p AS (
-  SELECT test_key, any_value(truth_hit) AS hit, sum(value_hit / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS pred FROM r WHERE rn <= 8 GROUP BY 1
+  SELECT test_key, any_value(truth_hit) AS hit, sum(value_hit / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS pred FROM r WHERE rn <= 8
+  GROUP BY 1
 ), q AS (SELECT hit, round(pred, 9) AS pred FROM p)
 SELECT count(*) FILTER (hit = 1) AS n_pos, count(*) FILTER (hit = 0) AS n_neg,
        round((SELECT sum(CASE WHEN a.pred > b.pred THEN 1.0 WHEN a.pred = b.pred THEN 0.5 ELSE 0.0 END) FROM q a, q b WHERE a.hit = 1 AND b.hit = 0)
@@ -76,8 +77,10 @@ def b5_idw_freq_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""WITH {NEAR}, k AS (SELECT unnest([1, 4, 8, 16]) AS k), p AS (
-  SELECT k, test_key, any_value(truth) AS y, sum(value / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS pred FROM r JOIN k ON rn <= k GROUP BY 1, 2)
-SELECT k, count(*) AS n, round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) + 0 AS r2, round(sqrt(avg((y - pred) * (y - pred))), 6) + 0 AS rmse FROM p GROUP BY k""")
+  SELECT k, test_key, any_value(truth) AS y, sum(value / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS pred FROM r JOIN k ON rn <= k
+  GROUP BY 1, 2)
+SELECT k, count(*) AS n, round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) + 0 AS r2, round(sqrt(avg((y - pred) * (y - pred))),
+  6) + 0 AS rmse FROM p GROUP BY k""")
 def b6_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     te, _ = _sides(spark, sf_dir)
     pred = spatial.idw(_near(spark, sf_dir, 16), ks=(1, 4, 8, 16))
@@ -101,7 +104,8 @@ m AS (SELECT c.fold, c.label, coalesce((g.s - c.s) / nullif(g.n - c.n, 0), (t.s
 
 
 @registered(f"""{_BLOCK_SCORE}
-SELECT fold, count(*) AS n_test, round(CASE WHEN count(*) >= 3 AND var_pop(y) > 0 THEN 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) END, 6) + 0 AS r2
+SELECT fold, count(*) AS n_test, round(CASE WHEN count(*) >= 3 AND var_pop(y) > 0 THEN 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) END,
+  6) + 0 AS r2
 FROM b JOIN m USING (fold, label) GROUP BY fold HAVING count(*) >= 10""")
 def f2_block_group_mean_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = folds.with_block(points(spark, sf_dir), "lon", "lat", 20)
@@ -135,7 +139,8 @@ def f18_screened_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MECH = f"""{NEAR}, m AS (
-  SELECT test_key, any_value(truth) AS y, min(2 * 6371.0 * asin(least(1.0, dist / 2))) AS nearest_km, count(*) FILTER (dist <= 2 * sin(2000 / (2 * 6371.0))) AS n_within,
+  SELECT test_key, any_value(truth) AS y, min(2 * 6371.0 * asin(least(1.0, dist / 2))) AS nearest_km,
+  count(*) FILTER (dist <= 2 * sin(2000 / (2 * 6371.0))) AS n_within,
          sum(CASE WHEN rn <= 8 THEN value / greatest(dist, 1e-6) END) / sum(CASE WHEN rn <= 8 THEN 1 / greatest(dist, 1e-6) END) AS pred
   FROM r GROUP BY 1), e AS (SELECT *, abs(y - pred) AS err FROM m)"""
 
@@ -155,7 +160,8 @@ def _mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"""WITH {_MECH}, q AS (SELECT list_distinct(quantile_cont(nearest_km, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS ed FROM e),
 b AS (SELECT e.*, least(len(list_filter(ed, lambda v: v <= nearest_km)), greatest(len(ed) - 1, 1)) AS bin FROM e, q)
-SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(nearest_km), 4) + 0 AS mean_km, round(avg(err), 6) + 0 AS mean_error FROM b GROUP BY 1 HAVING count(*) >= 5""")
+SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(nearest_km), 4) + 0 AS mean_km, round(avg(err), 6) + 0 AS mean_error FROM b GROUP BY 1
+  HAVING count(*) >= 5""")
 def w10_distance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = spatial.quantile_bins(_mechanism(spark, sf_dir), "nearest_km")
     out = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("nearest_km"), 4).alias("mean_km"), F.avg("err").alias("mean_error"))
@@ -163,7 +169,8 @@ def w10_distance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""WITH {_MECH}, k AS (
-  SELECT rank() OVER (ORDER BY n_within) + (count(*) OVER (PARTITION BY n_within) - 1) / 2.0 AS ra, rank() OVER (ORDER BY err) + (count(*) OVER (PARTITION BY err) - 1) / 2.0 AS rb FROM e)
+  SELECT rank() OVER (ORDER BY n_within) + (count(*) OVER (PARTITION BY n_within) - 1) / 2.0 AS ra,
+  rank() OVER (ORDER BY err) + (count(*) OVER (PARTITION BY err) - 1) / 2.0 AS rb FROM e)
 SELECT count(*) AS n, round(corr(ra, rb), 6) + 0 AS rho FROM k""")
 def m15_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.spearman(_mechanism(spark, sf_dir), [], "n_within", "err"))
@@ -171,11 +178,13 @@ def m15_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GAP = f"""{FOLDED}, u AS (
   SELECT 'random' AS regime, CAST(fold AS VARCHAR) AS fold, y, label FROM f UNION ALL SELECT 'spatial', {_BLOCK(45)}, y, label FROM f
-), c AS (SELECT regime, fold, label, sum(y) AS s, count(y) AS n FROM u GROUP BY ALL), g AS (SELECT regime, label, sum(s) AS s, sum(n) AS n FROM c GROUP BY ALL),
+), c AS (SELECT regime, fold, label, sum(y) AS s, count(y) AS n FROM u GROUP BY ALL), g AS (SELECT regime, label, sum(s) AS s, sum(n) AS n FROM c
+  GROUP BY ALL),
 p AS (SELECT regime, fold, sum(s) AS s, sum(n) AS n FROM c GROUP BY ALL), t AS (SELECT regime, sum(s) AS s, sum(n) AS n FROM c GROUP BY ALL),
 m AS (SELECT c.regime, c.fold, c.label, coalesce((g.s - c.s) / nullif(g.n - c.n, 0), (t.s - p.s) / nullif(t.n - p.n, 0)) AS pred
       FROM c JOIN g USING (regime, label) JOIN p USING (regime, fold) JOIN t USING (regime)),
-w AS (SELECT regime, fold, count(*) AS n, 1 - sum((y - pred) * (y - pred)) / nullif(var_pop(y) * count(*), 0) AS r2 FROM u JOIN m USING (regime, fold, label) GROUP BY ALL HAVING count(*) >= 10)"""
+w AS (SELECT regime, fold, count(*) AS n, 1 - sum((y - pred) * (y - pred)) / nullif(var_pop(y) * count(*), 0) AS r2 FROM u
+  JOIN m USING (regime, fold, label) GROUP BY ALL HAVING count(*) >= 10)"""
 
 
 def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +216,8 @@ def a11_range_and_negative_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MODELS = f"""{NEAR}, p AS (
   SELECT test_key, any_value(truth) AS y, CAST({draw_sql('test_key', 3)} % 6 AS INTEGER) AS fold,
-         sum(CASE WHEN rn <= 8 THEN value / greatest(dist, 1e-6) END) / sum(CASE WHEN rn <= 8 THEN 1 / greatest(dist, 1e-6) END) AS idw8, max(CASE WHEN rn = 1 THEN value END) AS nn1
+         sum(CASE WHEN rn <= 8 THEN value / greatest(dist, 1e-6) END) / sum(CASE WHEN rn <= 8 THEN 1 / greatest(dist, 1e-6) END) AS idw8,
+  max(CASE WHEN rn = 1 THEN value END) AS nn1
   FROM r GROUP BY 1), s AS (
   SELECT fold, count(*) AS n, sqrt(avg((y - idw8) * (y - idw8))) AS idw8, sqrt(avg((y - nn1) * (y - nn1))) AS nn1 FROM p GROUP BY 1)"""
 
@@ -243,14 +253,17 @@ def m12_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wide.agg(won.alias("wins"), n.alias("units"), pct.alias("win_pct"), F.median(1 - F.col("idw8") / F.col("nn1")).alias("rmse_skill")))
 
 
-@registered(f"""WITH {POINTS}, d AS (SELECT *, {draw_sql('vec_id', 11)} AS d FROM points), r AS (SELECT *, row_number() OVER (ORDER BY d, vec_id) AS r, count(*) OVER () AS n FROM d)
+@registered(f"""WITH {POINTS}, d AS (SELECT *, {draw_sql('vec_id', 11)} AS d FROM points), r AS (SELECT *, row_number() OVER (ORDER BY d, vec_id) AS r,
+  count(*) OVER () AS n FROM d)
 SELECT is_test, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS key_sum FROM (SELECT vec_id, r > floor(n * 0.8) AS is_test FROM r) GROUP BY 1""")
 def f9_permutation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.permutation_split(points(spark, sf_dir), "vec_id", 0.8, 11).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("key_sum"))
 
 
-@registered(f"""WITH {POINTS}, d AS (SELECT *, {draw_sql('vec_id', 11)} AS d FROM points), r AS (SELECT *, row_number() OVER (ORDER BY d, vec_id) - 1 AS r, count(*) OVER () AS n FROM d),
-c AS (SELECT vec_id, CASE WHEN r < (n % 7) * (n // 7 + 1) THEN r // (n // 7 + 1) ELSE n % 7 + (r - (n % 7) * (n // 7 + 1)) // (n // 7) END AS fold FROM r)
+@registered(f"""WITH {POINTS}, d AS (SELECT *, {draw_sql('vec_id', 11)} AS d FROM points), r AS (SELECT *, row_number() OVER (ORDER BY d, vec_id) - 1 AS r,
+  count(*) OVER () AS n FROM d),
+c AS (SELECT vec_id, CASE WHEN r < (n % 7) * (n // 7 + 1) THEN r // (n // 7 + 1) ELSE n % 7 + (r - (n % 7) * (n // 7 + 1)) // (n // 7) END AS fold
+  FROM r)
 SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS key_sum FROM c GROUP BY 1""")
 def f7_chunk_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.chunk_folds(points(spark, sf_dir), "vec_id", 7, 11).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("key_sum"))
@@ -274,7 +287,8 @@ def f15_repeated_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""WITH {POINTS}, c AS (SELECT hit, count(*) AS c FROM points GROUP BY 1), t AS (SELECT sum(c) AS t FROM c),
-q AS (SELECT hit, CASE WHEN t <= 200 THEN c ELSE greatest(CAST(floor(c * 200.0 / t) AS BIGINT), CASE WHEN hit = 1 THEN least(30, c) ELSE 0 END) END AS q FROM c, t),
+q AS (SELECT hit, CASE WHEN t <= 200 THEN c ELSE greatest(CAST(floor(c * 200.0 / t) AS BIGINT),
+  CASE WHEN hit = 1 THEN least(30, c) ELSE 0 END) END AS q FROM c, t),
 r AS (SELECT vec_id, hit, row_number() OVER (PARTITION BY hit ORDER BY {draw_sql('vec_id', 9)}, vec_id) AS r FROM points)
 SELECT hit, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS key_sum FROM r JOIN q USING (hit) WHERE r <= q GROUP BY 1""")
 def f20_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

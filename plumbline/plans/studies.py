@@ -32,16 +32,20 @@ def _cross_ridge1(rows: str, keys: str, x: str, y: str) -> str:
     return f"""c AS ({own}), t AS (SELECT {keys}, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM c GROUP BY ALL),
 d AS (SELECT {keys}, c.fold, {diff} FROM c JOIN t USING ({keys})),
 w AS (SELECT {keys}, fold, n, sx / n AS mx, sy / n AS my, sxx / n - (sx / n) * (sx / n) AS vx, sxy / n - (sx / n) * (sy / n) AS cxy FROM d),
-b AS (SELECT {keys}, fold, mx, my, (cxy / (sqrt(vx) + 1e-8) * n) / (vx / ((sqrt(vx) + 1e-8) * (sqrt(vx) + 1e-8)) * n + 1) / (sqrt(vx) + 1e-8) AS beta FROM w)"""
+b AS (SELECT {keys}, fold, mx, my, (cxy / (sqrt(vx) + 1e-8) * n) / (vx / ((sqrt(vx) + 1e-8) * (sqrt(vx) + 1e-8)) * n + 1) / (sqrt(vx) + 1e-8) AS beta
+  FROM w)"""
 
 
 def _ridge2(name: str, rows: str, keys: str, f1: str, f2: str, y: str) -> str:
     """CTE ``name``: by keys the ridge plane (alpha 1) of y on two features: wa, wb, ma, mb, my."""
-    return f"""{name}_s AS (SELECT {keys}, count(*) AS n, avg({f1}) AS ma, avg({f2}) AS mb, avg({y}) AS my, avg({f1} * {f1}) AS aa, avg({f2} * {f2}) AS bb, avg({f1} * {f2}) AS ab,
+    return f"""{name}_s AS (SELECT {keys}, count(*) AS n, avg({f1}) AS ma, avg({f2}) AS mb, avg({y}) AS my, avg({f1} * {f1}) AS aa, avg({f2} * {f2}) AS bb,
+  avg({f1} * {f2}) AS ab,
   avg({f1} * {y}) AS y1, avg({f2} * {y}) AS y2 FROM {rows} GROUP BY ALL),
 {name}_c AS (SELECT *, sqrt(greatest(aa - ma * ma, 0)) + 1e-8 AS sa, sqrt(greatest(bb - mb * mb, 0)) + 1e-8 AS sb FROM {name}_s),
-{name}_m AS (SELECT *, (aa - ma * ma) / (sa * sa) * n + 1 AS a11, (bb - mb * mb) / (sb * sb) * n + 1 AS a22, (ab - ma * mb) / (sa * sb) * n AS a12, (y1 - ma * my) / sa * n AS b1, (y2 - mb * my) / sb * n AS b2 FROM {name}_c),
-{name} AS (SELECT {keys}, ma, mb, my, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) / sa AS wa, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) / sb AS wb FROM {name}_m)"""
+{name}_m AS (SELECT *, (aa - ma * ma) / (sa * sa) * n + 1 AS a11, (bb - mb * mb) / (sb * sb) * n + 1 AS a22, (ab - ma * mb) / (sa * sb) * n AS a12,
+  (y1 - ma * my) / sa * n AS b1, (y2 - mb * my) / sb * n AS b2 FROM {name}_c),
+{name} AS (SELECT {keys}, ma, mb, my, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) / sa AS wa,
+  (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) / sb AS wb FROM {name}_m)"""
 
 
 # Q4: one exceedance target under three ways of holding out, with the lift of rare events
@@ -51,12 +55,14 @@ def _ridge2(name: str, rows: str, keys: str, f1: str, f2: str, y: str) -> str:
 UNION ALL SELECT 'continent', CAST(vec_id % 6 AS VARCHAR), hit, x1 FROM points UNION ALL SELECT 'block', {_block_sql(45)}, hit, x1 FROM points),
 {_cross_ridge1('u', 'regime', 'x1', 'hit')}, s AS (SELECT regime, fold, hit, my + beta * (x1 - mx) AS s FROM u JOIN b USING (regime, fold)),
 g AS (SELECT regime, fold, s, sum(hit) AS pos, count(*) AS c FROM s GROUP BY ALL),
-r AS (SELECT *, sum(pos) OVER down AS tp, sum(c) OVER down AS seen, sum(pos) OVER (PARTITION BY regime, fold) AS p, sum(c) OVER (PARTITION BY regime, fold) AS n,
+r AS (SELECT *, sum(pos) OVER down AS tp, sum(c) OVER down AS seen, sum(pos) OVER (PARTITION BY regime, fold) AS p, sum(c) OVER (PARTITION BY regime,
+  fold) AS n,
   sum(c - pos) OVER (PARTITION BY regime, fold ORDER BY s) - (c - pos) AS below FROM g WINDOW down AS (PARTITION BY regime, fold ORDER BY s DESC)),
 k AS (SELECT regime, fold, any_value(n) AS n, sum(pos * (below + (c - pos) / 2.0)) / (any_value(p) * (any_value(n) - any_value(p))) AS auc,
   sum(pos / p * tp / seen) / (any_value(p) / any_value(n)) AS lift FROM r WHERE p >= 5 AND n - p >= 5 GROUP BY ALL),
 m AS (SELECT regime, count(*) AS n_folds, median(auc) AS a, sum(auc * n) / sum(n) AS wa, min(auc) AS la, median(lift) AS li FROM k GROUP BY 1)
-SELECT regime, n_folds, round(a, 6) + 0 AS median_auc, round(wa, 6) + 0 AS weighted_auc, round(la, 6) + 0 AS min_auc, round(li, 6) + 0 AS median_ap_lift,
+SELECT regime, n_folds, round(a, 6) + 0 AS median_auc, round(wa, 6) + 0 AS weighted_auc, round(la, 6) + 0 AS min_auc, round(li,
+  6) + 0 AS median_ap_lift,
   round((SELECT a FROM m WHERE regime = 'random') - a, 6) + 0 AS gap FROM m""")
 def q4_exceedance_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC and lift of a linear score under random folds, left-out continents and spatial blocks, and the gaps to random folds."""
@@ -83,21 +89,27 @@ def q4_exceedance_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Q6: several models under three regimes, beside a published prediction
 
-_Q6 = f"""{POINTS}, p AS (SELECT *, y * CAST(0.5 AS DOUBLE) + x2 * CAST(0.5 AS DOUBLE) AS published, vec_id % 4 = 0 AS flag, {_block_sql(45)} AS block FROM points),
+_Q6 = f"""{POINTS}, p AS (SELECT *, y * CAST(0.5 AS DOUBLE) + x2 * CAST(0.5 AS DOUBLE) AS published, vec_id % 4 = 0 AS flag, {_block_sql(45)} AS block
+  FROM points),
 ok AS (SELECT block FROM p GROUP BY 1 HAVING count(*) >= 20), nk AS (SELECT greatest(2, count(*)) AS k FROM ok),
-u AS (SELECT 'spatial_block' AS regime, block AS fold, block IN (SELECT block FROM ok) AS scored, p.* FROM p UNION ALL SELECT 'random_kfold', CAST({draw_sql('vec_id', 7)} % k AS VARCHAR), true, p.* FROM p, nk
+u AS (SELECT 'spatial_block' AS regime, block AS fold, block IN (SELECT block FROM ok) AS scored, p.* FROM p
+  UNION ALL SELECT 'random_kfold', CAST({draw_sql('vec_id', 7)} % k AS VARCHAR), true, p.* FROM p, nk
   UNION ALL SELECT 'authors_holdout', CASE WHEN flag THEN 'holdout' ELSE 'train' END, flag, p.* FROM p)"""
 _XYZ = "cos(radians(lat)) * cos(radians(lon)) AS gx, cos(radians(lat)) * sin(radians(lon)) AS gy, sin(radians(lat)) AS gz"
 
 
 @registered(f"""WITH {_Q6}, {_cross_ridge1('u', 'regime', 'x1', 'y')},
-g AS (SELECT regime, fold, scored, vec_id, y, {_XYZ} FROM u), q AS (SELECT a.regime, a.fold, a.vec_id, a.y, z.y AS v, z.vec_id AS k, sqrt((a.gx - z.gx) * (a.gx - z.gx) + (a.gy - z.gy) * (a.gy - z.gy) + (a.gz - z.gz) * (a.gz - z.gz)) AS dist
+g AS (SELECT regime, fold, scored, vec_id, y, {_XYZ} FROM u), q AS (SELECT a.regime, a.fold, a.vec_id, a.y, z.y AS v, z.vec_id AS k,
+  sqrt((a.gx - z.gx) * (a.gx - z.gx) + (a.gy - z.gy) * (a.gy - z.gy) + (a.gz - z.gz) * (a.gz - z.gz)) AS dist
   FROM g a JOIN g z ON a.regime = z.regime AND a.fold <> z.fold WHERE a.scored),
-nn AS (SELECT regime, fold, y, sum(v / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS pred FROM (SELECT *, row_number() OVER (PARTITION BY regime, vec_id ORDER BY dist, k) AS rn FROM q) WHERE rn <= 8 GROUP BY regime, fold, vec_id, y),
-e AS (SELECT regime, fold, 'ridge' AS model, y, my + beta * (x1 - mx) AS pred FROM u JOIN b USING (regime, fold) WHERE scored UNION ALL SELECT regime, fold, 'idw_k8', y, pred FROM nn
+nn AS (SELECT regime, fold, y, sum(v / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS pred
+  FROM (SELECT *, row_number() OVER (PARTITION BY regime, vec_id ORDER BY dist, k) AS rn FROM q) WHERE rn <= 8 GROUP BY regime, fold, vec_id, y),
+e AS (SELECT regime, fold, 'ridge' AS model, y, my + beta * (x1 - mx) AS pred FROM u JOIN b USING (regime, fold) WHERE scored
+  UNION ALL SELECT regime, fold, 'idw_k8', y, pred FROM nn
   UNION ALL SELECT regime, fold, 'published', y, published FROM u WHERE regime = 'authors_holdout' AND scored),
 k AS (SELECT regime, model, fold, count(*) AS n, {_r2_sql('y', 'pred')} AS r2, sqrt(avg((y - pred) * (y - pred))) AS rmse FROM e GROUP BY 1, 2, 3)
-SELECT regime, model, count(*) AS n_folds, CAST(sum(n) AS BIGINT) AS pooled_n, round(median(r2), 6) + 0 AS median_r2, round(sum(r2 * n) / sum(n) FILTER (r2 IS NOT NULL), 6) + 0 AS weighted_r2, round(median(rmse), 6) + 0 AS median_rmse FROM k GROUP BY 1, 2""")
+SELECT regime, model, count(*) AS n_folds, CAST(sum(n) AS BIGINT) AS pooled_n, round(median(r2), 6) + 0 AS median_r2,
+  round(sum(r2 * n) / sum(n) FILTER (r2 IS NOT NULL), 6) + 0 AS weighted_r2, round(median(rmse), 6) + 0 AS median_rmse FROM k GROUP BY 1, 2""")
 def q6_three_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge, weighted neighbours and a published prediction: the authors' holdout, random folds as many as there are usable blocks, blocks."""
     p = points(spark, sf_dir).withColumns({"published": F.col("y") * 0.5 + F.col("x2") * 0.5, "flag": F.when(F.col("vec_id") % 4 == 0, "TEST").otherwise("train")})
@@ -129,7 +141,8 @@ def q6_three_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _z_sql(daily_cte: str, rows: str, period: str, value: str, cut: str) -> str:
-    return f"""{daily_cte}, st AS (SELECT unit, avg({value}) FILTER ({period} <= {cut}) AS m, stddev_pop({value}) FILTER ({period} <= {cut}) AS s, count({value}) FILTER ({period} <= {cut}) AS c FROM {rows} GROUP BY 1),
+    return f"""{daily_cte}, st AS (SELECT unit, avg({value}) FILTER ({period} <= {cut}) AS m, stddev_pop({value}) FILTER ({period} <= {cut}) AS s,
+  count({value}) FILTER ({period} <= {cut}) AS c FROM {rows} GROUP BY 1),
 z AS (SELECT r.unit, {period} AS t, ({value} - m) / s AS z FROM {rows} r JOIN st USING (unit) WHERE c >= 5 AND s > 0)"""
 
 
@@ -146,12 +159,18 @@ _PER_UNIT = lambda model: f"""count(*) AS n_units, round(median({model}), 6) + 0
 _CUT_YM = "(SELECT floor(quantile_cont(ym, 0.8)) FROM (SELECT DISTINCT ym FROM monthly))"
 
 
-@registered(f"""WITH {_z_sql(MONTHLY, 'monthly', 'ym', 'value', _CUT_YM)}, {_sup_sql(2, [1, 3, 12], _CUT_YM)}, tr AS (SELECT * FROM sup WHERE NOT is_test), {_ridge2('m', 'tr', 'horizon', 'lag_0', 'lag_1', 'target')},
-e AS (SELECT s.horizon, s.unit, target, lag_0 AS persistence, my + wa * (lag_0 - ma) + wb * (lag_1 - mb) AS ridge, q.z AS seasonal FROM sup s JOIN m USING (horizon) LEFT JOIN z q ON q.unit = s.unit AND q.t = s.target_t - 100 WHERE is_test),
-k AS (SELECT horizon, unit, count(*) AS n, {_r2_sql('target', 'persistence', 3)} AS base, {_r2_sql('target', 'ridge', 3)} AS ridge, {_r2_sql('target', 'seasonal', 3)} AS seasonal FROM e GROUP BY 1, 2 HAVING count(*) >= 5),
-p AS (SELECT horizon, {_r2_sql('target', 'persistence')} AS pb, {_r2_sql('target', 'ridge')} AS pr, {_r2_sql('target', 'seasonal')} AS ps FROM e GROUP BY 1),
-o AS (SELECT horizon, 'persistence' AS model, base AS r2, base FROM k UNION ALL SELECT horizon, 'ridge', ridge, base FROM k UNION ALL SELECT horizon, 'seasonal', seasonal, base FROM k)
-SELECT CAST(horizon AS INTEGER) AS horizon, model, round(any_value(CASE model WHEN 'persistence' THEN pb WHEN 'ridge' THEN pr ELSE ps END), 6) + 0 AS pooled_r2, {_PER_UNIT('r2')} FROM o JOIN p USING (horizon) GROUP BY horizon, model""")
+@registered(f"""WITH {_z_sql(MONTHLY, 'monthly', 'ym', 'value', _CUT_YM)}, {_sup_sql(2, [1, 3, 12], _CUT_YM)}, tr AS (SELECT * FROM sup
+  WHERE NOT is_test), {_ridge2('m', 'tr', 'horizon', 'lag_0', 'lag_1', 'target')},
+e AS (SELECT s.horizon, s.unit, target, lag_0 AS persistence, my + wa * (lag_0 - ma) + wb * (lag_1 - mb) AS ridge, q.z AS seasonal FROM sup s
+  JOIN m USING (horizon) LEFT JOIN z q ON q.unit = s.unit AND q.t = s.target_t - 100 WHERE is_test),
+k AS (SELECT horizon, unit, count(*) AS n, {_r2_sql('target', 'persistence', 3)} AS base, {_r2_sql('target', 'ridge', 3)} AS ridge,
+  {_r2_sql('target', 'seasonal', 3)} AS seasonal FROM e GROUP BY 1, 2 HAVING count(*) >= 5),
+p AS (SELECT horizon, {_r2_sql('target', 'persistence')} AS pb, {_r2_sql('target', 'ridge')} AS pr, {_r2_sql('target', 'seasonal')} AS ps FROM e
+  GROUP BY 1),
+o AS (SELECT horizon, 'persistence' AS model, base AS r2, base FROM k UNION ALL SELECT horizon, 'ridge', ridge, base FROM k
+  UNION ALL SELECT horizon, 'seasonal', seasonal, base FROM k)
+SELECT CAST(horizon AS INTEGER) AS horizon, model, round(any_value(CASE model WHEN 'persistence' THEN pb WHEN 'ridge' THEN pr ELSE ps END),
+  6) + 0 AS pooled_r2, {_PER_UNIT('r2')} FROM o JOIN p USING (horizon) GROUP BY horizon, model""")
 def q12_forecast_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skill by horizon of the last value, the same month a year before and a ridge learner, pooled and as the median over units."""
     m = monthly(spark, sf_dir)
@@ -184,11 +203,14 @@ _SWEEP = [(lags, day) for lags in (1, 2) for day in ("2024-01-20", "2024-01-24")
 def _panel_sql(lags: int, day: str) -> str:
     cut = f"DATE '{day}'"
     second = "lag_1" if lags == 2 else "0.0"
-    return f"""SELECT * FROM (WITH {_z_sql(DAILY, 'daily', 'day', 'value', cut)}, {_sup_sql(lags, [1, 3], cut)}, tr AS (SELECT * FROM sup WHERE NOT is_test), {_ridge2('m', 'tr', 'horizon', 'lag_0', second, 'target')},
+    return f"""SELECT * FROM (WITH {_z_sql(DAILY, 'daily', 'day', 'value', cut)}, {_sup_sql(lags, [1, 3], cut)}, tr AS (SELECT * FROM sup
+  WHERE NOT is_test), {_ridge2('m', 'tr', 'horizon', 'lag_0', second, 'target')},
 e AS (SELECT horizon, unit, target, lag_0, my + wa * (lag_0 - ma) + wb * ({second} - mb) AS ridge FROM sup JOIN m USING (horizon) WHERE is_test),
 k AS (SELECT horizon, unit, {_r2_sql('target', 'lag_0', 3)} AS base, {_r2_sql('target', 'ridge', 3)} AS r2 FROM e GROUP BY 1, 2 HAVING count(*) >= 3),
-n AS (SELECT horizon, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test FROM sup GROUP BY 1), p AS (SELECT horizon, round({_r2_sql('target', 'ridge')}, 6) + 0 AS pooled_r2 FROM e GROUP BY 1)
-SELECT {lags} AS lags, {cut} AS cutoff, CAST(horizon AS INTEGER) AS horizon, n_train, n_test, pooled_r2, {_PER_UNIT('r2')} FROM k JOIN n USING (horizon) JOIN p USING (horizon) GROUP BY horizon, n_train, n_test, pooled_r2)"""
+n AS (SELECT horizon, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test FROM sup
+  GROUP BY 1), p AS (SELECT horizon, round({_r2_sql('target', 'ridge')}, 6) + 0 AS pooled_r2 FROM e GROUP BY 1)
+SELECT {lags} AS lags, {cut} AS cutoff, CAST(horizon AS INTEGER) AS horizon, n_train, n_test, pooled_r2, {_PER_UNIT('r2')} FROM k
+  JOIN n USING (horizon) JOIN p USING (horizon) GROUP BY horizon, n_train, n_test, pooled_r2)"""
 
 
 @registered(" UNION ALL ".join(_panel_sql(*x) for x in _SWEEP))
@@ -210,9 +232,12 @@ def q13_rolling_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SAME = f"""{DAILY}, l AS (SELECT unit, day, value AS lag_0, lead(value, 1) OVER (PARTITION BY unit ORDER BY day) AS target FROM daily),
-f AS (SELECT l.*, seed, {draw_sql('unit * 100 + day(day)', 'seed')} % 5 = 0 AS is_test FROM l, (SELECT unnest([1, 2, 3]) AS seed) WHERE target IS NOT NULL),
-m AS (SELECT unit, seed, count(*) AS n, regr_slope(target, lag_0) FILTER (NOT is_test) AS b, regr_intercept(target, lag_0) FILTER (NOT is_test) AS a FROM f GROUP BY 1, 2 HAVING count(*) FILTER (NOT is_test) >= 5),
-k AS (SELECT unit, seed, any_value(n) AS n, {_r2_sql('target', 'lag_0', 3)} AS base, {_r2_sql('target', '(a + b * lag_0)', 3)} AS r2 FROM f JOIN m USING (unit, seed) WHERE is_test GROUP BY 1, 2),
+f AS (SELECT l.*, seed, {draw_sql('unit * 100 + day(day)', 'seed')} % 5 = 0 AS is_test FROM l, (SELECT unnest([1, 2, 3]) AS seed)
+  WHERE target IS NOT NULL),
+m AS (SELECT unit, seed, count(*) AS n, regr_slope(target, lag_0) FILTER (NOT is_test) AS b, regr_intercept(target, lag_0) FILTER (NOT is_test) AS a
+  FROM f GROUP BY 1, 2 HAVING count(*) FILTER (NOT is_test) >= 5),
+k AS (SELECT unit, seed, any_value(n) AS n, {_r2_sql('target', 'lag_0', 3)} AS base, {_r2_sql('target', '(a + b * lag_0)', 3)} AS r2 FROM f
+  JOIN m USING (unit, seed) WHERE is_test GROUP BY 1, 2),
 u AS (SELECT unit, any_value(n) AS n_rows, count(r2) AS n_seeds, avg(base) AS base, avg(r2) AS r2, stddev_samp(r2) AS seed_sd FROM k GROUP BY 1)"""
 
 
@@ -233,10 +258,14 @@ def q13_same_fold_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_same_folds(spark, sf_dir).withColumnsRenamed({"base": "persistence_r2", "r2": "ols_r2"}))
 
 
-@registered(f"""WITH {_SAME}, g AS (SELECT unit, r2 - base AS gain, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS k FROM u WHERE r2 - base IS NOT NULL),
-dr AS (SELECT r, {draw_sql('r * 100003 + j', 3)} % k AS i FROM (SELECT any_value(k) AS k FROM g), (SELECT unnest(range(1, 201)) AS r), (SELECT unnest(range(0, 5000)) AS j) WHERE j < k),
-s AS (SELECT r, median(gain) AS s FROM dr JOIN g USING (i) GROUP BY 1), ci AS (SELECT quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM s)
-SELECT count(*) AS n_units, round(median(gain), 6) + 0 AS median_gain, round(any_value(lo), 6) + 0 AS lo, round(any_value(hi), 6) + 0 AS hi, CAST(sum(CAST(gain <= 0 AS INTEGER)) AS BIGINT) AS persistence_wins FROM g, ci""")
+@registered(f"""WITH {_SAME}, g AS (SELECT unit, r2 - base AS gain, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS k FROM u
+  WHERE r2 - base IS NOT NULL),
+dr AS (SELECT r, {draw_sql('r * 100003 + j', 3)} % k AS i FROM (SELECT any_value(k) AS k
+  FROM g), (SELECT unnest(range(1, 201)) AS r), (SELECT unnest(range(0, 5000)) AS j) WHERE j < k),
+s AS (SELECT r, median(gain) AS s FROM dr JOIN g USING (i) GROUP BY 1), ci AS (SELECT quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi
+  FROM s)
+SELECT count(*) AS n_units, round(median(gain), 6) + 0 AS median_gain, round(any_value(lo), 6) + 0 AS lo, round(any_value(hi), 6) + 0 AS hi,
+  CAST(sum(CAST(gain <= 0 AS INTEGER)) AS BIGINT) AS persistence_wins FROM g, ci""")
 def q13_gain_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median gain over persistence with its bootstrap interval over units."""
     g = _same_folds(spark, sf_dir).withColumn("gain", F.col("r2") - F.col("base")).filter("gain is not null")
@@ -246,15 +275,21 @@ def q13_gain_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TAIL_DRIVERS = f"""{DAILY}, z AS (SELECT unit, day AS t, value AS z FROM daily), {_sup_sql(2, [1, 7], "DATE '2100-01-01'")},
-dr AS (SELECT CAST(ts AS DATE) AS t, count(*) FILTER (event_type = 'error') / CAST(100 AS DOUBLE) AS drv FROM events WHERE day(ts) % 3 <> 0 GROUP BY 1),
-s AS (SELECT sup.* EXCLUDE (is_test), drv, row_number() OVER (PARTITION BY horizon, unit ORDER BY sup.t DESC) AS r, count(*) OVER (PARTITION BY horizon, unit) AS c FROM sup LEFT JOIN dr USING (t)),
+dr AS (SELECT CAST(ts AS DATE) AS t, count(*) FILTER (event_type = 'error') / CAST(100 AS DOUBLE) AS drv FROM events WHERE day(ts) % 3 <> 0
+  GROUP BY 1),
+s AS (SELECT sup.* EXCLUDE (is_test), drv, row_number() OVER (PARTITION BY horizon, unit
+  ORDER BY sup.t DESC) AS r, count(*) OVER (PARTITION BY horizon, unit) AS c FROM sup LEFT JOIN dr USING (t)),
 w AS (SELECT *, r <= greatest(3, CAST(ceil(c * 0.2) AS BIGINT)) AS is_test FROM s WHERE c > greatest(3, CAST(ceil(c * 0.2) AS BIGINT)) + 5),
-mean AS (SELECT horizon, avg(drv) FILTER (NOT is_test) AS md FROM w GROUP BY 1), v AS (SELECT w.*, coalesce(drv, md) AS d FROM w JOIN mean USING (horizon)), tr AS (SELECT * FROM v WHERE NOT is_test)"""
+mean AS (SELECT horizon, avg(drv) FILTER (NOT is_test) AS md FROM w GROUP BY 1), v AS (SELECT w.*, coalesce(drv, md) AS d FROM w
+  JOIN mean USING (horizon)), tr AS (SELECT * FROM v WHERE NOT is_test)"""
 
 
-@registered(f"""WITH {_TAIL_DRIVERS}, {_ridge2('m', 'tr', 'horizon', 'lag_0', 'd', 'target')}, e AS (SELECT horizon, unit, target, lag_0, drv, my + wa * (lag_0 - ma) + wb * (d - mb) AS model FROM v JOIN m USING (horizon) WHERE is_test),
-k AS (SELECT horizon, unit, {_r2_sql('target', 'lag_0', 3)} AS base, {_r2_sql('target', 'model', 3)} AS r2 FROM e GROUP BY 1, 2 HAVING count(*) >= 3), q AS (SELECT horizon, count(*) AS n_units, median(r2) AS m, median(base) AS b FROM k GROUP BY 1)
-SELECT CAST(horizon AS INTEGER) AS horizon, n_units, round(avg(CAST(drv IS NULL AS INTEGER)), 6) + 0 AS missing_share, round(any_value(m), 6) + 0 AS model, round(any_value(b), 6) + 0 AS persistence, round(any_value(m - b), 6) + 0 AS increment,
+@registered(f"""WITH {_TAIL_DRIVERS}, {_ridge2('m', 'tr', 'horizon', 'lag_0', 'd', 'target')}, e AS (SELECT horizon, unit, target, lag_0, drv,
+  my + wa * (lag_0 - ma) + wb * (d - mb) AS model FROM v JOIN m USING (horizon) WHERE is_test),
+k AS (SELECT horizon, unit, {_r2_sql('target', 'lag_0', 3)} AS base, {_r2_sql('target', 'model', 3)} AS r2 FROM e GROUP BY 1, 2
+  HAVING count(*) >= 3), q AS (SELECT horizon, count(*) AS n_units, median(r2) AS m, median(base) AS b FROM k GROUP BY 1)
+SELECT CAST(horizon AS INTEGER) AS horizon, n_units, round(avg(CAST(drv IS NULL AS INTEGER)), 6) + 0 AS missing_share, round(any_value(m),
+  6) + 0 AS model, round(any_value(b), 6) + 0 AS persistence, round(any_value(m - b), 6) + 0 AS increment,
   round(any_value(CASE WHEN m > 0 THEN 100 * greatest(0.0, b) / m END), 4) + 0 AS recovery_pct FROM e JOIN q USING (horizon) GROUP BY horizon, n_units""")
 def q14_driver_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own last value and a driver that may be missing (then the training mean) beside persistence, on each unit's last rows."""
@@ -279,11 +314,17 @@ def q14_driver_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Q11: neighbours and a learner under both regimes
 
 
-@registered(f"""WITH {POINTS}, u AS (SELECT 'random' AS regime, CAST(CAST({draw_sql('vec_id', 7)} % 5 AS INTEGER) AS VARCHAR) AS fold, * FROM points UNION ALL SELECT 'spatial', {_block_sql(45)}, * FROM points),
-x AS (SELECT u.regime, k.fold, x1, x2, y FROM u JOIN (SELECT DISTINCT regime, fold FROM u) k ON u.regime = k.regime AND u.fold <> k.fold), {_ridge2('m', 'x', 'regime, fold', 'x1', 'x2', 'y')},
-g AS (SELECT *, {_XYZ} FROM u), q AS (SELECT a.regime, a.vec_id, z.y AS v, z.vec_id AS k, sqrt((a.gx - z.gx) * (a.gx - z.gx) + (a.gy - z.gy) * (a.gy - z.gy) + (a.gz - z.gz) * (a.gz - z.gz)) AS dist FROM g a JOIN g z ON a.regime = z.regime AND a.fold <> z.fold),
-nn AS (SELECT regime, vec_id, max(CASE WHEN rn = 1 THEN v END) AS p1, sum(v / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS p8 FROM (SELECT *, row_number() OVER (PARTITION BY regime, vec_id ORDER BY dist, k) AS rn FROM q) WHERE rn <= 8 GROUP BY 1, 2)
-SELECT regime, round(sqrt(avg((y - p1) * (y - p1))), 6) + 0 AS nearest, round(sqrt(avg((y - p8) * (y - p8))), 6) + 0 AS idw8, round(sqrt(avg((y - (my + wa * (x1 - ma) + wb * (x2 - mb))) * (y - (my + wa * (x1 - ma) + wb * (x2 - mb))))), 6) + 0 AS ridge
+@registered(f"""WITH {POINTS}, u AS (SELECT 'random' AS regime, CAST(CAST({draw_sql('vec_id', 7)} % 5 AS INTEGER) AS VARCHAR) AS fold, * FROM points
+  UNION ALL SELECT 'spatial', {_block_sql(45)}, * FROM points),
+x AS (SELECT u.regime, k.fold, x1, x2, y FROM u JOIN (SELECT DISTINCT regime, fold
+  FROM u) k ON u.regime = k.regime AND u.fold <> k.fold), {_ridge2('m', 'x', 'regime, fold', 'x1', 'x2', 'y')},
+g AS (SELECT *, {_XYZ} FROM u), q AS (SELECT a.regime, a.vec_id, z.y AS v, z.vec_id AS k,
+  sqrt((a.gx - z.gx) * (a.gx - z.gx) + (a.gy - z.gy) * (a.gy - z.gy) + (a.gz - z.gz) * (a.gz - z.gz)) AS dist FROM g a
+  JOIN g z ON a.regime = z.regime AND a.fold <> z.fold),
+nn AS (SELECT regime, vec_id, max(CASE WHEN rn = 1 THEN v END) AS p1, sum(v / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS p8
+  FROM (SELECT *, row_number() OVER (PARTITION BY regime, vec_id ORDER BY dist, k) AS rn FROM q) WHERE rn <= 8 GROUP BY 1, 2)
+SELECT regime, round(sqrt(avg((y - p1) * (y - p1))), 6) + 0 AS nearest, round(sqrt(avg((y - p8) * (y - p8))), 6) + 0 AS idw8,
+  round(sqrt(avg((y - (my + wa * (x1 - ma) + wb * (x2 - mb))) * (y - (my + wa * (x1 - ma) + wb * (x2 - mb))))), 6) + 0 AS ridge
 FROM u JOIN m USING (regime, fold) JOIN nn USING (regime, vec_id) GROUP BY 1""")
 def q11_depth_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest value, weighted neighbours and a ridge learner under random and spatial folds: RMSE per regime."""
@@ -299,19 +340,28 @@ def q11_depth_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Q16, Q17: proxies and memory under random and group holdout
 
-_LINES = f"""base AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS grp, CAST({draw_sql('l_orderkey', 1)} % 5 AS INTEGER) AS gf, CAST({draw_sql('l_orderkey * 10 + l_linenumber', 3)} % 5 AS INTEGER) AS rf,
+_LINES = f"""base AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS grp, CAST({draw_sql('l_orderkey', 1)} % 5 AS INTEGER) AS gf,
+  CAST({draw_sql('l_orderkey * 10 + l_linenumber', 3)} % 5 AS INTEGER) AS rf,
   CAST(l_quantity AS DOUBLE) / 10 AS q, CAST(l_discount AS DOUBLE) * 10 AS d, CAST(l_extendedprice AS DOUBLE) / 10000 AS y FROM lineitem),
 u AS (SELECT 'random' AS regime, rf AS fold, * FROM base UNION ALL SELECT 'group', gf, * FROM base)"""
 
 
-@registered(f"""WITH {_LINES}, x AS (SELECT u.regime, k.fold, q, d, y FROM u JOIN (SELECT DISTINCT regime, fold FROM u) k ON u.regime = k.regime AND u.fold <> k.fold), {_ridge2('m', 'x', 'regime, fold', 'q', 'd', 'y')},
-px AS (SELECT regime, fold, corr(y, q) ** 2 AS rq, corr(y, d) ** 2 AS rd, regr_slope(y, q) AS bq, regr_intercept(y, q) AS aq, regr_slope(y, d) AS bd, regr_intercept(y, d) AS ad FROM x GROUP BY 1, 2),
-c AS (SELECT regime, fold, grp, sum(y) AS s, count(y) AS n FROM u GROUP BY 1, 2, 3), g AS (SELECT regime, grp, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1, 2), pt AS (SELECT regime, fold, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1, 2), tt AS (SELECT regime, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1),
-o AS (SELECT c.regime, c.fold, c.grp, (g.s - c.s) / nullif(g.n - c.n, 0) AS own, (tt.s - pt.s) / nullif(tt.n - pt.n, 0) AS rest FROM c JOIN g USING (regime, grp) JOIN pt USING (regime, fold) JOIN tt USING (regime)),
-e AS (SELECT u.regime, u.fold, u.y, my + wa * (q - ma) + wb * (d - mb) AS ridge, CASE WHEN rq >= rd THEN aq + bq * q ELSE ad + bd * d END AS single, coalesce(own, rest) AS mem, own IS NOT NULL AS seen
+@registered(f"""WITH {_LINES}, x AS (SELECT u.regime, k.fold, q, d, y FROM u JOIN (SELECT DISTINCT regime, fold
+  FROM u) k ON u.regime = k.regime AND u.fold <> k.fold), {_ridge2('m', 'x', 'regime, fold', 'q', 'd', 'y')},
+px AS (SELECT regime, fold, corr(y, q) ** 2 AS rq, corr(y, d) ** 2 AS rd, regr_slope(y, q) AS bq, regr_intercept(y, q) AS aq, regr_slope(y, d) AS bd,
+  regr_intercept(y, d) AS ad FROM x GROUP BY 1, 2),
+c AS (SELECT regime, fold, grp, sum(y) AS s, count(y) AS n FROM u GROUP BY 1, 2, 3), g AS (SELECT regime, grp, sum(s) AS s, sum(n) AS n FROM c
+  GROUP BY 1, 2), pt AS (SELECT regime, fold, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1, 2), tt AS (SELECT regime, sum(s) AS s, sum(n) AS n FROM c
+  GROUP BY 1),
+o AS (SELECT c.regime, c.fold, c.grp, (g.s - c.s) / nullif(g.n - c.n, 0) AS own, (tt.s - pt.s) / nullif(tt.n - pt.n, 0) AS rest FROM c
+  JOIN g USING (regime, grp) JOIN pt USING (regime, fold) JOIN tt USING (regime)),
+e AS (SELECT u.regime, u.fold, u.y, my + wa * (q - ma) + wb * (d - mb) AS ridge,
+  CASE WHEN rq >= rd THEN aq + bq * q ELSE ad + bd * d END AS single, coalesce(own, rest) AS mem, own IS NOT NULL AS seen
   FROM u JOIN m USING (regime, fold) JOIN px USING (regime, fold) JOIN o USING (regime, fold, grp)),
-k AS (SELECT regime, fold, {_r2_sql('y', 'ridge')} AS ridge, {_r2_sql('y', 'single')} AS single, {_r2_sql('y', 'mem')} AS mem, avg(CAST(seen AS INTEGER)) AS seen FROM e GROUP BY 1, 2)
-SELECT regime, count(*) AS n_folds, round(median(ridge), 6) + 0 AS ridge, round(median(single), 6) + 0 AS single_proxy, round(median(mem), 6) + 0 AS same_unit_mean, round(avg(seen), 6) + 0 AS seen_share,
+k AS (SELECT regime, fold, {_r2_sql('y', 'ridge')} AS ridge, {_r2_sql('y', 'single')} AS single, {_r2_sql('y', 'mem')} AS mem,
+  avg(CAST(seen AS INTEGER)) AS seen FROM e GROUP BY 1, 2)
+SELECT regime, count(*) AS n_folds, round(median(ridge), 6) + 0 AS ridge, round(median(single), 6) + 0 AS single_proxy, round(median(mem),
+  6) + 0 AS same_unit_mean, round(avg(seen), 6) + 0 AS seen_share,
   round(CASE WHEN median(ridge) > 0 THEN 100 * median(single) / median(ridge) END, 4) + 0 AS recovery_pct FROM k GROUP BY 1""")
 def q16_proxy_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random against whole-order folds, all of them: a ridge learner, the single proxy that fits the training rows best, the order's own mean."""
@@ -327,11 +377,17 @@ def q16_proxy_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("recovery_pct", F.round(recovery_pct(F.col("single_proxy"), F.col("ridge")), 4)))
 
 
-@registered(f"""WITH {CUSTOMERS}, u AS (SELECT 'random' AS regime, CAST({draw_sql('o_orderkey', 8)} % 5 AS INTEGER) AS fold, unit, y / 100000 AS v FROM customers UNION ALL SELECT 'unit', CAST({draw_sql('unit', 8)} % 5 AS INTEGER), unit, y / 100000 FROM customers),
-c AS (SELECT regime, fold, unit, sum(v) AS s, count(v) AS n FROM u GROUP BY 1, 2, 3), g AS (SELECT regime, unit, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1, 2), p AS (SELECT regime, fold, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1, 2), t AS (SELECT regime, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1),
-o AS (SELECT c.regime, c.fold, c.unit, (g.s - c.s) / nullif(g.n - c.n, 0) AS own, (t.s - p.s) / nullif(t.n - p.n, 0) AS rest FROM c JOIN g USING (regime, unit) JOIN p USING (regime, fold) JOIN t USING (regime)),
-k AS (SELECT regime, sqrt(avg((v - coalesce(own, rest)) * (v - coalesce(own, rest)))) AS rmse, avg(CAST(own IS NOT NULL AS INTEGER)) AS seen, count(*) AS n FROM u JOIN o USING (regime, fold, unit) GROUP BY 1)
-SELECT a.n, round(a.rmse, 6) + 0 AS random_rmse, round(b.rmse, 6) + 0 AS unit_rmse, round(a.seen, 6) + 0 AS random_seen, round(b.seen, 6) + 0 AS unit_seen, round(1 - a.rmse / b.rmse, 6) + 0 AS memory_skill FROM k a JOIN k b ON a.regime = 'random' AND b.regime = 'unit'""")
+@registered(f"""WITH {CUSTOMERS}, u AS (SELECT 'random' AS regime, CAST({draw_sql('o_orderkey', 8)} % 5 AS INTEGER) AS fold, unit, y / 100000 AS v FROM customers
+  UNION ALL SELECT 'unit', CAST({draw_sql('unit', 8)} % 5 AS INTEGER), unit, y / 100000 FROM customers),
+c AS (SELECT regime, fold, unit, sum(v) AS s, count(v) AS n FROM u GROUP BY 1, 2, 3), g AS (SELECT regime, unit, sum(s) AS s, sum(n) AS n FROM c
+  GROUP BY 1, 2), p AS (SELECT regime, fold, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1, 2), t AS (SELECT regime, sum(s) AS s, sum(n) AS n FROM c
+  GROUP BY 1),
+o AS (SELECT c.regime, c.fold, c.unit, (g.s - c.s) / nullif(g.n - c.n, 0) AS own, (t.s - p.s) / nullif(t.n - p.n, 0) AS rest FROM c
+  JOIN g USING (regime, unit) JOIN p USING (regime, fold) JOIN t USING (regime)),
+k AS (SELECT regime, sqrt(avg((v - coalesce(own, rest)) * (v - coalesce(own, rest)))) AS rmse, avg(CAST(own IS NOT NULL AS INTEGER)) AS seen,
+  count(*) AS n FROM u JOIN o USING (regime, fold, unit) GROUP BY 1)
+SELECT a.n, round(a.rmse, 6) + 0 AS random_rmse, round(b.rmse, 6) + 0 AS unit_rmse, round(a.seen, 6) + 0 AS random_seen, round(b.seen,
+  6) + 0 AS unit_seen, round(1 - a.rmse / b.rmse, 6) + 0 AS memory_skill FROM k a JOIN k b ON a.regime = 'random' AND b.regime = 'unit'""")
 def q17_memory_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a unit's own mean is worth: orders held out at random, where their customer is known, against whole customers held out."""
     c, parts = customers(spark, sf_dir).select("o_orderkey", "unit", (F.col("y") / 100000).alias("v")), []
@@ -349,8 +405,10 @@ def q17_memory_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDEX = "ix AS (SELECT l_orderkey * 10 + l_linenumber AS id, ln(CAST(l_quantity AS DOUBLE)) AS lq, ln(CAST(l_extendedprice AS DOUBLE)) AS lp, ln(1 - CAST(l_discount AS DOUBLE)) AS ld FROM lineitem), v AS (SELECT *, lq + lp + ld AS y FROM ix)"
 
 
-@registered(f"""WITH {_INDEX}, a AS (SELECT 'noise' AS axis, noise AS level, y, lp + noise * ({draw_sql('id', 5)} / CAST(2147483629 AS DOUBLE) - 0.5) AS x FROM v, (SELECT unnest([0.0, 0.5, 2.0])::DOUBLE AS noise)
-UNION ALL SELECT 'size', share, y, lp FROM v, (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS share) WHERE {draw_sql('id', 6)} % 1000 < share * 1000 UNION ALL SELECT 'class', 0.0, CAST(y > 12 AS DOUBLE), lp FROM v
+@registered(f"""WITH {_INDEX}, a AS (SELECT 'noise' AS axis, noise AS level, y, lp + noise * ({draw_sql('id', 5)} / CAST(2147483629 AS DOUBLE) - 0.5) AS x
+  FROM v, (SELECT unnest([0.0, 0.5, 2.0])::DOUBLE AS noise)
+UNION ALL SELECT 'size', share, y, lp FROM v, (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS share) WHERE {draw_sql('id', 6)} % 1000 < share * 1000
+  UNION ALL SELECT 'class', 0.0, CAST(y > 12 AS DOUBLE), lp FROM v
 UNION ALL SELECT 'part', 1.0, y, lq FROM v UNION ALL SELECT 'part', 2.0, y, lp FROM v UNION ALL SELECT 'part', 3.0, y, ld FROM v)
 SELECT axis, level, count(*) AS n, round(regr_slope(y, x), 6) + 0 AS slope, round(corr(y, x) ** 2, 6) + 0 AS r2 FROM a GROUP BY 1, 2""")
 def q18_robustness_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,10 +432,14 @@ def q18_robustness_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = "1.959963984540054"
 
 
-@registered(f"""WITH a AS (SELECT quality, toxic, lang FROM labels LEFT JOIN documents USING (doc_id)), r AS (SELECT 'good' AS rate, count(*) FILTER (quality = 1) AS k, count(*) AS n FROM a UNION ALL SELECT 'toxic', count(*) FILTER (toxic = 1), count(*) FROM a
-UNION ALL SELECT 'good, not toxic', count(*) FILTER (quality = 1 AND toxic = 0), count(*) FROM a UNION ALL SELECT 'with a language', count(*) FILTER (lang IS NOT NULL), count(*) FROM a UNION ALL SELECT 'toxic of the good', count(*) FILTER (quality = 1 AND toxic = 1), count(*) FILTER (quality = 1) FROM a),
+@registered(f"""WITH a AS (SELECT quality, toxic, lang FROM labels LEFT JOIN documents USING (doc_id)), r AS (SELECT 'good' AS rate,
+  count(*) FILTER (quality = 1) AS k, count(*) AS n FROM a UNION ALL SELECT 'toxic', count(*) FILTER (toxic = 1), count(*) FROM a
+UNION ALL SELECT 'good, not toxic', count(*) FILTER (quality = 1 AND toxic = 0), count(*) FROM a
+  UNION ALL SELECT 'with a language', count(*) FILTER (lang IS NOT NULL), count(*) FROM a
+  UNION ALL SELECT 'toxic of the good', count(*) FILTER (quality = 1 AND toxic = 1), count(*) FILTER (quality = 1) FROM a),
 w AS (SELECT *, k / n AS p, {_W} * {_W} AS z2 FROM r)
-SELECT rate, k, n, round(100 * p, 4) + 0 AS pct, round(100 * greatest(((p + z2 / (2 * n)) - {_W} * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 0), 4) + 0 AS lo,
+SELECT rate, k, n, round(100 * p, 4) + 0 AS pct,
+  round(100 * greatest(((p + z2 / (2 * n)) - {_W} * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 0), 4) + 0 AS lo,
   round(100 * least(((p + z2 / (2 * n)) + {_W} * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 1), 4) + 0 AS hi FROM w""")
 def q19_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of the labelled documents with their denominators and intervals."""
@@ -391,8 +453,11 @@ def q19_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("rate", "k", "n", (F.lit(100.0) * F.try_divide("k", "n")).alias("pct"), (100 * lo).alias("lo"), (100 * hi).alias("hi")), 4)
 
 
-@registered(f"""WITH {POINTS}, s AS (SELECT points.*, block_deg FROM points, (SELECT unnest([10.0, 20.0, 45.0])::DOUBLE AS block_deg)), b AS (SELECT block_deg, concat(CAST(CAST(floor(lon / block_deg) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(lat / block_deg) AS BIGINT) AS VARCHAR)) AS fold, y FROM s),
-c AS (SELECT block_deg, fold, avg(y) AS m FROM b GROUP BY 1, 2 HAVING count(*) >= 5) SELECT block_deg, count(*) AS n_folds, round(min(m), 6) + 0 AS least, round(quantile_cont(m, 0.25), 6) + 0 AS q25, round(median(m), 6) + 0 AS median, round(quantile_cont(m, 0.75), 6) + 0 AS q75, round(max(m), 6) + 0 AS most FROM c GROUP BY 1""")
+@registered(f"""WITH {POINTS}, s AS (SELECT points.*, block_deg FROM points, (SELECT unnest([10.0, 20.0, 45.0])::DOUBLE AS block_deg)), b AS (SELECT block_deg,
+  concat(CAST(CAST(floor(lon / block_deg) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(lat / block_deg) AS BIGINT) AS VARCHAR)) AS fold, y FROM s),
+c AS (SELECT block_deg, fold, avg(y) AS m FROM b GROUP BY 1, 2 HAVING count(*) >= 5) SELECT block_deg, count(*) AS n_folds, round(min(m),
+  6) + 0 AS least, round(quantile_cont(m, 0.25), 6) + 0 AS q25, round(median(m), 6) + 0 AS median, round(quantile_cont(m, 0.75), 6) + 0 AS q75,
+  round(max(m), 6) + 0 AS most FROM c GROUP BY 1""")
 def q20_fold_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box of fold scores by block size, as a figure would draw it."""
     b = folds.block_sweep(points(spark, sf_dir), "lon", "lat", [10.0, 20.0, 45.0])

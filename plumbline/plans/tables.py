@@ -61,7 +61,8 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MONTHLY = """monthly AS (
-  SELECT c_nationkey AS unit, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS ym, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS value
+  SELECT c_nationkey AS unit, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS ym,
+  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS value
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 

@@ -10,10 +10,12 @@ from plumbline.operators import baselines, encode, folds, metrics, panel, relati
 from plumbline.plans.tables import CUTOFF, DAILY, MONTHLY, daily, monthly, registered, rounded, table
 
 _Z = f"""{DAILY}, st AS (
-  SELECT unit, avg(value) FILTER (day <= DATE '{CUTOFF}') AS m, stddev_pop(value) FILTER (day <= DATE '{CUTOFF}') AS s, count(value) FILTER (day <= DATE '{CUTOFF}') AS c FROM daily GROUP BY 1),
+  SELECT unit, avg(value) FILTER (day <= DATE '{CUTOFF}') AS m, stddev_pop(value) FILTER (day <= DATE '{CUTOFF}') AS s,
+  count(value) FILTER (day <= DATE '{CUTOFF}') AS c FROM daily GROUP BY 1),
 z AS (SELECT daily.unit, day, (value - m) / s AS z FROM daily JOIN st USING (unit) WHERE c >= 5 AND s > 0)"""
 _SUP = lambda hs: f"""{_Z}, l AS (  -- noqa
-  SELECT unit, day, z AS lag_0, lag(z, 1) OVER w AS lag_1, lag(z, 2) OVER w AS lag_2, {', '.join(f'lead(z, {h}) OVER w AS t{h}, lead(day, {h}) OVER w AS d{h}' for h in hs)}
+  SELECT unit, day, z AS lag_0, lag(z, 1) OVER w AS lag_1, lag(z, 2) OVER w AS lag_2,
+  {', '.join(f'lead(z, {h}) OVER w AS t{h}, lead(day, {h}) OVER w AS d{h}' for h in hs)}
   FROM z WINDOW w AS (PARTITION BY unit ORDER BY day)),
 sup AS ({' UNION ALL '.join(f"SELECT unit, day, lag_0, lag_1, lag_2, {h} AS horizon, t{h} AS target, d{h} AS target_period, d{h} > DATE '{CUTOFF}' AS is_test FROM l WHERE lag_0 IS NOT NULL AND lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND t{h} IS NOT NULL" for h in hs)})"""
 
@@ -33,7 +35,9 @@ def skill_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(test.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), metrics.r2("target", "persistence", 3).alias("r2"), metrics.rmse("target", "persistence").alias("rmse")))
 
 
-@registered(f"""WITH {_SUP([1])} SELECT unit, count(*) AS n, round(CASE WHEN count(*) >= 3 AND var_pop(target) > 0 THEN 1 - sum((target - lag_0) * (target - lag_0)) / (var_pop(target) * count(*)) END, 6) + 0 AS r2,
+@registered(f"""WITH {_SUP([1])} SELECT unit, count(*) AS n,
+  round(CASE WHEN count(*) >= 3 AND var_pop(target) > 0 THEN 1 - sum((target - lag_0) * (target - lag_0)) / (var_pop(target) * count(*)) END,
+  6) + 0 AS r2,
 round(sqrt(avg((target - lag_0) * (target - lag_0))), 6) + 0 AS rmse FROM sup WHERE is_test GROUP BY 1""")
 def b9_persistence_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skill_by_unit(spark, sf_dir)
@@ -50,10 +54,13 @@ def w2_supervised_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""WITH {_SUP([1, 3, 7])}, u AS (
-  SELECT horizon, unit, count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(target) > 0 THEN 1 - sum((target - lag_0) * (target - lag_0)) / (var_pop(target) * count(*)) END AS r2 FROM sup WHERE is_test GROUP BY 1, 2),
-p AS (SELECT horizon, count(*) AS n_rows, 1 - sum((target - lag_0) * (target - lag_0)) / (var_pop(target) * count(*)) AS pooled_r2 FROM sup WHERE is_test GROUP BY 1)
+  SELECT horizon, unit, count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(target) > 0 THEN 1 - sum((target - lag_0) * (target - lag_0)) / (var_pop(target) * count(*)) END AS r2
+  FROM sup WHERE is_test GROUP BY 1, 2),
+p AS (SELECT horizon, count(*) AS n_rows, 1 - sum((target - lag_0) * (target - lag_0)) / (var_pop(target) * count(*)) AS pooled_r2 FROM sup
+  WHERE is_test GROUP BY 1)
 SELECT CAST(p.horizon AS INTEGER) AS horizon, n_rows, round(pooled_r2, 6) + 0 AS pooled_r2, n_units, round(median_r2, 6) + 0 AS median_r2, n_degenerate
-FROM p JOIN (SELECT horizon, count(*) AS n_units, median(r2) AS median_r2, count(*) FILTER (r2 IS NULL) AS n_degenerate FROM u WHERE n >= 3 GROUP BY 1) q USING (horizon)""")
+FROM p JOIN (SELECT horizon, count(*) AS n_units, median(r2) AS median_r2, count(*) FILTER (r2 IS NULL) AS n_degenerate FROM u WHERE n >= 3
+  GROUP BY 1) q USING (horizon)""")
 def w3_horizon_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = _supervised(spark, sf_dir, [1, 3, 7]).filter("is_test")
     pooled = test.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_rows"), metrics.r2("target", "lag_0").alias("pooled_r2"))
@@ -62,8 +69,10 @@ def w3_horizon_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pooled.join(units, "horizon"))
 
 
-@registered(f"""WITH {MONTHLY}, l AS (SELECT unit, ym, value, lead(value, 1) OVER w AS target, lead(ym, 1) OVER w AS target_ym FROM monthly WINDOW w AS (PARTITION BY unit ORDER BY ym))
-SELECT l.unit, l.ym, l.target_ym, round(l.target, 2) + 0 AS target, round(s.value, 2) + 0 AS seasonal FROM l LEFT JOIN monthly s ON s.unit = l.unit AND s.ym = l.target_ym - 100 WHERE target IS NOT NULL""")
+@registered(f"""WITH {MONTHLY}, l AS (SELECT unit, ym, value, lead(value, 1) OVER w AS target, lead(ym, 1) OVER w AS target_ym FROM monthly
+  WINDOW w AS (PARTITION BY unit ORDER BY ym))
+SELECT l.unit, l.ym, l.target_ym, round(l.target, 2) + 0 AS target, round(s.value, 2) + 0 AS seasonal FROM l LEFT
+  JOIN monthly s ON s.unit = l.unit AND s.ym = l.target_ym - 100 WHERE target IS NOT NULL""")
 def b10_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = monthly(spark, sf_dir)
     frame = panel.supervised(m, "unit", "ym", "value", 1, [1], 0)
@@ -84,7 +93,8 @@ def f14_tail_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""WITH d AS (SELECT user_id AS unit, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY 1, 2),
-k AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors, avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS k FROM events GROUP BY 1)
+k AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors,
+  avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS k FROM events GROUP BY 1)
 SELECT unit, day, round(value, 6) + 0 AS value, clicks, errors, round(k, 6) + 0 AS k FROM d LEFT JOIN k USING (day)""")
 def j1_left_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
@@ -138,10 +148,12 @@ def f19_overlap_greedy_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLITS = f"""{_SUP([1, 3])}, m AS (
   SELECT horizon, unit, avg(target) AS mean_target FROM sup WHERE NOT is_test GROUP BY 1, 2),
 t AS (SELECT s.*, mean_target FROM sup s JOIN m USING (horizon, unit) WHERE is_test),
-u AS (SELECT horizon, unit, count(*) AS n, sqrt(avg((target - lag_0) * (target - lag_0))) AS persistence, sqrt(avg((target - mean_target) * (target - mean_target))) AS unit_mean FROM t GROUP BY 1, 2)"""
+u AS (SELECT horizon, unit, count(*) AS n, sqrt(avg((target - lag_0) * (target - lag_0))) AS persistence,
+  sqrt(avg((target - mean_target) * (target - mean_target))) AS unit_mean FROM t GROUP BY 1, 2)"""
 
 
-@registered(f"""WITH {_SPLITS} SELECT CAST(horizon AS INTEGER) AS horizon, count(*) AS n_units, round(median(persistence), 6) + 0 AS persistence_rmse, round(median(unit_mean), 6) + 0 AS mean_rmse,
+@registered(f"""WITH {_SPLITS} SELECT CAST(horizon AS INTEGER) AS horizon, count(*) AS n_units, round(median(persistence), 6) + 0 AS persistence_rmse,
+  round(median(unit_mean), 6) + 0 AS mean_rmse,
 CAST(sum(CAST(persistence <= unit_mean AS INTEGER)) AS BIGINT) AS wins FROM u WHERE n >= 3 GROUP BY 1""")
 def q12_rolling_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _supervised(spark, sf_dir, [1, 3])
@@ -151,8 +163,10 @@ def q12_rolling_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(u.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_units"), F.median("persistence").alias("persistence_rmse"), F.median("unit_mean").alias("mean_rmse"), F.sum((F.col("persistence") <= F.col("unit_mean")).cast("long")).alias("wins")))
 
 
-@registered(f"""WITH {DAILY}, s AS (SELECT unit, seed, avg(value) AS v FROM daily, (SELECT unnest([1, 2, 3, 4]) AS seed) WHERE {draw_sql('unit * 100 + day(day)', 'seed')} % 2 = 0 GROUP BY 1, 2),
-p AS (SELECT unit, avg(v) AS m, stddev_samp(v) AS sd FROM s GROUP BY 1) SELECT count(*) AS n_units, round(median(m), 6) + 0 AS median, round(avg(sd), 6) + 0 AS seed_sd FROM p""")
+@registered(f"""WITH {DAILY}, s AS (SELECT unit, seed, avg(value) AS v FROM daily, (SELECT unnest([1, 2, 3, 4]) AS seed)
+  WHERE {draw_sql('unit * 100 + day(day)', 'seed')} % 2 = 0 GROUP BY 1, 2),
+p AS (SELECT unit, avg(v) AS m, stddev_samp(v) AS sd FROM s GROUP BY 1) SELECT count(*) AS n_units, round(median(m), 6) + 0 AS median, round(avg(sd),
+  6) + 0 AS seed_sd FROM p""")
 def a10_seeds_then_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.functions.draws import draw
 
