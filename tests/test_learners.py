@@ -107,3 +107,22 @@ def test_contracts(spark):
     drift = {r.k: r.status for r in contracts.drift(spark.createDataFrame([(1, 0.51), (2, 1.0), (3, 1.0)], "k int, v double"), spark.createDataFrame([(1, 0.5), (2, 2.0), (4, 1.0)], "k int, v double"), ["k"], "v", 0.02).collect()}
     assert drift == {1: "ok", 2: "drifted", 3: "new", 4: "missing"}
     assert contracts.missing_cells(df, {"k": [1, 2, 3]}).collect() == [(3,)]
+
+
+def test_learners_by_name(spark):
+    rows = [(i, float(i % 7), float(i % 5), 2.0 * (i % 7) - (i % 5) + 1.0, int(i % 7 > 3)) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double, c int")
+    tr, te = df.filter("id % 5 <> 0"), df.filter("id % 5 = 0")
+    for name in ("ols", "ridge", "lasso", "elastic_net", "knn"):
+        got = learners.predicted(name, tr, te, ["a", "b"], "y", "id").collect()
+        assert len(got) == 14 and max(abs(r.pred - r.y) for r in got) < (1e-9 if name == "ols" else 3.0)
+    got = learners.predicted("discriminant", tr, te, ["a", "b"], "c", "id").collect()
+    assert sum(r.pred == r.c for r in got) >= 12
+
+
+def test_single_proxies_of_all_folds(spark):
+    rows = [(i, i % 3, float(i % 7), float((i * i) % 11), 3.0 * (i % 7) + 0.01 * ((i * i) % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, fold int, a double, b double, y double")
+    got = learners.cross_fit_single(df, "fold", ["b", "a"], "y").collect()
+    one = {k: learners.single_proxy(df, ["a", "b"], "y", df.fold != k).first() for k in (0, 1, 2)}
+    assert len(got) == 60 and all(abs(r.pred - (one[r.fold].intercept + one[r.fold].slope * r[one[r.fold].feature])) < 1e-9 for r in got)
