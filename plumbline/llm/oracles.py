@@ -51,4 +51,19 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN
   FROM r GROUP BY 1) c USING (doc_id)
 """
 
-ORACLES = {"op2_substring_dedup": SUBSTRING, "op3_chat_perspectives": CHAT, "op7_decontamination": CONTAMINATION, "op10_jaccard_join": JACCARD}
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+  CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 AS stays,
+  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM g),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, CASE WHEN stays THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT stays THEN length(prefix) END AS prefix_chars, CASE WHEN NOT stays THEN length(middle) END AS middle_chars,
+  sha256(CASE WHEN stays THEN t WHEN h4 % 100 < 50 THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op2_substring_dedup": SUBSTRING, "op3_chat_perspectives": CHAT, "op7_decontamination": CONTAMINATION, "op10_jaccard_join": JACCARD, "op13_fill_in_middle": FILL_IN_MIDDLE}
