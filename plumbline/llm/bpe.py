@@ -31,7 +31,7 @@ from plumbline.llm.textcore import spread
 RANKS = "byte_bpe_50k.tiktoken"
 #: Transitions that a task remembers; when there are more it starts anew. Pieces (of at most so many bytes) that it remembers,
 #: twice: those met lately, and those of the time before, of which each that is met again moves on.
-MOST_STEPS, MOST_PIECES, PIECE_BYTES = 600_000, 250_000, 64
+MOST_STEPS, MOST_PIECES, PIECE_BYTES = 1_000_000, 300_000, 64
 #: Texts of more characters are split into pieces bit by bit; so many tokens at most leave in one batch.
 LONG_TEXT, BLOCK, FLUSH = 1 << 18, 1 << 16, 1 << 20
 START = -1
@@ -116,7 +116,7 @@ class Encoder(dict):
         self.before: dict[str, bytes] = {}
         self.merges = Merges(ranks)
         self.trie: dict[int, int] = {}
-        self.token, self.grows = array("l", [-1]), bytearray(1)
+        self.token, self.grows = [-1], bytearray(1)
         for raw, rank in ranks.items():
             node = 0
             for byte in raw:
@@ -132,10 +132,13 @@ class Encoder(dict):
         self._forget()
 
     def _forget(self) -> None:
+        """Only the start is known. A state is a flat tuple of its paths: place in the trie, last token, tokens held back."""
         self.states: dict[tuple, int] = {}
         self.paths: list[tuple] = []
-        self.table: dict[int, tuple[int, tuple]] = {}
-        self._state(((0, START, ()),))
+        self.held: dict[tuple, tuple] = {}
+        self.table: dict[int, int] = {}
+        self.emits: dict[int, tuple] = {}
+        self._state((0, START, ()))
 
     def _state(self, paths: tuple) -> int:
         number = self.states.get(paths)
@@ -144,53 +147,55 @@ class Encoder(dict):
             self.paths.append(paths)
         return number
 
-    def _determinise(self, state: int, byte: int) -> tuple[int, tuple]:
-        """The next state and the tokens emitted on the way; a path is (place in the trie, last token, tokens held back)."""
+    def _determinise(self, state: int, byte: int) -> int:
+        """The next state, doubled, and one more if tokens are emitted on the way."""
         paths, trie, grows, token_at, follows = [], self.trie, self.grows, self.token, self.merges.follows
-        for node, last, held in self.paths[state]:
+        own = iter(self.paths[state])
+        for node, last, held in zip(own, own, own):
             child = trie.get(node << 8 | byte)
             if child is None:
                 continue
             if grows[child]:
-                paths.append((child, last, held))
+                paths += child, last, held
             token = token_at[child]
             if token >= 0 and follows(last, token):
-                paths.append((0, token, (*held, token)))
-        k, shared = 0, paths[0][2]
-        if len(paths) > 1:
-            for _, _, held in paths:
-                if len(held) < len(shared):
-                    shared = held
-            while k < len(shared) and all(held[k] == shared[k] for _, _, held in paths):
-                k += 1
-            if k:
-                paths = [(node, last, held[k:]) for node, last, held in paths]
-            self.lookahead = max(self.lookahead, *(len(held) for _, _, held in paths))
-        elif shared:
-            k, paths = len(shared), [(*paths[0][:2], ())]
-        step = self._state(tuple(paths)), shared[:k]
+                paths += 0, token, (*held, token)
+        k, every = 0, paths[2::3]
+        shared = min(every, key=len)
+        while k < len(shared) and all(held[k] == shared[k] for held in every):
+            k += 1
+        longest = max(map(len, every))
+        if longest - k > self.lookahead:
+            self.lookahead = longest - k
+        paths[2::3] = [self.held.setdefault(held[k:], held[k:]) for held in every]
+        step = self._state(tuple(paths)) << 1 | (k > 0)
         self.table[state << 8 | byte] = step
+        if k:
+            self.emits[state << 8 | byte] = shared[:k]
         return step
 
     def read(self, state: int, raw: bytes) -> tuple[int, list[int]]:
         """The state after more bytes, and the tokens that no later byte can change."""
         out: list[int] = []
+        table, emits = self.table, self.emits
         for byte in raw:
-            step = self.table.get(state << 8 | byte)
+            step = table.get(state << 8 | byte)
             if step is None:
-                if len(self.table) >= MOST_STEPS:
+                if len(table) >= MOST_STEPS:
                     paths = self.paths[state]
                     self._forget()
+                    table, emits = self.table, self.emits
                     state = self._state(paths)
                 step = self._determinise(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
+            if step & 1:
+                out += emits[state << 8 | byte]
+            state = step >> 1
         return state, out
 
     def rest(self, state: int) -> tuple[int, ...]:
         """The tokens held back at the end of a piece: those of the one path that ends with a token."""
-        return next(held for node, _, held in self.paths[state] if not node)
+        paths = self.paths[state]
+        return next(held for node, held in zip(paths[::3], paths[2::3]) if not node)
 
     def __missing__(self, piece: str) -> bytes:
         tokens = self.before.pop(piece, None)
@@ -263,33 +268,48 @@ class Utf8:
 
 
 class Decoder(dict):
-    """Characters that each token finishes after an unfinished character, by (its bytes, token): composed once."""
+    """Characters that each token finishes after an unfinished character, by (its bytes, token): composed once.
+
+    ``whole`` has those of the tokens that begin and end between characters; after one of them the machine is where it was.
+    """
 
     def __init__(self, bytes_of: dict[int, bytes]):
         super().__init__()
         self.bytes_of = bytes_of
+        self.whole = {token: out for token in bytes_of for left, out in [self._composed(b"", token)] if not left}
 
-    def __missing__(self, key: tuple[bytes, int]) -> tuple[bytes, str]:
-        begun, token = key
+    def _composed(self, begun: bytes, token: int) -> tuple[bytes, str]:
         state, _, _ = Utf8.run(Utf8.BETWEEN, b"", begun)
         _, left, out = Utf8.run(state, begun, self.bytes_of.get(token, b"\xff"))
-        if len(self) >= MOST_STEPS:
-            self.clear()
-        self[key] = left, out
         return left, out
 
-    def stream(self, tokens: Iterable[int]) -> Iterator[str]:
-        """Characters as the tokens finish them; an id outside the vocabulary and an unfinished end are U+FFFD."""
-        begun = b""
-        for token in tokens:
-            begun, out = self[begun, token]
-            if out:
-                yield out
+    def __missing__(self, key: tuple[bytes, int]) -> tuple[bytes, str]:
+        if len(self) >= MOST_STEPS:
+            self.clear()
+        self[key] = self._composed(*key)
+        return self[key]
+
+    def stream(self, blocks: Iterable[list[int]]) -> Iterator[str]:
+        """Characters as the blocks of tokens finish them; an id outside the vocabulary and an unfinished end are U+FFFD."""
+        begun, whole = b"", self.whole
+        for tokens in blocks:
+            if not begun:
+                try:
+                    yield "".join(map(whole.__getitem__, tokens))
+                    continue
+                except KeyError:  # a token ends within a character
+                    pass
+            out = []
+            for token in tokens:
+                begun, done = self[begun, token]
+                out.append(done)
+            yield "".join(out)
         if begun:
             yield Utf8.WRONG
 
-    def decode(self, tokens: Iterable[int]) -> str:
-        return "".join(self.stream(tokens))
+    def decode(self, tokens: pa.Array | list[int]) -> str:
+        blocks = (tokens[a : a + BLOCK] for a in range(0, len(tokens), BLOCK))
+        return "".join(self.stream(x if isinstance(x, list) else x.to_pylist() for x in blocks))
 
 
 @lru_cache(maxsize=2)
@@ -311,7 +331,7 @@ def _compiled(pattern: str | None) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def _encode(name: str, pattern: str | None):
+def _encode(name: str, pattern: str | None, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, split = encoder(name), _compiled(pattern)
         for batch in batches:
@@ -322,21 +342,24 @@ def _encode(name: str, pattern: str | None):
                 if size >= FLUSH or i + 1 == len(batch):
                     ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(found)), ids], names=["doc_id", "ids"])
+                    cols = [batch.column(0).slice(a, len(found)), ids]
+                    if back:
+                        cols.append(pa.array([decoder(name).decode(x.values) for x in ids], pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][: len(cols)])
                     a, found, size = i + 1, [], 0
 
     return run
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str | None = None, back: bool = False) -> DataFrame:
     """One row per row: doc_id, ids (array of int): each match of ``pattern`` encoded by itself, without special tokens.
 
-    ``pattern`` None is that of the rank files. Null and empty texts have no ids. Repeated rows and null ids are kept. A
-    text or a word may be of any length: time grows with its bytes, and beside the text and its ids nothing does.
-    Other columns are not read.
+    ``pattern`` None is that of the rank files. With ``back``, a column decoded has what the ids decode to. Null and empty texts
+    have no ids. Repeated rows and null ids are kept. A text or a word may be of any length: time grows with its bytes, and
+    beside the text and its ids nothing does. Other columns are not read.
     """
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return spread(data).mapInArrow(_encode(ranks, pattern), "doc_id long, ids array<int>")
+    return spread(data).mapInArrow(_encode(ranks, pattern, back), "doc_id long, ids array<int>" + ", decoded string" * back)
 
 
 def _decode(name: str):
@@ -345,7 +368,7 @@ def _decode(name: str):
         for batch in batches:
             a, size, texts = 0, 0, []
             for i, ids in enumerate(batch.column(1)):
-                texts.append(None if not ids.is_valid else own.decode(ids.values.to_pylist() if len(ids) < BLOCK else _blocks(ids.values)))
+                texts.append(own.decode(ids.values) if ids.is_valid else None)
                 size += len(texts[-1] or "")
                 if size >= 4 * FLUSH or i + 1 == len(batch):
                     part = batch.slice(a, len(texts))
@@ -355,11 +378,6 @@ def _decode(name: str):
     return run
 
 
-def _blocks(values: pa.Array) -> Iterator[int]:
-    for a in range(0, len(values), BLOCK):
-        yield from values.slice(a, BLOCK).to_pylist()
-
-
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: str = RANKS) -> DataFrame:
     """One row per row: doc_id, ids, decoded (text).
 

@@ -66,4 +66,22 @@ SELECT doc_id, n, CASE WHEN stays THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELS
 FROM p
 """
 
-ORACLES = {"op2_substring_dedup": SUBSTRING, "op3_chat_perspectives": CHAT, "op7_decontamination": CONTAMINATION, "op10_jaccard_join": JACCARD, "op13_fill_in_middle": FILL_IN_MIDDLE}
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, m, x, count(*) AS a FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS x
+  FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 100),
+cut AS (SELECT c.lang, c.m, c.x, c.a, k, l.a AS l, r.a AS r, CAST(n AS HUGEINT) AS n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c JOIN f l ON l.lang = c.lang AND l.x = c.x[1:k]
+  JOIN f r ON r.lang = c.lang AND r.x = c.x[k + 1:] JOIN total ON total.lang = c.lang),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1),
+inner_ AS (SELECT DISTINCT lang, x[i:i + j - 1] AS x, a FROM (SELECT lang, x, m, a, j, unnest(range(1, m - j + 2)) AS i
+  FROM (SELECT *, unnest(range(2, m)) AS j FROM f WHERE m > 2))),
+held AS (SELECT lang, x, max(a) AS longer FROM inner_ GROUP BY 1, 2),
+kept AS (SELECT b.*, array_to_string(b.x, ' ') AS phrase FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.x = b.x WHERE longer IS NULL OR 100 * longer < 100 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op2_substring_dedup": SUBSTRING, "op3_chat_perspectives": CHAT, "op7_decontamination": CONTAMINATION, "op10_jaccard_join": JACCARD, "op12_collocations": COLLOCATIONS, "op13_fill_in_middle": FILL_IN_MIDDLE}

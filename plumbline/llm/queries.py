@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, brown, chat, decontaminate, fim, jaccard, language, licenses, packing, quality, substring, token_counts
+from plumbline.llm import bpe, brown, chat, decontaminate, fim, jaccard, language, licenses, packing, phrases, quality, substring, token_counts
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -64,11 +64,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode_ids(bpe.encode_texts(_table(spark, sf_dir, "documents")))
+    coded = bpe.encode_texts(_table(spark, sf_dir, "documents"), back=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
     restored = fim.restored("output", "form", digest=True).alias("restored_sha256")
@@ -80,6 +84,6 @@ QUERIES = {
     for f in (
         op1_best_fit_packing, op2_substring_dedup, op3_chat_perspectives, op4_quality_rules, op5_license_scan,
         op6_language_id, op7_decontamination, op8_token_counts, op9_brown_lm, op10_jaccard_join,
-        op11_byte_bpe, op13_fill_in_middle,
+        op11_byte_bpe, op12_collocations, op13_fill_in_middle,
     )
 }
