@@ -39,19 +39,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textcore import NULL_ID, SPACED, Words, slices, spread, stretch, text_buffer, text_bytes
+from plumbline.llm.textcore import NULL_ID, SPACED, Words, mix64, slices, spread, stretch, text_buffer, text_bytes
 from plumbline.shared import drop, scratch, stored, written
 
-HEAD, CLASSES, SWEEPS, ROUNDS = 512, 64, 12, 3
-#: Words seen less often get a class by their neighbours in every round, but are no evidence for their neighbours' classes.
-STEADY = 100
+HEAD, CLASSES, SWEEPS, ROUNDS = 512, 64, 12, 4
 CHUNK_BYTES = 8 << 20
 BUCKET_TOKENS = 2 << 20
 #: So many chunks at most are added up in one group; more are added up in two steps.
 FAN_IN = 1024
 EDGE, OPEN = 0, CLASSES  # the class of a text's ends, and of words that have none yet
 _WIDTH = CLASSES + 1
+#: A neighbour that only counts the word: tokens of texts that judge the rounds.
+_ASIDE = 2 * _WIDTH
 _UNSEEN = 255
+LEARNS, HELD, JUDGES = 0, 1, 2
 
 
 def _held_out(ids: np.ndarray) -> np.ndarray:
@@ -59,6 +60,14 @@ def _held_out(ids: np.ndarray) -> np.ndarray:
     return np.array([i != NULL_ID and zlib.crc32(str(i).encode()) % 10 == 0 for i in ids.tolist()], bool)
 
 
+def _roles(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """What each text is for: held out, or to judge the rounds (a tenth of the rest, by a hash of the words, copies alike), or to learn."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)])
+    first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    judges = mix64(sums[first[1:]] - sums[first[:-1]]) % np.uint64(10) == 1
+    return np.where(_held_out(ids), HELD, np.where(judges, JUDGES, LEARNS)).astype(np.uint8)
+
+
 def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -91,17 +100,18 @@ class Chunk:
 
     def __init__(self, chunk, ids, held, counts, keys, low, high):
         self.chunk, self.ids = chunk, np.frombuffer(ids, np.int64)
-        self.held, self.counts = np.frombuffer(held, bool), np.frombuffer(counts, np.int32)
+        self.role, self.counts = np.frombuffer(held, np.uint8), np.frombuffer(counts, np.int32)
         self.keys = np.frombuffer(keys, np.uint64)
         self.of = np.frombuffer(high, np.uint16).astype(np.int64) << 16 | np.frombuffer(low, np.uint16)
         self.first = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
+        self.held = self.role == HELD
         self.learns = np.repeat(~self.held, self.counts)
 
     @staticmethod
     def row(chunk: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list:
         ids, counts, hashes = (np.concatenate(x) for x in zip(*parts))
         keys, of = np.unique(hashes, return_inverse=True)
-        blobs = (ids, _held_out(ids), counts.astype(np.int32), keys, (of & 0xFFFF).astype(np.uint16), (of >> 16).astype(np.uint16))
+        blobs = (ids, _roles(ids, counts, hashes), counts.astype(np.int32), keys, (of & 0xFFFF).astype(np.uint16), (of >> 16).astype(np.uint16))
         return [chunk, *map(_blob, blobs)]
 
     def around(self, symbols: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,11 +124,12 @@ class Chunk:
         last[some] = symbols[self.first[1:][some] - 1]
         return before, after, last
 
-    def bigrams(self, symbols: np.ndarray, edge: int, width: int) -> np.ndarray:
-        """Counts of (symbol before, symbol) in the training texts, with their ends."""
+    def bigrams(self, symbols: np.ndarray, edge: int, width: int, roles: tuple[int, ...] = (LEARNS, JUDGES)) -> np.ndarray:
+        """Counts of (symbol before, symbol) in the texts of these roles, with their ends."""
         before, _, last = self.around(symbols, edge)
-        table = np.bincount((before * width + symbols)[self.learns], minlength=width * width)
-        return table + np.bincount(last[~self.held] * width + edge, minlength=width * width)
+        texts = np.isin(self.role, roles)
+        table = np.bincount((before * width + symbols)[np.repeat(texts, self.counts)], minlength=width * width)
+        return table + np.bincount(last[texts] * width + edge, minlength=width * width)
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -210,7 +221,7 @@ def _head_neighbours(head: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n * n, np.int64)
         for c in chunks_of(batches):
-            total += c.bigrams(_labels(c.keys, head, np.arange(len(head)), n - 2)[c.of], n - 1, n)
+            total += c.bigrams(_labels(c.keys, head, np.arange(len(head)), n - 2)[c.of], n - 1, n, (LEARNS,))
         yield _batch([(TaskContext.get().partitionId(), i, _blob(r)) for i, r in enumerate(total.reshape(n, n)) if r.any()], {"task": _I, "unit": _I, "n": _B})
 
     return run
@@ -305,8 +316,8 @@ def _near_rows(c: Chunk, cls: np.ndarray, bits: int) -> list[tuple]:
     """Class-neighbour counts of a chunk's training words, by bucket; ``cls``: class of each of its keys."""
     symbols = cls[c.of]
     before, after, _ = c.around(symbols, EDGE)
-    mine, wide = c.learns, 2 * _WIDTH
-    code = np.concatenate([(c.of * wide + after)[mine], (c.of * wide + _WIDTH + before)[mine]])
+    wide, mine, aside = _ASIDE + 1, *(np.repeat(c.role == r, c.counts) for r in (LEARNS, JUDGES))
+    code = np.concatenate([(c.of * wide + after)[mine], (c.of * wide + _WIDTH + before)[mine], (c.of * wide + _ASIDE)[aside]])
     code, n = np.unique(code, return_counts=True)
     words, begin = np.unique(code // wide, return_index=True)
     keys, size = c.keys[words], np.diff(np.append(begin, len(code))).astype(np.uint8)
@@ -332,14 +343,15 @@ def _served(c: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _next_near(bits: int):
-    """Class-neighbour counts with the classes of the last round; in a row of bucket -1, the chunk's class bigrams."""
+    """Class-neighbour counts with the classes of the last round; in rows of bucket -1 and -2, the chunk's class bigrams and those of the texts that judge."""
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         c = next(chunks_of(chunk.to_batches()))
-        n, cls = _served(c, answers)
-        cls = np.where(n < STEADY, OPEN, cls)
+        _, cls = _served(c, answers)
+        cls = np.where(cls == _UNSEEN, OPEN, cls)
         rows = _near_rows(c, cls, bits)
-        rows.append((-1, c.chunk, b"", b"", b"", b"", _blob(c.bigrams(cls[c.of], EDGE, _WIDTH))))
+        for bucket, role in ((-1, LEARNS), (-2, JUDGES)):
+            rows.append((bucket, c.chunk, b"", b"", b"", b"", _blob(c.bigrams(cls[c.of], EDGE, _WIDTH, (role,)))))
         return pa.Table.from_batches([_batch(rows, _NEAR)])
 
     return run
@@ -382,7 +394,7 @@ def best_classes(near: _Near, table: np.ndarray) -> np.ndarray:
     ``table`` counts class bigrams (before, after) with every word in its class of ``near``; a word is taken out of its own
     class first. Its neighbours are taken to stay. Ties go to the smaller class.
     """
-    both = np.concatenate([table.T, table]).astype(float)  # [ctx, class]: class before a right neighbour, after a left one
+    both = np.concatenate([table.T, table, np.zeros((1, _WIDTH))]).astype(float)  # [ctx, class]: class before a right neighbour, after a left one
     grown = np.stack([_f(both + v) - _f(both) for v in range(_SMALL + 1)]).astype(np.float32)
     words = len(near.keys)
     right = near.ctx < _WIDTH
@@ -411,18 +423,44 @@ def best_classes(near: _Near, table: np.ndarray) -> np.ndarray:
     return np.where(keeps, cls, best)
 
 
-def _moved(table: np.ndarray):
+def _evidence(x: _Near) -> tuple[_Near, np.ndarray]:
+    """Neighbours in the texts that learn, and how often each word occurs in all."""
+    of = np.repeat(np.arange(len(x.keys)), np.diff(x.begin))
+    told = x.ctx < _ASIDE
+    n = np.bincount(of[(x.ctx < _WIDTH) | ~told], weights=x.n[(x.ctx < _WIDTH) | ~told], minlength=len(x.keys)).astype(np.int64)
+    return _Near(x.keys, x.cls, np.searchsorted(of[told], np.arange(len(x.keys) + 1)), x.ctx[told], x.n[told]), n
+
+
+def _moved(table: np.ndarray, share: float):
+    """The words of a bucket with their next classes; of those that have one, only a ``share`` (by their hashes) may move."""
+    least = np.uint64(min(int(share * (1 << 32)), (1 << 32) - 1))
+
     def run(rows: pa.Table) -> pa.Table:
         x = _add_up(rows)
-        to = best_classes(x, table)
-        of = np.repeat(np.arange(len(x.keys)), np.diff(x.begin))
-        n = np.bincount(of[x.ctx < _WIDTH], weights=x.n[x.ctx < _WIDTH], minlength=len(x.keys)).astype(np.int64)
+        told, n = _evidence(x)
+        some = np.diff(told.begin) > 0
+        may = some & ((x.cls == OPEN) | ((mix64(x.keys) >> np.uint64(32)) <= least))
+        to = np.full(len(x.keys), OPEN)
+        told = _Near(x.keys[some], x.cls[some], np.append(told.begin[:-1][some], told.begin[-1]), told.ctx, told.n)
+        to[some] = np.where(may[some], best_classes(told, table), told.cls)
         row = (rows.column("bucket")[0].as_py(), _blob(_short(x.keys)), _blob(n), _blob(to.astype(np.uint8)), int(((to != x.cls) & (x.cls != OPEN)).sum()))
         return pa.Table.from_batches([_batch([row], _WORDS)])
 
     return run
 
 
+def _labelled(unseen: int):
+    """The words, those without a class in the one of unseen words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = [np.frombuffer(x.as_py(), np.uint8) for x in batch.column(3)]
+            own = pa.array([_blob(np.where(x == OPEN, np.uint8(unseen), x)) for x in cls], _B)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own, batch.column(4)], names=list(_WORDS))
+
+    return run
+
+
 def _asked(bits: int):
     """The words of each chunk, by bucket."""
 
@@ -482,11 +520,16 @@ class Classes(NamedTuple):
     n_words: int
     n_tokens: int
     moved: list[int]
+    scores: list[float]
     paths: list[str]
 
 
 def learn_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, rounds: int = ROUNDS) -> Classes:
-    """Chunks of tokens, and the class of every training word after ``rounds`` rounds (the first one lets the words join)."""
+    """Chunks of tokens, and the class of every training word after at most ``rounds`` rounds (the first one lets the words join).
+
+    A tenth of the training texts only count words and judge the rounds: one that makes them less probable is undone,
+    and from then on half as many words may move. Words that occur in these texts alone are of the class of unseen words.
+    """
     data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     _, size = text_bytes(data, "text")
     wider = stretch(size)
@@ -506,18 +549,62 @@ def learn_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = exchange(square, _WIDTH, fixed={len(head): OPEN, len(head) + 1: EDGE})
     member = np.eye(_WIDTH)[label]
     table = np.rint(member.T @ square @ member).astype(np.int64)
-    near, near_at = tokens.mapInArrow(_first_near(bits, head, label[: len(head)]), _NEAR_SQL), ""
-    moved, words_at, n = [], "", 0
-    while True:
-        words, at = stored(_added(near, n_chunks, _add_near, _NEAR_SQL, _moved(table), _WORDS_SQL), "words")
-        drop(spark, [p for p in (near_at, words_at) if p])
-        words_at, n = at, n + 1
-        moved.append(words.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0])
-        if n >= rounds or n > 1 and not moved[-1]:
-            return Classes(tokens, words, bits, n_words, n_tokens, moved, [tokens_at, words_at])
-        held, near_at = stored(_by_chunk(tokens, words, bits).applyInArrow(_next_near(bits), _NEAR_SQL), "near")
-        table = _class_bigrams(held.filter("bucket = -1").select("n"))
-        near = held.filter("bucket >= 0")
+    near, near_at = stored(_added(tokens.mapInArrow(_first_near(bits, head, label[: len(head)]), _NEAR_SQL), n_chunks, _add_near, _NEAR_SQL), "near")
+    best, history, share = None, [], 1.0
+    for n in range(max(rounds, 1)):
+        words, words_at = stored(near.groupBy("bucket").applyInArrow(_moved(table, share), _WORDS_SQL), "words")
+        moved = words.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]
+        if n and not moved:
+            drop(spark, [words_at])
+            break
+        if rounds <= 1:
+            return _final(tokens, words, bits, n_words, n_tokens, [moved], [0.0], [tokens_at, words_at, near_at])
+        held, held_at = stored(_by_chunk(tokens, words, bits).applyInArrow(_next_near(bits), _NEAR_SQL), "near")
+        learnt, judged = (_class_bigrams(held.filter(F.col("bucket") == b).select("n")) for b in (-1, -2))
+        score = judge(learnt, judged, class_masses(words), n_words, n_tokens)
+        history.append((moved, score))
+        if best is not None and score <= best.score:  # worse for texts it did not learn from: fewer words move
+            drop(spark, [words_at, held_at])
+            share /= 2
+            continue
+        drop(spark, [near_at, *([best.at] if best else [])])
+        best, table = _Round(score, words, words_at), learnt
+        near, near_at = stored(_added(held.filter("bucket >= 0"), n_chunks, _add_near, _NEAR_SQL), "near") if n + 1 < rounds else (None, held_at)
+        if n + 1 < rounds:
+            drop(spark, [held_at])
+    return _final(tokens, best.words, bits, n_words, n_tokens, *map(list, zip(*history)), [tokens_at, best.at, near_at])
+
+
+class _Round(NamedTuple):
+    score: float
+    words: DataFrame
+    at: str
+
+
+def _final(tokens: DataFrame, words: DataFrame, bits: int, n_words: int, n_tokens: int, moved: list[int], scores: list[float], paths: list[str]) -> Classes:
+    unseen = class_of_unseen(class_masses(words))
+    return Classes(tokens, words.mapInArrow(_labelled(unseen), _WORDS_SQL), bits, n_words, n_tokens, moved, scores, paths)
+
+
+def class_masses(words: DataFrame) -> np.ndarray:
+    """Tokens, words and words seen once of each class, as columns."""
+    masses = np.zeros((_WIDTH, 3), np.int64)
+    rows = words.select("n", "cls").mapInArrow(_masses, "cls int, n long, words long, once long")
+    for r in rows.groupBy("cls").agg(*(F.sum(c).alias(c) for c in ("n", "words", "once"))).collect():
+        masses[r["cls"]] = r["n"], r["words"], r["once"]
+    return masses
+
+
+def class_of_unseen(masses: np.ndarray) -> int:
+    """The class with the most words seen once."""
+    return max(range(1, CLASSES), key=lambda k: (masses[k, 2], masses[k, 1], -k))
+
+
+def judge(learnt: np.ndarray, judged: np.ndarray, masses: np.ndarray, n_words: int, n_tokens: int) -> float:
+    """log10 probability of the texts that judge, but for what is the same with all classes; without such texts, of those that learn."""
+    model, own = Model(learnt, masses, n_words, n_tokens), judged if judged.any() else learnt
+    own = model.folded(own)
+    return float((own * model.turn).sum() - (own.sum(0) * model.below)[EDGE + 1 :].sum())
 
 
 def _sequences(chunk: pa.Table, answers: pa.Table) -> pa.Table:
@@ -546,10 +633,13 @@ class Model:
     """Class bigrams and what a word's smoothed count is divided by in its class."""
 
     def __init__(self, table: np.ndarray, masses: np.ndarray, n_words: int, n_tokens: int):
-        """``masses``: tokens, words and words seen once of each class, as columns."""
+        """``masses``: tokens, words and words seen once of each class, as columns. Words without a class are of that of unseen words."""
         self.ends = int(table[:, EDGE].sum())
         self.total, self.kinds = n_tokens + self.ends, n_words + (self.ends > 0)
-        self.unseen = max(range(1, CLASSES), key=lambda k: (masses[k, 2], masses[k, 1], -k))
+        self.unseen = class_of_unseen(masses)
+        masses, table = masses.copy(), self.folded(table)
+        masses[self.unseen] += masses[OPEN]
+        masses[OPEN] = 0
         words = masses[:, 1] + (np.arange(_WIDTH) == self.unseen)
         used = (words > 0) | (np.arange(_WIDTH) == EDGE)
         t = table * used
@@ -557,6 +647,14 @@ class Model:
         self.below = np.log10(np.maximum(masses[:, 0] + 0.1 * words, 1e-9))
         self.floor = math.log10(self.total + 0.1 * (self.kinds + 1))
 
+    def folded(self, table: np.ndarray) -> np.ndarray:
+        """Bigrams of words without a class are those of the class of unseen words."""
+        table = table.copy()
+        table[self.unseen] += table[OPEN]
+        table[:, self.unseen] += table[:, OPEN]
+        table[OPEN] = table[:, OPEN] = 0
+        return table
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -585,10 +683,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     with scratch(spark):
         learnt = learn_classes(docs, id_col, text_col, chunk_bytes, rounds)
-        rows = learnt.words.select("n", "cls").mapInArrow(_masses, "cls int, n long, words long, once long")
-        masses = np.zeros((_WIDTH, 3), np.int64)
-        for r in rows.groupBy("cls").agg(*(F.sum(c).alias(c) for c in ("n", "words", "once"))).collect():
-            masses[r["cls"]] = r["n"], r["words"], r["once"]
+        masses = class_masses(learnt.words)
         schema = ", ".join(f"{c} binary" for c in _SEQUENCES)
         sequences = written(_by_chunk(learnt.tokens, learnt.words, learnt.bits).applyInArrow(_sequences, schema), "sequences", hold=True)
     model = Model(_class_bigrams(sequences.select("bigrams")), masses, learnt.n_words, learnt.n_tokens)
