@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.metric_index import nearest_rows
 from plumbline.operators.ranking import quantiles
 
 
@@ -245,46 +246,9 @@ def fit_or_status(make: Callable[[], DataFrame], spark, schema: str, **labels: s
         return empty.withColumns({"status": F.lit("failed"), "reason": F.lit(type(e).__name__), **{k: F.lit(v) for k, v in labels.items()}})
 
 
-def knn_features(test: DataFrame, train: DataFrame, features: list[str], y: str, key: str, k: int = 8, block: int = 20_000) -> DataFrame:
-    """(test_key, pred): the mean of y over the k training rows nearest in feature space; ties by key.
-
-    Test rows are the stated queries. Both sides are dealt into blocks of about ``block`` rows by key hash; each pair of blocks is a task
-    that keeps the k best of every test row, and those meet again in one ranking.
-    """
-    from pyspark.sql import Window
-
-    tr = train.dropna(subset=[*features, y]).select(F.col(key).alias("_k"), F.col(y).cast("double").alias("_y"), F.array(*(F.col(f).cast("double") for f in features)).alias("_v"))
-    te = test.dropna(subset=features).select(F.col(key).alias("_q"), F.array(*(F.col(f).cast("double") for f in features)).alias("_w"))
-    parts, asked = max(1, -(-tr.count() // block)), max(1, -(-te.count() // block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    tr = tr.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(parts)).cast("int")).withColumn("_a", every(asked))
-    te = te.withColumn("_a", F.pmod(F.xxhash64("_q"), F.lit(asked)).cast("int")).withColumn("_b", every(parts))
-
-    def nearest(queries: "pa.Table", rows: "pa.Table") -> "pa.Table":  # noqa: F821
-        import pyarrow as pa
-
-        flat = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
-        at, best = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
-        if queries.num_rows and rows.num_rows:
-            rows = rows.sort_by("_k")
-            v, w = flat(rows.column("_v")), flat(queries.column("_w"))
-            kk, yy = rows.column("_k").to_numpy(), rows.column("_y").to_numpy()
-            step = max(1, 2_000_000 // len(v))
-            for i in range(0, len(w), step):  # a bounded table of distances at a time
-                dist = np.zeros((min(step, len(w) - i), len(v)))
-                for f in range(v.shape[1]):
-                    dist += (w[i : i + step, f, None] - v[None, :, f]) ** 2
-                edge = np.partition(dist, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
-                q, r = np.nonzero(dist <= edge[:, None])
-                at.append(q + i)
-                best.append(np.stack([dist[q, r], kk[r], yy[r]], 1))
-        at, best = np.concatenate(at), np.concatenate(best)
-        q = queries.column("_q").combine_chunks().take(pa.array(at)) if len(at) else pa.array([], pa.int64())
-        return pa.table({"_q": q, "_d": best[:, 0], "_k": pa.array(best[:, 1].astype(np.int64)), "_y": best[:, 2]})
-
-    near = te.groupBy("_a", "_b").cogroup(tr.groupBy("_a", "_b")).applyInArrow(nearest, "_q long, _d double, _k long, _y double")
-    rank = Window.partitionBy("_q").orderBy("_d", "_k")
-    return near.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= k).groupBy(F.col("_q").alias("test_key")).agg(F.avg("_y").alias("pred"))
+def knn_features(test: DataFrame, train: DataFrame, features: list[str], y: str, key: str, k: int = 8, apart: str | None = None) -> DataFrame:
+    """(test_key, pred): the mean of y over the k training rows nearest in feature space; ties by key. ``apart``: see ``nearest_rows``."""
+    return nearest_rows(test, train, features, y, key, k, apart).groupBy("test_key").agg(F.avg("value").alias("pred"))
 
 
 def cross_fit_single(df: DataFrame, fold: str, features: list[str], y: str, name: str = "pred") -> DataFrame:
