@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.draws import draw_sql, fold_of
-from plumbline.operators import baselines, bootstrap, encode, folds, learners, metrics, panel, spatial, summary
+from plumbline.operators import baselines, bootstrap, encode, folds, learners, logistic, metrics, panel, spatial, summary
 from plumbline.plans.spatial import FOLDED
-from plumbline.plans.sql import ridge_sql
-from plumbline.plans.tables import CUTOFF, DAILY, customers, daily, points, registered, rounded, table
+from plumbline.plans.sql import auc_sql, logistic_sql, ridge_sql
+from plumbline.plans.tables import CUSTOMERS, CUTOFF, DAILY, POINTS, customers, daily, points, registered, rounded, table
+from plumbline.shared import written
 
 _BLOCK = "concat(CAST(CAST(floor(lon / CAST(45 AS DOUBLE)) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(lat / CAST(45 AS DOUBLE)) AS BIGINT) AS VARCHAR))"
 
@@ -56,23 +57,31 @@ def q2_spatial_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_stack(out))
 
 
-@registered()
-def q5_exceedance_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUC of a logistic learner and of neighbour frequency on the same held-out blocks, with recovery."""
-    p = folds.with_block(points(spark, sf_dir), "lon", "lat", 45)
-    ok = [r.fold for r in folds.eligible_folds(p, [], least=20, label="hit", least_pos=5, least_neg=5).orderBy("fold").collect()]
+_EXCEED = f"""WITH {POINTS}, b AS MATERIALIZED (SELECT vec_id, 1 AS k, hit, lon, lat, x1, x2, {_BLOCK} AS fold FROM points),
+ok AS (SELECT fold FROM b GROUP BY 1 HAVING count(*) >= 20 AND sum(hit) >= 5 AND count(*) - sum(hit) >= 5),
+{logistic_sql('w', 'b', 'k', ['lon', 'lat', 'x1', 'x2'], 'hit', 0.01)},
+g AS MATERIALIZED (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y3, sin(radians(lat)) AS z FROM b),
+d AS (SELECT te.vec_id, tr.hit, tr.vec_id AS train_key,
+  sqrt((te.x - tr.x) * (te.x - tr.x) + (te.y3 - tr.y3) * (te.y3 - tr.y3) + (te.z - tr.z) * (te.z - tr.z)) AS dist FROM g te JOIN g tr ON te.fold <> tr.fold),
+nn AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, train_key) AS rn FROM d),
+base AS (SELECT vec_id, sum(hit / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS base FROM nn WHERE rn <= 8 GROUP BY 1),
+s AS MATERIALIZED (SELECT fold, hit, round(pred, 9) AS m, round(base, 9) AS b FROM w JOIN base USING (vec_id) SEMI JOIN ok USING (fold)),
+a AS (SELECT m.auc AS m, b.auc AS b FROM ({auc_sql('s', 'fold', 'hit', 'm')}) m JOIN ({auc_sql('s', 'fold', 'hit', 'b')}) b USING (fold)),
+t AS (SELECT count(*) AS n, median(m) - 0.5 AS model_skill, median(b) - 0.5 AS baseline_skill FROM a HAVING count(*) > 0)"""
 
-    def score(f: str) -> DataFrame:
-        tr, te = p.filter(F.col("fold") != f), p.filter(F.col("fold") == f)
-        idw = spatial.idw(spatial.knn_join(te, tr, 8, "vec_id", "hit")).select(F.col("test_key").alias("vec_id"), F.col("pred").alias("base"))
-        both = learners.fit_predict(learners.logistic(0.01), tr, te, ["lon", "lat", "x1", "x2"], "hit", "model").join(idw, "vec_id")
-        m, b = (metrics.auc(both, [], "hit", c).select(F.col("auc").alias(c)) for c in ("model", "base"))
-        return m.join(b).withColumn("fold", F.lit(f))
 
-    out = _at_once([lambda f=f: score(f) for f in ok])
-    if not out:
-        return spark.createDataFrame([], "n long, model_skill double, baseline_skill double, increment double, recovery_pct double")
-    return rounded(summary.recovery_table(_stack(out), [], "model", "base", 0.5, floor=True), 4)
+@registered(f"""{_EXCEED} SELECT n, round(model_skill, 6) + 0 AS model_skill, round(baseline_skill, 6) + 0 AS baseline_skill,
+  round(model_skill - baseline_skill, 6) + 0 AS increment, round(CASE WHEN model_skill > 0 THEN 100 * greatest(0.0, baseline_skill) / model_skill END, 4) + 0 AS recovery_pct FROM t""")
+def q5_exceedance_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of a logistic learner and of neighbour frequency on the same held-out blocks, with recovery. Both score every fold in one pass."""
+    p = written(folds.with_block(points(spark, sf_dir), "lon", "lat", 45), "blocks")
+    ok = folds.eligible_folds(p, [], least=20, label="hit", least_pos=5, least_neg=5).select("fold")
+    idw = spatial.idw(spatial.knn_join(p, p, 8, "vec_id", "hit", apart="fold")).select(F.col("test_key").alias("vec_id"), F.round("pred", 9).alias("base"))
+    model = logistic.cross_fit_logistic(p, "fold", ["lon", "lat", "x1", "x2"], "hit", 0.01, name="model").withColumn("model", F.round("model", 9))
+    both = written(model.join(idw, "vec_id").join(ok, "fold", "left_semi"), "scored")
+    m, b = (metrics.auc(both, ["fold"], "hit", c).select("fold", F.col("auc").alias(c)) for c in ("model", "base"))
+    out = summary.recovery_table(m.join(b, "fold"), [], "model", "base", 0.5, floor=True).filter("n > 0")
+    return rounded(out.withColumn("recovery_pct", F.round("recovery_pct", 4)))
 
 
 @registered(f"""WITH {FOLDED}, s AS (SELECT f.*, block_deg FROM f, (SELECT unnest([20.0, 45.0, 90.0])::DOUBLE AS block_deg)),
@@ -165,17 +174,25 @@ def q13_panel_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("cell").agg(F.count_distinct("unit").alias("n_units"), F.count(F.lit(1)).alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
-@registered()
+_GROUPS = f"""WITH {CUSTOMERS}, u AS (SELECT 'random' AS regime, CAST(CAST({draw_sql('o_orderkey', 4)} % 2 AS INTEGER) AS VARCHAR) AS fold, * FROM customers
+  UNION ALL SELECT 'spatial', region, * FROM customers),
+c AS MATERIALIZED (SELECT regime, fold, CAST(y > 250000 AS INTEGER) AS hit, CAST(unit % 97 AS DOUBLE) AS x, CAST(o_orderstatus = 'F' AS DOUBLE) AS f1,
+  CAST(o_orderstatus = 'O' AS DOUBLE) AS f2 FROM u),
+ok AS (SELECT regime, fold FROM c GROUP BY 1, 2 HAVING sum(hit) >= 5 AND count(*) - sum(hit) >= 5),
+{logistic_sql('w', 'c', 'regime', ['x', 'f1', 'f2'], 'hit', 0.0)},
+s AS MATERIALIZED (SELECT regime, fold, hit, round(pred, 9) AS p FROM w SEMI JOIN ok USING (regime, fold)), a AS ({auc_sql('s', 'regime, fold', 'hit', 'p')})"""
+
+
+@registered(f"""{_GROUPS} SELECT round(median(auc) FILTER (regime = 'random'), 6) + 0 AS random_median, round(median(auc) FILTER (regime = 'spatial'), 6) + 0 AS spatial_median,
+  round(median(auc) FILTER (regime = 'random') - median(auc) FILTER (regime = 'spatial'), 6) + 0 AS gap FROM a""")
 def q3_group_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A classifier under random folds and leave-one-region-out: AUC medians and the gap."""
+    """A classifier under random folds and leave-one-region-out: AUC medians and the gap. Regimes and folds share every pass."""
     c = customers(spark, sf_dir)
     c = encode.one_hot(c.withColumns({"hit": (F.col("y") > 250_000).cast("int"), "x": F.col("unit") % 97}), "o_orderstatus", ["F", "O", "P"])
-    f, out = ["x", "o_orderstatus_F", "o_orderstatus_O"], []
-    for regime, p in (("random", c.withColumn("fold", fold_of(F.col("o_orderkey"), 2, 4).cast("string"))), ("spatial", c.withColumn("fold", F.col("region")))):
-        for k in [r.fold for r in folds.eligible_folds(p, [], label="hit", least_pos=5, least_neg=5).orderBy("fold").collect()]:
-            def score(p=p, k=k, regime=regime):
-                pred = learners.fit_predict(learners.logistic(0.0), p.filter(F.col("fold") != k), p.filter(F.col("fold") == k), f, "hit")
-                return metrics.auc(pred, [], "hit", "pred").select(F.lit(regime).alias("regime"), "auc")
-
-            out.append(score)
-    return rounded(summary.regime_gap(_stack(_at_once(out)), [], "regime", "auc"), 4)
+    regimes = {"random": fold_of(F.col("o_orderkey"), 2, 4).cast("string"), "spatial": F.col("region")}
+    p = _stack([c.select(F.lit(r).alias("regime"), f.alias("fold"), "hit", "x", "o_orderstatus_F", "o_orderstatus_O") for r, f in regimes.items()])
+    p = written(p, "regimes")
+    ok = folds.eligible_folds(p, ["regime"], label="hit", least_pos=5, least_neg=5).select("regime", "fold")
+    pred = logistic.cross_fit_logistic(p, "fold", ["x", "o_orderstatus_F", "o_orderstatus_O"], "hit", keys=("regime",))
+    pred = pred.withColumn("pred", F.round("pred", 9)).join(ok, ["regime", "fold"], "left_semi")
+    return rounded(summary.regime_gap(metrics.auc(pred, ["regime", "fold"], "hit", "pred"), [], "regime", "auc"))

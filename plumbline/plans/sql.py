@@ -27,3 +27,43 @@ def ridge_sql(name: str, rows: str, keys: str, features: list[str], y: str, alph
         out.append(f"{name}_{k + 1} AS (SELECT {kept}, {', '.join(step)} FROM {name}_{k})")
     out.append(f"{name} AS (SELECT {keys}, my, {', '.join([*(f'm{i}' for i in p), *(f'b{i} / s{i} AS w{i}' for i in p)])} FROM {name}_{len(features)})")
     return ", ".join(out)
+
+
+def logistic_sql(name: str, rows: str, key: str, features: list[str], label: str, alpha: float, steps: int = 8, weight: str = "1.0") -> str:
+    """CTE ``name``: the rows of ``rows`` that have a model, with pred, from the logistic model of the rows of the same key and another fold.
+
+    Newton steps on sums, as in ``cross_fit_logistic``; each step's system is solved by elimination, one unknown a CTE.
+    """
+    p = range(len(features))
+    dims = range(len(features) + 1)
+    stats = ", ".join([f"sum({weight}) AS n", *(f"sum({weight} * {f}) / sum({weight}) AS m{i}, sum({weight} * {f} * {f}) / sum({weight}) AS e{i}" for i, f in enumerate(features))])
+    held = ", ".join([*(f"m{i}" for i in p), *(f"s{i}" for i in p)])
+    out = [
+        f"{name}_k AS MATERIALIZED (SELECT DISTINCT {key}, fold AS f FROM {rows})",
+        f"{name}_s AS MATERIALIZED (SELECT {key}, f, {stats} FROM {rows} JOIN {name}_k USING ({key}) WHERE fold <> f GROUP BY ALL)",
+        f"{name}_t0 AS MATERIALIZED (SELECT {key}, f, {', '.join([*(f'm{i}' for i in p), *(f'sqrt(greatest(e{i} - m{i} * m{i}, 0)) + 1e-8 AS s{i}' for i in p), *(f'CAST(0 AS DOUBLE) AS t{i}' for i in dims)])} FROM {name}_s)",
+    ]
+    dot = " + ".join(["t0", *(f"t{i + 1} * (({f} - m{i}) / s{i})" for i, f in enumerate(features))])
+    z = ["1.0", *(f"(({f} - m{i}) / s{i})" for i, f in enumerate(features))]
+    for step in range(steps):
+        own = f"{name}_{step}"
+        sums = [f"sum(w * ({label} - pr) * {z[i]}) / sum(w)" + (f" - {alpha} * any_value(t{i})" if i else "") + f" AS b{i}" for i in dims]
+        sums += [f"sum(w * pr * (1 - pr) * {z[i]} * {z[j]}) / sum(w)" + (f" + {alpha if i else 0.0} + 1e-9" if i == j else "") + f" AS a{i}_{j}" for i in dims for j in dims]
+        thetas = ", ".join(f"any_value(t{i}) AS t{i}" for i in dims)
+        out.append(f"{own}_p AS MATERIALIZED (SELECT r.*, {held}, f, {', '.join(f't{i}' for i in dims)}, CAST({weight} AS DOUBLE) AS w, 1 / (1 + exp(-({dot}))) AS pr FROM {rows} r JOIN {name}_t{step} USING ({key}) WHERE fold <> f)")
+        out.append(f"{own}_0 AS MATERIALIZED (SELECT {key}, f, {', '.join(f'any_value({c}) AS {c}' for c in held.split(', '))}, {thetas}, {', '.join(sums)} FROM {own}_p GROUP BY {key}, f)")
+        kept = f"{key}, f, {held}, " + ", ".join(f"t{i}" for i in dims)
+        for k in dims:
+            cells = [f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" if i != k else f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" for i in dims for j in dims]
+            cells += [f"b{i} - a{i}_{k} * b{k} / a{k}_{k} AS b{i}" if i != k else f"b{k} / a{k}_{k} AS b{k}" for i in dims]
+            out.append(f"{own}_{k + 1} AS MATERIALIZED (SELECT {kept}, {', '.join(cells)} FROM {own}_{k})")
+        out.append(f"{name}_t{step + 1} AS MATERIALIZED (SELECT {key}, f, {held}, {', '.join(f't{i} + b{i} AS t{i}' for i in dims)} FROM {own}_{len(features) + 1})")
+    out.append(f"{name} AS MATERIALIZED (SELECT r.*, 1 / (1 + exp(-({dot}))) AS pred FROM {rows} r JOIN {name}_t{steps} t ON r.{key} = t.{key} AND r.fold = t.f)")
+    return ", ".join(out)
+
+
+def auc_sql(rows: str, keys: str, label: str, score: str) -> str:
+    """A query: keys and auc, ties counting half, of the groups that have both classes."""
+    ranks = f"SELECT {keys}, {label} AS y, rank() OVER (PARTITION BY {keys} ORDER BY {score}) + (count(*) OVER (PARTITION BY {keys}, {score}) - 1) / 2.0 AS rk FROM {rows}"
+    won = "sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0"
+    return f"SELECT {keys}, ({won}) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0) AS auc FROM ({ranks}) GROUP BY ALL"
