@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import attach, components
-from plumbline.llm.textcore import NULL_ID, SPACED, Words, hashed_chunks, mix64, run_hashes, slices, spread, stretch, text_buffer
+from plumbline.llm.textcore import NULL_ID, SPACED, Words, free_name, hashed_chunks, mix64, run_hashes, slices, spread, stretch, text_buffer
 from plumbline.shared import scratch, written
 
 SHINGLE = 5
@@ -455,14 +455,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     per = written(own.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")).filter("c <> doc_id or n > 1"), "dropped")
     gone, again = per.filter("c <> doc_id"), per.filter("c = doc_id")
     n_gone, n_again = gone.count(), again.count()
-    key = F.col(f"`{id_col}`").cast("long") == F.col("doc_id_gone")
+    other, held = free_name(docs.columns, "doc_id_gone"), free_name(docs.columns, "row")
+    key = F.col(f"`{id_col}`").cast("long") == F.col(other)
     small = lambda ids, n: F.broadcast(ids) if n <= BROADCAST_IDS else ids
     kept = docs
     if n_gone:
-        kept = kept.join(small(gone.select(F.col("doc_id").alias("doc_id_gone")), n_gone), key, "left_anti")
+        kept = kept.join(small(gone.select(F.col("doc_id").alias(other)), n_gone), key, "left_anti")
     if n_again:
-        twice = small(again.select(F.col("doc_id").alias("doc_id_gone")), n_again)
+        twice = small(again.select(F.col("doc_id").alias(other)), n_again)
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        one = kept.join(twice, key, "left_semi").groupBy(id_col, text_col).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        one = kept.join(twice, key, "left_semi").groupBy(id_col, text_col).agg(F.min_by(row, F.to_json(row)).alias(held)).select(f"{held}.*")
         kept = kept.join(twice, key, "left_anti").unionByName(one)
     return kept

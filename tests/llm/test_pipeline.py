@@ -155,3 +155,32 @@ def test_registered_queries_return_a_row_per_document(spark, name):
     elif name not in ("op1_best_fit_packing", "op5_license_scan"):
         ids = [r.doc_id for r in got.select("doc_id").collect()]
         assert sorted(ids) == sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+
+
+#: Names that stages use inside, or that they might.
+INSIDE = (
+    "doc_id_gone row c n chunk id h rest keys at key sid sides slots salt bucket quality kept kept_text carried removed n_words n_removed n_hit n_items "
+    "component_id n_shingles no_text posterior word_char pattern lines words votes items_sha256 piece start length sequence_id offset ids_crc32 q text_ doc_id_"
+).split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_columns_of_any_name(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 120")
+    docs = docs.unionByName(docs.filter("doc_id = 7")).unionByName(docs.filter("doc_id = 8").selectExpr("doc_id + 1000 AS doc_id", "text", "lang", "source", "n_chars"))
+    wide = docs.selectExpr("*", *(f"concat('{c}-', doc_id) AS `{c}`" for c in INSIDE if c not in docs.columns))
+    plain, got = stage(spark, docs, SF), stage(spark, wide, SF)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
+    for r in rows:
+        assert all(r[c] == f"{c}-{r.doc_id}" for c in INSIDE if c not in docs.columns)
+
+
+def test_packing_takes_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
+    wide = docs.selectExpr("*", *(f"concat('{c}-', doc_id) AS `{c}`" for c in INSIDE if c not in docs.columns))
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    a, b = (dict(corpus_pipeline.STAGES)["best-fit packing"](spark, d, SF).select(*own).collect() for d in (docs, wide))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
