@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.draws import draw_sql, fold_of
-from plumbline.operators import baselines, bootstrap, encode, folds, learners, logistic, metrics, panel, spatial, summary
+from plumbline.operators import baselines, boosted, bootstrap, encode, folds, learners, logistic, metrics, panel, spatial, summary
 from plumbline.plans.spatial import FOLDED
 from plumbline.plans.sql import auc_sql, logistic_sql, ridge_sql
 from plumbline.plans.tables import CUSTOMERS, CUTOFF, DAILY, POINTS, customers, daily, points, registered, rounded, table
@@ -106,18 +106,37 @@ def q7_scale_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def q9_learner_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of learners under both regimes; a failed fit is a row with its reason."""
-    out = []
-    for regime, p in _regimes(points(spark, sf_dir), 90.0, 2).items():
-        ok = [r.fold for r in folds.eligible_folds(p, [], least=20).orderBy("fold").collect()]
-        for name, make in (("forest", learners.forest), ("boosting", learners.boosting)):
-            for f in ok:
-                def score(p=p, f=f, make=make):
-                    pred = learners.fit_predict(make(), p.filter(F.col("fold") != f), p.filter(F.col("fold") == f), ["lon", "lat", "x1", "x2"], "y")
-                    return pred.agg(metrics.r2("y", "pred", 3).alias("r2"))
-
-                out.append(lambda score=score, regime=regime, name=name, f=f: learners.fit_or_status(score, spark, "r2 double", regime=regime, model=name, fold=f))
-    return rounded(_stack(_at_once(out)).groupBy("model").agg(F.median(F.when(F.col("regime") == "random", F.col("r2"))).alias("random_median"), F.median(F.when(F.col("regime") == "spatial", F.col("r2"))).alias("spatial_median"), F.count_if(F.col("status") == "failed").alias("n_failed")), 4)
+    """Families of learners under both regimes, every eligible fold; a failed fit is a row with its reason.
+
+    Ridge, neighbours in feature space and boosting score all folds of a regime at once (boosting those of both); forests are fitted fold by fold.
+    """
+    f, regimes = ["lon", "lat", "x1", "x2"], _regimes(points(spark, sf_dir), 90.0, 2)
+    both = written(_stack([p.withColumn("regime", F.lit(r)) for r, p in regimes.items()]), "regimes")
+    ok = written(folds.eligible_folds(both, ["regime"], least=20).select("regime", "fold"), "eligible")
+    schema, out = "regime string, fold string, r2 double", []
+
+    def scored(pred: DataFrame) -> DataFrame:
+        per = pred.join(ok, ["regime", "fold"], "left_semi").groupBy("regime", "fold")
+        return per.agg(metrics.r2("y", "pred", 3).alias("r2")).select("regime", "fold", "r2")
+
+    def near(p: DataFrame) -> DataFrame:
+        pred = learners.knn_features(p, p, f, "y", "vec_id", 8, "fold")
+        return p.join(pred.withColumnRenamed("test_key", "vec_id"), "vec_id")
+
+    def grown(regime: str, fold: str) -> DataFrame:
+        p = both.filter(F.col("regime") == regime)
+        return scored(learners.fit_predict(learners.forest(), p.filter(F.col("fold") != fold), p.filter(F.col("fold") == fold), f, "y"))
+
+    whole = {"ridge": lambda p: learners.cross_fit_linear(p, "fold", f, "y", 1.0), "neighbours": near}
+    for name, fit in whole.items():
+        for r in regimes:
+            out.append(lambda r=r, fit=fit, name=name: learners.fit_or_status(lambda: scored(fit(both.filter(F.col("regime") == r))), spark, schema, model=name))
+    for r in ok.orderBy("regime", "fold").collect():
+        out.append(lambda r=r: learners.fit_or_status(lambda: grown(r.regime, r.fold), spark, schema, model="forest"))
+    out.append(lambda: learners.fit_or_status(lambda: scored(boosted.cross_fit_boosting(both, "fold", f, "y", keys=("regime",))), spark, schema, model="boosting"))
+    m = lambda r: F.median(F.when(F.col("regime") == r, F.col("r2")))
+    rows = written(_stack(_at_once(out)), "scores").groupBy("model")
+    return rounded(rows.agg(m("random").alias("random_median"), m("spatial").alias("spatial_median"), F.count_if(F.col("status") == "failed").alias("n_failed")), 4)
 
 
 def _driven(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,27 @@ class Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["q3_group_collapse", "q5_exceedance_recovery", "q9_learner_panel"])
+@pytest.mark.parametrize("name", ["q3_group_collapse", "q5_exceedance_recovery"])
+def test_every_row_of_an_eligible_fold_is_scored(spark, monkeypatch, name):
+    asked, scored, whole, auc = [], [], folds.eligible_folds, metrics.auc
+
+    def eligible(df, keys, *args, **kw):
+        out = whole(df, keys, *args, **kw)
+        asked.append((kw.get("cap"), out.agg({"n_test": "sum"}).first()[0], out.count()))
+        return out
+
+    def score(df, keys, label, column):
+        scored.append((df.filter(df[column].isNotNull()).count(), df.select(*keys).distinct().count()))
+        return auc(df, keys, label, column)
+
+    monkeypatch.setattr(folds, "eligible_folds", eligible)
+    monkeypatch.setattr(metrics, "auc", score)
+    getattr(composites, name)(spark, "/root/testdata/sf0.001").collect()
+    (cap, n_rows, n_folds), = asked
+    assert cap is None and n_folds > 1 and set(scored) == {(n_rows, n_folds)}
+
+
+@pytest.mark.parametrize("name", ["q9_learner_panel"])
 def test_no_fold_is_left_out(spark, monkeypatch, name):
     asked, scored, whole = [], [], folds.eligible_folds
 
