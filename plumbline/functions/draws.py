@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +25,19 @@ def draw_sql(key: str, seed: str | int = 0) -> str:
     """The same number as SQL text."""
     h = f"((CAST({key} AS BIGINT) % {_M1} + 1) * CAST(1103515245 AS BIGINT) + CAST({seed} AS BIGINT) * 12345) % {_M1}"
     return f"((({h}) * ({h}) + CAST(7919 AS BIGINT) * ({h})) % {_M2})"
+
+
+#: Draws below these have 0, 1, ... occurrences: the Poisson(1) distribution in steps of 1 / 2147483629.
+_POISSON = [int(_M2 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def poisson(key: Column, replicate: Column, seed: int = 0) -> Column:
+    """A Poisson(1) count from a key and a replicate's number; 12 at most."""
+    at = draw(draw(key, seed) + replicate.cast("long") * F.lit(1000003).cast("long"), seed)
+    return sum((F.when(at >= F.lit(t).cast("long"), 1).otherwise(0) for t in _POISSON[1:]), F.when(at >= F.lit(_POISSON[0]).cast("long"), 1).otherwise(0))
+
+
+def poisson_sql(key: str, replicate: str, seed: int = 0) -> str:
+    """The same count as SQL text."""
+    at = draw_sql(f"({draw_sql(key, seed)} + CAST({replicate} AS BIGINT) * 1000003)", seed)
+    return f"list_sum(list_transform([{', '.join(map(str, _POISSON))}], lambda t: CASE WHEN {at} >= t THEN 1 ELSE 0 END))"

@@ -1,15 +1,21 @@
 """Bootstrap as relations: replicates times draws, with portable draws instead of a generator's state.
 
-Meant for score tables (folds, units), which are small beside the data they
-summarise: the work is B times the number of units.
+``interval`` numbers the units of a group in one task and takes any statistic: for score tables (folds, units), which are small beside the
+data they summarise. ``median_interval`` is for medians of any number of units: how often a unit counts in a replicate is a Poisson draw from hashes
+of both, so no unit needs a number, and medians are read off running counts of ranges of the values. Its work is B times the
+number of units, of which each task sends one number per range and replicate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.draws import draw
+from plumbline.functions.draws import draw, poisson
+from plumbline.operators.ranking import _ranged
+from plumbline.shared import written
 
 
 def resamples(units: DataFrame, keys: list[str], order: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -27,3 +33,55 @@ def interval(units: DataFrame, keys: list[str], order: str, statistic: Column, r
     per = resamples(units, keys, order, replicates, seed).groupBy(*keys, "_b").agg(statistic.alias("_s"))
     q = F.percentile(F.col("_s"), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return per.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
+
+
+def _hashed(unit: str) -> Column:
+    """A number from a unit's name, the same in SQL: 48 bits of its MD5."""
+    return F.conv(F.substring(F.md5(F.col(unit).cast("string")), 1, 12), 16, 10).cast("long")
+
+
+def weighted_medians(units: DataFrame, keys: list[str], value: str, replicates: int, seed: int = 0) -> DataFrame:
+    """(keys, _b, median): the median of the redrawn values in each replicate; ``units`` has ``_u``, a number of each unit.
+
+    Ranges of the values first: their counts by replicate say in which range a replicate's median lies, and only rows of that one are looked at again.
+    """
+    own = written(_ranged(units.filter(F.col(value).isNotNull()).select(*keys, "_u", F.col(value).cast("double").alias("_v")), keys, "_v"), "ranged")
+    drawn = lambda df: df.withColumn("_c", poisson(F.col("_u"), F.col("_b"), seed)).filter(F.col("_c") > 0)
+    every = own.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    ranges = drawn(every).groupBy(*keys, "_b", "_range").agg(F.sum("_c").alias("_t"))
+    of = Window.partitionBy(*keys, "_b")
+    ranges = ranges.withColumns({"_upto": F.sum("_t").over(of.orderBy("_range")), "_all": F.sum("_t").over(of)})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2)
+    holds = lambda h: (F.col("_upto") - F.col("_t") <= h) & (h < F.col("_upto"))
+    hit = ranges.filter(holds(low) | holds(high)).select(*keys, "_b", "_range", (F.col("_upto") - F.col("_t")).alias("_before"), low.alias("_lo"), high.alias("_hi"))
+    there = F.col("d._range") == F.col("h._range")
+    for k in keys:
+        there = there & F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}"))
+    near = own.alias("d").join(hit.alias("h"), there).select("d._u", "d._v", *(f"h.{c}" for c in hit.columns))
+    inside = Window.partitionBy(*keys, "_b", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = drawn(near).withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
+    at = lambda h: F.max(F.when((F.col("_end") - F.col("_c") <= F.col(h)) & (F.col(h) < F.col("_end")), F.col("_v")))
+    return near.groupBy(*keys, "_b").agg(((at("_lo") + at("_hi")) / 2).alias("median"))
+
+
+def median_interval(
+    units: DataFrame, keys: list[str], unit: str, values: list[str], statistic: Callable[..., Column] = lambda m: m, replicates: int = 2000, seed: int = 0, level: float = 0.95
+) -> DataFrame:
+    """(keys, lo, hi): the percentile interval of a statistic of the medians of ``values``, which is called with one column for each.
+
+    A unit counts Poisson(1) times in a replicate, with the same count for all its values, so pairs stay pairs. Units are told apart by 48 bits of a hash.
+    Replicates in which no unit counts (or the statistic is NULL) are left out. NULL values do not count.
+    """
+    own = written(units.select(*keys, _hashed(unit).alias("_u"), *values), "units")
+    medians = None
+    for i, v in enumerate(values):
+        m = weighted_medians(own, keys, v, replicates, seed).withColumnRenamed("median", f"_m{i}")
+        if medians is None:
+            medians = m
+        else:
+            renamed = m.withColumnsRenamed({k: f"_k{j}" for j, k in enumerate([*keys, "_b"])})
+            same = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate([*keys, "_b"])]
+            medians = medians.join(renamed, same).drop(*(f"_k{j}" for j in range(len(keys) + 1)))
+    per = medians.select(*keys, statistic(*(F.col(f"_m{i}") for i in range(len(values)))).alias("_s"))
+    q = F.percentile(F.col("_s"), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))  # at most ``replicates`` values a group
+    return per.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))

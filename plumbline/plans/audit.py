@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.draws import draw_sql
 from plumbline.operators import bootstrap, metrics, summary
+from plumbline.plans.sql import median_interval_sql
 from plumbline.plans.tables import CUSTOMERS, POINTS, customers, points, registered, rounded, table
 
 
@@ -90,12 +90,8 @@ def m18_clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.withColumn("ci", metrics.clopper_pearson("k", "n")).select("source", "k", "n", F.col("ci.lo"), F.col("ci.hi")))
 
 
-def _boot_sql(stat: str, base: str, extra: str, seed: int) -> str:
-    return f"""WITH {base}, nb AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS i FROM units), c AS (SELECT count(*) AS n FROM units),
-dr AS (SELECT b, {draw_sql('b * 100003 + j', seed)} % n AS i FROM c, (SELECT unnest(range(1, 401)) AS b), (SELECT unnest(range(0, 100000)) AS j)
-  WHERE j < n),
-s AS (SELECT b, {stat} AS s FROM dr JOIN nb USING (i) GROUP BY b)
-SELECT round(quantile_cont(s, 0.025), {extra}) + 0 AS lo, round(quantile_cont(s, 0.975), {extra}) + 0 AS hi FROM s"""
+def _boot_sql(values: list[str], statistic: str, seed: int) -> str:
+    return f"WITH {_UNITS}, {median_interval_sql('ci', 'units', '', 'unit', values, statistic, seed)} SELECT round(lo, 6) + 0 AS lo, round(hi, 6) + 0 AS hi FROM ci"
 
 
 _UNITS = f"{JUDGED}, units AS (SELECT source AS unit, avg(quality) AS q, avg(toxic) AS t FROM judged GROUP BY 1)"
@@ -105,19 +101,19 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).groupBy(F.col("source").alias("unit")).agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
 
 
-@registered(_boot_sql("median(q)", _UNITS, "6", 3).replace("range(0, 100000)", "range(0, 1000)"))
+@registered(_boot_sql(["q"], "m0", 3))
 def m19_bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bootstrap.interval(_units(spark, sf_dir), [], "unit", F.median("q"), 400, 3))
+    return rounded(bootstrap.median_interval(_units(spark, sf_dir), [], "unit", ["q"], seed=3))
 
 
-@registered(_boot_sql("median(q) - median(t)", _UNITS, "6", 5).replace("range(0, 100000)", "range(0, 1000)"))
+@registered(_boot_sql(["q", "t"], "m0 - m1", 5))
 def m20_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bootstrap.interval(_units(spark, sf_dir), [], "unit", F.median("q") - F.median("t"), 400, 5))
+    return rounded(bootstrap.median_interval(_units(spark, sf_dir), [], "unit", ["q", "t"], lambda q, t: q - t, seed=5))
 
 
-@registered(_boot_sql("median(t) / nullif(median(q), 0)", _UNITS, "6", 6).replace("range(0, 100000)", "range(0, 1000)"))
+@registered(_boot_sql(["t", "q"], "m0 / nullif(m1, 0)", 6))
 def m21_bootstrap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bootstrap.interval(_units(spark, sf_dir), [], "unit", F.try_divide(F.median("t"), F.median("q")), 400, 6))
+    return rounded(bootstrap.median_interval(_units(spark, sf_dir), [], "unit", ["t", "q"], F.try_divide, seed=6))
 
 
 @registered(f"WITH {POINTS} SELECT label, count(y) AS n, round(avg(y), 6) + 0 AS mean, round(stddev_samp(y), 6) + 0 AS sd, round(min(y), 6) + 0 AS min, round(quantile_cont(y, 0.05), 6) + 0 AS p05, round(quantile_cont(y, 0.5), 6) + 0 AS p50, round(quantile_cont(y, 0.95), 6) + 0 AS p95, round(max(y), 6) + 0 AS max FROM points GROUP BY 1")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.draws import draw_sql, fold_of
 from plumbline.operators import baselines, boosted, bootstrap, encode, folds, learners, logistic, metrics, panel, spatial, summary
 from plumbline.plans.spatial import FOLDED
-from plumbline.plans.sql import auc_sql, logistic_sql, ridge_sql
+from plumbline.plans.sql import auc_sql, logistic_sql, median_interval_sql, ridge_sql
 from plumbline.plans.tables import CUSTOMERS, CUTOFF, DAILY, POINTS, customers, daily, points, registered, rounded, table
 from plumbline.shared import written
 
@@ -87,20 +87,15 @@ def q5_exceedance_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""WITH {FOLDED}, s AS (SELECT f.*, block_deg FROM f, (SELECT unnest([20.0, 45.0, 90.0])::DOUBLE AS block_deg)),
 b AS (SELECT block_deg, concat(CAST(CAST(floor(lon / block_deg) AS BIGINT) AS VARCHAR), '_',
   CAST(CAST(floor(lat / block_deg) AS BIGINT) AS VARCHAR)) AS fold, y FROM s),
-c AS (SELECT block_deg, fold, count(*) AS n, avg(y) AS m FROM b GROUP BY 1, 2
-  HAVING count(*) >= 5), nb AS (SELECT *, row_number() OVER (PARTITION BY block_deg
-  ORDER BY fold) - 1 AS i, count(*) OVER (PARTITION BY block_deg) AS k FROM c),
-dr AS (SELECT block_deg, r, {draw_sql('r * 100003 + j', 2)} % k AS i FROM (SELECT DISTINCT block_deg, k
-  FROM nb), (SELECT unnest(range(1, 201)) AS r), (SELECT unnest(range(0, 500)) AS j) WHERE j < k),
-st AS (SELECT block_deg, r, median(m) AS s FROM dr JOIN nb USING (block_deg, i)
-  GROUP BY 1, 2), ci AS (SELECT block_deg, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM st GROUP BY 1)
+c AS (SELECT block_deg, fold, count(*) AS n, avg(y) AS m FROM b GROUP BY 1, 2 HAVING count(*) >= 5),
+{median_interval_sql('ci', 'c', 'block_deg', 'fold', ['m'], 'm0', 2)}
 SELECT block_deg, n_folds, round(median, 6) + 0 AS median, round(lo, 6) + 0 AS lo, round(hi, 6) + 0 AS hi
   FROM (SELECT block_deg, count(*) AS n_folds, median(m) AS median FROM c GROUP BY 1) JOIN ci USING (block_deg)""")
 def q7_scale_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block means by block size, with bootstrap intervals of the median."""
     b = folds.block_sweep(points(spark, sf_dir), "lon", "lat", [20.0, 45.0, 90.0])
     c = b.groupBy("block_deg", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m")).filter("n >= 5")
-    ci = bootstrap.interval(c, ["block_deg"], "fold", F.median("m"), 200, 2)
+    ci = bootstrap.median_interval(c, ["block_deg"], "fold", ["m"], seed=2)
     return rounded(c.groupBy("block_deg").agg(F.count(F.lit(1)).alias("n_folds"), F.median("m").alias("median")).join(ci, "block_deg"))
 
 

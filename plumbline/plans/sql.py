@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from plumbline.functions.draws import poisson_sql
+
 
 def ridge_sql(name: str, rows: str, keys: str, features: list[str], y: str, alpha: float = 1.0, standardise: bool = True) -> str:
     """CTE ``name``: by keys the ridge model of y on the features: my, and for feature i its mean m{i} and weight w{i}.
@@ -67,3 +69,20 @@ def auc_sql(rows: str, keys: str, label: str, score: str) -> str:
     ranks = f"SELECT {keys}, {label} AS y, rank() OVER (PARTITION BY {keys} ORDER BY {score}) + (count(*) OVER (PARTITION BY {keys}, {score}) - 1) / 2.0 AS rk FROM {rows}"
     won = "sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0"
     return f"SELECT {keys}, ({won}) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0) AS auc FROM ({ranks}) GROUP BY ALL"
+
+
+def median_interval_sql(name: str, rows: str, keys: str, unit: str, values: list[str], statistic: str, seed: int, replicates: int = 2000) -> str:
+    """CTE ``name``: keys (may be empty), lo and hi of a statistic of the redrawn medians m0, m1, ...; as ``median_interval``."""
+    k = f"{keys}, " if keys else ""
+    count = poisson_sql("u", "b", seed)
+    key = f"CAST('0x' || substr(md5(CAST({unit} AS VARCHAR)), 1, 12) AS BIGINT)"
+    out = [f"{name}_d AS MATERIALIZED (SELECT *, {count} AS c FROM (SELECT {k}{key} AS u, {', '.join(values)}, unnest(range(1, {replicates + 1})) AS b FROM {rows}))"]
+    for i, v in enumerate(values):
+        over = f"PARTITION BY {k}b"
+        out.append(f"{name}_c{i} AS (SELECT {k}b, {v} AS v, c, sum(c) OVER ({over} ORDER BY {v} ROWS UNBOUNDED PRECEDING) AS e, sum(c) OVER ({over}) AS t FROM {name}_d WHERE c > 0 AND {v} IS NOT NULL)")
+        at = lambda h: f"max(v) FILTER (e - c <= {h}((t - 1) / 2) AND {h}((t - 1) / 2) < e)"
+        out.append(f"{name}_m{i} AS (SELECT {k}b, ({at('floor')} + {at('ceil')}) / 2 AS m{i} FROM {name}_c{i} GROUP BY ALL)")
+    joined = " ".join([f"{name}_m0", *(f"JOIN {name}_m{i} USING ({k}b)" for i in range(1, len(values)))])
+    group = f"GROUP BY {keys}" if keys else ""
+    out.append(f"{name} AS (SELECT {k}quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM (SELECT {k}{statistic} AS s FROM {joined}) {group})")
+    return ", ".join(out)

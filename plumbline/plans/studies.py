@@ -9,6 +9,7 @@ from plumbline.functions.draws import draw, draw_sql, fold_of
 from plumbline.functions.skill import recovery_pct
 from plumbline.operators import baselines, bootstrap, folds, learners, metrics, panel, spatial, summary
 from plumbline.plans.learning import lines
+from plumbline.plans.sql import median_interval_sql
 from plumbline.plans.tables import CUSTOMERS, DAILY, MONTHLY, POINTS, customers, daily, monthly, points, registered, rounded, table
 
 
@@ -258,18 +259,14 @@ def q13_same_fold_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_same_folds(spark, sf_dir).withColumnsRenamed({"base": "persistence_r2", "r2": "ols_r2"}))
 
 
-@registered(f"""WITH {_SAME}, g AS (SELECT unit, r2 - base AS gain, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS k FROM u
-  WHERE r2 - base IS NOT NULL),
-dr AS (SELECT r, {draw_sql('r * 100003 + j', 3)} % k AS i FROM (SELECT any_value(k) AS k
-  FROM g), (SELECT unnest(range(1, 201)) AS r), (SELECT unnest(range(0, 5000)) AS j) WHERE j < k),
-s AS (SELECT r, median(gain) AS s FROM dr JOIN g USING (i) GROUP BY 1), ci AS (SELECT quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi
-  FROM s)
+@registered(f"""WITH {_SAME}, g AS (SELECT unit, r2 - base AS gain FROM u WHERE r2 - base IS NOT NULL),
+{median_interval_sql('ci', 'g', '', 'unit', ['gain'], 'm0', 3)}
 SELECT count(*) AS n_units, round(median(gain), 6) + 0 AS median_gain, round(any_value(lo), 6) + 0 AS lo, round(any_value(hi), 6) + 0 AS hi,
   CAST(sum(CAST(gain <= 0 AS INTEGER)) AS BIGINT) AS persistence_wins FROM g, ci""")
 def q13_gain_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median gain over persistence with its bootstrap interval over units."""
     g = _same_folds(spark, sf_dir).withColumn("gain", F.col("r2") - F.col("base")).filter("gain is not null")
-    ci = bootstrap.interval(g, [], "unit", F.median("gain"), 200, 3)
+    ci = bootstrap.median_interval(g, [], "unit", ["gain"], seed=3)
     own = g.agg(F.count(F.lit(1)).alias("n_units"), F.median("gain").alias("median_gain"), F.sum((F.col("gain") <= 0).cast("long")).alias("persistence_wins"))
     return rounded(own.join(ci).select("n_units", "median_gain", "lo", "hi", "persistence_wins"))  # one row each
 
