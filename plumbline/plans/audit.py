@@ -84,7 +84,17 @@ def m18_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.select("source", "k", "n", (100 * lo).alias("lo"), (100 * hi).alias("hi")))
 
 
-@registered()
+def _tail_sql(first: str, last: str, p: str) -> str:
+    """Probability of ``first`` to ``last`` of n draws, each with probability p."""
+    return f"list_sum(list_transform(range({first}, {last} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+
+
+@registered(f"""WITH RECURSIVE {JUDGED}, t AS (SELECT source, CAST(sum(toxic) AS BIGINT) AS k, count(*) AS n FROM judged GROUP BY 1),
+b AS (SELECT source, k, n, 0 AS step, CAST(0 AS DOUBLE) AS la, CAST(1 AS DOUBLE) AS lb, CAST(0 AS DOUBLE) AS ha, CAST(1 AS DOUBLE) AS hb FROM t
+UNION ALL SELECT source, k, n, step + 1, CASE WHEN low THEN (la + lb) / 2 ELSE la END, CASE WHEN low THEN lb ELSE (la + lb) / 2 END,
+  CASE WHEN high THEN (ha + hb) / 2 ELSE ha END, CASE WHEN high THEN hb ELSE (ha + hb) / 2 END
+  FROM (SELECT *, {_tail_sql('k', 'n', '((la + lb) / 2)')} < 0.025 AS low, {_tail_sql('0', 'k', '((ha + hb) / 2)')} > 0.025 AS high FROM b WHERE step < 50))
+SELECT source, k, n, round(CASE WHEN k = 0 THEN 0.0 ELSE la END, 6) + 0 AS lo, round(CASE WHEN k = n THEN 1.0 ELSE hb END, 6) + 0 AS hi FROM b WHERE step = 50""")
 def m18_clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = judged(spark, sf_dir).groupBy("source").agg(F.sum("toxic").cast("long").alias("k"), F.count(F.lit(1)).alias("n"))
     return rounded(t.withColumn("ci", metrics.clopper_pearson("k", "n")).select("source", "k", "n", F.col("ci.lo"), F.col("ci.hi")))

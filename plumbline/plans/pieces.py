@@ -117,10 +117,11 @@ def c6_more_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.unionByName(sums.withColumn("detail", F.concat(F.lit("sum "), F.regexp_extract("detail", r"[-0-9.E]+$", 0).cast("double").cast("long"), F.lit(".0"))))
 
 
-@registered("SELECT c_custkey FROM customer ANTI JOIN (SELECT DISTINCT o_custkey AS c_custkey FROM orders) USING (c_custkey)")
+@registered("SELECT doc_id FROM documents ANTI JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)")
 def c11_missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return contracts.missing_keys(table(spark, sf_dir, "customer").select("c_custkey"), have, "c_custkey")
+    """Documents that nobody has labelled."""
+    have = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return contracts.missing_keys(table(spark, sf_dir, "documents").select("doc_id"), have, "doc_id")
 
 
 _SKILL = f"""{CUSTOMERS}, f AS (SELECT region, CAST({draw_sql('o_orderkey', 8)} % 5 AS INTEGER) = 0 AS is_test, y / 100000 AS v
