@@ -516,6 +516,7 @@ class Classes(NamedTuple):
 
     tokens: DataFrame
     words: DataFrame
+    masses: np.ndarray
     bits: int
     n_words: int
     n_tokens: int
@@ -582,8 +583,11 @@ class _Round(NamedTuple):
 
 
 def _final(tokens: DataFrame, words: DataFrame, bits: int, n_words: int, n_tokens: int, moved: list[int], scores: list[float], paths: list[str]) -> Classes:
-    unseen = class_of_unseen(class_masses(words))
-    return Classes(tokens, words.mapInArrow(_labelled(unseen), _WORDS_SQL), bits, n_words, n_tokens, moved, scores, paths)
+    masses = class_masses(words)
+    unseen = class_of_unseen(masses)
+    masses[unseen] += masses[OPEN]
+    masses[OPEN] = 0
+    return Classes(tokens, words.mapInArrow(_labelled(unseen), _WORDS_SQL), masses, bits, n_words, n_tokens, moved, scores, paths)
 
 
 def class_masses(words: DataFrame) -> np.ndarray:
@@ -683,10 +687,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     with scratch(spark):
         learnt = learn_classes(docs, id_col, text_col, chunk_bytes, rounds)
-        masses = class_masses(learnt.words)
         schema = ", ".join(f"{c} binary" for c in _SEQUENCES)
         sequences = written(_by_chunk(learnt.tokens, learnt.words, learnt.bits).applyInArrow(_sequences, schema), "sequences", hold=True)
-    model = Model(_class_bigrams(sequences.select("bigrams")), masses, learnt.n_words, learnt.n_tokens)
+    model = Model(_class_bigrams(sequences.select("bigrams")), learnt.masses, learnt.n_words, learnt.n_tokens)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = sequences.drop("bigrams").mapInArrow(lambda batches: model(batches), out)
     return scored.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
