@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.draws import draw_sql, fold_of
-from plumbline.operators import baselines, folds, learners, metrics
+from plumbline.operators import baselines, folds, learners, metrics, perceptron
 from plumbline.plans.sql import ridge_sql
 from plumbline.plans.tables import CUSTOMERS, POINTS, customers, points, registered, rounded, table
 
@@ -84,6 +84,16 @@ def l4_classifier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(total, 4)
 
 
+@registered()
+def l11_perceptron_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 of a neural network beside ridge on a formula index (log terms of quantity, price and discount), every fold fitted on all others."""
+    f = ["q", "y", "d"]
+    df = lines(spark, sf_dir).select("fold", *(F.col(c).alias(f"x{i}") for i, c in enumerate(f)), (F.log("q") + F.log("y") + F.log(1 - F.col("d") / 10)).alias("y"))
+    f = ["x0", "x1", "x2"]
+    both = perceptron.cross_fit_perceptron(learners.cross_fit_linear(df, "fold", f, "y", 1.0, name="ridge"), "fold", f, "y", (16,), 60, 0.05)
+    return rounded(both.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), metrics.r2("y", "pred").alias("r2"), metrics.r2("y", "ridge").alias("ridge_r2")), 4)
+
+
 @registered()
 def l5_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr, te = _split(spark, sf_dir)
