@@ -7,7 +7,7 @@ distance, say) into parts by key. A cell keeps the least and largest distance to
 * the half plane between the query's own pivot and the cell's allows (rows of a cell are nearer to its pivot than to any other).
 
 Queries first meet the nearest cells that hold k rows together; the k-th distance found then rules out all other cells but those
-whose bound lies below it, which they meet in a second round. Pivots and cells are tables of a fixed size: at most ``MOST_PIVOTS`` and
+whose bound lies below it, which they meet in a second round. Cells that hold only rows of the query's own part are never met. Pivots and cells are tables of a fixed size: at most ``MOST_PIVOTS`` and
 about twice as many. The number of pairs grows with queries times the square root of the training rows.
 """
 
@@ -158,7 +158,7 @@ def _with(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), more])
 
 
-def asked_cells(queries: DataFrame, cells: Cells, k: int, width: int, bounded: bool) -> DataFrame:
+def asked_cells(queries: DataFrame, cells: Cells, k: int, width: int, bounded: bool, root: bool = False) -> DataFrame:
     """Adds ``_cell``, one row per cell to meet: the first ones or, given the k-th distance ``_far`` (NULL: none yet), all others that may hold nearer rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def asked_cells(queries: DataFrame, cells: Cells, k: int, width: int, bounded: b
                 mask = cells.first(upper, left, k)
                 if bounded:
                     bound = np.where(np.isnan(far[s].astype(float)), np.inf, far[s].astype(float))
-                    mask = ~mask & (cells.n > 0) & (lower <= np.sqrt(bound)[:, None])
+                    mask = ~mask & (left > 0) & (lower <= (bound if root else np.sqrt(bound))[:, None])
                 q, c = np.nonzero(mask)
                 own = batch.slice(s.start, s.stop - s.start).take(pa.array(q))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(c.astype(np.int64))], names=[*names, "_cell"])
@@ -179,9 +179,9 @@ def asked_cells(queries: DataFrame, cells: Cells, k: int, width: int, bounded: b
     return queries.mapInArrow(run, _with(queries, "_cell long"))
 
 
-def _meet(asked: DataFrame, held: DataFrame, cells: Cells, k: int, width: int, parts: bool) -> DataFrame:
-    """(``_q``, ``_d`` (squared), ``_k``, ``_y``): the k best rows of each query in each cell it meets."""
-    spark = asked.sparkSession
+def _meet(asked: DataFrame, held: DataFrame, cells: Cells, k: int, width: int, parts: bool, root: bool) -> DataFrame:
+    """(``_q``, ``_d`` (squared without ``root``), ``_k``, ``_y``): the k best rows of each query in each cell it meets, none farther than ``_far``."""
+    spark, bounded = asked.sparkSession, "_far" in asked.columns
     busy = [(r["_cell"], -(-r["n"] // QUERY_ROWS)) for r in asked.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row per cell
     deals = F.broadcast(spark.createDataFrame(busy, "_cell long, _deals long"))  # a row per cell
     asked = asked.join(deals, "_cell").withColumn("_deal", F.pmod(F.xxhash64("_q"), F.col("_deals"))).drop("_deals")
@@ -197,12 +197,17 @@ def _meet(asked: DataFrame, held: DataFrame, cells: Cells, k: int, width: int, p
                 kinds = pa.chunked_array([*rows.column("_part").chunks, *queries.column("_own").chunks]).combine_chunks().dictionary_encode()
                 code = (kinds.combine_chunks() if isinstance(kinds, pa.ChunkedArray) else kinds).indices.to_numpy()
                 mine, theirs = code[rows.num_rows :], code[: rows.num_rows]
+            far = queries.column("_far").to_numpy().astype(float) if bounded else None  # NULL is NaN
             for s in _blocks(len(w), len(v)):
                 dist = np.zeros((s.stop - s.start, len(v)))
                 for f in range(width):
                     dist += (w[s, f, None] - v[None, :, f]) ** 2
+                if root:
+                    dist = np.sqrt(dist)
                 if parts:
                     dist[mine[s, None] == theirs[None, :]] = np.inf
+                if bounded:
+                    dist[dist > far[s, None]] = np.inf
                 top = min(k, len(v))
                 edge = np.partition(dist, top - 1, axis=1)[:, top - 1]
                 q, r = np.nonzero((dist <= edge[:, None]) & np.isfinite(dist))
@@ -229,25 +234,32 @@ def nearest_rows(test: DataFrame, train: DataFrame, features: list[str], y: str,
     search. Rows with a NULL feature (training rows also: a NULL y; with ``apart``: a NULL part) take no part. Of training rows at one place only the
     first k can matter, so piles of equal points do not multiply. Keys of test rows are unique. Fewer than k training rows give fewer neighbours.
     """
-    width = len(features)
     vector = F.array(*(F.col(f).cast("double") for f in features))
-    part = [F.col(apart).alias("_part")] if apart else []
     rows = train.dropna(subset=[*features, y, *([apart] if apart else [])])
-    rows = rows.select(F.col(key).alias("_k"), F.col(y).cast("double").alias("_y"), vector.alias("_v"), *part)
-    rows = written(first_of_each_place(rows, k, "_v", *(["_part"] if apart else [])), "rows")
-    held, cells = build(rows, width, bool(apart), pivots)
+    rows = rows.select(F.col(key).alias("_k"), F.col(y).cast("double").alias("_y"), vector.alias("_v"), *([F.col(apart).alias("_part")] if apart else []))
     queries = test.dropna(subset=[*features, *([apart] if apart else [])])
     queries = queries.select(F.col(key).alias("_q"), vector.alias("_w"), *([F.col(apart).alias("_own")] if apart else []))
+    return _named(search(queries, rows, len(features), k, pivots))
+
+
+def search(queries: DataFrame, rows: DataFrame, width: int, k: int, pivots: int | None = None, root: bool = False) -> DataFrame:
+    """(``_q``, ``_d``, ``_k``, ``_y``, ``_n``): of queries (``_q``, ``_w``, perhaps ``_own``) the k nearest rows (``_k``, ``_y``, ``_v``, perhaps ``_part``).
+
+    ``_d`` is the squared distance or, with ``root``, the distance, by which ties are then told. ``_y`` may be NULL.
+    """
+    apart = "_part" in rows.columns
+    rows = written(first_of_each_place(rows, k, "_v", *(["_part"] if apart else [])), "rows")
+    held, cells = build(rows, width, apart, pivots)
     rank = Window.partitionBy("_q").orderBy("_d", "_k")
     top = lambda df: df.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= k)
     if len(cells.n) == 1:
-        return _named(top(_meet(queries.withColumn("_cell", F.lit(0).cast("long")), held, cells, k, width, bool(apart))))
-    one = written(top(_meet(asked_cells(queries, cells, k, width, False), held, cells, k, width, bool(apart))), "near")
+        return top(_meet(queries.withColumn("_cell", F.lit(0).cast("long")), held, cells, k, width, apart, root))
+    one = written(top(_meet(asked_cells(queries, cells, k, width, False), held, cells, k, width, apart, root)), "near")
     # a k-th distance that is not reached yet rules nothing out
     far = one.filter(F.col("_n") == k).select(F.col("_q").alias("_q1"), F.col("_d").alias("_far"))
     bounded = queries.join(far, F.col("_q") == F.col("_q1"), "left").drop("_q1")
-    two = _meet(written(asked_cells(bounded, cells, k, width, True), "asked"), held, cells, k, width, bool(apart))
-    return _named(top(one.drop("_n").unionByName(two)))
+    two = _meet(written(asked_cells(bounded, cells, k, width, True, root), "asked"), held, cells, k, width, apart, root)
+    return top(one.drop("_n").unionByName(two))
 
 
 def _named(near: DataFrame) -> DataFrame:

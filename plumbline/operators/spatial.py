@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geo import arc_km, chord, unit_sphere
+from plumbline.operators.metric_index import search
 from plumbline.operators.ranking import quantiles
 from plumbline.shared import written
 
@@ -37,30 +38,36 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, key: str, value: str, lo
     """(keys, test_key, train_key, value, dist, rn): the k nearest training rows of each test row by chord; ties by key.
 
     ``keys`` must agree on both sides; of ``apart`` (such as fold) both must have different values that are not NULL, so that rows of all
-    folds find their neighbours outside their own in one search. Each test row first meets the training rows in the finest grid
+    folds find their neighbours outside their own in one search. Small inputs, by a count of both sides, are compared in full unless ``small`` is false.
+    Without ``keys`` the search runs on cells around pivots (``metric_index``): a row in the middle of a wide block, far from all that it may meet,
+    skips the cells of its own block. With ``keys`` each test row first meets the training rows in the finest grid
     neighbourhood that holds at least k of them. If its k-th distance is within a cell's edge the result is final;
     otherwise a second round uses the finest grid whose cells are as wide as that distance, which is enough. Of training rows at one
     place only the first k by key can matter, so places that hold many rows do not multiply. Fewer than k
-    training rows give fewer neighbours. Small inputs, by a count of both sides, are compared in full unless ``small`` is false.
+    training rows give fewer neighbours.
     """
     keys = list(keys)
     if apart:
         test, train = test.filter(F.col(apart).isNotNull()), train.filter(F.col(apart).isNotNull())
     own_part, part = (["_own"], ["_part"]) if apart else ([], [])
     mine = lambda names: [F.col(apart).alias(c) for c in names]
-    tr = _placed(train, lon, lat).select(*keys, *mine(part), F.col(key).alias("train_key"), F.col(value).cast("double").alias("value"), *_XYZ)
+    every = _placed(train, lon, lat).select(*keys, *mine(part), F.col(key).alias("train_key"), F.col(value).cast("double").alias("value"), *_XYZ)
+    n_train = every.count() if small else 0
     spot = Window.partitionBy(*keys, *part, *_XYZ).orderBy("train_key")
-    tr = tr.withColumn("_r", F.row_number().over(spot)).filter(F.col("_r") <= k).drop("_r")
+    tr = every.withColumn("_r", F.row_number().over(spot)).filter(F.col("_r") <= k).drop("_r")
     te = _placed(test, lon, lat).select(*keys, *mine(own_part), F.col(key).alias("test_key"), *_XYZ)
     other = F.col("_own") != F.col("_part") if apart else F.lit(True)
     cols = [*keys, "test_key", "train_key", "value", "dist", "rn"]
     d = chord(tuple(F.col(c) for c in _XYZ), tuple(F.col(f"t{c}") for c in _XYZ))
     near = Window.partitionBy(*keys, "test_key").orderBy("dist", "train_key")
-    n_train = tr.count()
     if small and n_train <= SMALL_TRAIN and n_train * te.count() <= SMALL_PAIRS:
         there = F.broadcast(tr.withColumnsRenamed({c: f"t{c}" for c in _XYZ}))  # at most SMALL_TRAIN rows
         pairs = te.join(there, keys) if keys else te.join(there)
         return pairs.filter(other).withColumn("dist", d).withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k).select(*cols)
+    if not keys:
+        rows = every.select(F.col("train_key").alias("_k"), F.col("value").alias("_y"), F.array(*_XYZ).alias("_v"), *part)
+        near = search(te.select(F.col("test_key").alias("_q"), F.array(*_XYZ).alias("_w"), *own_part), rows, len(_XYZ), k, root=True)
+        return near.select(F.col("_q").alias("test_key"), F.col("_k").alias("train_key"), F.col("_y").alias("value"), F.col("_d").alias("dist"), F.col("_n").alias("rn"))
     levels = F.array(*(F.lit(v) for v in range(COARSEST, FINEST + 1)))
     # how many training rows each cell of each level holds
     cell_keys = [*keys, "level", "cell"]

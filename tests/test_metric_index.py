@@ -88,3 +88,24 @@ def test_no_rows(spark, monkeypatch, most):
     assert metric_index.nearest_rows(df, df, ["a"], "y", "id").count() == 0
     one = spark.createDataFrame([(1, 2.0, 3.0)], "id long, a double, y double")
     assert [tuple(r) for r in metric_index.nearest_rows(one, one, ["a"], "y", "id", 3).collect()] == [(1, 1, 3.0, 0.0, 1)]
+
+
+def test_rows_deep_in_a_block_do_not_meet_the_block(spark, monkeypatch):
+    from plumbline.operators import spatial
+
+    n = 6000
+    df = spark.range(n).select("id", (F.rand(1) * 40 + F.col("id") % 2 * 40).alias("lon"), (F.rand(2) * 40).alias("lat"), (F.col("id") % 2).alias("fold"), F.when(F.col("id") % 7 > 0, F.rand(3)).alias("y"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    ask, met = metric_index.asked_cells, []
+
+    def asked(queries, cells, *args):
+        out = ask(queries, cells, *args)
+        met.append(sum(int(cells.n[r["_cell"]]) * r["n"] for r in out.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()))
+        return out
+
+    some = df.filter("id % 20 = 0")
+    want = sorted(map(tuple, spatial.knn_join(some, df, 4, "id", "y", apart="fold").collect()))
+    monkeypatch.setattr(metric_index, "asked_cells", asked)
+    monkeypatch.setattr(spatial, "SMALL_PAIRS", 0)
+    assert sorted(map(tuple, spatial.knn_join(some, df, 4, "id", "y", apart="fold").collect())) == want and len(want) == n // 20 * 4
+    assert len(met) == 2 and sum(met) < 0.2 * n / 20 * n
