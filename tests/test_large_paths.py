@@ -8,7 +8,7 @@ from plumbline.operators import metric_index, spatial
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["q5_exceedance_recovery"])
+@pytest.mark.parametrize("name", ["q5_exceedance_recovery", "q6_three_regimes"])
 def test_neighbours_by_pivots_give_the_same_rows(spark, monkeypatch, name):
     run, searched, whole = entry.queries()[name], [], spatial.search
     want = sorted(map(tuple, run(spark, SF).collect()))
