@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,17 @@ def poisson(key: Column, replicate: Column, seed: int = 0) -> Column:
     return sum((F.when(at >= F.lit(t).cast("long"), 1).otherwise(0) for t in _POISSON[1:]), F.when(at >= F.lit(_POISSON[0]).cast("long"), 1).otherwise(0))
 
 
+def poissons(keys: np.ndarray, replicates: np.ndarray, seed: int = 0) -> np.ndarray:
+    """``poisson`` of arrays of keys and replicates, for tasks that work on arrays."""
+
+    def drawn(x: np.ndarray) -> np.ndarray:
+        h = ((x % _M1 + 1) * 1103515245 + seed * 12345) % _M1
+        return (h * h + 7919 * h) % _M2
+
+    at = drawn(drawn(keys.astype(np.int64)) + replicates.astype(np.int64) * 1000003)
+    return np.searchsorted(np.array(_POISSON, np.int64), at.ravel(), side="right").reshape(at.shape)
+
+
 def poisson_sql(key: str, replicate: str, seed: int = 0) -> str:
     """The same count as SQL text."""
     at = draw_sql(f"({draw_sql(key, seed)} + CAST({replicate} AS BIGINT) * 1000003)", seed)

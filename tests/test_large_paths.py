@@ -16,3 +16,24 @@ def test_neighbours_by_pivots_give_the_same_rows(spark, monkeypatch, name):
     monkeypatch.setattr(metric_index, "ONE_CELL", 10)
     monkeypatch.setattr(spatial, "search", lambda *a, **kw: searched.append(1) or whole(*a, **kw))
     assert sorted(map(tuple, run(spark, SF).collect())) == want and searched
+
+
+@pytest.mark.parametrize("most", [20_000_000, 500])
+def test_draws_on_arrays_are_those_of_columns(spark, monkeypatch, most):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import draws
+    from plumbline.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "TASK_DRAWS", most)
+    rows = [(k, u, float(u * u % 31) if u % 5 else None) for k in ("a", None) for u in range(40)]
+    df = spark.createDataFrame(rows, "k string, u long, v double").withColumn("_u", bootstrap._hashed("u"))
+    every = df.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(60)))).withColumn("_c", draws.poisson(F.col("_u"), F.col("_b"), 3))
+    got = every.select("_u", "_b", "_c").collect()
+    assert draws.poissons(np.array([r[0] for r in got]), np.array([r[1] for r in got]), 3).tolist() == [r[2] for r in got]
+    one = every.filter("_c > 0 and v is not null").select("k", "_b", "v", F.explode(F.sequence(F.lit(1), "_c")))
+    want = one.groupBy("k", "_b").agg(F.median("v").alias("m"))
+    key = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert key(bootstrap.weighted_medians(df, ["k"], "v", 60, 3)) == key(want)
+    assert bootstrap._dealt(df, 60).rdd.getNumPartitions() == max(1, -(-80 * 60 // most))
