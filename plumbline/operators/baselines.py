@@ -26,7 +26,7 @@ def fold_group_mean(df: DataFrame, fold: str, groups: list[str], y: str) -> Data
 
     cell, group, part = sums([fold, *groups], "c"), sums(groups, "g"), sums([fold], "f")
     total = df.agg(F.sum(y).alias("_st"), F.count(y).alias("_nt"))
-    stats = cell.join(group, groups).join(part, fold).join(F.broadcast(total))  # total is one row
+    stats = cell.join(group, groups).join(F.broadcast(part), fold).join(F.broadcast(total))  # a row a fold, and one row
     own = F.try_divide(F.col("_sg") - F.col("_sc"), F.col("_ng") - F.col("_nc"))
     rest = F.try_divide(F.col("_st") - F.col("_sf"), F.col("_nt") - F.col("_nf"))
     stats = stats.select(fold, *groups, F.coalesce(own, rest).alias("pred"), own.isNotNull().alias("seen"))

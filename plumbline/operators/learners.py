@@ -80,7 +80,8 @@ def linear_column(features: list[str], beta: np.ndarray, intercept: float) -> Co
 def cross_fit_linear(df: DataFrame, fold: str, features: list[str], y: str, alpha: float = 1.0, standardise: bool = True, name: str = "pred") -> DataFrame:
     """Adds the prediction for each row of a model fitted on all rows outside its fold.
 
-    The folds' sums (one row a fold) reach the driver; each fold's model is solved from the totals less its own.
+    The folds' sums (one row a fold) reach the driver; each fold's model is solved from the totals less its own. The models go out
+    to the rows: a join by fold alone would send all rows of a fold to one task.
     """
     rows = gram(df, [fold], features, y).collect()
     parts = {r[fold]: _moments(r, len(features)) for r in rows}
@@ -89,7 +90,7 @@ def cross_fit_linear(df: DataFrame, fold: str, features: list[str], y: str, alph
     schema = f"{fold} {dict(df.dtypes)[fold]}, _b array<double>, _a double"
     coef = df.sparkSession.createDataFrame([(f, [float(v) for v in b], a) for f, b, a in models], schema)
     dot = sum((F.col("_b")[i] * F.col(f) for i, f in enumerate(features)), F.col("_a"))
-    return df.join(coef, fold, "left").withColumn(name, dot).drop("_b", "_a")
+    return df.join(F.broadcast(coef), fold, "left").withColumn(name, dot).drop("_b", "_a")
 
 
 def fit_lda(df: DataFrame, features: list[str], label: str) -> tuple[list, np.ndarray, np.ndarray]:
@@ -272,7 +273,7 @@ def cross_fit_single(df: DataFrame, fold: str, features: list[str], y: str, name
         lines.append((f, best, float(slope), float(s[-1] / n - slope * s[best] / n)))
     coef = df.sparkSession.createDataFrame(lines, f"{fold} {dict(df.dtypes)[fold]}, _f int, _b double, _a double")
     x = F.get(F.array(*(F.col(f).cast("double") for f in features)), F.col("_f"))
-    return df.join(coef, fold, "left").withColumn(name, F.col("_a") + F.col("_b") * x).drop("_f", "_b", "_a")
+    return df.join(F.broadcast(coef), fold, "left").withColumn(name, F.col("_a") + F.col("_b") * x).drop("_f", "_b", "_a")
 
 
 def single_proxy(df: DataFrame, features: list[str], y: str, is_train: Column) -> DataFrame:

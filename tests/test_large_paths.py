@@ -37,3 +37,20 @@ def test_draws_on_arrays_are_those_of_columns(spark, monkeypatch, most):
     key = lambda d: sorted(map(tuple, d.collect()), key=str)
     assert key(bootstrap.weighted_medians(df, ["k"], "v", 60, 3)) == key(want)
     assert bootstrap._dealt(df, 60).rdd.getNumPartitions() == max(1, -(-80 * 60 // most))
+
+
+def test_models_and_fold_sums_go_out_to_the_rows(spark, monkeypatch):
+    """A join by fold alone sends all rows of a fold to one task."""
+    import re
+
+    from plumbline.operators import baselines, learners
+
+    df = spark.range(200).selectExpr("id", "cast(id % 3 as int) as fold", "id % 40 as grp", "cast(id % 7 as double) as x", "cast(id % 11 as double) as y")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (learners.cross_fit_linear(df, "fold", ["x"], "y"), learners.cross_fit_single(df, "fold", ["x"], "y"), baselines.fold_group_mean(df, "fold", ["grp"], "y")):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"SortMergeJoin \[(fold#\d+)\], ", plan) and "BroadcastHashJoin [fold#" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
