@@ -19,7 +19,8 @@ from plumbline.shared import written
 
 #: Up to so many tasks' sums are added up by the driver, those of more by models in tasks. Numbers that the driver holds at most.
 FEW_TASKS, MOST_NUMBERS = 16, 20_000_000
-AT_ONCE = 8192
+#: Rows whose layers stay in a core's cache.
+AT_ONCE = 5000
 
 
 def shapes(width: int, hidden: tuple[int, ...]) -> list[tuple[int, int]]:
@@ -41,25 +42,36 @@ def _layers(weights: np.ndarray, width: int, hidden: tuple[int, ...]) -> list[tu
     return out
 
 
-def forward(weights: np.ndarray, x: np.ndarray, hidden: tuple[int, ...]) -> list[np.ndarray]:
-    """The input and what each layer puts out; all but the last are cut at 0."""
-    out, layers = [x], _layers(weights, x.shape[1], hidden)
+def _forward(weights: np.ndarray, x: np.ndarray, hidden: tuple[int, ...]) -> list[np.ndarray]:
+    """As ``forward``, with a column for each row: long inner loops."""
+    out, layers = [x], _layers(weights, len(x), hidden)
     for i, (w, b) in enumerate(layers):
-        z = out[-1] @ w + b
-        out.append(z if i == len(layers) - 1 else np.maximum(z, 0))
+        z = w.T @ out[-1]
+        z += b[:, None]
+        out.append(z if i == len(layers) - 1 else np.maximum(z, 0, out=z))
     return out
 
 
-def gradient(weights: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...]) -> tuple[np.ndarray, float]:
-    """Gradient and value of half the sum of squared errors."""
-    out = forward(weights, x, hidden)
-    miss = out[-1][:, 0] - y
-    back, parts = miss[:, None], []
-    for (w, _), before, after in reversed(list(zip(_layers(weights, x.shape[1], hidden), out, out[1:]))):
-        if after is not out[-1]:
-            back = back * (after > 0)
-        parts.append(np.concatenate([(before.T @ back).ravel(), back.sum(0)]))
-        back = back @ w.T
+def forward(weights: np.ndarray, x: np.ndarray, hidden: tuple[int, ...]) -> list[np.ndarray]:
+    """The input and what each layer puts out; all but the last are cut at 0."""
+    return [v.T for v in _forward(weights, x.T, hidden)]
+
+
+def gradient(weights: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], counts: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Gradient and value of half the sum of squared errors, over the rows that count."""
+    out = _forward(weights, x.T, hidden)
+    miss = out[-1][0] - y
+    if counts is not None:
+        miss *= counts
+    back, parts = miss[None, :], []
+    layers = _layers(weights, x.shape[1], hidden)
+    for i in range(len(layers) - 1, -1, -1):
+        if i < len(layers) - 1:
+            back *= out[i + 1] > 0
+        parts.append(np.concatenate([(out[i] @ back.T).ravel(), back.sum(1)]))
+        if i:
+            w = layers[i][0]
+            back = w * back if w.shape[1] == 1 else w @ back
     return np.concatenate(parts[::-1]), float(miss @ miss) / 2
 
 
@@ -85,12 +97,14 @@ def cross_fit_perceptron(
     number = {rows[i][fold]: m for m, i in enumerate(models)}
     mean = np.array([rest[i, 1 : width + 2] / rest[i, 0] for i in models]).reshape(len(models), width + 1)
     scale = np.array([np.sqrt(np.maximum(rest[i, width + 2 :] / rest[i, 0] - mean[m] ** 2, 0)) + 1e-8 for m, i in enumerate(models)]).reshape(len(models), width + 1)
-    data = written(own.select(F.array(*x).alias("_x"), v.alias("_y"), F.col(fold).alias("_f")), "rows")
+    numbers = df.sparkSession.createDataFrame(list(number.items()), f"_f {dict(df.dtypes)[fold]}, _m int")
+    data = own.select(*(c.alias(f"_x{j}") for j, c in enumerate(x)), v.alias("_y"), F.col(fold).alias("_f")).join(F.broadcast(numbers), "_f", "left")  # a row a model
+    data = written(data.select(*(f"_x{j}" for j in range(width)), "_y", F.coalesce("_m", F.lit(-1)).alias("_m")), "rows")
     weights = np.array([begin(width, hidden, seed + m) for m in range(len(models))]).reshape(len(models), size)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     tasks = data.rdd.getNumPartitions()
     for t in range(1, steps + 1 if models else 1):
-        total = _pass(data, tasks, weights, mean, scale, number, hidden, width)
+        total = _pass(data, tasks, weights, mean, scale, hidden, width)
         g = total[:, 1:] / total[:, :1] + l2 * weights
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         weights = weights - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -109,20 +123,21 @@ def cross_fit_perceptron(
     return wide.mapInArrow(score, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{name}` double"]))
 
 
-def _pass(data: DataFrame, tasks: int, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray, number: dict, hidden: tuple[int, ...], width: int) -> np.ndarray:
+def _pass(data: DataFrame, tasks: int, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray, hidden: tuple[int, ...], width: int) -> np.ndarray:
     """Per model the rows and the gradient of the rows outside its fold."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(weights), weights.shape[1] + 1))
         for batch in batches:
+            x, y = np.stack([batch.column(f"_x{j}").to_numpy() for j in range(width)]), batch.column("_y").to_numpy()
+            model = batch.column("_m").to_numpy()
             for a in range(0, len(batch), AT_ONCE):
-                part = batch.slice(a, AT_ONCE)
-                x, y = part.column("_x").flatten().to_numpy().reshape(-1, width), part.column("_y").to_numpy()
-                model = np.array([number.get(f, -1) for f in part.column("_f").to_pylist()])
+                part = slice(a, a + AT_ONCE)
                 for m in range(len(weights)):
-                    own = model != m
-                    g, _ = gradient(weights[m], (x[own] - mean[m, :-1]) / scale[m, :-1], (y[own] - mean[m, -1]) / scale[m, -1], hidden)
-                    total[m, 0] += own.sum()
+                    counts = model[part] != m
+                    z = (x[:, part] - mean[m, :-1, None]) / scale[m, :-1, None]
+                    g, _ = gradient(weights[m], z.T, (y[part] - mean[m, -1]) / scale[m, -1], hidden, counts)
+                    total[m, 0] += counts.sum()
                     total[m, 1:] += g
         task = TaskContext.get().partitionId()
         cols = [pa.array(range(len(total)), pa.int32()), pa.array([task] * len(total), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())]

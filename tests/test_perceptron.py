@@ -54,3 +54,11 @@ def test_learns_a_curve_and_handles_little(spark):
     assert r.r2 > 0.9
     assert {x.pred for x in perceptron.cross_fit_perceptron(df.filter("fold = 0"), "fold", ["x"], "y", (3,), 2).collect()} == {None}
     assert perceptron.cross_fit_perceptron(df.filter("fold > 5"), "fold", ["x"], "y", (3,), 2).count() == 0
+
+
+def test_rows_that_do_not_count_add_nothing():
+    rng = np.random.default_rng(4)
+    x, y, counts = rng.normal(size=(50, 3)), rng.normal(size=50), np.arange(50) % 3 != 0
+    w = perceptron.begin(3, (5, 4), 1)
+    got, want = perceptron.gradient(w, x, y, (5, 4), counts), perceptron.gradient(w, x[counts], y[counts], (5, 4))
+    assert np.allclose(got[0], want[0], atol=1e-12) and got[1] == pytest.approx(want[1])
