@@ -18,7 +18,7 @@ import base64
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ class Merges:
             raise ValueError("every byte needs a token")
         self.ranks, self.bytes_of = ranks, {r: t for t, r in ranks.items()}
         self._steps: dict[int, tuple | None] = {}
-        self._follows: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}
 
     def steps(self, token: int) -> tuple[tuple[int, int, int], ...] | None:
         """(rank, size of the first part, size of the last part) after each merge of a token's bytes; None if they do not end as the token."""
@@ -72,12 +72,12 @@ class Merges:
 
     def follows(self, last: int, token: int) -> bool:
         """Whether the bytes of both, merged together, end as these two tokens (or, at the start, as this one)."""
-        known = self._follows.get(last << 32 | token)
+        known = self.known.get(last << 32 | token)
         if known is None:
-            if len(self._follows) >= MOST_STEPS:
-                self._follows.clear()
+            if len(self.known) >= MOST_STEPS:
+                self.known.clear()
             known = self.steps(token) is not None if last == START else self._no_merge_across(last, token)
-            self._follows[last << 32 | token] = known
+            self.known[last << 32 | token] = known
         return known
 
     def _no_merge_across(self, last: int, token: int) -> bool:
@@ -135,7 +135,6 @@ class Encoder(dict):
         """Only the start is known. A state is a flat tuple of its paths: place in the trie, last token, tokens held back."""
         self.states: dict[tuple, int] = {}
         self.paths: list[tuple] = []
-        self.held: dict[tuple, tuple] = {}
         self.table: dict[int, int] = {}
         self.emits: dict[int, tuple] = {}
         self._state((0, START, ()))
@@ -149,7 +148,8 @@ class Encoder(dict):
 
     def _determinise(self, state: int, byte: int) -> int:
         """The next state, doubled, and one more if tokens are emitted on the way."""
-        paths, trie, grows, token_at, follows = [], self.trie, self.grows, self.token, self.merges.follows
+        paths, trie, grows, token_at, merges = [], self.trie, self.grows, self.token, self.merges
+        known, ended = merges.known, False
         own = iter(self.paths[state])
         for node, last, held in zip(own, own, own):
             child = trie.get(node << 8 | byte)
@@ -158,16 +158,22 @@ class Encoder(dict):
             if grows[child]:
                 paths += child, last, held
             token = token_at[child]
-            if token >= 0 and follows(last, token):
-                paths += 0, token, (*held, token)
+            if token >= 0 and not ended:  # what is read so far has one encoding: of the paths one can end here
+                ended = known.get(last << 32 | token)
+                if ended is None:
+                    ended = merges.follows(last, token)
+                if ended:
+                    paths += 0, token, (*held, token)
         k, every = 0, paths[2::3]
-        shared = min(every, key=len)
-        while k < len(shared) and all(held[k] == shared[k] for held in every):
-            k += 1
         longest = max(map(len, every))
-        if longest - k > self.lookahead:
-            self.lookahead = longest - k
-        paths[2::3] = [self.held.setdefault(held[k:], held[k:]) for held in every]
+        if longest:
+            shared = min(every, key=len)
+            while k < len(shared) and all(held[k] == shared[k] for held in every):
+                k += 1
+            if longest - k > self.lookahead:
+                self.lookahead = longest - k
+            if k:
+                paths[2::3] = [held[k:] for held in every]
         step = self._state(tuple(paths)) << 1 | (k > 0)
         self.table[state << 8 | byte] = step
         if k:
@@ -270,13 +276,17 @@ class Utf8:
 class Decoder(dict):
     """Characters that each token finishes after an unfinished character, by (its bytes, token): composed once.
 
-    ``whole`` has those of the tokens that begin and end between characters; after one of them the machine is where it was.
+    ``texts`` has those of the tokens that begin and end between characters, by id; after one of them the machine is where it was. ``breaks`` marks the others.
     """
 
     def __init__(self, bytes_of: dict[int, bytes]):
         super().__init__()
         self.bytes_of = bytes_of
-        self.whole = {token: out for token in bytes_of for left, out in [self._composed(b"", token)] if not left}
+        self.texts = np.full(max(bytes_of, default=-1) + 2, "", object)
+        self.breaks = np.ones(len(self.texts), bool)
+        for token in bytes_of:
+            left, self.texts[token] = self._composed(b"", token)
+            self.breaks[token] = bool(left)
 
     def _composed(self, begun: bytes, token: int) -> tuple[bytes, str]:
         state, _, _ = Utf8.run(Utf8.BETWEEN, b"", begun)
@@ -289,27 +299,26 @@ class Decoder(dict):
         self[key] = self._composed(*key)
         return self[key]
 
-    def stream(self, blocks: Iterable[list[int]]) -> Iterator[str]:
+    def stream(self, blocks: Iterable[list[int] | np.ndarray]) -> Iterator[str]:
         """Characters as the blocks of tokens finish them; an id outside the vocabulary and an unfinished end are U+FFFD."""
-        begun, whole = b"", self.whole
+        begun, most = b"", len(self.texts) - 1
         for tokens in blocks:
-            if not begun:
-                try:
-                    yield "".join(map(whole.__getitem__, tokens))
-                    continue
-                except KeyError:  # a token ends within a character
-                    pass
-            out = []
-            for token in tokens:
-                begun, done = self[begun, token]
-                out.append(done)
-            yield "".join(out)
+            ids = np.asarray(tokens, np.int64)
+            ids = np.where((ids < 0) | (ids > most), most, ids)  # the last place stands for all ids outside the vocabulary
+            out, at = self.texts[ids], 0
+            for i in chain([0] if begun else [], np.flatnonzero(self.breaks[ids]).tolist()):
+                at = max(at, i)
+                while at < len(ids) and (begun or self.breaks[ids[at]]):  # from a token that ends within a character to the next that does not
+                    begun, out[at] = self[begun, int(ids[at])]
+                    at += 1
+            yield "".join(out.tolist())
         if begun:
             yield Utf8.WRONG
 
-    def decode(self, tokens: pa.Array | list[int]) -> str:
-        blocks = (tokens[a : a + BLOCK] for a in range(0, len(tokens), BLOCK))
-        return "".join(self.stream(x if isinstance(x, list) else x.to_pylist() for x in blocks))
+    def decode(self, tokens: pa.Array | np.ndarray | list[int]) -> str:
+        if not isinstance(tokens, np.ndarray):
+            tokens = pa.array(tokens, pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        return "".join(self.stream(tokens[a : a + BLOCK] for a in range(0, len(tokens), BLOCK)))
 
 
 @lru_cache(maxsize=2)
@@ -344,7 +353,7 @@ def _encode(name: str, pattern: str | None, back: bool):
                     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                     cols = [batch.column(0).slice(a, len(found)), ids]
                     if back:
-                        cols.append(pa.array([decoder(name).decode(x.values) for x in ids], pa.string()))
+                        cols.append(pa.array([decoder(name).decode(x) for x in found], pa.string()))
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][: len(cols)])
                     a, found, size = i + 1, [], 0
 

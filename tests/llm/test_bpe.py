@@ -113,3 +113,12 @@ def test_a_text_in_blocks_equals_the_text_at_once(monkeypatch):
     monkeypatch.setattr(bpe, "LONG_TEXT", 10)
     monkeypatch.setattr(bpe, "BLOCK", 7)
     assert own.encode(text, PATTERN).tolist() == whole
+
+
+def test_only_tokens_around_a_broken_character_are_stepped_through(library):
+    """Before, one token that ends within a character sent its whole block of tokens through the machine one by one."""
+    text = "whole words of many kinds, " * 50 + "a 🏳 b" + " and some more of them"
+    ids = library.encode_ordinary(text)
+    own = bpe.Decoder({rank: token for token, rank in bpe.read_ranks(bpe.RANKS).items()})
+    assert own.decode(ids) == text and 0 < len(own) <= 6
+    assert own.decode([ids[0], -5, 1 << 30, ids[1]]) == own.decode(ids[:1]) + "��" + own.decode(ids[1:2])
