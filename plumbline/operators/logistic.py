@@ -8,8 +8,10 @@ unknowns, one a model. The number of steps is fixed, so the same sums can be wri
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Keeps a step defined where classes are separable or a feature is constant; part of the penalty.
 FLOOR = 1e-9
@@ -52,13 +54,13 @@ def cross_fit_logistic(
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     own = df.dropna(subset=[*features, label, fold, *keys_, *([weight] if weight else [])])
     models = _models(own, keys_, fold, features, w)
-    types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys_), f"_f {types[fold]}", "_m array<double>", "_s array<double>", "_b array<double>"])
+    columns = own.select(*keys_, F.col(fold).alias("_f"), *(F.array(F.lit(0.0)).alias(c) for c in ("_m", "_s", "_b"))).schema
     theta = {at: np.zeros(len(features) + 1) for at, *_ in models}
 
     def coefficients() -> DataFrame:
-        floats = lambda v: [float(x) for x in v]
-        return F.broadcast(spark.createDataFrame([(*at, floats(m), floats(s), floats(theta[at])) for at, m, s in models], schema))  # at most MOST_MODELS rows
+        rows = [dict(zip(columns.names, (*at, m.tolist(), s.tolist(), theta[at].tolist()))) for at, m, s in models]
+        table = pa.Table.from_pylist(rows, to_arrow_schema(columns))  # as Arrow: else Python workers start only to copy a few rows
+        return F.broadcast(spark.createDataFrame(table, columns))  # at most MOST_MODELS rows
 
     def scaled(i: int) -> Column:
         return (F.col(features[i]).cast("double") - F.col("_m")[i]) / F.col("_s")[i]

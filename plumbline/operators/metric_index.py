@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.shared import written
@@ -27,6 +27,8 @@ from plumbline.shared import written
 MOST_PIVOTS, MOST_RINGS, LEAST_CELL = 2048, 64, 64
 #: Up to so many training rows are one cell: an index would cost more than it saves.
 ONE_CELL = 5_000
+#: So many nearest cells are tried before all are put in order.
+FEW = 16
 #: Queries of one cell beyond this are dealt to several tasks; entries of a table of distances that is held at once.
 QUERY_ROWS, AT_ONCE = 20_000, 2_000_000
 #: Counts by cell and part that the driver may hold; with more, rows of the query's own part are counted in (and found missing later).
@@ -43,30 +45,42 @@ class Cells(NamedTuple):
     hi: np.ndarray
     own: dict[object, np.ndarray]
 
-    def around(self, points: np.ndarray, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(points x cells): no row is nearer, no row is farther, and the rows that do not belong to the point's part."""
+    def around(self, points: np.ndarray, parts: list, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(points x cells): no row is nearer, no row is farther, and the rows that do not belong to the point's part. ``between``: pivots' distances."""
         d = _distances(points, self.pivots)
         home = d.argmin(1)
-        between = _distances(self.pivots, self.pivots)[home]
-        near = d[np.arange(len(d)), home][:, None]
+        near, apart = d[np.arange(len(d)), home][:, None], between[home]
         with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(between > 0, (d * d - near * near) / (2 * between), 0.0)
-        lower = np.maximum(np.maximum(d[:, self.pivot] - self.hi, self.lo - d[:, self.pivot]), plane[:, self.pivot])
+            plane = np.where(apart > 0, (d * d - near * near) / (2 * apart), 0.0)
         slack = 1e-9 * (1 + d.max(1, keepdims=True) + self.hi.max(initial=0.0))  # rounding must not lose a cell
-        left = np.repeat(self.n[None, :], len(points), 0)
-        for i, p in enumerate(parts):
-            if p in self.own:
-                left[i] -= self.own[p]
-        return np.maximum(lower - slack, 0.0), d[:, self.pivot] + self.hi, left
+        at = d[:, self.pivot]
+        lower = np.maximum(np.maximum(at - self.hi, self.lo - at), plane[:, self.pivot])
+        kinds = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+        left = np.stack([self.n - self.own[p] if p in self.own else self.n for p in kinds])[[kinds[p] for p in parts]]
+        return np.maximum(lower - slack, 0.0), at + self.hi, left
 
     def first(self, upper: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
-        """Mask of the nearest cells that hold k rows together."""
-        order = np.argsort(np.where(left > 0, upper, np.inf), axis=1, kind="stable")
-        before = np.cumsum(np.take_along_axis(left, order, 1), axis=1) - np.take_along_axis(left, order, 1)
+        """Mask of the nearest cells that hold k rows together. Few of the cells are needed, so all are put in order only where few do not hold k."""
+        upper = np.where(left > 0, upper, np.inf)
         mask = np.zeros(upper.shape, bool)
-        np.put_along_axis(mask, order, before < k, 1)
+        some = np.argpartition(upper, FEW, axis=1)[:, :FEW] if upper.shape[1] > 2 * FEW else None
+        if some is not None:
+            short = np.take_along_axis(left, some, 1).sum(1) < k
+            order = np.take_along_axis(some, np.argsort(np.take_along_axis(upper, some, 1), axis=1, kind="stable"), 1)
+            self._take(mask, left, order, k)
+            if short.any():
+                part = np.zeros((short.sum(), upper.shape[1]), bool)
+                self._take(part, left[short], np.argsort(upper[short], axis=1, kind="stable"), k)
+                mask[short] = part
+        else:
+            self._take(mask, left, np.argsort(upper, axis=1, kind="stable"), k)
         return mask & (left > 0)
 
+    @staticmethod
+    def _take(mask: np.ndarray, left: np.ndarray, order: np.ndarray, k: int) -> None:
+        held = np.take_along_axis(left, order, 1)
+        np.put_along_axis(mask, order, np.cumsum(held, axis=1) - held < k, 1)
+
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros((len(a), len(b)))
@@ -162,12 +176,13 @@ def asked_cells(queries: DataFrame, cells: Cells, k: int, width: int, bounded: b
     """Adds ``_cell``, one row per cell to meet: the first ones or, given the k-th distance ``_far`` (NULL: none yet), all others that may hold nearer rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = _distances(cells.pivots, cells.pivots)
         for batch in batches:
             w, names = _vectors(batch.column("_w"), width), batch.schema.names
             parts = batch.column("_own").to_pylist() if "_own" in names else [None] * len(w)
             far = batch.column("_far").to_numpy(zero_copy_only=False) if bounded else None
             for s in _blocks(len(w), len(cells.n)):
-                lower, upper, left = cells.around(w[s], parts[s])
+                lower, upper, left = cells.around(w[s], parts[s], between)
                 mask = cells.first(upper, left, k)
                 if bounded:
                     bound = np.where(np.isnan(far[s].astype(float)), np.inf, far[s].astype(float))
@@ -182,8 +197,8 @@ def asked_cells(queries: DataFrame, cells: Cells, k: int, width: int, bounded: b
 def _meet(asked: DataFrame, held: DataFrame, cells: Cells, k: int, width: int, parts: bool, root: bool) -> DataFrame:
     """(``_q``, ``_d`` (squared without ``root``), ``_k``, ``_y``): the k best rows of each query in each cell it meets, none farther than ``_far``."""
     spark, bounded = asked.sparkSession, "_far" in asked.columns
-    busy = [(r["_cell"], -(-r["n"] // QUERY_ROWS)) for r in asked.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row per cell
-    deals = F.broadcast(spark.createDataFrame(busy, "_cell long, _deals long"))  # a row per cell
+    busy = [{"_cell": r["_cell"], "_deals": -(-r["n"] // QUERY_ROWS)} for r in asked.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row per cell
+    deals = F.broadcast(spark.createDataFrame(pa.Table.from_pylist(busy, pa.schema([("_cell", pa.int64()), ("_deals", pa.int64())]))))  # a row per cell
     asked = asked.join(deals, "_cell").withColumn("_deal", F.pmod(F.xxhash64("_q"), F.col("_deals"))).drop("_deals")
     held = held.join(deals, "_cell").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
 
@@ -224,9 +239,15 @@ def _meet(asked: DataFrame, held: DataFrame, cells: Cells, k: int, width: int, p
         return pa.table({"_q": take(queries, "_q"), "_d": pa.array(best), "_k": take(rows, "_k"), "_y": take(rows, "_y")})
 
     schema = f"_q {dict(asked.dtypes)['_q']}, _d double, _k {dict(held.dtypes)['_k']}, _y double"
+    asked, held = (df.repartition(_tasks(spark), "_cell", "_deal") for df in (asked, held))
     return asked.groupBy("_cell", "_deal").cogroup(held.groupBy("_cell", "_deal")).applyInArrow(nearest, schema)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Rows here are few bytes and much work: left to the sizes of shuffles, one task would often get all of them."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def nearest_rows(test: DataFrame, train: DataFrame, features: list[str], y: str, key: str, k: int = 8, apart: str | None = None, pivots: int | None = None) -> DataFrame:
     """(test_key, train_key, value, dist2, rn): the k training rows nearest to each test row by squared distance of the features; ties by key.
 
@@ -248,13 +269,16 @@ def search(queries: DataFrame, rows: DataFrame, width: int, k: int, pivots: int
     ``_d`` is the squared distance or, with ``root``, the distance, by which ties are then told. ``_y`` may be NULL.
     """
     apart = "_part" in rows.columns
-    rows = written(first_of_each_place(rows, k, "_v", *(["_part"] if apart else [])), "rows")
+    tasks = _tasks(queries.sparkSession)
+    rows = written(first_of_each_place(rows, k, "_v", *(["_part"] if apart else [])).repartition(tasks, "_k"), "rows")
     held, cells = build(rows, width, apart, pivots)
     rank = Window.partitionBy("_q").orderBy("_d", "_k")
     top = lambda df: df.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= k)
     if len(cells.n) == 1:
         return top(_meet(queries.withColumn("_cell", F.lit(0).cast("long")), held, cells, k, width, apart, root))
-    one = written(top(_meet(asked_cells(queries, cells, k, width, False), held, cells, k, width, apart, root)), "near")
+    queries = written(queries.repartition(tasks, "_q"), "queries")
+    asked = written(asked_cells(queries, cells, k, width, False), "asked")
+    one = written(top(_meet(asked, held, cells, k, width, apart, root)), "near")
     # a k-th distance that is not reached yet rules nothing out
     far = one.filter(F.col("_n") == k).select(F.col("_q").alias("_q1"), F.col("_d").alias("_far"))
     bounded = queries.join(far, F.col("_q") == F.col("_q1"), "left").drop("_q1")

@@ -109,3 +109,32 @@ def test_rows_deep_in_a_block_do_not_meet_the_block(spark, monkeypatch):
     monkeypatch.setattr(spatial, "SMALL_PAIRS", 0)
     assert sorted(map(tuple, spatial.knn_join(some, df, 4, "id", "y", apart="fold").collect())) == want and len(want) == n // 20 * 4
     assert len(met) == 2 and sum(met) < 0.2 * n / 20 * n
+
+
+def test_search_deals_its_work_out_and_starts_no_python_for_small_tables(spark):
+    """Before, shuffles of few bytes were joined into one task, which then met all cells, and the first round was computed twice."""
+    from plumbline.operators import logistic, spatial
+
+    rows = [(i, float(i * 37 % 360 - 180), float(i * 53 % 180 - 90), float(i % 7), i % 3, int(i % 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, lon double, lat double, y double, fold long, hit int")
+    dealt, met, meet, asked = [], [], metric_index._meet, metric_index.asked_cells
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(metric_index, "ONE_CELL", 10)
+        m.setattr(metric_index, "asked_cells", lambda q, *a, **kw: dealt.append(q.rdd.getNumPartitions()) or asked(q, *a, **kw))
+        m.setattr(metric_index, "_meet", lambda a, *more: met.append("MapInArrow" in a._jdf.queryExecution().executedPlan().toString()) or meet(a, *more))
+        near = spatial.knn_join(df.repartition(1), df, 3, "id", "y", apart="fold", small=False)
+        assert near.count() == 1800
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt[0] >= metric_index._tasks(spark) and met == [False, False] and "RepartitionByExpression" in plan
+    plan = logistic.cross_fit_logistic(df, "fold", ["lon"], "hit")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExternalRDD" not in plan and "Scan ExistingRDD" not in plan
+
+
+def test_few_nearest_cells_hold_what_all_in_order_hold(monkeypatch):
+    rng = np.random.default_rng(5)
+    upper, left = rng.random((300, 90)), rng.integers(0, 3, (300, 90))
+    left[:100] = np.where(rng.random((100, 90)) < 0.97, 0, 1)
+    cells = metric_index.Cells(*[np.zeros((1, 1))] * 5, {})
+    got = cells.first(upper, left, 8)
+    monkeypatch.setattr(metric_index, "FEW", 90)
+    assert (got == cells.first(upper, left, 8)).all() and (got[100:] * left[100:]).sum(1).min() >= 8
