@@ -11,6 +11,7 @@ from plumbline.operators import baselines, bootstrap, folds, learners, metrics,
 from plumbline.plans.learning import lines
 from plumbline.plans.sql import median_interval_sql
 from plumbline.plans.tables import CUSTOMERS, DAILY, MONTHLY, POINTS, customers, daily, monthly, points, registered, rounded, table
+from plumbline.shared import scratch, written
 
 
 def _block_sql(deg: int) -> str:
@@ -127,7 +128,9 @@ def q6_three_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for regime, df in regimes.items():
         df = df.withColumn("scored", F.coalesce("scored", F.lit(False))).select("fold", "scored", "vec_id", "lon", "lat", "y", "x1", "published")
         test = learners.cross_fit_linear(df, "fold", ["x1"], "y", 1.0, name="ridge").filter("scored")
-        near = spatial.idw(spatial.knn_join(df.filter("scored"), df, 8, "vec_id", "y", apart="fold")).select(F.col("test_key").alias("vec_id"), F.col("pred").alias("idw_k8"))
+        with scratch(spark):  # the search's tables and shuffles go before the next regime's come
+            near = spatial.idw(spatial.knn_join(df.filter("scored"), df, 8, "vec_id", "y", apart="fold"))
+            near = written(near.select(F.col("test_key").alias("vec_id"), F.col("pred").alias("idw_k8")), "near", hold=True)
         models = ["ridge", "idw_k8"] + (["published"] if regime == "authors_holdout" else [])
         long = test.join(near, "vec_id", "left").select("fold", "y", *models).unpivot(["fold", "y"], models, "model", "pred").filter("pred is not null")
         long = long.withColumn("regime", F.lit(regime))

@@ -54,3 +54,18 @@ def test_models_and_fold_sums_go_out_to_the_rows(spark, monkeypatch):
             assert not re.search(r"SortMergeJoin \[(fold#\d+)\], ", plan) and "BroadcastHashJoin [fold#" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_search_leaves_no_tables_behind(spark, monkeypatch):
+    """Before, the cells and candidates of all three regimes stayed until the folder was cleared."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from plumbline.shared import folder
+
+    there = Path(urlparse(folder(spark)).path)
+    before = set(there.iterdir())
+    monkeypatch.setattr(spatial, "SMALL_PAIRS", 0)
+    monkeypatch.setattr(metric_index, "ONE_CELL", 10)
+    entry.queries()["q6_three_regimes"](spark, SF)
+    assert {p.name.split("-")[0] for p in set(there.iterdir()) - before} == {"near"}
