@@ -30,7 +30,7 @@ ONE_CELL = 5_000
 #: So many nearest cells are tried before all are put in order.
 FEW = 16
 #: Queries of one cell beyond this are dealt to several tasks; entries of a table of distances that is held at once.
-QUERY_ROWS, AT_ONCE = 20_000, 2_000_000
+QUERY_ROWS, AT_ONCE = 20_000, 250_000
 #: Counts by cell and part that the driver may hold; with more, rows of the query's own part are counted in (and found missing later).
 MOST_OWN = 1_000_000
 

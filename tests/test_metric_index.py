@@ -138,3 +138,19 @@ def test_few_nearest_cells_hold_what_all_in_order_hold(monkeypatch):
     got = cells.first(upper, left, 8)
     monkeypatch.setattr(metric_index, "FEW", 90)
     assert (got == cells.first(upper, left, 8)).all() and (got[100:] * left[100:]).sum(1).min() >= 8
+
+
+def test_a_block_of_distances_takes_few_megabytes():
+    """Before, a Python worker held several arrays of two million distances each."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    points = np.random.default_rng(1).random((10_000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), 4).cast(pa.list_(pa.float64()))], names=["_v"])
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in metric_index._homes(points[:300])(iter([batch]))) == len(points)
+        assert tracemalloc.get_traced_memory()[1] < 12e6
+    finally:
+        tracemalloc.stop()
